@@ -1,0 +1 @@
+"""Intentionally empty: every source the engine covers is a finite file, so no query streams."""
