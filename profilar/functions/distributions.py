@@ -173,5 +173,34 @@ def p_chi2(q, df) -> Column:
     return _column(chi2_upper)(q, df)
 
 
-def q_normal(p) -> Column:
-    return _column(normal_quantile)(p)
+# Coefficients of Acklam's published rational approximation of the
+# normal quantile (numerators a, c; denominators b, d), good to 1e-9.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
+      1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
+      6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
+      -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
+      3.754408661907416e00, 1.0)
+_TAIL = 0.02425
+
+
+def _polynomial(coefficients, x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def normal_quantile_column(p: str) -> Column:
+    """Normal quantile as a built-in expression, for whole columns."""
+    p = F.col(p)
+    r = (p - 0.5) * (p - 0.5)
+    low, high = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
+    return (
+        F.when((p <= 0) | (p >= 1), None)
+        .when(p < _TAIL, _polynomial(_C, low) / _polynomial(_D, low))
+        .when(p > 1 - _TAIL, -_polynomial(_C, high) / _polynomial(_D, high))
+        .otherwise((p - 0.5) * _polynomial(_A, r) / _polynomial(_B, r))
+    )

@@ -122,6 +122,11 @@ class Moments:
         return np.einsum("ic,cij,jc->ij", a, picked, b, optimize=True)
 
 
+def cell_keys(pdf: pd.DataFrame, factors: Sequence[str]) -> list[tuple]:
+    """Factor values of every row; empty tuples where there is no factor."""
+    return list(zip(*[pdf[f] for f in factors])) if factors else [()] * len(pdf)
+
+
 def as_columns(names: Sequence[str]) -> list[DesignColumn]:
     return [DesignColumn(n, (), n, n) for n in names]
 

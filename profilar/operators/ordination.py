@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from profilar.functions.linalg import descending_eigen, explained, scaled_pinv, unpack_symmetric
 from profilar.operators.design import Design, column_expression
 from profilar.operators.joins import match
-from profilar.operators.moments import Moments, as_columns, collect_moments, moment_rows, shifts
+from profilar.operators.moments import Moments, as_columns, cell_keys, collect_moments, moment_rows, shifts
 from profilar.operators.shares import hellinger
 
 EMPTY = Design([], intercept=True)
@@ -236,7 +236,7 @@ def redundancy_by(df: DataFrame, group: str, species: Sequence[str], constraint:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         grams = np.array([unpack_symmetric(u, size) for u in pdf["upper"]])
-        m = Moments(factors, names, {}, [tuple(r) for r in pdf[factors].itertuples(index=False)], grams)
+        m = Moments(factors, names, {}, cell_keys(pdf, factors), grams)
         parts = partition(m.cross(ys, ys), m.cross(ys, cols), m.cross(cols, cols), z)
         n = m.n
         if n < 2:

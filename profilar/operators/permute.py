@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from profilar.functions.linalg import scaled_pinv
 from profilar.operators.design import Design, column_expression, factor, num
 from profilar.operators.joins import match
-from profilar.operators.moments import Moments, as_columns, collect_moments, complete_rows
+from profilar.operators.moments import Moments, as_columns, cell_keys, collect_moments, complete_rows
 from profilar.operators.ordered import sequence_in_group
 from profilar.operators.ordination import Ordination, condition_places, full_design
 from profilar.session import save_and_reload
@@ -102,7 +102,7 @@ def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design:
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
         cross = np.stack(pdf["cross"].to_numpy()).reshape(len(pdf), n_x + 1, n_y)
-        cells = [tuple(r) for r in pdf[factors].itertuples(index=False)]
+        cells = cell_keys(pdf, factors)
         holder = Moments(factors, names, {}, cells, np.zeros((len(cells), 1, 1)))
         dty = np.zeros((len(cols), n_y))
         for i, col in enumerate(cols):
@@ -208,7 +208,7 @@ def fit_vectors(df: DataFrame, axes: Sequence[str], variables: Sequence[str], *,
 
         def r2(dty, inverse=inverse, gram=gram, total=centred_total):
             fit, base = float(np.sum(dty * (inverse @ dty))), float(dty[0, 0] ** 2 / gram[0, 0])
-            return {"r2": (fit - base) / total}
+            return {"r2": float((fit - base) / total)}
 
         residual = cross - gram[:, :1] @ (cross[:1] / gram[0, 0])
         observed = r2(residual)
@@ -235,7 +235,7 @@ def fit_factor(df: DataFrame, axes: Sequence[str], factor_name: str, levels: Seq
 
     def r2(dty):
         fit = float(np.sum(dty * (inverse @ dty)))
-        return {"r2": (fit - float(np.sum(dty[0] ** 2)) / gram[0, 0]) / total}
+        return {"r2": float((fit - np.sum(dty[0] ** 2) / gram[0, 0]) / total)}
 
     observed = r2(cross - gram[:, :1] @ (cross[:1] / gram[0, 0]))
     p = run_permutations(df, key=key, strata=strata, design=design, responses=list(axes), residual_of=Design([]),

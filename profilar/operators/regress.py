@@ -9,14 +9,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilar.functions.distributions import f_upper, normal_quantile, p_normal, t_quantile, t_two_sided
+from profilar.functions.distributions import (f_upper, normal_quantile_column, p_normal, t_quantile,
+                                              t_two_sided)
 from profilar.functions.linalg import scaled_pinv
 from profilar.functions.nulls import ratio
 from profilar.operators import mixed
 from profilar.operators.design import Design, DesignColumn, column_expression
 from profilar.operators.meta import coefficients
 from profilar.operators.moments import Moments, as_columns, collect_moments
-from profilar.operators.ordered import quantiles
+from profilar.operators.ordered import quantiles, sequence_in_group
 
 
 @dataclass
@@ -203,15 +204,18 @@ def residuals(df: DataFrame, fit: LinearModel) -> DataFrame:
     return df.withColumn("fitted", fitted_column(fit)).withColumn("resid", F.col(fit.response) - F.col("fitted"))
 
 
-def quantile_pairs(df: DataFrame, value: str, points: int = 99) -> DataFrame:
-    """Ordered residual quantiles beside normal quantiles, on an even probability grid."""
-    probs = [(i + 0.5) / points for i in range(points)]
-    names = [f"q{i}" for i in range(points)]
-    row = quantiles(df, [], value, probs, names)
-    z = normal_quantile(np.array(probs))
-    pairs = F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(float(t)).alias("normal"), F.col(n).alias("sample"))
-                      for p, t, n in zip(probs, z, names)])
-    return row.select(F.inline(pairs))
+def quantile_pairs(df: DataFrame, value: str, key: str) -> DataFrame:
+    """Every residual with its rank, plotting position and normal quantile.
+
+    Ranks come from the blocked running count, so the table is sorted in ranges.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("sample"))
+    ranked = sequence_in_group(rows, [], ["sample", key], out="rank")
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    # Plotting positions: (i − a) / (n + 1 − 2a) with a = 3/8 up to ten rows, 1/2 beyond.
+    offset = F.when(n <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
+    placed = ranked.withColumn("prob", (F.col("rank") - offset) / (n + 1 - 2 * offset))
+    return placed.withColumn("normal", normal_quantile_column("prob"))
 
 
 def partial_effect(df: DataFrame, fit: LinearModel, x: str, *, by: str | None = None, points: int = 101,
@@ -486,14 +490,14 @@ def box_cox_profile(df: DataFrame, keys: Sequence[str], value: str, *, low: floa
     within = rows.groupBy(*keys).agg(*[
         (F.var_pop(power(lam)) * F.count(F.lit(1))).alias(f"s{i}") for i, lam in enumerate(lambdas)])
     total = within.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(count)])
-    points = F.array(*[F.struct(F.lit(lam).alias("lambda"), F.col(f"s{i}").alias("rss"))
+    points = F.array(*[F.struct(F.lit(lam).alias("power"), F.col(f"s{i}").alias("rss"))
                        for i, lam in enumerate(lambdas)])
     return total.select(F.inline(points)).select(
-        "lambda", (F.lit(-float(scale["n"]) / 2) * F.ln("rss")).alias("loglik"))
+        "power", (F.lit(-float(scale["n"]) / 2) * F.ln("rss")).alias("loglik"))
 
 
 def best_power(profile: DataFrame) -> DataFrame:
-    return profile.agg(F.max_by("lambda", "loglik").alias("lambda"), F.max("loglik").alias("loglik"))
+    return profile.agg(F.max_by("power", "loglik").alias("power"), F.max("loglik").alias("loglik"))
 
 
 def transformed_variants(df: DataFrame, value: str, power: float, *, keep: Sequence[str] = ()) -> DataFrame:

@@ -506,7 +506,7 @@ def residual_rows(spark, folder):
 def residual_quantiles(spark, folder):
     df = _lm_rows(spark, folder)
     rows = regress.residuals(df, regress.ols(df, "lrr", QUADRATIC))
-    return _rounded(regress.quantile_pairs(rows, "resid"))
+    return _rounded(regress.quantile_pairs(rows, "resid", "sample"))
 
 
 @query("correlation_test", "L12", LINE + """CAST(count(*) AS BIGINT) AS n, round(corr(qty, n_lines), 6) AS r,
@@ -542,20 +542,20 @@ def line_per_group(spark, folder):
 
 @query("box_cox_profile", "L15", """
 WITH g AS (SELECT exp(avg(ln(o_totalprice))) AS g FROM orders),
-z AS (SELECT o_orderpriority, i / 10.0 - 2 AS lambda,
+z AS (SELECT o_orderpriority, i / 10.0 - 2 AS p,
   CASE WHEN i = 20 THEN ln(o_totalprice / g) ELSE (pow(o_totalprice / g, i / 10.0 - 2) - 1) / (i / 10.0 - 2) END AS t
   FROM orders, g, range(41) r(i)),
-w AS (SELECT lambda, o_orderpriority, var_pop(t) * count(*) AS ss, count(*) AS n FROM z GROUP BY ALL)
-SELECT round(lambda, 1) AS lambda, round(-sum(n) / 2 * ln(sum(ss)), 3) AS loglik FROM w GROUP BY lambda""")
+w AS (SELECT p, o_orderpriority, var_pop(t) * count(*) AS ss, count(*) AS n FROM z GROUP BY ALL)
+SELECT round(p, 1)::DOUBLE AS power, round(-sum(n) / 2 * ln(sum(ss)), 3) AS loglik FROM w GROUP BY p""")
 def box_cox_profile(spark, folder):
     df = b.table(spark, folder, "orders").select("o_orderpriority", "o_totalprice")
     out = regress.box_cox_profile(df, ["o_orderpriority"], "o_totalprice")
-    return out.select(tidy("lambda", 1).alias("lambda"), tidy("loglik", 3).alias("loglik"))
+    return out.select(tidy("power", 1).alias("power"), tidy("loglik", 3).alias("loglik"))
 
 
 @query("transformed_boxes", "L15 A14")
 def transformed_boxes(spark, folder):
     df = b.table(spark, folder, "orders").select("o_orderpriority", "o_totalprice")
-    best = regress.best_power(regress.box_cox_profile(df, ["o_orderpriority"], "o_totalprice")).first()["lambda"]
+    best = regress.best_power(regress.box_cox_profile(df, ["o_orderpriority"], "o_totalprice")).first()["power"]
     long = regress.transformed_variants(df, "o_totalprice", best, keep=["o_orderpriority"])
     return _rounded(aggregate.box_statistics(long, ["variant", "o_orderpriority"], "value"), 5)

@@ -38,24 +38,24 @@ def read_folder(spark: SparkSession, folder: str, glob: str, schema, keys: Mappi
     return df.select("*", *[file_key(pos).alias(name) for name, pos in keys.items()])
 
 
+def _fields(line: str | Column) -> Column:
+    """Blank-separated fields; a quoted field may hold blanks and loses its quotes."""
+    pieces = F.regexp_extract_all(line, F.lit(r'("[^"]*"|\S+)'), 1)
+    return F.transform(pieces, lambda c: F.regexp_replace(c, '^"(.*)"$', "$1"))
+
+
 def read_whitespace(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Table split on runs of blanks, with a header line.
+    """Table split on runs of blanks, with a header line; NA is missing.
 
     The header is recognised by its text, so each file may be split freely
     among tasks.
     """
-    names = schema.fieldNames()
-    parts = F.split(F.trim("value"), r"\s+")
-    header = F.lit(" ".join(names))
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(parts.alias("p")).where(F.array_join("p", " ") != header)
-    strip = lambda c: F.regexp_replace(c, '^"(.*)"$', "$1")
+    header = F.array(*[F.lit(n) for n in schema.fieldNames()])
+    lines = spark.read.text(path).where(F.trim("value") != "").select(_fields("value").alias("p"))
+    rows = lines.where(F.col("p") != header)
     return rows.select(
         *[
-            F.when(F.get("p", F.lit(i)) == "NA", None)
-            .otherwise(strip(F.get("p", F.lit(i))))
-            .try_cast(f.dataType)
-            .alias(f.name)
+            F.when(F.get("p", F.lit(i)) != "NA", F.get("p", F.lit(i)).try_cast(f.dataType)).alias(f.name)
             for i, f in enumerate(schema.fields)
         ]
     )
@@ -63,7 +63,7 @@ def read_whitespace(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 def whitespace_header(spark: SparkSession, path: str) -> list[str]:
     """Names in the first line of a whitespace table."""
-    return spark.read.text(path).first()[0].split()
+    return spark.read.text(path).select(_fields("value").alias("p")).first()["p"]
 
 
 def stack_tagged(frames: Mapping[str, DataFrame], tag: str) -> DataFrame:
