@@ -192,34 +192,28 @@ def fit_vectors(df: DataFrame, axes: Sequence[str], variables: Sequence[str], *,
                 strata: Sequence[str] = (), n_perm: int = 999, seed: int = 1) -> DataFrame:
     """Direction of greatest change, r² and permutation P of continuous variables on ordination axes.
 
-    Each variable is fitted on its own complete rows.
+    All variables share one set of complete rows and one set of permutations.
     """
+    design = Design([num(a) for a in axes])
+    m = collect_moments(df, design, variables)
+    cols, ys = design.columns(), as_columns(variables)
+    gram, cross, yy = m.cross(cols, cols), m.cross(cols, ys), m.cross(ys, ys)
+    inverse, _ = scaled_pinv(gram)
+    slopes = (inverse @ cross)[1:]
+    norms = np.sqrt((slopes ** 2).sum(axis=0))
+    totals = np.diag(yy) - cross[0] ** 2 / gram[0, 0]
+    variables = list(variables)
+
+    def r2(dty: np.ndarray) -> dict[str, float]:
+        share = ((dty * (inverse @ dty)).sum(axis=0) - dty[0] ** 2 / gram[0, 0]) / totals
+        return dict(zip(variables, map(float, share)))
 
-    out = None
-    for v in variables:
-        design = Design([num(a) for a in axes])
-        m = collect_moments(df, design, [v])
-        cols, ys = design.columns(), as_columns([v])
-        gram, cross, yy = m.cross(cols, cols), m.cross(cols, ys), m.cross(ys, ys)
-        inverse, _ = scaled_pinv(gram)
-        slope = (inverse @ cross)[1:, 0]
-        norm = float(np.sqrt(np.sum(slope ** 2)))
-        centred_total = float(yy[0, 0] - cross[0, 0] ** 2 / gram[0, 0])
-
-        def r2(dty, inverse=inverse, gram=gram, total=centred_total):
-            fit, base = float(np.sum(dty * (inverse @ dty))), float(dty[0, 0] ** 2 / gram[0, 0])
-            return {"r2": float((fit - base) / total)}
-
-        residual = cross - gram[:, :1] @ (cross[:1] / gram[0, 0])
-        observed = r2(residual)
-        p = run_permutations(df, key=key, strata=strata, design=design, responses=[v],
-                             residual_of=Design([]), moments=m, statistics=r2, observed=observed,
-                             n_perm=n_perm, seed=seed)
-        row = (v, *[float(s / norm) if norm else None for s in slope], observed["r2"], p["r2"])
-        schema = "variable string, " + ", ".join(f"`{a}` double" for a in axes) + ", r2 double, p double"
-        part = df.sparkSession.createDataFrame([row], schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    observed = r2(cross - gram[:, :1] @ (cross[:1] / gram[0, 0]))
+    p = run_permutations(df, key=key, strata=strata, design=design, responses=variables, residual_of=Design([]),
+                         moments=m, statistics=r2, observed=observed, n_perm=n_perm, seed=seed)
+    rows = [(v, *map(float, slopes[:, j] / norms[j]), observed[v], p[v]) for j, v in enumerate(variables)]
+    schema = "variable string, " + ", ".join(f"`{a}` double" for a in axes) + ", r2 double, p double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def fit_factor(df: DataFrame, axes: Sequence[str], factor_name: str, levels: Sequence[str], *, key: str,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilar.functions.nulls import not_in, ratio, summary
@@ -61,18 +61,26 @@ def append_ready_made(shares: DataFrame, extra: DataFrame, groups: Sequence[str]
 
 def profile_table(df: DataFrame, *, ids: Sequence[str], groups: Sequence[str], group: str = "grp",
                   value: str = "value", drop: Sequence[str] = BY_PRODUCTS,
-                  classes: Mapping[str, Sequence[str]] = ROLL_UP, missing: str | None = None) -> DataFrame:
+                  classes: Mapping[str, Sequence[str]] = ROLL_UP, missing: str | None = None,
+                  extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Drop, roll up, share and widen in one aggregation.
 
     Conditional sums per group and one total share a single shuffle, summed
     map-side first. ``missing`` names a column for the share of the NULL group.
+    ``extra`` adds aggregates over all rows, by-products included, to the same pass.
     """
-    kept = df.where(not_in(group, drop)).withColumn(group, dashes_to_underscores(roll_up(group, classes)))
+    kept = not_in(group, drop)
+    if not extra:
+        df = df.where(kept)
+    rows = df.withColumns({"__kept": kept, group: dashes_to_underscores(roll_up(group, classes))})
     sums = {g: F.col(group) == F.lit(g) for g in groups}
     if missing:
         sums[missing] = F.col(group).isNull()
-    wide = kept.groupBy(*ids).agg(
-        *[F.coalesce(F.sum(F.when(test, F.col(value))), F.lit(0.0)).alias(g) for g, test in sums.items()],
-        summary(F.sum, value).alias("__total"),
-    )
-    return wide.select(*ids, *[ratio(g, "__total").alias(g) for g in sums])
+    total = F.when(F.col("__kept"), F.col(value))
+    wide = rows.groupBy(*ids).agg(
+        *[F.coalesce(F.sum(F.when(F.col("__kept") & test, F.col(value))), F.lit(0.0)).alias(g)
+          for g, test in sums.items()],
+        F.when(F.count(total) == F.count(F.when(F.col("__kept"), 1)), F.sum(total)).alias("__total"),
+        F.count(F.when(F.col("__kept"), 1)).alias("__rows"),
+        *[e.alias(name) for name, e in (extra or {}).items()])
+    return wide.where("__rows > 0").select(*ids, *[ratio(g, "__total").alias(g) for g in sums], *(extra or {}))

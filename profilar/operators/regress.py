@@ -209,8 +209,8 @@ def quantile_pairs(df: DataFrame, value: str, key: str) -> DataFrame:
 
     Ranks come from the blocked running count, so the table is sorted in ranges.
     """
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("sample"))
-    ranked = sequence_in_group(rows, [], ["sample", key], out="rank")
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("value"))
+    ranked = sequence_in_group(rows, [], ["value", key], out="rank")
     n = rows.agg(F.count(F.lit(1))).scalar()
     # Plotting positions: (i − a) / (n + 1 − 2a) with a = 3/8 up to ten rows, 1/2 beyond.
     offset = F.when(n <= 10, F.lit(0.375)).otherwise(F.lit(0.5))

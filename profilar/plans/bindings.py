@@ -72,36 +72,57 @@ def group_sums(spark: SparkSession, folder: str) -> DataFrame:
     return sums.join(samples(spark, folder), "sample").select(*IDS, "grp", "value")
 
 
-def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per sample: group shares and ratios."""
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return purchases(spark, folder).join(annotation(spark, folder), "window", "left")
+
+
+def _with_ratios(wide: DataFrame) -> DataFrame:
     from profilar.functions.nulls import ratio
-    from profilar.operators.profiles import profile_table
 
-    wide = profile_table(group_sums(spark, folder), ids=IDS, groups=GROUPS, drop=DROP, classes=CLASSES)
     return wide.withColumns({
         "lcratio": ratio(F.col("SMALL_MEDIUM") + F.col("LARGE"), "ECONOMY"),
         "gsratio": ratio("SMALL_MEDIUM", "LARGE"),
     })
 
 
+def _measures() -> dict:
+    return {
+        "qty": F.avg("l_quantity"), "disc": F.avg("l_discount") * 100, "tax": F.avg("l_tax") * 100,
+        "n_lines": F.count(F.lit(1)).cast("double"),
+        # The set is bounded by the calendar, so no second aggregation for distinct values.
+        "n_year": F.size(F.collect_set(F.year("o_orderdate"))).cast("double"),
+    }
+
+
+def profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per sample: group shares and ratios.
+
+    Lines are reduced to one row per sample before the sample dimension is joined.
+    """
+    from profilar.operators.profiles import profile_table
+
+    wide = profile_table(_lines(spark, folder), ids=["sample"], groups=GROUPS, drop=DROP, classes=CLASSES)
+    dims = samples(spark, folder).drop("acctbal")
+    return _with_ratios(wide.join(dims, "sample").select(*IDS, *GROUPS))
+
+
 def covariates(spark: SparkSession, folder: str) -> DataFrame:
     """One row per sample: continuous covariates."""
     from profilar.functions.nulls import ratio
 
-    per = purchases(spark, folder).groupBy("sample").agg(
-        F.avg("l_quantity").alias("qty"),
-        (F.avg("l_discount") * 100).alias("disc"),
-        (F.avg("l_tax") * 100).alias("tax"),
-        F.count(F.lit(1)).cast("double").alias("n_lines"),
-        F.countDistinct(F.year("o_orderdate")).cast("double").alias("n_year"),
-    )
+    per = purchases(spark, folder).groupBy("sample").agg(*[e.alias(n) for n, e in _measures().items()])
     return per.withColumn("cn", ratio("qty", "disc"))
 
 
 def sample_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Profiles with covariates: the table the models use."""
-    acct = samples(spark, folder).select("sample", "acctbal")
-    return profiles(spark, folder).join(covariates(spark, folder), "sample").join(acct, "sample")
+    """Profiles with covariates, from one pass over the lines: the table the models use."""
+    from profilar.functions.nulls import ratio
+    from profilar.operators.profiles import profile_table
+
+    wide = profile_table(_lines(spark, folder), ids=["sample"], groups=GROUPS, drop=DROP, classes=CLASSES,
+                         extra=_measures())
+    joined = wide.join(samples(spark, folder), "sample").withColumn("cn", ratio("qty", "disc"))
+    return _with_ratios(joined)
 
 
 # SQL text of the same tables, for the comparison queries.

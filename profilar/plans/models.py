@@ -13,6 +13,7 @@ from profilar.operators.moments import moment_rows
 from profilar.plans import bindings as b
 from profilar.plans.registry import query
 from profilar.plans.relations import CELL_COVARIATES, MD, rom_table
+from profilar.plans.sql_text import leading_vector, normal_quantile, orthogonal_steps, variance_search
 from profilar.session import save_and_reload
 
 P = b.sql(b.SQL_PROFILES)
@@ -122,11 +123,17 @@ def row_scores(spark, folder):
     return _rounded(ordination.row_scores(df, fit, choices=[1, 2], scaling=3).select("sample", "site", "RDA1", "RDA2"))
 
 
-@query("component_scores", "M3 M9")
+@query("component_scores", "M3 M9", "WITH RECURSIVE" + SQL_H[4:] + "," + leading_vector("h", "abcd") + f""",
+c AS (SELECT power((count(*) - 1) * {_TOTAL} / (count(*) - 1), 0.25) AS k, count(*) AS n, avg(a) AS ma, avg(b) AS mb,
+             avg(c) AS mc, avg(d) AS md FROM h)
+SELECT sample, round(value, 6) AS eigenvalue,
+  round(((a - ma) * v1 + (b - mb) * v2 + (c - mc) * v3 + (d - md) * v4) / sqrt(value * (n - 1)) * k, 5) AS score
+FROM h, lead, c""")
 def component_scores(spark, folder):
     df = profile_rows(spark, folder)
     fit = ordination.principal_components(df, H)
-    return _rounded(ordination.row_scores(df, fit).select("sample", "PC1", "PC2"))
+    scored = ordination.row_scores(df, fit, axes=["PC1"])
+    return scored.select("sample", tidy(F.lit(float(fit.eigenvalues[0]))).alias("eigenvalue"), tidy("PC1", 5).alias("score"))
 
 
 @query("species_scores", "M10 O3 F5")
@@ -307,18 +314,27 @@ def equal_effects_moderator(spark, folder):
     return meta.coefficients(fits).select("term", tidy("estimate", 5).alias("estimate"), tidy("se", 5).alias("se"))
 
 
-@query("random_effects", "E7 E14")
+@query("random_effects", "E7 E14", META + "," + variance_search("j", "row") + """,
+t AS (SELECT (count(*) - 1) * sum(1 / vi) / (power(sum(1 / vi), 2) - sum(1 / (vi * vi))) AS typical,
+             sum(yi * yi / vi) - power(sum(yi / vi), 2) / sum(1 / vi) AS q FROM e)
+SELECT round(s, 5) AS tau2, round(s / (s + typical), 4) AS i2, round(1 + s / typical, 4) AS h2,
+       round(q, 4) AS qe, n - 1 AS qe_df, round(-2 * ll + 4, 4) AS aic FROM reml, t""")
 def random_effects(spark, folder):
     rom = _rom(spark, folder)
     fits = mixed.fit(rom, [intercept_and()], random="row")
-    return _rounded(meta.model_performance(fits, rom), 5)
+    out = meta.model_performance(fits, rom).select("tau2", "i2", "h2", "qe", "qe_df", "aic")
+    return _rounded(_rounded(out, 4, ["tau2"]), 5, ["i2", "h2", "qe", "aic"])
 
 
-@query("site_random_effects", "E8 E13 E14 DM10")
+@query("site_random_effects", "E8 E13 E14 DM10", META + "," + variance_search("j", "group") + """
+SELECT round(estimate, 5) AS estimate, round(sqrt(1 / a), 5) AS se, round(estimate * sqrt(a), 4) AS zval,
+       round(estimate - 1.959963984540054 / sqrt(a), 5) AS ci_lb, round(s, 5) AS sigma2, round(ll, 5) AS loglik,
+       n, round(-2 * ll + 4.0 * (n - 1) / (n - 4), 4) AS aicc FROM reml""")
 def site_random_effects(spark, folder):
     fits = mixed.fit(_rom(spark, folder), [intercept_and()])
-    table = meta.coefficients(fits).join(meta.information(fits), "model")
-    return _rounded(table, 5)
+    out = meta.coefficients(fits).join(meta.information(fits), "model").select(
+        "estimate", "se", "zval", "ci_lb", "sigma2", "loglik", "n", "aicc")
+    return _rounded(_rounded(out, 4, ["estimate", "se", "ci_lb", "sigma2", "loglik"]), 5, ["zval", "aicc"])
 
 
 @query("level_estimates", "E10 E13 A6 E19")
@@ -366,14 +382,28 @@ def candidate_models(spark, folder):
     return _rounded(meta.compare(mixed.fit(_rom(spark, folder), models)), 4)
 
 
-@query("outcome_models", "E4 E8 E13")
+@query("outcome_models", "E4 E7 E13", META + "," + variance_search(
+    "j", "row", by="split_part(trt_id, '_', 3)") + """
+SELECT key || '|1' AS model, round(estimate, 5) AS estimate, round(sqrt(1 / a), 5) AS se FROM reml""")
 def outcome_models(spark, folder):
     """The same model for several outcomes at once: one per treatment level."""
     fits = mixed.fit(_rom(spark, folder), [intercept_and()], outcome="biome", random="row")
-    return _rounded(meta.coefficients(fits), 5)
-
-
-@query("prediction_grid", "E15 A10")
+    return _rounded(meta.coefficients(fits).select("model", "estimate", "se"), 5)
+
+
+@query("prediction_grid", "E15 A10", META + """,
+e AS (SELECT 1 / vi AS w, yi, n_added AS x, cnratio AS z FROM j
+      WHERE vi > 0 AND yi IS NOT NULL AND n_added IS NOT NULL AND cnratio IS NOT NULL),
+m AS (SELECT sum(w) AS sw, sum(w * yi) / sum(w) AS my, sum(w * x) / sum(w) AS mx, sum(w * z) / sum(w) AS mz FROM e),
+p AS (SELECT sum(w * (x - mx) * (z - mz)) / sum(w * (z - mz) * (z - mz)) AS k FROM e, m),
+b AS (SELECT sum(w * (z - mz) * yi) / sum(w * (z - mz) * (z - mz)) AS bz, sum(w * (z - mz) * (z - mz)) AS szz,
+             sum(w * (x - mx - k * (z - mz)) * yi) / sum(w * power(x - mx - k * (z - mz), 2)) AS bx,
+             sum(w * power(x - mx - k * (z - mz), 2)) AS sxx FROM e, m, p),
+r AS (SELECT min(n_added) AS lo, max(n_added) AS hi, avg(cnratio) AS cn FROM j),
+g AS (SELECT lo + i * (hi - lo) / 99 AS n_added, cn FROM r, range(100) t(i))
+SELECT round(n_added, 5) AS n_added, round(my + bz * (cn - mz) + bx * (n_added - mx - k * (cn - mz)), 5) AS pred,
+  round(sqrt(1 / sw + power(cn - mz, 2) / szz + power(n_added - mx - k * (cn - mz), 2) / sxx), 5) AS se
+FROM g, m, p, b""")
 def prediction_grid(spark, folder):
     rom = _rom(spark, folder)
     model = intercept_and("n_added", "cnratio")
@@ -382,21 +412,33 @@ def prediction_grid(spark, folder):
                          F.avg("cnratio").alias("cn")).alias("s")).scalar()
     grid = spark.range(100).select(F.lit(model.name).alias("model"), s["cn"].alias("cnratio"),
                                    (s["lo"] + F.col("id") * (s["hi"] - s["lo"]) / 99).alias("n_added"))
-    return _rounded(meta.predict(fits, grid, {"intrcpt": "1D", "n_added": "n_added", "cnratio": "cnratio"}), 5)
+    return _rounded(meta.predict(fits, grid, {"intrcpt": "1D", "n_added": "n_added", "cnratio": "cnratio"}).select(
+        "n_added", "pred", "se"), 5)
+
 
+WEIGHTS = META + "," + variance_search("j", "group") + """,
+d AS (SELECT j.site, trt_id, yi, vi, 1 / vi - s / (1 + s * w) / (vi * vi) AS d FROM j JOIN g USING (site), reml
+      WHERE vi > 0 AND yi IS NOT NULL),
+wt AS (SELECT site, trt_id, yi, vi, d * 100 / sum(d) OVER () AS weight FROM d)"""
 
-@query("model_weights", "E16")
+
+@query("model_weights", "E16", WEIGHTS + "SELECT trt_id, site, round(weight, 4) AS weight FROM wt")
 def model_weights(spark, folder):
     rom = _rom(spark, folder)
-    return _rounded(meta.row_weights(rom, mixed.fit(rom, [intercept_and()]), key="trt_id"), 5)
+    return _rounded(meta.row_weights(rom, mixed.fit(rom, [intercept_and()]), key="trt_id"), 4)
 
 
-@query("forest_rows", "E19 E16 U1")
+@query("forest_rows", "E19 E16 U1", WEIGHTS + """
+SELECT trt_id AS label, round(yi, 5) AS estimate, round(yi - 1.96 * sqrt(vi), 5) AS ci_lb,
+       round(yi + 1.96 * sqrt(vi), 5) AS ci_ub, round(weight, 4) AS weight, 'effect' AS type FROM wt
+UNION ALL SELECT 'intrcpt', round(estimate, 5), round(estimate - 1.959963984540054 / sqrt(a), 5),
+       round(estimate + 1.959963984540054 / sqrt(a), 5), NULL, 'summary' FROM reml""")
 def forest_rows(spark, folder):
     rom = _rom(spark, folder)
     fits = mixed.fit(rom, [intercept_and()])
     weights = meta.row_weights(rom, fits, key="trt_id")
-    return _rounded(meta.forest_table(rom, meta.coefficients(fits), label="trt_id", weights=weights), 5)
+    out = (meta.forest_table(rom, meta.coefficients(fits), label="trt_id", weights=weights))
+    return _rounded(_rounded(out, 5, ["weight"]), 4, ["estimate", "ci_lb", "ci_ub"])
 
 
 # Regression ------------------------------------------------------------------
@@ -419,6 +461,9 @@ def _lm_rows(spark, folder):
 
 
 QUADRATIC = Design([num("n_lines"), num("cn"), squared("n_lines")])
+LM = T + """,
+lm AS (SELECT sample, treatment, ln(lcratio) AS lrr, n_lines, cn, n_lines * n_lines AS n2 FROM tab
+       WHERE lcratio > 0 AND cn IS NOT NULL),""" + orthogonal_steps("lm", "lrr", ["n_lines", "cn", "n2"], "sample")
 FULL = Design(crossed(num("cn"), factor("treatment")) + [logged("qty")], levels=LEVELS)
 
 
@@ -427,19 +472,34 @@ def linear_model(spark, folder):
     return _rounded(regress.coefficient_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)))
 
 
-@query("linear_summary", "L1")
+@query("linear_summary", "L1", LM + """,
+r AS (SELECT n, tss, tss - s1 - s2 - s3 AS rss FROM ss)
+SELECT n, CAST(n - 4 AS INTEGER) AS df_residual, round(sqrt(rss / (n - 4)), 6) AS sigma, round(1 - rss / tss, 6) AS r2,
+       round(1 - rss / tss * (n - 1) / (n - 4), 6) AS adj_r2, round((tss - rss) / 3 / (rss / (n - 4)), 5) AS f,
+       round(-n / 2.0 * (ln(2 * pi()) + ln(rss / n) + 1), 4) AS loglik,
+       round(n * (ln(2 * pi()) + ln(rss / n) + 1) + 10.0 * n / (n - 6), 4) AS aicc FROM r""")
 def linear_summary(spark, folder):
-    return _rounded(regress.fit_summary(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)))
+    out = regress.fit_summary(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)).drop("p")
+    out = _rounded(out, 6, ["f", "loglik", "aicc"])
+    return _rounded(_rounded(out, 4, ["sigma", "r2", "adj_r2", "f"]), 5, ["sigma", "r2", "adj_r2", "loglik", "aicc"])
 
 
-@query("sequential_terms", "L3 L2")
+@query("sequential_terms", "L3 L2", LM + """,
+r AS (SELECT *, (tss - s1 - s2 - s3) AS rss, (tss - s1 - s2 - s3) / (n - 4) AS ms FROM ss)
+SELECT term, CAST(df AS INTEGER) AS df, round(ss, 5) AS sum_sq, round(f, 4) AS f FROM r, LATERAL (VALUES
+  ('n_lines', 1, s1, s1 / ms), ('cn', 1, s2, s2 / ms), ('n_lines^2', 1, s3, s3 / ms), ('Residuals', n - 4, rss, NULL))
+  AS x(term, df, ss, f)""")
 def sequential_terms(spark, folder):
-    return _rounded(regress.sequential_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)))
+    out = regress.sequential_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)).drop("p")
+    return _rounded(_rounded(out, 5, ["f"]), 4, ["sum_sq"])
 
 
-@query("nested_models", "L3")
+@query("nested_models", "L3", LM + """
+SELECT '-n_lines^2' AS term, CAST(1 AS INTEGER) AS df, round(s3, 5) AS sum_sq,
+       round(s3 / ((tss - s1 - s2 - s3) / (n - 4)), 4) AS f FROM ss""")
 def nested_models(spark, folder):
-    return _rounded(regress.nested_test(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC), "n_lines^2"))
+    fit = regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)
+    return _rounded(_rounded(regress.nested_test(spark, fit, "n_lines^2").drop("p"), 5, ["f"]), 4, ["sum_sq"])
 
 
 @query("type_two_terms", "L4")
@@ -447,12 +507,19 @@ def type_two_terms(spark, folder):
     return _rounded(regress.type_two_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)))
 
 
-@query("linear_comparison", "L5")
+@query("linear_comparison", "L5", LM + """,
+w AS (SELECT sum(c * power(m - (SELECT avg(lrr) FROM lm), 2)) AS between
+      FROM (SELECT count(*) AS c, avg(lrr) AS m FROM lm GROUP BY treatment)),
+a AS (SELECT model, k, n * (ln(2 * pi()) + ln(rss / n) + 1) + 2.0 * k * n / (n - k - 1) AS aicc FROM ss, w,
+  LATERAL (VALUES ('quadratic', 5, tss - s1 - s2 - s3), ('linear', 4, tss - s1 - s2), ('treatment', 6, tss - between))
+  AS x(model, k, rss))
+SELECT model, CAST(k AS INTEGER) AS df, round(aicc, 4) AS aicc, round(aicc - min(aicc) OVER (), 4) AS delta,
+       CAST(rank() OVER (ORDER BY aicc) AS INTEGER) AS rank FROM a""")
 def linear_comparison(spark, folder):
     df = _lm_rows(spark, folder)
     designs = {"quadratic": QUADRATIC, "linear": QUADRATIC.without("n_lines^2"),
                "treatment": Design([factor("treatment")], levels=LEVELS)}
-    return _rounded(regress.compare_aicc(spark, {n: regress.ols(df, "lrr", d) for n, d in designs.items()}))
+    return _rounded(regress.compare_aicc(spark, {n: regress.ols(df, "lrr", d) for n, d in designs.items()}), 4)
 
 
 @query("mixed_model", "L6")
@@ -496,17 +563,25 @@ def partial_effect(spark, folder):
     return _rounded(regress.partial_effect(df, regress.ols(df, "lrr", FULL), "cn", by="treatment"))
 
 
-@query("residual_rows", "L11")
+RESID = LM + """,
+res AS (SELECT key AS sample, mean + b1 * r1 + b2 * r2 + b3 * r3 AS fitted,
+               raw - (mean + b1 * r1 + b2 * r2 + b3 * r3) AS resid FROM o, ss)"""
+
+
+@query("residual_rows", "L11", RESID + "SELECT sample, round(fitted, 5) AS fitted, round(resid, 5) AS resid FROM res")
 def residual_rows(spark, folder):
     df = _lm_rows(spark, folder)
-    return _rounded(regress.residuals(df, regress.ols(df, "lrr", QUADRATIC)).select("sample", "fitted", "resid"))
+    return _rounded(regress.residuals(df, regress.ols(df, "lrr", QUADRATIC)).select("sample", "fitted", "resid").where("fitted IS NOT NULL"), 5)
 
 
-@query("residual_quantiles", "L11")
+@query("residual_quantiles", "L11", RESID + """,
+k AS (SELECT sample, resid, row_number() OVER (ORDER BY resid, sample) AS rank, count(*) OVER () AS n FROM res),
+q AS (SELECT sample, resid, rank, (rank - 0.5) / n AS p FROM k)
+SELECT sample, round(resid, 5) AS value, rank, round(p, 6) AS prob, round(""" + normal_quantile("p") + ", 5) AS normal FROM q")
 def residual_quantiles(spark, folder):
     df = _lm_rows(spark, folder)
     rows = regress.residuals(df, regress.ols(df, "lrr", QUADRATIC))
-    return _rounded(regress.quantile_pairs(rows, "resid", "sample"))
+    return _rounded(_rounded(regress.quantile_pairs(rows, "resid", "sample"), 5, ["prob"]), 6, ["value", "normal"])
 
 
 @query("correlation_test", "L12", LINE + """CAST(count(*) AS BIGINT) AS n, round(corr(qty, n_lines), 6) AS r,
@@ -553,9 +628,28 @@ def box_cox_profile(spark, folder):
     return out.select(tidy("power", 1).alias("power"), tidy("loglik", 3).alias("loglik"))
 
 
-@query("transformed_boxes", "L15 A14")
+BOX_COX = """
+WITH g AS (SELECT exp(avg(ln(o_totalprice))) AS g FROM orders),
+z AS (SELECT o_orderpriority, i / 10.0 - 2 AS p,
+  CASE WHEN i = 20 THEN ln(o_totalprice / g) ELSE (pow(o_totalprice / g, i / 10.0 - 2) - 1) / (i / 10.0 - 2) END AS t
+  FROM orders, g, range(41) r(i)),
+w AS (SELECT p, o_orderpriority, var_pop(t) * count(*) AS ss, count(*) AS n FROM z GROUP BY ALL),
+l AS (SELECT p, -sum(n) / 2 * ln(sum(ss)) AS loglik FROM w GROUP BY p),
+best AS (SELECT arg_max(p, loglik) AS p FROM l)"""
+
+
+@query("transformed_boxes", "L15 A14", BOX_COX + """,
+tv AS (SELECT o_orderpriority, variant, value FROM orders, best, LATERAL (VALUES ('raw', o_totalprice),
+  ('log', ln(o_totalprice)), ('sqrt', sqrt(o_totalprice)), ('power(1/3)', pow(o_totalprice, 1.0 / 3)),
+  ('inverse', 1 / o_totalprice), ('Box Cox', pow(o_totalprice, p))) AS x(variant, value)),
+q AS (SELECT variant, o_orderpriority, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+             quantile_cont(value, 0.75) AS q3 FROM tv GROUP BY ALL)
+SELECT variant, o_orderpriority, round(q1, 5) AS q1, round(median, 5) AS median, round(q3, 5) AS q3, count(*) AS n,
+  count(*) FILTER (value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM tv JOIN q USING (variant, o_orderpriority) GROUP BY ALL""")
 def transformed_boxes(spark, folder):
     df = b.table(spark, folder, "orders").select("o_orderpriority", "o_totalprice")
     best = regress.best_power(regress.box_cox_profile(df, ["o_orderpriority"], "o_totalprice")).first()["power"]
     long = regress.transformed_variants(df, "o_totalprice", best, keep=["o_orderpriority"])
-    return _rounded(aggregate.box_statistics(long, ["variant", "o_orderpriority"], "value"), 5)
+    out = aggregate.box_statistics(long, ["variant", "o_orderpriority"], "value")
+    return _rounded(out.drop("lower_whisker", "upper_whisker"), 5)

@@ -378,7 +378,13 @@ def equal_frequency_bins(spark, folder):
                                      F.max("l_extendedprice").alias("hi"))
 
 
-@query("bin_labels", "W10")
+@query("bin_labels", "W10", """
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b,
+  quantile_cont(o_totalprice, 0.75) AS c, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+l AS (SELECT [lo - (hi - lo) / 1000, a, b, c, hi + (hi - lo) / 1000] AS k FROM q),
+x AS (SELECT CASE WHEN o_totalprice <= k[2] THEN 1 WHEN o_totalprice <= k[3] THEN 2 WHEN o_totalprice <= k[4] THEN 3
+  ELSE 4 END AS f_tot, k FROM orders, l)
+SELECT f_tot, printf('(%.3g,%.3g]', k[f_tot], k[f_tot + 1]) AS f_tot_label, count(*) AS n FROM x GROUP BY ALL""")
 def bin_labels(spark, folder):
     df = b.table(spark, folder, "orders")
     binned = ordered.quantile_bin(df, "o_totalprice", 4, "f_tot")

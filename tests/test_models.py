@@ -356,7 +356,7 @@ def test_tree_and_quantile_pairs(spark, rows, frame):
     assert root["split"] == "wn" and 4.5 < root["cut"] < 5.5
     assert tree.where("leaf").agg(F.sum("n")).first()[0] == rows["n"]
     qq = regress.quantile_pairs(frame, "resp", "key").orderBy("rank").collect()
-    assert [r["sample"] for r in qq] == sorted(rows["resp"].tolist())
+    assert [r["value"] for r in qq] == sorted(rows["resp"].tolist())
     assert qq[0]["normal"] == pytest.approx(float(dist.normal_quantile(0.5 / 90)), abs=1e-6)
 
 
