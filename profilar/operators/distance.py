@@ -7,7 +7,7 @@ of groups. Work and output are linear in the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,23 +44,34 @@ def to_anchors(df: DataFrame, key: str, columns: Sequence[str], anchors: DataFra
 
     Anchors travel with the tasks, so nothing is shuffled.
     """
-    names, matrix = collect_anchors(anchors, anchor_key, columns)
-    columns = list(columns)
+    return several_to_anchors(df, key, anchors, anchor_key, {"d": (columns, metric)})
+
+
+def several_to_anchors(df: DataFrame, key: str, anchors: DataFrame, anchor_key: str,
+                       measures: Mapping[str, tuple[Sequence[str], str]]) -> DataFrame:
+    """Several distances between the same rows and anchors in one pass.
+
+    ``measures`` maps an output to (columns, metric); rows and anchors carry all columns.
+    """
+    needed = list(dict.fromkeys(c for columns, _ in measures.values() for c in columns))
+    names, matrix = collect_anchors(anchors, anchor_key, needed)
     kinds = df.select(key).schema[0].dataType.simpleString(), anchors.select(anchor_key).schema[0].dataType.simpleString()
-    measure = _metric(metric)
+    parts = {out: ([needed.index(c) for c in columns], _metric(metric)) for out, (columns, metric) in measures.items()}
 
     def block(batches):
         for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
+            x = pdf[needed].to_numpy(dtype=float)
             for start in range(0, len(x), 2000):  # keeps one output batch small
                 part = x[start:start + 2000]
-                d = measure(part, matrix)
-                yield pd.DataFrame({
-                    "row": np.repeat(pdf[key].to_numpy()[start:start + 2000], len(names)),
-                    "anchor": np.tile(np.array(names, dtype=object), len(part)), "d": d.ravel()})
+                out = {"row": np.repeat(pdf[key].to_numpy()[start:start + 2000], len(names)),
+                       "anchor": np.tile(np.array(names, dtype=object), len(part))}
+                for name, (at, measure) in parts.items():
+                    out[name] = measure(part[:, at], matrix[:, at]).ravel()
+                yield pd.DataFrame(out)
 
-    rows = df.select(key, *columns).dropna()
-    return rows.mapInPandas(block, f"`row` {kinds[0]}, anchor {kinds[1]}, d double").withColumnRenamed("row", key)
+    rows = df.select(key, *needed).dropna()
+    schema = f"`row` {kinds[0]}, anchor {kinds[1]}, " + ", ".join(f"{n} double" for n in measures)
+    return rows.mapInPandas(block, schema).withColumnRenamed("row", key)
 
 
 def group_profiles(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -69,11 +80,11 @@ def group_profiles(df: DataFrame, group: str, columns: Sequence[str]) -> DataFra
 
 
 def principal_coordinates(df: DataFrame, key: str, columns: Sequence[str], anchors: DataFrame, anchor_key: str,
-                          metric: str = "bray", k: int = 3) -> tuple[DataFrame, np.ndarray]:
+                          metric: str = "bray", k: int = 3, keep: Sequence[str] = ()) -> tuple[DataFrame, np.ndarray]:
     """Classical scaling of the anchors, with every row placed by its distances to them.
 
     With all rows as anchors this is the full classical scaling. Returns row
-    coordinates Axis1 … Axisk and the anchor eigenvalues.
+    coordinates Axis1 … Axisk (beside the ``keep`` columns) and the anchor eigenvalues.
     """
     names, matrix = collect_anchors(anchors, anchor_key, columns)
     columns = list(columns)
@@ -83,7 +94,8 @@ def principal_coordinates(df: DataFrame, key: str, columns: Sequence[str], ancho
     values, vectors = descending_eigen(-0.5 * centre @ squared @ centre)
     k = min(k, len(values))
     top, mean_squared = vectors[:, :k] / np.sqrt(values[:k]), squared.mean(axis=0)
-    kind = df.select(key).schema[0].dataType.simpleString()
+    kept = [key, *keep]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(kept).schema.fields]
     axes = [f"Axis{i + 1}" for i in range(k)]
 
     def place(batches):
@@ -95,11 +107,13 @@ def principal_coordinates(df: DataFrame, key: str, columns: Sequence[str], ancho
                 centred = -0.5 * (d2 - mean_squared)
                 coords.append((centred - centred.mean(axis=1, keepdims=True)) @ top)
             out = pd.DataFrame(np.concatenate(coords), columns=axes)
-            out.insert(0, key, pdf[key].to_numpy())
+            for i, name in enumerate(kept):
+                out.insert(i, name, pdf[name].to_numpy())
             yield out
 
-    schema = f"`{key}` {kind}, " + ", ".join(f"{a} double" for a in axes)
-    return df.select(key, *columns).dropna().mapInPandas(place, schema), values
+    schema = ", ".join([*kinds, *[f"{a} double" for a in axes]])
+    rows = df.select(*dict.fromkeys([*kept, *columns])).dropna(subset=columns)
+    return rows.mapInPandas(place, schema), values
 
 
 def stress(pairs: DataFrame, dissimilarity: str, distance: str, digits: int = 4) -> DataFrame:

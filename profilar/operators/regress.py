@@ -18,6 +18,7 @@ from profilar.operators.design import Design, DesignColumn, column_expression
 from profilar.operators.meta import coefficients
 from profilar.operators.moments import Moments, as_columns, collect_moments
 from profilar.operators.ordered import quantiles, sequence_in_group
+from profilar.session import shared_folder
 
 
 @dataclass
@@ -448,23 +449,17 @@ def regression_tree(df: DataFrame, response: str, features: Sequence[str], *, ma
     vector = VectorAssembler(inputCols=list(features), outputCol="features").transform(ready)
     tree = DecisionTreeRegressor(maxDepth=max_depth, minInstancesPerNode=min_rows, minInfoGain=min_gain,
                                  seed=seed).fit(vector)
-    nodes: list[tuple] = []
-
-    def walk(node, number: int, depth: int) -> None:
-        leaf = node.numDescendants() == 0
-        if leaf:
-            split, cut = None, None
-        else:
-            split, cut = features[node.split().featureIndex()], float(node.split().threshold())
-        count = float(node.impurityStats().count())
-        nodes.append((number, depth, split, cut, count, float(node.prediction()), float(node.impurity()) * count, leaf))
-        if not leaf:
-            walk(node.leftChild(), 2 * number, depth + 1)
-            walk(node.rightChild(), 2 * number + 1, depth + 1)
-
-    walk(tree._call_java("rootNode"), 1, 0)
-    return df.sparkSession.createDataFrame(
-        nodes, "node int, depth int, split string, cut double, n double, mean double, deviance double, leaf boolean")
+    folder = shared_folder(df.sparkSession)
+    tree.write().save(f"{folder}/tree")  # the saved model is itself a table of nodes
+    names = F.array(*[F.lit(f) for f in features])
+    leaf = F.col("leftChild") < 0
+    return df.sparkSession.read.parquet(f"{folder}/tree/data").select(
+        F.col("id").alias("node"),
+        F.when(~leaf, F.get(names, F.col("split.featureIndex"))).alias("split"),
+        F.when(~leaf, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("cut"),
+        F.when(~leaf, F.col("leftChild")).alias("if_low"), F.when(~leaf, F.col("rightChild")).alias("if_high"),
+        F.col("rawCount").alias("n"), F.col("prediction").alias("mean"),
+        (F.col("impurity") * F.col("rawCount")).alias("deviance"), leaf.alias("leaf"))
 
 
 # Box-Cox ------------------------------------------------------------------------------

@@ -270,12 +270,11 @@ def principal_coordinates(spark, folder):
 def ordination_stress(spark, folder):
     df = profile_rows(spark, folder)
     cells = save_and_reload(distance.group_profiles(df, "trt_id", b.GROUPS), "cells")
-    observed = distance.to_anchors(df, "sample", b.GROUPS, cells, "trt_id")
-    points, _ = distance.principal_coordinates(df, "sample", b.GROUPS, cells, "trt_id", k=2)
-    placed, _ = distance.principal_coordinates(cells, "trt_id", b.GROUPS, cells, "trt_id", k=2)
     axes = ["Axis1", "Axis2"]
-    reduced = distance.to_anchors(points, "sample", axes, placed, "trt_id", metric="euclidean")
-    pairs = observed.join(reduced.withColumnRenamed("d", "d_ord"), ["sample", "anchor"])
+    points, _ = distance.principal_coordinates(df, "sample", b.GROUPS, cells, "trt_id", k=2, keep=b.GROUPS)
+    placed, _ = distance.principal_coordinates(cells, "trt_id", b.GROUPS, cells, "trt_id", k=2, keep=b.GROUPS)
+    pairs = distance.several_to_anchors(points, "sample", placed, "trt_id",
+                                        {"d": (b.GROUPS, "bray"), "d_ord": (axes, "euclidean")})
     return _rounded(distance.stress(pairs, "d", "d_ord"), 5)
 
 

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_base: str | None = None
 
 
 def build_session(app_name: str = "profilar", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,7 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="profilar-")
+        global _local_base
+        _local_base = _local_base or tempfile.mkdtemp(prefix="profilar-")
+        base = _local_base
     return os.path.join(base, "profilar-" + uuid.uuid4().hex)
 
 

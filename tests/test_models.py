@@ -352,7 +352,7 @@ def test_additive_reproduces_a_line_and_a_curve(spark):
 def test_tree_and_quantile_pairs(spark, rows, frame):
     step = frame.withColumn("s", F.when(F.col("wn") > 5, 10.0).otherwise(0.0))
     tree = regress.regression_tree(step, "s", ["wn", "cn"], max_depth=2, min_rows=2)
-    root = tree.where("node = 1").first()
+    root = tree.where("node = 0").first()
     assert root["split"] == "wn" and 4.5 < root["cut"] < 5.5
     assert tree.where("leaf").agg(F.sum("n")).first()[0] == rows["n"]
     qq = regress.quantile_pairs(frame, "resp", "key").orderBy("rank").collect()
