@@ -132,8 +132,8 @@ def pooled_moments(effects: DataFrame, by: Sequence[str] = (), y: str = "yi", v:
 
 
 def forest_table(effects: DataFrame, summary: DataFrame, *, label: str, weights: DataFrame | None = None) -> DataFrame:
-    """Rows of a forest display: each effect with limits and weight, then the summary estimates."""
-    rows = effects.select(F.col(label).alias("label"), F.col("yi").alias("estimate"), F.col("lci").alias("ci_lb"),
+    """Rows of a forest display: each effect the models can use, with limits and weight, then the summary."""
+    rows = effects.where(F.col("yi").isNotNull() & (F.col("vi") > 0)).select(F.col(label).alias("label"), F.col("yi").alias("estimate"), F.col("lci").alias("ci_lb"),
                           F.col("uci").alias("ci_ub"), F.lit("effect").alias("type"))
     if weights is not None:
         rows = match(rows, weights.select(F.col(label).alias("label"), "weight"), ["label"], "left")

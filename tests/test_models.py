@@ -269,6 +269,15 @@ def test_zero_variance_boundary(spark):
     assert mixed.fit(single, [mixed.intercept_and()]).first()["n_groups"] == 1
 
 
+def test_single_effect_gets_no_extra_variance(spark):
+    df = spark.createDataFrame([("a", "s", 1.0, 0.2), ("b", "s", 1.0, 0.2), ("b", "t", 2.0, 0.2)],
+                               "o string, site string, yi double, vi double")
+    for random in ("row", "group", "group/row"):
+        got = {r["model"]: r for r in mixed.fit(df, [mixed.intercept_and()], outcome="o", random=random).collect()}
+        assert got["a|1"]["sigma2"] == got["a|1"]["tau2"] == 0.0 and got["a|1"]["beta"] == [1.0]
+        assert got["b|1"]["beta"][0] == pytest.approx(1.5)
+
+
 def test_weights_prediction_and_comparison(spark, effects):
     df, groups, x, y, v = effects
     fits = mixed.fit(df, [mixed.intercept_and("x")])
