@@ -117,7 +117,7 @@ def row_of_extreme(df: DataFrame, by: str, keys: Sequence[str] = (), which: str
 
 def peek(df: DataFrame, key: str, n: int = 10, seed: int = 0) -> DataFrame:
     """A seeded handful of rows for inspection."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key))), F.col(key)).limit(n)
 
 
 def dictionary(frames: Mapping[str, DataFrame], label: str, group: str) -> DataFrame:

@@ -73,8 +73,11 @@ def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design:
     """P value per statistic: (1 + #{permuted ≥ observed}) / (n_perm + 1).
 
     ``statistics`` maps D'Y (design columns × responses) to named values; Y is
-    the response after removal of ``residual_of``. Only exceedance counts reach the driver.
+    the response after removal of ``residual_of``. Only exceedance counts reach
+    the driver. Without permutations P is missing.
     """
+    if n_perm == 0:
+        return dict.fromkeys(observed)
     numerics = design.numerics()
     names = list(numerics)
     cols = design.columns()

@@ -13,7 +13,8 @@ from profilar.operators.moments import moment_rows
 from profilar.plans import bindings as b
 from profilar.plans.registry import query
 from profilar.plans.relations import CELL_COVARIATES, MD, rom_table
-from profilar.plans.sql_text import leading_vector, normal_quantile, orthogonal_steps, variance_search
+from profilar.plans.sql_text import (covariance, eigenpairs, multi_fit, normal_quantile, orthogonal_steps,
+                                       variance_search)
 from profilar.session import save_and_reload
 
 P = b.sql(b.SQL_PROFILES)
@@ -30,6 +31,25 @@ h AS (SELECT sample, site, treatment, trt_id, sqrt("ECONOMY") AS a, sqrt("LARGE"
              sqrt("SMALL_MEDIUM") AS c, sqrt("STANDARD") AS d FROM profiles)"""
 
 
+RECURSIVE = SQL_H.replace("WITH", "WITH RECURSIVE", 1)
+_SUM4 = "var_samp(a) + var_samp(b) + var_samp(c) + var_samp(d)"
+
+# Partial ordination by treatment within site: fitted part = cell mean − site mean.
+PARTIAL = RECURSIVE + ", ct AS (SELECT sample, site, treatment, trt_id, " + ", ".join(
+    f"{x} - avg({x}) OVER (PARTITION BY site) AS w{x}, "
+    f"avg({x}) OVER (PARTITION BY site, treatment) - avg({x}) OVER (PARTITION BY site) AS f{x}" for x in "abcd"
+) + " FROM h)," + covariance("cov", "ct", ["fa", "fb", "fc", "fd"]) + "," + eigenpairs("rda", "cov", 4, 2) + f""",
+sz AS (SELECT count(*) AS n, {_SUM4} AS tot FROM h),
+sc AS (SELECT ct.*, (wa * x.v1 + wb * x.v2 + wc * x.v3 + wd * x.v4) / sqrt(x.value * (n - 1)) *
+         power(x.value / tot, 0.25) * power((n - 1) * tot, 0.25) AS s1,
+       (wa * y.v1 + wb * y.v2 + wc * y.v3 + wd * y.v4) / sqrt(y.value * (n - 1)) *
+         power(y.value / tot, 0.25) * power((n - 1) * tot, 0.25) AS s2 FROM ct, rda1 x, rda2 y, sz)"""
+
+# Ordination on covariates within site.
+CONTINUOUS = RECURSIVE + "," + b.SQL_COVARIATES + """,
+hc AS (SELECT h.*, cn, qty, tax FROM h JOIN covariates USING (sample) WHERE cn IS NOT NULL)"""
+
+
 def _between(keys: str) -> str:
     """Sum of squares between cells, over the four transformed columns."""
     parts = " + ".join(f"n * power({x}m - (SELECT avg({x}) FROM h), 2)" for x in "abcd")
@@ -110,25 +130,41 @@ def partial_inertia(spark, folder):
     return _rounded(ordination.inertia_table(spark, fit))
 
 
-@query("axis_labels", "M8 M6")
+def _axis_rows() -> str:
+    parts = [f"SELECT {i} AS rank, 'RDA{i}' AS axis, value FROM con{i}" for i in (1, 2)]
+    parts += [f"SELECT {i + 2}, 'PC{i}', value FROM res{i}" for i in (1, 2, 3, 4)]
+    return " UNION ALL ".join(parts)
+
+
+@query("axis_labels", "M8 M6", CONTINUOUS + "," + multi_fit("hc", "sample", "abcd", ["cn", "qty"], "site") + ","
+       + covariance("cf", "mf", [f"f_{x}" for x in "abcd"]) + "," + eigenpairs("con", "cf", 4, 2) + ","
+       + covariance("ce", "mf", [f"e_{x}" for x in "abcd"]) + "," + eigenpairs("res", "ce", 4, 4) + f""",
+ax AS ({_axis_rows()}),
+tt AS (SELECT {_SUM4} AS tot FROM hc)
+SELECT CAST(rank AS INTEGER) AS rank, axis, round(value, 6) AS eigenvalue, round(value / tot, 6) AS proportion,
+       round(sum(value / tot) OVER (ORDER BY rank), 6) AS running,
+       axis || ' (' || regexp_replace(CAST(round_even(100 * value / tot, 1) AS VARCHAR), '\\.0$', '') || '%)' AS label
+FROM ax, tt""")
 def axis_labels(spark, folder):
     fit = ordination.redundancy(profile_rows(spark, folder), H, Design([num("cn"), num("qty")]), SITE)
     return _rounded(ordination.axis_table(spark, fit))
 
 
-@query("row_scores", "M9 M5 O3")
+@query("row_scores", "M9 M5", PARTIAL + """
+SELECT sample, site, round(s1, 5) AS "RDA1", round(s2, 5) AS "RDA2" FROM sc""")
 def row_scores(spark, folder):
     df = profile_rows(spark, folder)
     fit = ordination.redundancy(df, H, CROSSED, SITE)
-    return _rounded(ordination.row_scores(df, fit, choices=[1, 2], scaling=3).select("sample", "site", "RDA1", "RDA2"))
+    scored = ordination.row_scores(df, fit, choices=[1, 2], scaling=3)
+    return _rounded(scored.select("sample", "site", "RDA1", "RDA2"), 5)
 
 
-@query("component_scores", "M3 M9", "WITH RECURSIVE" + SQL_H[4:] + "," + leading_vector("h", "abcd") + f""",
+@query("component_scores", "M3 M9", RECURSIVE + "," + covariance("cov", "h", "abcd") + "," + eigenpairs("lead", "cov", 4, 1) + f""",
 c AS (SELECT power((count(*) - 1) * {_TOTAL} / (count(*) - 1), 0.25) AS k, count(*) AS n, avg(a) AS ma, avg(b) AS mb,
              avg(c) AS mc, avg(d) AS md FROM h)
 SELECT sample, round(value, 6) AS eigenvalue,
   round(((a - ma) * v1 + (b - mb) * v2 + (c - mc) * v3 + (d - md) * v4) / sqrt(value * (n - 1)) * k, 5) AS score
-FROM h, lead, c""")
+FROM h, lead1, c""")
 def component_scores(spark, folder):
     df = profile_rows(spark, folder)
     fit = ordination.principal_components(df, H)
@@ -136,17 +172,30 @@ def component_scores(spark, folder):
     return scored.select("sample", tidy(F.lit(float(fit.eigenvalues[0]))).alias("eigenvalue"), tidy("PC1", 5).alias("score"))
 
 
-@query("species_scores", "M10 O3 F5")
+@query("species_scores", "M10 O3 F5", PARTIAL + """
+SELECT species, label, round(p * power(x.value / tot, 0.25) * power((n - 1) * tot, 0.25), 6) AS "RDA1",
+       round(q * power(y.value / tot, 0.25) * power((n - 1) * tot, 0.25), 6) AS "RDA2"
+FROM rda1 x, rda2 y, sz, LATERAL (VALUES ('h_ECONOMY', 'Economy', x.v1, y.v1), ('h_LARGE', 'Large', x.v2, y.v2),
+  ('h_SMALL_MEDIUM', 'Small medium', x.v3, y.v3), ('h_STANDARD', 'Standard', x.v4, y.v4)) AS t(species, label, p, q)""")
 def species_scores(spark, folder):
     fit = ordination.redundancy(profile_rows(spark, folder), H, CROSSED, SITE)
     labels = {h: h[2:].replace("_", " ").capitalize() for h in H}
     return _rounded(ordination.species_scores(spark, fit, choices=[1, 2], scaling=3, labels=labels))
 
 
-@query("constraint_arrows", "M6 M7")
+def _arrow(x: str, k: int) -> str:
+    lin = f"(f_a * con{k}.v1 + f_b * con{k}.v2 + f_c * con{k}.v3 + f_d * con{k}.v4)"
+    return (f"SELECT '{x}' AS \"constraint\", 'RDA{k}' AS axis, round(sum(c_{x} * {lin}) / "
+            f"sqrt(sum(g_{x} * g_{x}) * sum({lin} * {lin})), 5) AS correlation FROM mf, con{k}")
+
+
+@query("constraint_arrows", "M6 M7", CONTINUOUS + ","
+       + multi_fit("hc", "sample", "abcd", ["cn", "qty", "tax"], "site") + ","
+       + covariance("cf", "mf", [f"f_{x}" for x in "abcd"]) + "," + eigenpairs("con", "cf", 4, 3) + " "
+       + " UNION ALL ".join(_arrow(x, k) for x in ("cn", "qty", "tax") for k in (1, 2, 3)))
 def constraint_arrows(spark, folder):
     fit = ordination.redundancy(profile_rows(spark, folder), H, Design([num("cn"), num("qty"), num("tax")]), SITE)
-    return _rounded(ordination.constraint_correlations(spark, fit))
+    return _rounded(ordination.constraint_correlations(spark, fit), 5)
 
 
 @query("ordination_by_site", "M14 D1 DM9", SQL_H + """,
@@ -167,21 +216,33 @@ def ordination_by_site(spark, folder):
                        tidy("f", 4).alias("f"))
 
 
-@query("row_scores_by_site", "M14 M9")
+@query("row_scores_by_site", "M14 M9", RECURSIVE + ", ct AS (SELECT sample, site, " + ", ".join(
+    f"{x} - avg({x}) OVER (PARTITION BY site) AS w{x}, "
+    f"avg({x}) OVER (PARTITION BY site, treatment) - avg({x}) OVER (PARTITION BY site) AS f{x}" for x in "abcd")
+    + " FROM h)," + covariance("cov", "ct", ["fa", "fb", "fc", "fd"], "site") + "," + eigenpairs("rda", "cov", 4, 1) + f""",
+sz AS (SELECT site AS key, count(*) AS n, {_SUM4} AS tot FROM h GROUP BY 1)
+SELECT sample, site, round((wa * v1 + wb * v2 + wc * v3 + wd * v4) / sqrt(value * (n - 1)) *
+  power(value / tot, 0.25) * power((n - 1) * tot, 0.25), 5) AS "RDA1"
+FROM ct JOIN rda1 ON site = rda1.key JOIN sz ON site = sz.key""")
 def row_scores_by_site(spark, folder):
     df = profile_rows(spark, folder)
     fits = save_and_reload(ordination.redundancy_by(df, "site", H, TREATMENT), "fits")
-    return _rounded(ordination.row_scores_by(df, fits, "site", H).select("sample", "site", "RDA1"))
+    return _rounded(ordination.row_scores_by(df, fits, "site", H).select("sample", "site", "RDA1"), 5)
 
 
-@query("standardised_scores", "M15 W9 A4 J3")
+@query("standardised_scores", "M15 W9 A4 J3", PARTIAL + "," + b.SQL_COVARIATES + """,
+ba AS (SELECT site, avg(s1) AS base FROM sc WHERE treatment = 'BUILDING' GROUP BY 1),
+st AS (SELECT sc.site, trt_id, s1 - base AS std, cn FROM sc LEFT JOIN ba USING (site) JOIN covariates USING (sample)
+       WHERE treatment <> 'BUILDING')
+SELECT site, trt_id, round(avg(std), 5) AS "std_M", round(stddev_samp(std) / sqrt(count(std)), 5) AS "std_SE",
+       round(avg(cn), 5) AS "cn_M", round(stddev_samp(cn) / sqrt(count(cn)), 5) AS "cn_SE" FROM st GROUP BY ALL""")
 def standardised_scores(spark, folder):
     df = profile_rows(spark, folder)
     fit = ordination.redundancy(df, H, CROSSED, SITE)
     scored = ordination.row_scores(df, fit, choices=[1], scaling=3)
     std = shares.difference_from_control(scored, by=["site"], treatment="treatment", control=b.CONTROL,
                                          value="RDA1", out="std")
-    return _rounded(aggregate.summarise(std, ["site", "trt_id"], ["std", "cn"], ["M", "SE"]))
+    return _rounded(aggregate.summarise(std, ["site", "trt_id"], ["std", "cn"], ["M", "SE"], na="skip"), 5)
 
 
 @query("group_centroids", "M16", SQL_H + """,
@@ -195,6 +256,94 @@ def group_centroids(spark, folder):
                       tidy("spoke").alias("spoke"))
 
 
+@query("pseudo_f_overall", "M11 M7", SQL_H + f""",
+s AS (SELECT count(*) AS n, count(DISTINCT trt_id) AS k, count(DISTINCT site) AS j, {_TOTAL} AS t,
+             {_between("site")} AS z, {_between("site, treatment")} AS m FROM h)
+SELECT 'Model' AS term, CAST(k - j AS INTEGER) AS df, round((m - z) / (n - 1), 6) AS variance,
+       round((m - z) / (k - j) / ((t - m) / (n - k)), 4) AS f FROM s
+UNION ALL SELECT 'Residual', CAST(n - k AS INTEGER), round((t - m) / (n - 1), 6), NULL FROM s""")
+def pseudo_f_overall(spark, folder):
+    df = profile_rows(spark, folder)
+    fit = ordination.redundancy(df, H, CROSSED, SITE)
+    return _f_table(permute.permutation_test(df, fit, key="sample", n_perm=0))
+
+
+def _f_table(table):
+    return _rounded(_rounded(table.drop("p"), 6, ["f"]), 4, ["variance"])
+
+
+def _part(r: int) -> str:
+    return " + ".join(f"power(sum(r{r} * w_{x}), 2) / sum(r{r} * r{r})" for x in "abcd")
+
+
+_MARGIN = (CONTINUOUS + "," + multi_fit("hc", "sample", "abcd", ["qty", "cn"], "site")
+           + f", m1 AS (SELECT {_part(2)} AS ss FROM mf), "
+           + multi_fit("hc", "sample", "abcd", ["cn", "qty"], "site").replace("mf", "mg")
+           + f", m2 AS (SELECT {_part(2)} AS ss FROM mg), "
+           + "rs AS (SELECT count(*) AS n, sum(e_a * e_a + e_b * e_b + e_c * e_c + e_d * e_d) AS rss FROM mf), "
+           + "js AS (SELECT count(DISTINCT site) AS j FROM hc)")
+
+
+@query("pseudo_f_margin", "M12 M6", _MARGIN + """
+SELECT 'cn' AS term, CAST(1 AS INTEGER) AS df, round(ss / (n - 1), 6) AS variance, round(ss / (rss / (n - j - 2)), 4) AS f
+FROM m1, rs, js
+UNION ALL SELECT 'qty', 1, round(ss / (n - 1), 6), round(ss / (rss / (n - j - 2)), 4) FROM m2, rs, js
+UNION ALL SELECT 'Residual', CAST(n - j - 2 AS INTEGER), round(rss / (n - 1), 6), NULL FROM rs, js""")
+def pseudo_f_margin(spark, folder):
+    df = profile_rows(spark, folder)
+    fit = ordination.redundancy(df, H, Design([num("cn"), num("qty")]), SITE)
+    return _f_table(permute.permutation_test(df, fit, key="sample", by="margin", n_perm=0))
+
+
+@query("pseudo_f_axis", "M13 M6", _MARGIN + "," + covariance("cf", "mf", [f"f_{x}" for x in "abcd"]) + ","
+       + eigenpairs("con", "cf", 4, 2) + """
+SELECT 'RDA1' AS term, CAST(1 AS INTEGER) AS df, round(value, 6) AS variance,
+       round(value * (n - 1) / (rss / (n - j - 2)), 4) AS f FROM con1, rs, js
+UNION ALL SELECT 'RDA2', 1, round(value, 6), round(value * (n - 1) / (rss / (n - j - 2)), 4) FROM con2, rs, js
+UNION ALL SELECT 'Residual', CAST(n - j - 2 AS INTEGER), round(rss / (n - 1), 6), NULL FROM rs, js""")
+def pseudo_f_axis(spark, folder):
+    df = profile_rows(spark, folder)
+    fit = ordination.redundancy(df, H, Design([num("cn"), num("qty")]), SITE)
+    return _f_table(permute.permutation_test(df, fit, key="sample", by="axis", n_perm=0))
+
+
+_PC = (CONTINUOUS + "," + covariance("cov", "h", "abcd") + "," + eigenpairs("pc", "cov", 4, 2) + """,
+mm AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(d) AS md FROM h),
+pt AS (SELECT h.*, ((a - ma) * x.v1 + (b - mb) * x.v2 + (c - mc) * x.v3 + (d - md) * x.v4) / sqrt(x.value) AS p1,
+              ((a - ma) * y.v1 + (b - mb) * y.v2 + (c - mc) * y.v3 + (d - md) * y.v4) / sqrt(y.value) AS p2
+       FROM h, mm, pc1 x, pc2 y)""")
+
+
+@query("vector_directions", "M17", _PC + """,
+vf AS (SELECT p1, p2, cn, qty, tax, avg(p1) OVER () AS m1, avg(p2) OVER () AS m2
+       FROM pt JOIN covariates USING (sample) WHERE cn IS NOT NULL),
+vk AS (SELECT *, (sum((p1 - m1) * (p2 - m2)) OVER ()) / (sum(power(p1 - m1, 2)) OVER ()) AS k FROM vf),
+vq AS (SELECT *, p2 - m2 - k * (p1 - m1) AS r2 FROM vk),
+r AS (""" + " UNION ALL ".join(
+    f"SELECT '{v}' AS variable, sum((p1 - m1) * {v}) / sum(power(p1 - m1, 2)) AS g, "
+    f"sum((r2) * {v}) / sum(r2 * r2) AS s2, k, "
+    f"(power(sum((p1 - m1) * {v}), 2) / sum(power(p1 - m1, 2)) + power(sum(r2 * {v}), 2) / sum(r2 * r2)) / "
+    f"((count(*) - 1) * var_samp({v})) AS r2 FROM vq GROUP BY k" for v in ("cn", "qty", "tax")) + """)
+SELECT variable, round((g - k * s2) / sqrt(power(g - k * s2, 2) + s2 * s2), 5) AS "PC1",
+       round(s2 / sqrt(power(g - k * s2, 2) + s2 * s2), 5) AS "PC2", round(r2, 6) AS r2 FROM r""")
+def vector_directions(spark, folder):
+    df = profile_rows(spark, folder)
+    scored = ordination.row_scores(df, ordination.principal_components(df, H))
+    out = permute.fit_vectors(scored, ["PC1", "PC2"], ["cn", "qty", "tax"], key="sample", n_perm=0).drop("p")
+    return _rounded(_rounded(out, 6, ["PC1", "PC2"]), 5, ["r2"])
+
+
+@query("factor_share", "M17", _PC + """,
+g AS (SELECT treatment, count(*) AS c, avg(p1) AS m1, avg(p2) AS m2 FROM pt GROUP BY 1)
+SELECT 'treatment' AS variable, round((SELECT sum(c * (power(m1 - (SELECT avg(p1) FROM pt), 2)
+    + power(m2 - (SELECT avg(p2) FROM pt), 2))) FROM g) / ((count(*) - 1) * (var_samp(p1) + var_samp(p2))), 6) AS r2 FROM pt""")
+def factor_share(spark, folder):
+    df = profile_rows(spark, folder)
+    scored = ordination.row_scores(df, ordination.principal_components(df, H))
+    out = permute.fit_factor(scored, ["PC1", "PC2"], "treatment", LEVELS["treatment"], key="sample", n_perm=0)
+    return _rounded(out.drop("p"))
+
+
 @query("permutation_overall", "M11")
 def permutation_overall(spark, folder):
     df = profile_rows(spark, folder)

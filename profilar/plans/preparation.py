@@ -220,7 +220,7 @@ def outliers_removed(spark, folder):
     return drop_listed(df, top, ["sample"]).select("sample", tidy("lcratio", 5).alias("lcratio"))
 
 
-@query("row_peek", "P10")
+@query("row_peek", "P10", b.sql(b.SQL_SAMPLES) + "SELECT * FROM samples ORDER BY md5('7|' || sample), sample LIMIT 10")
 def row_peek(spark, folder):
     return aggregate.peek(b.samples(spark, folder), "sample", 10, seed=7)
 

@@ -70,7 +70,9 @@ def variance_search(source: str, random: str, by: str = "'all'", rounds: int = 6
         text.append(f"sum{r} AS (SELECT key, s, {sums} FROM {base} JOIN grid{r} USING (key) GROUP BY ALL)")
         text.append(f"ll{r} AS (SELECT key, s, a, c / a AS estimate, n, -0.5 * ((n - 1) * ln(2 * pi()) + d + q - c * c / a) "
                     f"+ 0.5 * ln(n) - 0.5 * ln(a) AS ll FROM sum{r} JOIN n USING (key))")
-        text.append(f"top{r} AS (SELECT key, arg_max(s, ll) AS best FROM ll{r} GROUP BY 1)")
+        # A single effect has a flat likelihood: its extra variance is zero by definition.
+        text.append(f"top{r} AS (SELECT key, CASE WHEN any_value(n) = 1 THEN 0 ELSE arg_max(s, ll) END AS best "
+                    f"FROM ll{r} GROUP BY 1)")
         if r < rounds:
             text.append(
                 f"span{r} AS (SELECT key, any_value(best) AS best, coalesce(max(s) FILTER (s < best), any_value(best)) AS lo, "
@@ -83,34 +85,67 @@ def variance_search(source: str, random: str, by: str = "'all'", rounds: int = 6
     return ",\n".join(text)
 
 
-def leading_vector(source: str, columns: Sequence[str], steps: int = 40) -> str:
-    """CTEs for the leading eigenpair of a covariance matrix, by repeated squaring.
+def _cell(i: int, j: int) -> str:
+    return f"m{min(i, j)}{max(i, j)}"
 
-    Gives CTE ``lead``: value and the entries v1 …, greatest entry positive.
-    """
-    k = len(columns)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def cell(i, j):
-        return f"m{min(i, j)}{max(i, j)}"
+def _upper(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i, k)]
+
+
+def covariance(name: str, source: str, columns: Sequence[str], key: str | None = None) -> str:
+    """CTE with the upper triangle of a covariance matrix, per key if one is given."""
+    cells = ", ".join(f"covar_samp({columns[i]}, {columns[j]}) AS {_cell(i, j)}" for i, j in _upper(len(columns)))
+    lead, tail = (f"{key} AS key, ", f" GROUP BY {key}") if key else ("0 AS key, ", "")
+    return f"{name} AS (SELECT {lead}{cells} FROM {source}{tail})"
+
 
-    cov = ", ".join(f"covar_samp({columns[i]}, {columns[j]}) AS {cell(i, j)}" for i, j in pairs)
-    trace = " + ".join(cell(i, i) for i in range(k))
+def eigenpairs(prefix: str, matrix: str, k: int, count: int, steps: int = 40) -> str:
+    """CTEs ``{prefix}1`` …: greatest eigenpairs by repeated squaring, each removed before the next.
+
+    Columns key, value, v1 … vk; the greatest entry of a vector is positive. Needs WITH RECURSIVE.
+    """
+    pairs = _upper(k)
+    names = ", ".join(_cell(i, j) for i, j in pairs)
+    trace = " + ".join(_cell(i, i) for i in range(k))
     squared = ", ".join(
-        "(" + " + ".join(f"{cell(i, t)} * {cell(t, j)}" for t in range(k)) + f") / power({trace}, 2) AS {cell(i, j)}"
+        "(" + " + ".join(f"{_cell(i, t)} * {_cell(t, j)}" for t in range(k)) + f") / power({trace}, 2) AS {_cell(i, j)}"
         for i, j in pairs)
-    start = f"cov AS (SELECT {cov} FROM {source})"
-    names = ", ".join(cell(i, j) for i, j in pairs)
-    loop = (f"pw AS (SELECT 0 AS step, {names} FROM cov UNION ALL "
-            f"SELECT step + 1, {squared} FROM pw WHERE step < {steps})")
+    diag = f"greatest({', '.join(_cell(i, i) for i in range(k))})"
     # The limit is v v' up to scale: take the row of its greatest diagonal entry.
-    diag = f"greatest({', '.join(cell(i, i) for i in range(k))})"
-    entries = []
-    for j in range(k):
-        case = " ".join(f"WHEN {cell(i, i)} = {diag} THEN {cell(i, j)}" for i in range(k))
-        entries.append(f"CASE {case} END / sqrt({diag} * ({trace})) AS v{j + 1}")
-    vec = f"vec AS (SELECT {', '.join(entries)} FROM pw WHERE step = {steps})"
-    value = " + ".join(
-        f"{'2 * ' if i != j else ''}v{i + 1} * v{j + 1} * {cell(i, j)}" for i, j in pairs)
-    lead = f"lead AS (SELECT {value} AS value, {', '.join(f'v{i + 1}' for i in range(k))} FROM vec, cov)"
-    return ",\n".join([start, loop, vec, lead])
+    entries = ", ".join(
+        "CASE " + " ".join(f"WHEN {_cell(i, i)} = {diag} THEN {_cell(i, j)}" for i in range(k))
+        + f" END / sqrt({diag} * ({trace})) AS v{j + 1}" for j in range(k))
+    vs = ", ".join(f"v{i + 1}" for i in range(k))
+    value = " + ".join(f"{'2 * ' if i != j else ''}v{i + 1} * v{j + 1} * {_cell(i, j)}" for i, j in pairs)
+    out, current = [], matrix
+    for r in range(1, count + 1):
+        out.append(f"{prefix}p{r} AS (SELECT 0 AS step, key, {names} FROM {current} UNION ALL "
+                   f"SELECT step + 1, key, {squared} FROM {prefix}p{r} WHERE step < {steps})")
+        out.append(f"{prefix}v{r} AS (SELECT key, {entries} FROM {prefix}p{r} WHERE step = {steps})")
+        out.append(f"{prefix}{r} AS (SELECT key, {value} AS value, {vs} FROM {prefix}v{r} JOIN {current} USING (key))")
+        if r < count:
+            left = ", ".join(f"{_cell(i, j)} - value * v{i + 1} * v{j + 1} AS {_cell(i, j)}" for i, j in pairs)
+            out.append(f"{prefix}d{r} AS (SELECT key, {left} FROM {current} JOIN {prefix}{r} USING (key))")
+            current = f"{prefix}d{r}"
+    return ",\n".join(out)
+
+
+def multi_fit(source: str, key: str, ys: Sequence[str], xs: Sequence[str], within: str | None) -> str:
+    """CTEs that regress several responses on several covariates, all centred within ``within``.
+
+    CTE ``mf``: key, w_{y} centred responses, c_{x} centred covariates, r1 … cleared covariates,
+    f_{y} fitted and e_{y} residual responses.
+    """
+    over = f"OVER (PARTITION BY {within})" if within else "OVER ()"
+    cols = ", ".join([f"{y} - avg({y}) {over} AS w_{y}" for y in ys] + [f"{x} - avg({x}) {over} AS c_{x}" for x in xs]
+                     + [f"{x} - avg({x}) OVER () AS g_{x}" for x in xs])
+    out = [f"mf0 AS (SELECT {key} AS key, {cols} FROM {source})"]
+    for i, x in enumerate(xs, 1):
+        cleared = f"c_{x}" + "".join(
+            f" - r{j} * (sum(c_{x} * r{j}) OVER ()) / (sum(r{j} * r{j}) OVER ())" for j in range(1, i))
+        out.append(f"mf{i} AS (SELECT *, {cleared} AS r{i} FROM mf{i - 1})")
+    k = len(xs)
+    fits = {y: " + ".join(f"r{i} * (sum(r{i} * w_{y}) OVER ()) / (sum(r{i} * r{i}) OVER ())" for i in range(1, k + 1)) for y in ys}
+    out.append("mf AS (SELECT *, " + ", ".join(f"{f} AS f_{y}, w_{y} - ({f}) AS e_{y}" for y, f in fits.items()) + f" FROM mf{k})")
+    return ",\n".join(out)
