@@ -13,7 +13,8 @@ from profilar.operators.moments import moment_rows
 from profilar.plans import bindings as b
 from profilar.plans.registry import query
 from profilar.plans.relations import CELL_COVARIATES, MD, rom_table
-from profilar.plans.sql_text import (covariance, eigenpairs, multi_fit, normal_quantile, orthogonal_steps,
+from profilar.plans.sql_text import (coefficient_rows, covariance, cross_products, eigenpairs, multi_fit,
+                                       normal_quantile, orthogonal_steps, restricted_search, stacked_models, sweep,
                                        variance_search)
 from profilar.session import save_and_reload
 
@@ -429,7 +430,24 @@ def ordination_stress(spark, folder):
 
 # Meta-analysis ---------------------------------------------------------------
 
-META = MD + CELL_COVARIATES + ", j AS (SELECT * FROM es LEFT JOIN cov USING (trt_id))"
+META = MD + CELL_COVARIATES + """,
+j AS (SELECT *, split_part(trt_id, '_', 3) AS biome FROM es LEFT JOIN cov USING (trt_id))"""
+TREATED = [t for t in b.TREATMENTS if t != b.CONTROL]
+_BIOMES = [f"CASE WHEN biome = '{t}' THEN 1 ELSE 0 END" for t in TREATED]
+
+
+def _bins(column: str) -> list[str]:
+    return [f"CASE WHEN {column} = {i} THEN 1 WHEN {column} IS NOT NULL THEN 0 END" for i in (1, 2, 3)]
+
+
+_BINNED = META + "".join(f""",
+q_{x} AS (SELECT quantile_cont({x}, 1.0 / 3) AS a_{x}, quantile_cont({x}, 2.0 / 3) AS z_{x} FROM j)""" for x in ("n_added", "n_rate")) + """,
+jb AS (SELECT *, CASE WHEN n_added <= a_n_added THEN 1 WHEN n_added <= z_n_added THEN 2 WHEN n_added IS NOT NULL THEN 3 END AS f_nad,
+  CASE WHEN n_rate <= a_n_rate THEN 1 WHEN n_rate <= z_n_rate THEN 2 WHEN n_rate IS NOT NULL THEN 3 END AS f_nrt
+  FROM j, q_n_added, q_n_rate)"""
+LEVEL_SQL = _BINNED + ", rows AS (" + stacked_models({
+    "biome-1": ("jb", _BIOMES, "true"), "f_nad-1": ("jb", _bins("f_nad"), "true"),
+    "f_nrt-1": ("jb", _bins("f_nrt"), "true")}, 4, "yi", "vi") + ")," + restricted_search("rows", 4)
 BINS = {"f_nad": ("n_added", 3), "f_nrt": ("n_rate", 3)}
 
 
@@ -485,16 +503,21 @@ def site_random_effects(spark, folder):
     return _rounded(_rounded(out, 4, ["estimate", "se", "ci_lb", "sigma2", "loglik"]), 5, ["zval", "aicc"])
 
 
-@query("level_estimates", "E10 E13 A6 E19")
+@query("level_estimates", "E10 E13 A6 E19", LEVEL_SQL + ", co AS (" + coefficient_rows({
+    "biome-1": [f"biome[{t}]" for t in TREATED], "f_nad-1": [f"f_nad[{i}]" for i in (1, 2, 3)],
+    "f_nrt-1": [f"f_nrt[{i}]" for i in (1, 2, 3)]}) + """),
+sizes AS (SELECT 'biome[' || biome || ']' AS term, count(*) AS size FROM jb GROUP BY ALL
+  UNION ALL SELECT 'f_nad[' || f_nad || ']', count(*) FROM jb GROUP BY ALL
+  UNION ALL SELECT 'f_nrt[' || f_nrt || ']', count(*) FROM jb GROUP BY ALL)
+SELECT term, estimate, se, size FROM co LEFT JOIN sizes USING (term)""")
 def level_estimates(spark, folder):
     rom = _rom(spark, folder, BINS)
-    biomes = [t for t in b.TREATMENTS if t != b.CONTROL]
-    fits = mixed.fit(rom, [level_means("biome", biomes), level_means("f_nad", [1, 2, 3]),
+    fits = mixed.fit(rom, [level_means("biome", TREATED), level_means("f_nad", [1, 2, 3]),
                            level_means("f_nrt", [1, 2, 3])])
     table = meta.coefficients(fits)
     parts = [meta.with_level_counts(table.where(F.col("model") == f"{c}-1"), rom, c, kind)
              for c, kind in (("biome", "Biome"), ("f_nad", "N added"), ("f_nrt", "N rate"))]
-    return _rounded(meta.facet_table(*parts), 5)
+    return _rounded(meta.facet_table(*parts).select("term", "estimate", "se", "size"), 5)
 
 
 @query("quadratic_nested", "E11 E15 F15 A10")
@@ -508,7 +531,20 @@ def quadratic_nested(spark, folder):
     return _rounded(meta.predict(fits, grid, {"intrcpt": "1D", "n_added": "n_added", "sq": "n_added * n_added"}), 5)
 
 
-@query("subset_fits", "E12 E17")
+def _ranked(sets: str) -> str:
+    """AICc rows from CTE ``fit``; one variance component."""
+    return f""",
+ic AS (SELECT key AS model, p + 1 AS df, -2 * ll + 2.0 * (p + 1) * (n - p) / greatest(n - p - p - 2, 1) AS aicc,
+              {sets} AS candidate_set FROM fit)
+SELECT model, CAST(df AS INTEGER) AS df, round(aicc, 4) AS aicc, candidate_set,
+       round(aicc - min(aicc) OVER (PARTITION BY candidate_set), 4) AS delta,
+       rank() OVER (PARTITION BY candidate_set ORDER BY aicc) AS rank FROM ic"""
+
+
+@query("subset_fits", "E12 E17", META + ", rows AS (" + stacked_models({
+    f"{biome}:{name}": ("j", cols, f"biome = '{biome}'") for biome in ("AUTOMOBILE", "MACHINERY")
+    for name, cols in (("1", ["1"]), ("n_added", ["1", "n_added"]))}, 2, "yi", "vi") + "),"
+    + restricted_search("rows", 2) + _ranked("split_part(key, ':', 1)"))
 def subset_fits(spark, folder):
     models = []
     for biome in ("AUTOMOBILE", "MACHINERY"):
@@ -521,12 +557,15 @@ def subset_fits(spark, folder):
 
 
 MODERATORS = ["n_added", "n_rate", "n_year", "cnratio"]
+SUBSETS = [[m for i, m in enumerate(MODERATORS) if mask >> i & 1] for mask in range(16)]
 
 
-@query("candidate_models", "E18 E17 E9")
+@query("candidate_models", "E18 E17 E9", META.replace("avg(tax) AS n_rate,", "avg(tax) AS n_rate, avg(n_year) AS n_year,")
+       + ", rows AS (" + stacked_models({"+".join(["1", *s]): ("j", ["1", *s], "true") for s in SUBSETS}, 5, "yi", "vi")
+       + ")," + restricted_search("rows", 5) + _ranked("'all'"))
 def candidate_models(spark, folder):
     """Every subset of the moderators, fitted as rows of one job."""
-    models = [intercept_and(*[m for i, m in enumerate(MODERATORS) if mask >> i & 1]) for mask in range(16)]
+    models = [intercept_and(*s) for s in SUBSETS]
     return _rounded(meta.compare(mixed.fit(_rom(spark, folder), models)), 4)
 
 
@@ -615,8 +654,46 @@ lm AS (SELECT sample, treatment, ln(lcratio) AS lrr, n_lines, cn, n_lines * n_li
 FULL = Design(crossed(num("cn"), factor("treatment")) + [logged("qty")], levels=LEVELS)
 
 
-@query("linear_model", "L1 L2")
+OTHERS = [t for t in b.TREATMENTS if t != b.CONTROL]
+# Covariates are centred in the SQL too; coefficients of the uncentred intercept follow.
+FULL_ROWS = T + """,
+ln0 AS (SELECT sample, site, treatment, ln(lcratio) AS lrr, n_lines, cn, ln(qty) AS lq FROM tab
+        WHERE lcratio > 0 AND cn IS NOT NULL),
+lr AS (SELECT 'm' AS key, *, cn - avg(cn) OVER () AS cc, lq - avg(lq) OVER () AS lc, avg(cn) OVER () AS mc,
+              avg(lq) OVER () AS ml FROM ln0)"""
+
+
+def _full_columns(*blocks: str) -> list[str]:
+    pieces = {"1": ["1"], "cn": ["cc"], "treatment": [f"CASE WHEN treatment = '{t}' THEN 1 ELSE 0 END" for t in OTHERS],
+              "cn:treatment": [f"CASE WHEN treatment = '{t}' THEN cc ELSE 0 END" for t in OTHERS], "log(qty)": ["lc"]}
+    return [c for blk in blocks for c in pieces[blk]]
+
+
+def _design(name: str, *blocks: str) -> str:
+    """CTEs for a least-squares fit of lrr on the named blocks, result in CTE ``{name}``."""
+    cols = _full_columns(*blocks)
+    body = ", ".join(f"({c})::DOUBLE AS x{i}" for i, c in enumerate(cols))
+    return (f"{name}_x AS (SELECT key, lrr, {body} FROM lr)," + cross_products(f"{name}_c", f"{name}_x", len(cols), "lrr")
+            + "," + sweep(name, f"{name}_c", len(cols), ["key", "n"]))
+
+
+_FULL = ("1", "cn", "treatment", "cn:treatment", "log(qty)")
+_FULL_NAMES = ["(Intercept)", "cn", *[f"treatment[{t}]" for t in OTHERS], *[f"cn:treatment[{t}]" for t in OTHERS], "log(qty)"]
+
+
+@query("linear_model", "L1 L2", FULL_ROWS + "," + _design("fu", *_FULL) + "\n" + " UNION ALL ".join(
+    f"SELECT '{n}' AS term, round(b{i}, 5) AS estimate, round(sqrt(v{i}_{i} * rss / (n - 11)), 5) AS se, "
+    f"round(b{i} / sqrt(v{i}_{i} * rss / (n - 11)), 4) AS t FROM fu"
+    for i, n in enumerate(_FULL_NAMES) if n.startswith("cn") or n == "log(qty)"))
 def linear_model(spark, folder):
+    """Coefficients that do not depend on where the covariates are centred."""
+    table = regress.coefficient_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL))
+    kept = table.where("term LIKE 'cn%' OR term = 'log(qty)'").select("term", "estimate", "se", "t")
+    return _rounded(_rounded(kept, 5, ["t"]), 4, ["estimate", "se"])
+
+
+@query("linear_model_all_terms", "L1 L2")
+def linear_model_all_terms(spark, folder):
     return _rounded(regress.coefficient_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)))
 
 
@@ -650,9 +727,17 @@ def nested_models(spark, folder):
     return _rounded(_rounded(regress.nested_test(spark, fit, "n_lines^2").drop("p"), 5, ["f"]), 4, ["sum_sq"])
 
 
-@query("type_two_terms", "L4")
+@query("type_two_terms", "L4", FULL_ROWS + "," + ",".join([
+    _design("fu", *_FULL), _design("nocn", "1", "treatment", "log(qty)"), _design("notr", "1", "cn", "log(qty)"),
+    _design("main", "1", "cn", "treatment", "log(qty)"), _design("nolq", "1", "cn", "treatment", "cn:treatment")]) + """,
+s2 AS (SELECT fu.rss / (fu.n - 11) AS ms, fu.n, fu.rss, nocn.rss - main.rss AS cn, notr.rss - main.rss AS tr,
+              main.rss - fu.rss AS ia, nolq.rss - fu.rss AS lq FROM fu, nocn, notr, main, nolq)
+SELECT term, CAST(df AS INTEGER) AS df, round(ss, 5) AS sum_sq, round(CASE WHEN term <> 'Residuals' THEN ss / df / ms END, 4) AS f
+FROM s2, LATERAL (VALUES ('cn', 1, cn), ('treatment', 4, tr), ('cn:treatment', 4, ia), ('log(qty)', 1, lq),
+  ('Residuals', n - 11, rss)) AS x(term, df, ss)""")
 def type_two_terms(spark, folder):
-    return _rounded(regress.type_two_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)))
+    out = regress.type_two_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)).drop("p")
+    return _rounded(_rounded(out, 5, ["f"]), 4, ["sum_sq"])
 
 
 @query("linear_comparison", "L5", LM + """,
@@ -670,13 +755,21 @@ def linear_comparison(spark, folder):
     return _rounded(regress.compare_aicc(spark, {n: regress.ols(df, "lrr", d) for n, d in designs.items()}), 4)
 
 
-@query("mixed_model", "L6")
+@query("mixed_model", "L6", FULL_ROWS + ", rows AS (" + stacked_models(
+    {"1+n_lines+cn": ("lr", ["1", "n_lines", "cn"], "true")}, 3, "lrr", "1.0") + "),"
+    + restricted_search("rows", 3, estimated=True) + "\n"
+    + coefficient_rows({"1+n_lines+cn": ["intrcpt", "n_lines", "cn"]}, 4))
 def mixed_model(spark, folder):
     fits = regress.random_intercept(_lm_rows(spark, folder), [intercept_and("n_lines", "cn")], response="lrr", group="site")
-    return _rounded(regress.wald_table(fits), 5)
+    return _rounded(regress.wald_table(fits).select("model", "term", "estimate", "se"), 4)
 
 
-@query("covariance_model", "L7")
+@query("covariance_model", "L7", FULL_ROWS + """,
+ct AS (SELECT site, ln(avg(lcratio)) AS log_c FROM tab WHERE lcratio > 0 AND treatment = 'BUILDING' GROUP BY 1),
+an AS (SELECT lr.*, log_c FROM lr JOIN ct USING (site) WHERE treatment <> 'BUILDING'),
+rows AS (""" + stacked_models({"1+log_c+n_lines+cn": ("an", ["1", "log_c", "n_lines", "cn"], "true")}, 4, "lrr", "1.0") + "),"
+    + restricted_search("rows", 4, estimated=True) + "\n"
+    + coefficient_rows({"1+log_c+n_lines+cn": ["intrcpt", "log_c", "n_lines", "cn"]}, 4))
 def covariance_model(spark, folder):
     from profilar.operators import effects
 
@@ -684,7 +777,7 @@ def covariance_model(spark, folder):
                                     control=b.CONTROL, value="lcratio", baseline={"lcratio": "control"})
     rows = rows.withColumns({"log_f": F.ln("lcratio"), "log_c": F.ln("control")})
     fits = regress.random_intercept(rows, [intercept_and("log_c", "n_lines", "cn")], response="log_f", group="site")
-    return _rounded(regress.wald_table(fits), 5)
+    return _rounded(regress.wald_table(fits).select("model", "term", "estimate", "se"), 4)
 
 
 @query("additive_model", "L8")

@@ -149,3 +149,112 @@ def multi_fit(source: str, key: str, ys: Sequence[str], xs: Sequence[str], withi
     fits = {y: " + ".join(f"r{i} * (sum(r{i} * w_{y}) OVER ()) / (sum(r{i} * r{i}) OVER ())" for i in range(1, k + 1)) for y in ys}
     out.append("mf AS (SELECT *, " + ", ".join(f"{f} AS f_{y}, w_{y} - ({f}) AS e_{y}" for y, f in fits.items()) + f" FROM mf{k})")
     return ",\n".join(out)
+
+
+def sweep(prefix: str, source: str, p: int, carry: Sequence[str]) -> str:
+    """CTE ``{prefix}``: least squares from cross products by sweeping one pivot after the other.
+
+    ``source`` has a{i}_{j} (i ≤ j), c{i} and q. Result: b{i}, inverse entries
+    v{i}_{j}, rss and lndet. All-zero columns are passed over.
+    """
+    def z(i: int, j: int) -> str:
+        return f"z{min(i, j)}_{max(i, j)}"
+
+    places = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    keep = ", ".join(carry)
+    first = [f"a{i}_{j}" if j < p else (f"c{i}" if i < p else "q") for i, j in places]
+    out = [f"{prefix}_0 AS (SELECT {keep}, 0.0::DOUBLE AS lndet, "
+           + ", ".join(f"{f} AS {z(i, j)}" for f, (i, j) in zip(first, places)) + f" FROM {source})"]
+    for k in range(p):
+        ok = f"{z(k, k)} > 0"
+        cells = []
+        for i, j in places:
+            if i == k and j == k:
+                e = f"CASE WHEN {ok} THEN -1 / {z(k, k)} ELSE 0 END"
+            elif k in (i, j):
+                e = f"CASE WHEN {ok} THEN {z(i, j)} / {z(k, k)} ELSE 0 END"
+            else:
+                e = f"CASE WHEN {ok} THEN {z(i, j)} - {z(i, k)} * {z(k, j)} / {z(k, k)} ELSE {z(i, j)} END"
+            cells.append(f"{e} AS {z(i, j)}")
+        out.append(f"{prefix}_{k + 1} AS (SELECT {keep}, lndet + CASE WHEN {ok} THEN ln({z(k, k)}) ELSE 0 END AS lndet, "
+                   + ", ".join(cells) + f" FROM {prefix}_{k})")
+    result = [f"{z(i, p)} AS b{i}" for i in range(p)]
+    result += [f"-{z(i, j)} AS v{i}_{j}" for i in range(p) for j in range(i, p)]
+    out.append(f"{prefix} AS MATERIALIZED (SELECT {keep}, lndet, {z(p, p)} AS rss, {', '.join(result)} FROM {prefix}_{p})")
+    return ",\n".join(out)
+
+
+def cross_products(name: str, source: str, p: int, y: str, key: str = "key", w: str = "1.0") -> str:
+    """CTE of the cross products :func:`sweep` reads, per key."""
+    cells = [f"sum({w} * x{i} * x{j}) AS a{i}_{j}" for i in range(p) for j in range(i, p)]
+    cells += [f"sum({w} * x{i} * {y}) AS c{i}" for i in range(p)] + [f"sum({w} * {y} * {y}) AS q"]
+    return f"{name} AS (SELECT {key}, count(*) AS n, {', '.join(cells)} FROM {source} GROUP BY {key})"
+
+
+def restricted_search(source: str, p: int, rounds: int = 6, points: int = 41, estimated: bool = False) -> str:
+    """CTE ``fit``: random intercept per site, several coefficients, by restricted likelihood.
+
+    ``source`` has key, site, yi, vi, x0 … and p (coefficients in use; the
+    others are zero columns). With ``estimated`` vi is ignored and a common
+    error variance is profiled out. Result: key, n, p, s, ll, b{i}, v{i}_{j}, rss, scale.
+    """
+    v = "1.0" if estimated else "vi"
+    text = [cross_products("xx", source, p, "yi")]
+    text.append(sweep("xs", "xx", p, ["key"]))
+    text.append(f"nn AS MATERIALIZED (SELECT key, any_value(p) AS p, count(*)::DOUBLE AS n, avg({v}) AS unit FROM {source} GROUP BY 1)")
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    cells = [f"sum(1 / {v}) AS w", f"sum(yi / {v}) AS wy", f"sum(yi * yi / {v}) AS wyy", f"sum(ln({v})) AS lnv"]
+    cells += [f"sum(x{i} / {v}) AS wx{i}" for i in range(p)] + [f"sum(x{i} * yi / {v}) AS wxy{i}" for i in range(p)]
+    cells += [f"sum(x{i} * x{j} / {v}) AS wxx{i}_{j}" for i, j in pairs]
+    text.append(f"gs AS MATERIALIZED (SELECT key, site, {', '.join(cells)} FROM {source} GROUP BY ALL)")
+    g = "s / (1 + s * w)"
+    sums = [f"sum(wxx{i}_{j} - {g} * wx{i} * wx{j}) AS a{i}_{j}" for i, j in pairs]
+    sums += [f"sum(wxy{i} - {g} * wx{i} * wy) AS c{i}" for i in range(p)]
+    sums += [f"sum(wyy - {g} * wy * wy) AS q", "sum(lnv + ln(1 + s * w)) AS d"]
+    text.append("gr0 AS MATERIALIZED (SELECT key, 0.0::DOUBLE AS s FROM nn UNION ALL "
+                f"SELECT key, unit * exp(-14 + 25.0 * i / {points - 1}) FROM nn, range({points}) t(i))")
+    for r in range(rounds + 1):
+        text.append(f"su{r} AS MATERIALIZED (SELECT key, s, {', '.join(sums)} FROM gs JOIN gr{r} USING (key) GROUP BY ALL)")
+        text.append(sweep(f"sw{r}", f"su{r}", p, ["key", "s", "d"]))
+        if estimated:
+            ll = "-0.5 * ((n - p) * (ln(2 * pi() * f.rss / (n - p)) + 1) + d + f.lndet)"
+            scale = "f.rss / (n - p)"
+        else:
+            ll = "-0.5 * ((n - p) * ln(2 * pi()) + d + f.rss) + 0.5 * xs.lndet - 0.5 * f.lndet"
+            scale = "1.0"
+        text.append(f"li{r} AS MATERIALIZED (SELECT f.*, nn.n, p, {ll} AS ll, {scale} AS scale FROM sw{r} f "
+                    f"JOIN nn USING (key) JOIN xs USING (key))")
+        text.append(f"to{r} AS MATERIALIZED (SELECT key, CASE WHEN any_value(n) <= any_value(p) THEN 0 "
+                    f"ELSE arg_max(s, ll) END AS best FROM li{r} GROUP BY 1)")
+        if r < rounds:
+            text.append(
+                f"sp{r} AS (SELECT key, any_value(best) AS best, coalesce(max(s) FILTER (s < best), any_value(best)) AS lo, "
+                f"coalesce(min(s) FILTER (s > best), any_value(best)) AS hi FROM li{r} JOIN to{r} USING (key) GROUP BY 1)")
+            text.append(
+                f"gr{r + 1} AS MATERIALIZED (SELECT key, best AS s FROM sp{r} UNION "
+                f"SELECT key, CASE WHEN lo > 0 THEN lo * pow(hi / lo, i / {points - 1}.0) ELSE lo + (hi - lo) * i / {points - 1}.0 END "
+                f"FROM sp{r}, range({points}) t(i))")
+    text.append(f"fit AS (SELECT li.* FROM li{rounds} li JOIN to{rounds} USING (key) WHERE s = best)")
+    return ",\n".join(text)
+
+
+def stacked_models(models: dict[str, tuple[str, Sequence[str], str]], width: int, y: str, v: str) -> str:
+    """UNION ALL of one SELECT per model: name → (source, column expressions, row filter)."""
+    parts = []
+    for name, (source, columns, where) in models.items():
+        xs = [*columns, *["0.0"] * (width - len(columns))]
+        present = " AND ".join(f"({c}) IS NOT NULL" for c in columns)
+        parts.append(f"SELECT '{name}' AS key, {len(columns)} AS p, site, {y} AS yi, {v} AS vi, "
+                     + ", ".join(f"({x})::DOUBLE AS x{i}" for i, x in enumerate(xs))
+                     + f" FROM {source} WHERE {y} IS NOT NULL AND {v} > 0 AND {present} AND ({where})")
+    return "\nUNION ALL ".join(parts)
+
+
+def coefficient_rows(names: dict[str, Sequence[str]], digits: int = 5) -> str:
+    """SELECT model, term, estimate and se from CTE ``fit``."""
+    parts = []
+    for key, terms in names.items():
+        for i, t in enumerate(terms):
+            parts.append(f"SELECT '{key}' AS model, '{t}' AS term, round(b{i}, {digits}) AS estimate, "
+                         f"round(sqrt(v{i}_{i} * scale), {digits}) AS se FROM fit WHERE key = '{key}'")
+    return "\nUNION ALL ".join(parts)
