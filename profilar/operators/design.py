@@ -128,12 +128,34 @@ class Design:
                 if not any(parts(t) < parts(o) for o in self.terms)]
 
 
+def double_text(value: float) -> str:
+    """A double literal in SQL text."""
+    return f"({float(value)!r}D)"
+
+
+def quoted_text(value: object) -> str:
+    """A string literal in SQL text."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def column_text(col: DesignColumn, numerics: Mapping[str, str]) -> str:
+    """A design column as SQL text: one parsed expression costs one call, however many dummies it spans."""
+    value = f"CAST(({numerics[col.numeric]}) AS DOUBLE)" if col.numeric else "1D"
+    if not col.levels:
+        return value
+    test = " AND ".join(f"`{f}` = {quoted_text(level)}" for f, level in col.levels)
+    return f"CASE WHEN {test} THEN {value} ELSE 0D END"
+
+
 def column_expression(col: DesignColumn, numerics: Mapping[str, str]) -> Column:
     """A design column as a row expression."""
-    value = F.expr(numerics[col.numeric]).cast("double") if col.numeric else F.lit(1.0)
-    for f, level in col.levels:
-        value = F.when(F.col(f) == F.lit(level), value).otherwise(F.lit(0.0))
-    return value
+    return F.expr(column_text(col, numerics))
+
+
+def combination_text(columns: Sequence[DesignColumn], weights: Sequence[float], numerics: Mapping[str, str]) -> str:
+    """Weighted sum of design columns as SQL text."""
+    parts = [f"{double_text(w)} * {column_text(c, numerics)}" for c, w in zip(columns, weights) if float(w) != 0.0]
+    return "(" + " + ".join(parts or ["0D"]) + ")"
 
 
 def find_levels(df: DataFrame, *factors: str, first: Mapping[str, str] | None = None) -> dict[str, list[str]]:

@@ -76,11 +76,11 @@ def effect_table(paired: DataFrame, covariates: DataFrame, *, measure: str, key:
     """
     # One row per cell from here on: store it once, for the passes over it that follow.
     table = save_and_reload(match(effect_size(paired, measure), covariates, [key], "left"), "effects")
-    table = min_max(with_limits(table), "wi", "size")
-    table = equal_weight(table, [site], "wi2")
     for out, (column, n) in (bins or {}).items():
         table = quantile_bin(table, column, n, out)
-    return sequence_in_group(table, [], [key], out="sdn")
+    table = sequence_in_group(table, [], [key], out="sdn")
+    table = min_max(with_limits(table), "wi", "size")
+    return equal_weight(table, [site], "wi2")
 
 
 def sample_log_ratio(df: DataFrame, *, site: str, treatment: str, control: str, value: str,

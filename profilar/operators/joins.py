@@ -82,20 +82,6 @@ def outer_by_source(frames: Mapping[str, DataFrame], keys: Sequence[str], value:
     return stacked.groupBy(*keys).pivot("source", list(frames)).agg(F.first(value, ignorenulls=True))
 
 
-def outer_labels_by_source(frames: Mapping[str, DataFrame], key: str, label: str) -> DataFrame:
-    """As :func:`outer_by_source` for keys that repeat: each cell holds the sorted distinct labels.
-
-    Labels are made distinct before they are gathered, so a cell is bounded by
-    the label vocabulary and not by the number of rows.
-    """
-    stacked = union_tagged(frames, "source").select("source", key, label).distinct()
-    return (
-        stacked.groupBy(key)
-        .pivot("source", list(frames))
-        .agg(F.array_join(F.array_sort(F.collect_set(label)), "|"))
-    )
-
-
 def outer_chain(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """The literal chain of full outer joins, for lists that must multiply on repeated keys."""
     return reduce(lambda a, b: a.join(b, list(keys), "full"), frames)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilar.functions.linalg import unpack_symmetric
-from profilar.operators.design import Design, DesignColumn
+from profilar.operators.design import Design, DesignColumn, double_text
 
 MAX_CELLS = 20_000
 EXPRESSION_LIMIT = 24
@@ -46,14 +46,12 @@ def moment_rows(df: DataFrame, by: Sequence[str], numerics: Mapping[str, str],
     keys = [*by, *[f for f in factors if f not in by]]
     rows = complete_rows(df, keys, numerics)
     shift = shift or {}
-    values = [F.lit(1.0)] + [
-        F.col(f"v{i}") - F.lit(float(shift.get(n, 0.0))) for i, n in enumerate(numerics)
-    ]
+    values = ["1D"] + [f"(v{i} - {double_text(shift.get(n, 0.0))})" for i, n in enumerate(numerics)]
     size = len(values)
     if size - 1 <= EXPRESSION_LIMIT:
-        sums = [F.sum(values[i] * values[j]) for i in range(size) for j in range(i, size)]
-        return rows.groupBy(*keys).agg(F.array(*sums).alias("upper"))
-    prepared = rows.select(*keys, F.array(*values).alias("v"))
+        sums = [f"sum({values[i]} * {values[j]})" for i in range(size) for j in range(i, size)]
+        return rows.groupBy(*keys).agg(F.expr(f"array({', '.join(sums)})").alias("upper"))
+    prepared = rows.select(*keys, F.expr(f"array({', '.join(values)})").alias("v"))
     return gram_of_arrays(prepared, keys, size)
 
 

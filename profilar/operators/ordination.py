@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilar.functions.linalg import descending_eigen, explained, scaled_pinv, unpack_symmetric
-from profilar.operators.design import Design, column_expression
+from profilar.operators.design import Design, combination_text, double_text
 from profilar.operators.joins import match
 from profilar.operators.moments import Moments, as_columns, cell_keys, collect_moments, moment_rows, shifts
 from profilar.operators.shares import hellinger
@@ -159,15 +159,11 @@ def row_score_columns(fit: Ordination, *, choices: Sequence[int] | None = None,
     inverse, _ = scaled_pinv(moments.cross(z_cols, z_cols))
     coef = inverse @ moments.cross(z_cols, ys) @ weights  # conditioning column × axis
     numerics = fit.condition.numerics()
-    shifted = {n: f"({e}) - ({moments.shift[n]!r})" for n, e in numerics.items()}
+    shifted = {n: f"({e}) - {double_text(moments.shift[n])}" for n, e in numerics.items()}
     out = {}
     for k, place in enumerate(places):
-        score = F.lit(0.0)
-        for j, s in enumerate(fit.species):
-            score = score + (F.col(s) - F.lit(float(fit.centre[j]))) * F.lit(float(weights[j, k]))
-        for d, col in enumerate(z_cols):
-            score = score - column_expression(col, shifted) * F.lit(float(coef[d, k]))
-        out[fit.axes[place]] = score
+        terms = [f"(`{s}` - {double_text(fit.centre[j])}) * {double_text(weights[j, k])}" for j, s in enumerate(fit.species)]
+        out[fit.axes[place]] = F.expr(" + ".join(terms) + " - " + combination_text(z_cols, coef[:, k], shifted))
     return out
 
 

@@ -12,11 +12,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilar.functions.linalg import scaled_pinv
-from profilar.operators.design import Design, column_expression, factor, num
+from profilar.operators.design import Design, combination_text, double_text, factor, num
 from profilar.operators.joins import match
 from profilar.operators.moments import Moments, as_columns, cell_keys, collect_moments, complete_rows
 from profilar.operators.ordered import sequence_in_group
@@ -86,14 +86,12 @@ def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design:
     coef = z_inverse @ moments.cross(z_cols, as_columns(responses))
     factors = list(design.factors)
 
-    shifted = {n: f"({e}) - ({moments.shift[n]!r})" for n, e in numerics.items()}
+    shifted = {n: f"({e}) - {double_text(moments.shift[n])}" for n, e in numerics.items()}
     complete = complete_rows(df, factors, {**numerics, **{r: f"`{r}`" for r in responses}})
-    ys = []
-    for j, r in enumerate(responses):
-        y = F.col(r) - F.lit(float(moments.shift[r]))
-        for d, col in enumerate(z_cols):
-            y = y - column_expression(col, shifted) * F.lit(float(coef[d, j]))
-        ys.append(y.alias(f"y{j}"))
+    ys = [
+        F.expr(f"`{r}` - {double_text(moments.shift[r])} - {combination_text(z_cols, coef[:, j], shifted)}").alias(f"y{j}")
+        for j, r in enumerate(responses)
+    ]
     base = complete.select(
         F.col(key).alias("__key"), *dict.fromkeys([*strata, *factors]),
         *[F.expr(shifted[n]).cast("double").alias(f"x{i}") for i, n in enumerate(names)], *ys)

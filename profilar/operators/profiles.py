@@ -84,3 +84,12 @@ def profile_table(df: DataFrame, *, ids: Sequence[str], groups: Sequence[str], g
         F.count(F.when(F.col("__kept"), 1)).alias("__rows"),
         *[e.alias(name) for name, e in (extra or {}).items()])
     return wide.where("__rows > 0").select(*ids, *[ratio(g, "__total").alias(g) for g in sums], *(extra or {}))
+
+
+def across_samples(df: DataFrame, *, component: str, sample: str, value: str) -> DataFrame:
+    """Transform raw spectra by component: each value over its component's total across samples, then
+    the square root of the share within the sample. Long in, long out (component, sample, area, h)."""
+    sums = df.groupBy(component, sample).agg(summary(F.sum, value).alias(value))
+    area = share_of_total(sums, [component], value, "area")
+    within = share_of_total(area, [sample], "area", "__prop")
+    return within.select(component, sample, "area", F.sqrt("__prop").alias("h"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,14 +10,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilar.functions.distributions import (f_upper, normal_quantile_column, p_normal, t_quantile,
+from profilar.functions.distributions import (Z_95, f_upper, normal_quantile_column, p_normal, p_t, t_quantile,
                                               t_two_sided)
 from profilar.functions.linalg import scaled_pinv
 from profilar.functions.nulls import ratio
 from profilar.operators import mixed
-from profilar.operators.design import Design, DesignColumn, column_expression
+from profilar.operators.design import Design, DesignColumn, Term, column_expression, combination_text, double_text
 from profilar.operators.meta import coefficients
-from profilar.operators.moments import Moments, as_columns, collect_moments
+from profilar.operators.moments import Moments, as_columns, collect_moments, shifts
 from profilar.operators.ordered import quantiles, sequence_in_group
 from profilar.session import shared_folder
 
@@ -52,8 +53,6 @@ def _safe_shift(df: DataFrame, design: Design, response: str) -> dict[str, float
 
     Then the fit is the same and coefficients can be moved back exactly.
     """
-    from profilar.operators.moments import shifts
-
     numerics = {**design.numerics(), response: f"`{response}`"}
     values = shifts(df, numerics)
     present = {(c.levels, c.numeric) for c in design.columns()}
@@ -193,11 +192,7 @@ def type_two_table(spark: SparkSession, fit: LinearModel) -> DataFrame:
 
 def fitted_column(fit: LinearModel) -> Column:
     beta, _ = raw_coefficients(fit)
-    numerics = fit.design.numerics()
-    out = F.lit(0.0)
-    for c, b in zip(fit.columns, beta):
-        out = out + column_expression(c, numerics) * F.lit(float(b))
-    return out
+    return F.expr(combination_text(fit.columns, beta, fit.design.numerics()))
 
 
 def residuals(df: DataFrame, fit: LinearModel) -> DataFrame:
@@ -247,11 +242,9 @@ def partial_effect(df: DataFrame, fit: LinearModel, x: str, *, by: str | None =
     numerics = fit.design.numerics()
     xs = [column_expression(c, numerics) for c in fit.columns]
     grid = grid.withColumns({f"__d{i}": e for i, e in enumerate(xs)}).withColumn("fit", fitted_column(fit))
-    variance = F.lit(0.0)
-    for i in range(len(xs)):
-        for j in range(len(xs)):
-            if cov[i, j]:
-                variance = variance + F.col(f"__d{i}") * F.col(f"__d{j}") * F.lit(float(cov[i, j]))
+    size = range(len(xs))
+    variance = F.expr(" + ".join(
+        f"__d{i} * __d{j} * {double_text(cov[i, j])}" for i in size for j in size if cov[i, j]) or "0D")
     t = float(t_quantile(0.975, fit.df_residual))
     grid = grid.withColumn("se", F.sqrt(F.greatest(variance, F.lit(0.0))))
     return grid.withColumns({"lower": F.col("fit") - t * F.col("se"), "upper": F.col("fit") + t * F.col("se")}).select(
@@ -259,8 +252,6 @@ def partial_effect(df: DataFrame, fit: LinearModel, x: str, *, by: str | None =
 
 
 def _raw_names(term) -> list[str]:
-    import re
-
     return [m for _, e in term.atoms for m in re.findall(r"`([^`]+)`", e)]
 
 
@@ -276,8 +267,6 @@ def line_per_group(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
 
 def correlation_test(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson r, t, P and Fisher-z 95 % limits per key."""
-    from profilar.functions.distributions import Z_95, p_t
-
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(
         F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     out = base.withColumns({
@@ -386,8 +375,6 @@ def additive(df: DataFrame, response: str, smooths: Sequence[str], *, basis: int
             raise ValueError(f"knots of {x} repeat; use a smaller basis")
         bases[x] = knots
         extra.update(_spline_terms(x, knots))
-    from profilar.operators.design import Term
-
     design = Design([*parametric.terms, *[Term(atoms=((n, e),)) for n, e in extra.items()]], True, parametric.levels)
     moments = collect_moments(df, design, [response])
     cols, ys = design.columns(), as_columns([response])

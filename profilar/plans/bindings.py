@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from profilar.functions.nulls import ratio
+from profilar.operators.profiles import profile_table
+
 CONTROL = "BUILDING"
 TREATMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 GROUPS_RAW = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -55,20 +58,9 @@ def annotation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def profile_long(spark: SparkSession, folder: str) -> DataFrame:
-    """site, treatment, trt_id, sample, grp, value: one row per purchase line.
-
-    Lines are summed per sample and group before they meet the sample
-    dimension, so the second join moves one row per sample and group.
-    """
-    lines = purchases(spark, folder).join(annotation(spark, folder), "window", "left")
-    return lines.join(samples(spark, folder), "sample").select(*IDS, "grp", "value")
-
-
 def group_sums(spark: SparkSession, folder: str) -> DataFrame:
     """sample keys, grp and the summed value: one row per sample and group."""
-    lines = purchases(spark, folder).join(annotation(spark, folder), "window", "left")
-    sums = lines.groupBy("sample", "grp").agg(F.sum("value").alias("value"))
+    sums = _lines(spark, folder).groupBy("sample", "grp").agg(F.sum("value").alias("value"))
     return sums.join(samples(spark, folder), "sample").select(*IDS, "grp", "value")
 
 
@@ -77,8 +69,6 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_ratios(wide: DataFrame) -> DataFrame:
-    from profilar.functions.nulls import ratio
-
     return wide.withColumns({
         "lcratio": ratio(F.col("SMALL_MEDIUM") + F.col("LARGE"), "ECONOMY"),
         "gsratio": ratio("SMALL_MEDIUM", "LARGE"),
@@ -99,8 +89,6 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
 
     Lines are reduced to one row per sample before the sample dimension is joined.
     """
-    from profilar.operators.profiles import profile_table
-
     wide = profile_table(_lines(spark, folder), ids=["sample"], groups=GROUPS, drop=DROP, classes=CLASSES)
     dims = samples(spark, folder).drop("acctbal")
     return _with_ratios(wide.join(dims, "sample").select(*IDS, *GROUPS))
@@ -108,17 +96,12 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def covariates(spark: SparkSession, folder: str) -> DataFrame:
     """One row per sample: continuous covariates."""
-    from profilar.functions.nulls import ratio
-
     per = purchases(spark, folder).groupBy("sample").agg(*[e.alias(n) for n, e in _measures().items()])
     return per.withColumn("cn", ratio("qty", "disc"))
 
 
 def sample_table(spark: SparkSession, folder: str) -> DataFrame:
     """Profiles with covariates, from one pass over the lines: the table the models use."""
-    from profilar.functions.nulls import ratio
-    from profilar.operators.profiles import profile_table
-
     wide = profile_table(_lines(spark, folder), ids=["sample"], groups=GROUPS, drop=DROP, classes=CLASSES,
                          extra=_measures())
     joined = wide.join(samples(spark, folder), "sample").withColumn("cn", ratio("qty", "disc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from profilar.functions.nulls import tidy
-from profilar.operators import (aggregate, distance, meta, mixed, ordination, permute, regress, reshape,
+from profilar.operators import (aggregate, distance, effects, meta, mixed, ordination, permute, regress, reshape,
                                 shares)
 from profilar.operators.design import Design, crossed, factor, logged, num, squared
 from profilar.operators.mixed import intercept_and, level_means
@@ -771,8 +771,6 @@ rows AS (""" + stacked_models({"1+log_c+n_lines+cn": ("an", ["1", "log_c", "n_li
     + restricted_search("rows", 4, estimated=True) + "\n"
     + coefficient_rows({"1+log_c+n_lines+cn": ["intrcpt", "log_c", "n_lines", "cn"]}, 4))
 def covariance_model(spark, folder):
-    from profilar.operators import effects
-
     rows = effects.sample_log_ratio(b.sample_table(spark, folder).where("lcratio > 0"), site="site", treatment="treatment",
                                     control=b.CONTROL, value="lcratio", baseline={"lcratio": "control"})
     rows = rows.withColumns({"log_f": F.ln("lcratio"), "log_c": F.ln("control")})

@@ -343,10 +343,8 @@ h AS (SELECT comp, sample, sqrt(a / sum(a) OVER (PARTITION BY sample)) AS h FROM
 SELECT comp, sample, round(h, 6) AS h FROM h""")
 def share_across_samples(spark, folder):
     lines = b.purchases(spark, folder).join(b.annotation(spark, folder), "window")
-    sums = lines.groupBy("comp", "sample").agg(F.sum("value").alias("value"))
-    across = shares.share_of_total(sums, ["comp"], "value", "area")
-    within = shares.share_of_total(across, ["sample"], "area", "prop")
-    return within.select("comp", "sample", tidy(F.sqrt("prop")).alias("h"))
+    out = profiles.across_samples(lines, component="comp", sample="sample", value="value")
+    return out.select("comp", "sample", tidy("h").alias("h"))
 
 
 @query("hellinger_profiles", "M1 W1", P + """

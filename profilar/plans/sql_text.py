@@ -46,9 +46,12 @@ def normal_quantile(p: str) -> str:
             f"ELSE ({p} - 0.5) * {poly(_A, r)} / {poly(_B, r)} END")
 
 
-def variance_search(source: str, random: str, by: str = "'all'", rounds: int = 6, points: int = 41) -> str:
+def variance_search(source: str, random: str, by: str = "'all'", rounds: int = 6, points: int = 40) -> str:
     """CTEs that maximise the restricted likelihood of an intercept-only model over one variance.
 
+    An even number of points keeps the middle of a refined grid off the best
+    point so far, which stays in the grid itself.
+
     ``source`` has yi, vi and site. Gives CTE ``reml``: key, s (the variance),
     a (inverse variance of the mean), estimate, ll, n.
     """
@@ -191,7 +194,7 @@ def cross_products(name: str, source: str, p: int, y: str, key: str = "key", w:
     return f"{name} AS (SELECT {key}, count(*) AS n, {', '.join(cells)} FROM {source} GROUP BY {key})"
 
 
-def restricted_search(source: str, p: int, rounds: int = 6, points: int = 41, estimated: bool = False) -> str:
+def restricted_search(source: str, p: int, rounds: int = 6, points: int = 40, estimated: bool = False) -> str:
     """CTE ``fit``: random intercept per site, several coefficients, by restricted likelihood.
 
     ``source`` has key, site, yi, vi, x0 … and p (coefficients in use; the
