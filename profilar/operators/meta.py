@@ -43,7 +43,7 @@ def information(fits: DataFrame, method: str = "REML") -> DataFrame:
 
 
 def compare(fits: DataFrame, sets: Mapping[str, Sequence[str]] | None = None, method: str = "REML") -> DataFrame:
-    """df and AICc per model, ranked within each candidate set by counting better models.
+    """df and AICc per model, ranked within each candidate set; models without an estimate come last.
 
     ``sets`` names the models to compare together; without it all form one set.
     Models are few: the ranking window runs over one row per model.
@@ -58,7 +58,7 @@ def compare(fits: DataFrame, sets: Mapping[str, Sequence[str]] | None = None, me
     w = Window.partitionBy("candidate_set")
     return info.withColumns({
         "delta": F.col("aicc") - F.min("aicc").over(w),
-        "rank": F.rank().over(w.orderBy("aicc")).cast("bigint"),
+        "rank": F.rank().over(w.orderBy(F.col("aicc").asc_nulls_last())).cast("bigint"),
     })
 
 

@@ -534,7 +534,7 @@ def quadratic_nested(spark, folder):
 def _ranked(sets: str) -> str:
     """AICc rows from CTE ``fit``; one variance component."""
     return f""",
-ic AS (SELECT key AS model, p + 1 AS df, -2 * ll + 2.0 * (p + 1) * (n - p) / greatest(n - p - p - 2, 1) AS aicc,
+ic AS (SELECT key AS model, p + 1 AS df, CASE WHEN n >= p THEN -2 * ll + 2.0 * (p + 1) * (n - p) / greatest(n - p - p - 2, 1) END AS aicc,
               {sets} AS candidate_set FROM fit)
 SELECT model, CAST(df AS INTEGER) AS df, round(aicc, 4) AS aicc, candidate_set,
        round(aicc - min(aicc) OVER (PARTITION BY candidate_set), 4) AS delta,

@@ -278,6 +278,18 @@ def test_single_effect_gets_no_extra_variance(spark):
         assert got["b|1"]["beta"][0] == pytest.approx(1.5)
 
 
+def test_model_without_enough_rows_has_no_estimate(spark):
+    df = spark.createDataFrame([("s", 1.0, 0.2, 3.0, 6.0), ("t", 2.0, 0.3, 4.0, 8.0), ("t", 1.5, 0.3, 5.0, 10.0)],
+                               "site string, yi double, vi double, x double, twice double")
+    models = [mixed.intercept_and(), mixed.intercept_and("x", where="x < 4", name="few"), mixed.intercept_and("x", "twice")]
+    fits = mixed.fit(df, models)
+    got = {r["model"]: r for r in fits.collect()}
+    assert got["few"]["loglik"] is None and got["1+x+twice"]["beta"] == [None] * 3
+    assert got["1"]["loglik"] is not None
+    ranks = {r["model"]: (r["rank"], r["aicc"]) for r in meta.compare(fits).collect()}
+    assert ranks["1"][0] == 1 and ranks["few"] == (2, None)
+
+
 def test_weights_prediction_and_comparison(spark, effects):
     df, groups, x, y, v = effects
     fits = mixed.fit(df, [mixed.intercept_and("x")])
