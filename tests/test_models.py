@@ -259,7 +259,12 @@ def test_nested_components_match_dense(spark, effects):
     assert r["loglik"] == pytest.approx(ll, abs=1e-7)
     best = max(dense_loglik(y, d, v, groups, s, t)[0]
                for s in np.linspace(0, 0.5, 51) for t in np.linspace(0, 0.3, 61))
-    assert ll >= best - 1e-4
+    assert ll >= best - 1e-9
+    for fs in (0.98, 1.0, 1.02):
+        for ft in (0.98, 1.0, 1.02):
+            if (fs, ft) != (1.0, 1.0):
+                assert dense_loglik(y, d, v, groups, r["sigma2"] * fs, r["tau2"] * ft)[0] < ll
+    assert 0 < r["tau2"] and 0 < r["sigma2"]
 
 
 def test_zero_variance_boundary(spark):
@@ -394,3 +399,32 @@ def test_correlation(spark, rows, frame):
     r = regress.correlation_test(frame, "wn", "resp").first()
     assert r["r"] == pytest.approx(np.corrcoef(rows["wn"], rows["resp"])[0, 1])
     assert r["ci_lb"] < r["r"] < r["ci_ub"] and 0 <= r["p"] <= 1
+
+
+def test_permutation_p_by_brute_force(spark, rows, frame):
+    """Replay the hash order outside the engine and refit every permuted table densely."""
+    n_perm, seed = 39, 9
+    design = Design([factor("trt"), num("wn")], levels=LV)
+    fit = ordination.redundancy(frame, SPECIES, design, Design([num("cn")]))
+    got = permute.permutation_test(frame, fit, key="key", strata=["site"], n_perm=n_perm, seed=seed).first()
+    hashed = frame.select("key", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("b")).select(
+        "key", "b", F.xxhash64(F.lit(seed), "b", "key").alias("h")).toPandas()
+    z = (rows["cn"] - 2000)[:, None]
+    x = np.hstack([dummies(rows["trt"], LV["trt"]), rows["wn"][:, None]])
+    fit_y, resid, inner, rank = dense_rda(rows["y"], x, z)
+
+    def f_of(y):
+        a, r, _, k = dense_rda(y, x, z)
+        return (np.sum(a ** 2) / k) / (np.sum(r ** 2) / (rows["n"] - 1 - 1 - k))
+
+    observed = f_of(rows["y"])
+    assert got["f"] == pytest.approx(observed, rel=1e-7)
+    hits = 0
+    for b in range(1, n_perm + 1):
+        order = hashed[hashed["b"] == b].set_index("key")["h"]
+        permuted = np.empty_like(inner)
+        for s in LV["site"]:
+            place = np.flatnonzero(rows["site"] == s)
+            permuted[place] = inner[sorted(place, key=lambda i: order[i])]
+        hits += f_of(permuted) >= observed - 1e-8
+    assert got["p"] == pytest.approx((1 + hits) / (n_perm + 1))
