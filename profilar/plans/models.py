@@ -14,7 +14,7 @@ from profilar.plans import bindings as b
 from profilar.plans.registry import query
 from profilar.plans.relations import CELL_COVARIATES, MD, rom_table
 from profilar.plans.sql_text import (coefficient_rows, covariance, cross_products, eigenpairs, multi_fit,
-                                       normal_quantile, orthogonal_steps, restricted_search, stacked_models, sweep,
+                                       nested_search, normal_quantile, orthogonal_steps, restricted_search, stacked_models, sweep,
                                        variance_search)
 from profilar.session import save_and_reload
 
@@ -520,14 +520,25 @@ def level_estimates(spark, folder):
     return _rounded(meta.facet_table(*parts).select("term", "estimate", "se", "size"), 5)
 
 
-@query("quadratic_nested", "E11 E15 F15 A10")
+QUADRATIC_ADDED = intercept_and("n_added", n_added2="`n_added` * `n_added`")
+
+
+@query("quadratic_nested", "E11", META + ", rows AS (" + stacked_models(
+    {"m": ("j", ["1", "n_added", "n_added * n_added"], "true")}, 3, "yi", "vi") + ")," + nested_search("rows", 3) + ", co AS (" + coefficient_rows({"m": ["intrcpt", "n_added", "n_added2"]}) + """)
+SELECT term, estimate, se, round(t, 5) AS tau2, round(s, 5) AS sigma2, round(ll, 5) AS loglik FROM co, fit""")
 def quadratic_nested(spark, folder):
+    fits = mixed.fit(_rom(spark, folder), [QUADRATIC_ADDED], random="group/row")
+    table = meta.coefficients(fits).join(fits.select("model", "tau2", "sigma2", "loglik"), "model")
+    return _rounded(table.select("term", "estimate", "se", "tau2", "sigma2", "loglik"), 5)
+
+
+@query("quadratic_prediction", "E11 E15 F15 A10")
+def quadratic_prediction(spark, folder):
     rom = _rom(spark, folder)
-    model = intercept_and("n_added", **{"n_added2": "`n_added` * `n_added`"})
-    fits = mixed.fit(rom, [model], random="group/row")
+    fits = mixed.fit(rom, [QUADRATIC_ADDED], random="group/row")
     limits = rom.agg(F.struct(F.min("n_added").alias("lo"), F.max("n_added").alias("hi")).alias("s")).scalar()
     grid = spark.range(100).select((limits["lo"] + F.col("id") * (limits["hi"] - limits["lo"]) / 99).alias("n_added"),
-                                   F.lit(model.name).alias("model"))
+                                   F.lit(QUADRATIC_ADDED.name).alias("model"))
     return _rounded(meta.predict(fits, grid, {"intrcpt": "1D", "n_added": "n_added", "sq": "n_added * n_added"}), 5)
 
 

@@ -261,3 +261,44 @@ def coefficient_rows(names: dict[str, Sequence[str]], digits: int = 5) -> str:
             parts.append(f"SELECT '{key}' AS model, '{t}' AS term, round(b{i}, {digits}) AS estimate, "
                          f"round(sqrt(v{i}_{i} * scale), {digits}) AS se FROM fit WHERE key = '{key}'")
     return "\nUNION ALL ".join(parts)
+
+
+def nested_search(source: str, p: int, rounds: int = 8, points: int = 12) -> str:
+    """As :func:`restricted_search` with a second variance ``t`` on every row. Result CTE ``fit``."""
+    text = [cross_products("xx", source, p, "yi"), sweep("xs", "xx", p, ["key"])]
+    text.append(f"nn AS MATERIALIZED (SELECT key, any_value(p) AS p, count(*)::DOUBLE AS n, avg(vi) AS unit FROM {source} GROUP BY 1)")
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    w = "1 / (vi + t)"
+    cells = [f"sum({w}) AS w", f"sum({w} * yi) AS wy", f"sum({w} * yi * yi) AS wyy", "sum(ln(vi + t)) AS lnv"]
+    cells += [f"sum({w} * x{i}) AS wx{i}" for i in range(p)] + [f"sum({w} * x{i} * yi) AS wxy{i}" for i in range(p)]
+    cells += [f"sum({w} * x{i} * x{j}) AS wxx{i}_{j}" for i, j in pairs]
+    g = "s / (1 + s * w)"
+    sums = [f"sum(wxx{i}_{j} - {g} * wx{i} * wx{j}) AS a{i}_{j}" for i, j in pairs]
+    sums += [f"sum(wxy{i} - {g} * wx{i} * wy) AS c{i}" for i in range(p)]
+    sums += [f"sum(wyy - {g} * wy * wy) AS q", "sum(lnv + ln(1 + s * w)) AS d"]
+    text.append("ax0 AS (SELECT key, 0.0::DOUBLE AS x FROM nn UNION ALL "
+                f"SELECT key, unit * exp(-14 + 25.0 * i / {points - 1}) FROM nn, range({points}) r(i))")
+    text.append("gr0 AS MATERIALIZED (SELECT a.key, a.x AS t, b.x AS s FROM ax0 a JOIN ax0 b USING (key))")
+    for r in range(rounds + 1):
+        text.append(f"gs{r} AS MATERIALIZED (SELECT key, site, t, {', '.join(cells)} FROM {source} "
+                    f"JOIN (SELECT DISTINCT key, t FROM gr{r}) USING (key) GROUP BY key, site, t)")
+        text.append(f"su{r} AS MATERIALIZED (SELECT key, t, s, {', '.join(sums)} FROM gs{r} JOIN gr{r} USING (key, t) GROUP BY key, t, s)")
+        text.append(sweep(f"sw{r}", f"su{r}", p, ["key", "t", "s", "d"]))
+        text.append(f"li{r} AS MATERIALIZED (SELECT f.*, nn.n, p, 1.0 AS scale, -0.5 * ((n - p) * ln(2 * pi()) + d + f.rss) "
+                    f"+ 0.5 * xs.lndet - 0.5 * f.lndet AS ll FROM sw{r} f JOIN nn USING (key) JOIN xs USING (key))")
+        text.append(f"to{r} AS MATERIALIZED (SELECT key, arg_max(t, ll) AS bt, arg_max(s, ll) AS bs FROM li{r} GROUP BY 1)")
+        if r < rounds:
+            for x, best in (("t", "bt"), ("s", "bs")):
+                text.append(
+                    f"n{x}{r} AS (SELECT key, any_value({best}) AS best, max({x}) FILTER ({x} < {best}) AS prev, "
+                    f"min({x}) FILTER ({x} > {best}) AS next FROM li{r} JOIN to{r} USING (key) GROUP BY 1)")
+                text.append(
+                    f"b{x}{r} AS (SELECT key, best, coalesce(prev, CASE WHEN best > 0 THEN best * best / next ELSE 0 END) AS lo, "
+                    f"coalesce(next, CASE WHEN prev > 0 THEN best * best / prev ELSE 2 * best END) AS hi FROM n{x}{r})")
+                text.append(
+                    f"v{x}{r} AS (SELECT key, best AS {x} FROM b{x}{r} UNION SELECT key, CASE WHEN lo > 0 "
+                    f"THEN lo * pow(hi / lo, i / {points - 1}.0) ELSE lo + (hi - lo) * i / {points - 1}.0 END "
+                    f"FROM b{x}{r}, range({points}) r(i))")
+            text.append(f"gr{r + 1} AS MATERIALIZED (SELECT key, t, s FROM vt{r} JOIN vs{r} USING (key))")
+    text.append(f"fit AS (SELECT li.* FROM li{rounds} li JOIN to{rounds} USING (key) WHERE t = bt AND s = bs)")
+    return ",\n".join(text)
