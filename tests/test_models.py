@@ -279,7 +279,7 @@ def test_single_effect_gets_no_extra_variance(spark):
                                "o string, site string, yi double, vi double")
     for random in ("row", "group", "group/row"):
         got = {r["model"]: r for r in mixed.fit(df, [mixed.intercept_and()], outcome="o", random=random).collect()}
-        assert got["a|1"]["sigma2"] == got["a|1"]["tau2"] == 0.0 and got["a|1"]["beta"] == [1.0]
+        assert got["a|1"]["sigma2"] == got["a|1"]["tau2"] == 0.0 and got["a|1"]["beta"] == pytest.approx([1.0])
         assert got["b|1"]["beta"][0] == pytest.approx(1.5)
 
 
