@@ -32,7 +32,7 @@ def test_ids_and_text(spark):
     assert values(spark, scalar.normalise_id("x", "X"), "X268_1", "X001") == [None, "1"]
     assert values(spark, scalar.capitalise_words("x"), "abc dEF", "a") == ["Abc DEF", "A"]
     assert values(spark, scalar.capitalise_words("x", strict=True), "abc dEF") == ["Abc Def"]
-    assert values(spark, scalar.name_part("x", 3), "Compound_US_BR.csv", "short") == ["BR", None]
+    assert values(spark, scalar.name_part("x", 3), "Peaks_east_AA.csv", "short") == ["AA", None]
     assert values(spark, scalar.roll_up("x", {"C": ["a", "b"]}), "a", "z", None) == ["C", "z", None]
     assert values(spark, scalar.map_values("x", {"a": "A"}), "a", "z", None) == ["A", "z", None]
 
@@ -63,13 +63,13 @@ def test_na_rule_in_summaries(spark):
 
 def test_csv_traits(spark, tmp_path):
     text = "﻿id,Window,Comp,Group\r\n1,W1,\"a, b\",α-x\r\n2,W2,,\r\n"
-    path = tmp_path / "Compound_US_BR.csv"
+    path = tmp_path / "Peaks_east_AA.csv"
     path.write_bytes(text.encode("utf-8"))
     df = files.read_csv(spark, str(path), "id int, Window string, Comp string, Group string")
     rows = {r["Window"]: (r["Comp"], r["Group"]) for r in df.collect()}
     assert rows == {"W1": ("a, b", "α-x"), "W2": (None, None)}
-    tagged = files.read_folder(spark, str(tmp_path), "Compound_US*", df.schema, {"kind": 2, "site": 3})
-    assert {(r["kind"], r["site"]) for r in tagged.collect()} == {("US", "BR")}
+    tagged = files.read_folder(spark, str(tmp_path), "Peaks_east*", df.schema, {"kind": 2, "site": 3})
+    assert {(r["kind"], r["site"]) for r in tagged.collect()} == {("east", "AA")}
 
 
 def test_whitespace_table(spark, tmp_path):
