@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profilar.llm import bpe, decontaminate, language, line_dedup, quality, sharding, simhash, sql_text, token_counts
+from profilar.llm import (bpe, decontaminate, language, line_dedup, main_text, quality, sharding, simhash, sql_text,
+                          token_counts, vector_index)
 from profilar.llm.registry import query
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +57,19 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
 
+@query("op6_main_text")
+def main_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    read = main_text.extract(pages, main_text.learn(pages))
+    return read.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op7_nearest")
+def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_index.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 @query("op8_language")
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
