@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 from itertools import product
 
@@ -128,6 +129,16 @@ class Design:
                 if not any(parts(t) < parts(o) for o in self.terms)]
 
 
+def level_text(value: object) -> str:
+    """A factor level as the text that a cast of its column to string gives."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float) and value and not 1e-3 <= abs(value) < 1e7:
+        digits, _, power = f"{Decimal(repr(value)).normalize():E}".partition("E")
+        return f"{digits if '.' in digits else digits + '.0'}E{int(power)}"
+    return str(value)
+
+
 def double_text(value: float) -> str:
     """A double literal in SQL text."""
     return f"({float(value)!r}D)"
@@ -143,7 +154,7 @@ def column_text(col: DesignColumn, numerics: Mapping[str, str]) -> str:
     value = f"CAST(({numerics[col.numeric]}) AS DOUBLE)" if col.numeric else "1D"
     if not col.levels:
         return value
-    test = " AND ".join(f"`{f}` = {quoted_text(level)}" for f, level in col.levels)
+    test = " AND ".join(f"CAST(`{f}` AS STRING) = {quoted_text(level_text(level))}" for f, level in col.levels)
     return f"CASE WHEN {test} THEN {value} ELSE 0D END"
 
 

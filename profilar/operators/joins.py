@@ -43,7 +43,7 @@ def natural_left(left: DataFrame, right: DataFrame, expected: Sequence[str]) ->
 
 def annotate(fact: DataFrame, dimension: DataFrame, keys: Sequence[str] = ("site", "window")) -> DataFrame:
     """Attach annotation columns; rows without annotation stay with NULLs."""
-    return match(fact, dimension, keys, "left", null_safe=False)
+    return match(fact, dimension, keys, "left")
 
 
 def control_baseline(cells: DataFrame, *, by: Sequence[str], treatment: str, control: str,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilar.functions.distributions import Z_95, p_chi2, p_normal
+from profilar.functions.linalg import scaled_pinv
 from profilar.functions.nulls import ratio
 from profilar.operators import mixed
 from profilar.operators.aggregate import count_rows
@@ -29,14 +31,17 @@ def coefficients(fits: DataFrame) -> DataFrame:
 
 
 def information(fits: DataFrame, method: str = "REML") -> DataFrame:
-    """Fit statistics: log likelihood, AIC, BIC, AICc, heterogeneity and omnibus tests."""
+    """Fit statistics: log likelihood, AIC, BIC, AICc, heterogeneity and omnibus tests.
+
+    AICc is missing for a model with too few rows for its correction.
+    """
     k = F.col("p") + F.col("n_components")
     n = F.col("n") - F.col("p") if method == "REML" else F.col("n")
     aic = -2 * F.col("loglik") + 2 * k
     out = fits.select(
         "model", "n", "p", "n_groups", "sigma2", "tau2", "loglik", k.alias("df"), aic.alias("aic"),
         (-2 * F.col("loglik") + k * F.ln(n.cast("double"))).alias("bic"),
-        (-2 * F.col("loglik") + 2 * k * ratio(n, F.greatest(n - k - 1, F.lit(1)))).alias("aicc"),
+        (-2 * F.col("loglik") + 2 * k * ratio(n, F.when(n - k - 1 > 0, n - k - 1))).alias("aicc"),
         F.col("q_residual").alias("qe"), (F.col("n") - F.col("p")).alias("qe_df"),
         F.col("q_model").alias("qm"), F.col("q_model_df").alias("qm_df"))
     return out.withColumns({"qe_p": p_chi2("qe", "qe_df"), "qm_p": p_chi2("qm", "qm_df")})
@@ -62,16 +67,49 @@ def compare(fits: DataFrame, sets: Mapping[str, Sequence[str]] | None = None, me
     })
 
 
-def model_performance(fits: DataFrame, effects: DataFrame, y: str = "yi", v: str = "vi") -> DataFrame:
-    """Heterogeneity summaries: τ² + σ², H², I², with the information criteria."""
-    weights = effects.where(F.col(v) > 0).agg(
-        F.struct(F.sum(1 / F.col(v)).alias("s1"), F.sum(1 / F.col(v) ** 2).alias("s2"),
-                 F.count(F.lit(1)).alias("k")).alias("s")).scalar()
-    typical = (weights["k"] - 1) * weights["s1"] / (weights["s1"] ** 2 - weights["s2"])
+def _usable(model: mixed.Model, y: str, v: str) -> str:
+    """SQL test for the effects that a model can use."""
+    tests = [f"`{y}` IS NOT NULL", f"`{v}` > 0", *[f"({e}) IS NOT NULL" for e in model.columns.values()]]
+    return " AND ".join(tests + ([f"({model.where})"] if model.where else []))
+
+
+def typical_variance(effects: DataFrame, models: Sequence[mixed.Model], y: str = "yi", v: str = "vi") -> dict[str, float | None]:
+    """(k − p) / tr(P) per model, P the residual weight matrix: one pass of weighted cross products for all models."""
+    sums = []
+    for n, m in enumerate(models):
+        xs = [f"CAST(({e}) AS DOUBLE)" for e in m.columns.values()]
+        products = [f"sum(CASE WHEN {_usable(m, y, v)} THEN {a} * {b} / power(`{v}`, {power}) END)"
+                    for power in (1, 2) for a in xs for b in xs]
+        counts = [f"CAST(sum(CASE WHEN {_usable(m, y, v)} THEN 1 ELSE 0 END) AS DOUBLE)",
+                  f"sum(CASE WHEN {_usable(m, y, v)} THEN 1 / `{v}` END)"]
+        sums.append(F.expr(f"array({', '.join(counts + products)})").alias(f"m{n}"))
+    row, out = effects.agg(*sums).first(), {}
+    for n, m in enumerate(models):
+        p, (k, weight, *rest) = len(m.columns), row[f"m{n}"]
+        if any(r is None for r in (weight, *rest)) or k <= p:
+            out[m.name] = None
+            continue
+        once, twice = np.array(rest, dtype=float).reshape(2, p, p)
+        inverse, rank = scaled_pinv(once)
+        trace = weight - float(np.trace(inverse @ twice))
+        out[m.name] = (k - rank) / trace if trace > 0 else None
+    return out
+
+
+def model_performance(fits: DataFrame, effects: DataFrame, models: Sequence[mixed.Model] | None = None, y: str = "yi",
+                      v: str = "vi") -> DataFrame:
+    """Heterogeneity summaries per model: τ² + σ², H², I², with the information criteria.
+
+    ``models`` are those of ``fits``; without them every model is an intercept over all effects.
+    """
+    if models is None:
+        models = [mixed.intercept_and(name=r["model"]) for r in fits.select("model").distinct().collect()]
+    values = [(name, value) for name, value in typical_variance(effects, models, y, v).items()]
+    table = fits.sparkSession.createDataFrame(values, "model string, typical double")
     spread = F.col("sigma2") + F.col("tau2")
-    return information(fits).select(
-        "model", spread.alias("tau2"), ratio(spread, spread + typical).alias("i2"),
-        (1 + ratio(spread, typical)).alias("h2"), "qe", "qe_df", "qe_p", "aic", "bic", "aicc")
+    return match(information(fits), table, ["model"], "left", null_safe=False).select(
+        "model", spread.alias("tau2"), ratio(spread, spread + F.col("typical")).alias("i2"),
+        (1 + ratio(spread, "typical")).alias("h2"), "qe", "qe_df", "qe_p", "aic", "bic", "aicc")
 
 
 def with_level_counts(table: DataFrame, effects: DataFrame, column: str, kind: str) -> DataFrame:
@@ -103,18 +141,28 @@ def predict(fits: DataFrame, grid: DataFrame, terms: Mapping[str, Column | str])
     }).drop("beta", "vcov")
 
 
-def row_weights(effects: DataFrame, fits: DataFrame, *, key: str, v: str = "vi", group: str = "site") -> DataFrame:
-    """Percent weight of every effect: the diagonal of the inverse covariance."""
-    par = fits.select("model", "sigma2", "tau2")
-    model = par.first()["model"]
-    one = par.where(F.col("model") == model).select(F.struct("sigma2", "tau2").alias("s")).scalar()
-    w = effects.where(F.col(v) > 0).withColumn("__w", 1.0 / (F.col(v) + one["tau2"]))
-    sums = w.groupBy(group).agg(F.sum("__w").alias("__sw"))
-    joined = match(w, sums, [group], "left")
-    g = one["sigma2"] / (1 + one["sigma2"] * F.col("__sw"))
-    diag = joined.select(key, group, (F.col("__w") - g * F.col("__w") ** 2).alias("__d"))
-    total = diag.agg(F.sum("__d")).scalar()
-    return diag.select(key, group, (F.col("__d") * 100 / total).alias("weight"))
+def row_weights(effects: DataFrame, fits: DataFrame, *, key: str, v: str = "vi", y: str = "yi", group: str = "site",
+                models: Sequence[mixed.Model] | None = None) -> DataFrame:
+    """Percent weight of every effect in every model: the diagonal of the inverse covariance.
+
+    An effect counts in a model that can use it; ``models`` tells which columns each needs (none: an intercept). Effects
+    meet models, of which there are few, as an array of their variances.
+    """
+    if models is None:
+        models = [mixed.intercept_and(name=r["model"]) for r in fits.select("model").distinct().collect()]
+    use = F.lit(False)
+    for m in models:
+        use = use | ((F.col("__m.model") == m.name) & F.expr(_usable(m, y, v)))
+    variances = fits.agg(F.collect_list(F.struct("model", "sigma2", "tau2"))).scalar()
+    w = effects.withColumn("__m", F.explode(variances)).where(use).withColumns({
+        "model": F.col("__m.model"), "__s2": F.col("__m.sigma2"), "__w": 1.0 / (F.col(v) + F.col("__m.tau2"))})
+    sums = w.groupBy("model", group).agg(F.sum("__w").alias("__sw"))
+    joined = match(w, sums, ["model", group], "left")
+    g = F.col("__s2") / (1 + F.col("__s2") * F.col("__sw"))
+    diag = joined.select("model", key, group, (F.col("__w") - g * F.col("__w") ** 2).alias("__d"))
+    totals = diag.groupBy("model").agg(F.sum("__d").alias("__total"))
+    return match(diag, totals, ["model"], "left", null_safe=False).select(
+        "model", key, group, (F.col("__d") * 100 / F.col("__total")).alias("weight"))
 
 
 def pooled_moments(effects: DataFrame, by: Sequence[str] = (), y: str = "yi", v: str = "vi") -> DataFrame:

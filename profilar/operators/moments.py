@@ -15,18 +15,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilar.functions.linalg import unpack_symmetric
-from profilar.operators.design import Design, DesignColumn, double_text
+from profilar.operators.design import Design, DesignColumn, double_text, level_text
 
 MAX_CELLS = 20_000
 EXPRESSION_LIMIT = 24
 
 
-def complete_rows(df: DataFrame, factors: Sequence[str], numerics: Mapping[str, str]) -> DataFrame:
-    """Rows without a missing factor or number, numbers as named double columns ``v0, v1 …``."""
+def complete_rows(df: DataFrame, factors: Sequence[str], numerics: Mapping[str, str],
+                  levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Rows without a missing factor or number, numbers as named double columns ``v0, v1 …``.
+
+    Factors become text. A value outside the given ``levels`` of its factor is missing.
+    """
     out = df.select(
         "*", *[F.expr(e).cast("double").alias(f"v{i}") for i, e in enumerate(numerics.values())]
-    )
+    ).withColumns({f: F.col(f).cast("string") for f in factors})
     test = F.lit(True)
+    for f in factors:
+        if levels and f in levels:
+            test = test & F.col(f).isin([level_text(v) for v in levels[f]])
     for c in [*factors, *[f"v{i}" for i in range(len(numerics))]]:
         test = test & F.col(c).isNotNull()
     return out.where(test)
@@ -41,10 +48,14 @@ def shifts(df: DataFrame, numerics: Mapping[str, str]) -> dict[str, float]:
 
 
 def moment_rows(df: DataFrame, by: Sequence[str], numerics: Mapping[str, str],
-                shift: Mapping[str, float] | None = None, factors: Sequence[str] = ()) -> DataFrame:
+                shift: Mapping[str, float] | None = None, factors: Sequence[str] = (),
+                levels: Mapping[str, Sequence] | None = None) -> DataFrame:
     """One row per ``by`` and factor cell: ``upper``, the upper triangle of Σ[1,v][1,v]'."""
     keys = [*by, *[f for f in factors if f not in by]]
-    rows = complete_rows(df, keys, numerics)
+    plain = [k for k in by if k not in factors]
+    rows = complete_rows(df, factors, numerics, levels)
+    for k in plain:
+        rows = rows.where(F.col(k).isNotNull())
     shift = shift or {}
     values = ["1D"] + [f"(v{i} - {double_text(shift.get(n, 0.0))})" for i, n in enumerate(numerics)]
     size = len(values)
@@ -108,7 +119,8 @@ class Moments:
         out = np.ones(len(self.cells))
         for f, level in col.levels:
             i = self.factors.index(f)
-            out *= np.array([1.0 if str(c[i]) == str(level) else 0.0 for c in self.cells])
+            wanted = level_text(level)
+            out *= np.array([1.0 if c[i] == wanted else 0.0 for c in self.cells])
         return out
 
     def cross(self, left: Sequence[DesignColumn], right: Sequence[DesignColumn]) -> np.ndarray:
@@ -136,10 +148,10 @@ def collect_moments(df: DataFrame, design: Design, responses: Sequence[str],
     Numeric columns are centred by their mean unless ``shift`` says otherwise.
     """
     numerics = {**design.numerics(), **{r: f"`{r}`" for r in responses}}
+    factors = design.factors
     if shift is None:
         shift = shifts(df, numerics)
-    factors = design.factors
-    rows = moment_rows(df, [], numerics, shift, factors).limit(MAX_CELLS + 1).collect()
+    rows = moment_rows(df, [], numerics, shift, factors, design.levels).limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} factor cells")
     size = len(numerics) + 1

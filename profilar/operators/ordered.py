@@ -14,95 +14,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilar.operators.joins import match
+from profilar.session import save_and_reload
 
-BLOCKS = 64
-_SAMPLE_PER_BLOCK = 16
+#: Rows of one range; their number follows from the table's size.
+RANGE_ROWS = 100_000
+NA_RULES = ("skip", "propagate")
 
 
-def _cut_points(df: DataFrame, order: Sequence[str], blocks: int) -> list[tuple]:
-    """Range limits from a fixed-size sample of order keys.
+def _in_ranges(df: DataFrame, order: Sequence[str], range_rows: int) -> DataFrame:
+    """``df`` dealt out by ranges of ``order``, with the range number in ``__block``.
 
-    The sample only balances the ranges; results do not depend on it.
+    Written once: rows and range sums then agree on the ranges, and what lies
+    before is computed a single time.
     """
-    size = blocks * _SAMPLE_PER_BLOCK
-    rows = (
-        df.select(*order)
-        .orderBy(F.xxhash64(*order))
-        .limit(size)
-        .collect()
-    )
-    if len(rows) < size:
-        return []
-    # The shortest leading part that still separates the sample keeps comparisons cheap.
-    for width in range(1, len(order) + 1):
-        keys = sorted({tuple(r)[:width] for r in rows}, key=lambda t: tuple((v is not None, v) for v in t))
-        if len(keys) >= size // 2:
-            break
-    step = max(1, len(keys) // blocks)
-    return keys[step::step]
-
-
-def _less_than(order: Sequence[str], limit: tuple) -> Column:
-    """Row key < limit, missing values first."""
-    test = F.lit(False)
-    for name, value in reversed(list(zip(order, limit))):
-        col = F.col(name)
-        if value is None:
-            test = col.isNull() & test
-        else:
-            test = col.isNull() | (col < F.lit(value)) | ((col == F.lit(value)) & test)
-    return F.coalesce(test, F.lit(False))
-
-
-def _block(order: Sequence[str], limits: list[tuple], low: int = 0) -> Column:
-    """Balanced comparison tree: about log2(blocks) comparisons per row."""
-    if not limits:
-        return F.lit(low)
-    mid = len(limits) // 2
-    return F.when(
-        _less_than(order, limits[mid]), _block(order, limits[:mid], low)
-    ).otherwise(_block(order, limits[mid + 1:], low + mid + 1))
-
-
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, str],
-                  blocks: int = BLOCKS) -> DataFrame:
+    ranges = max(1, -(-df.count() // range_rows))
+    return save_and_reload(df.repartitionByRange(ranges, *order).withColumn("__block", F.spark_partition_id()), "ranges")
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, str], *,
+                  na: str = "skip", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Inclusive running sums within ``keys`` along ``order``.
 
     ``totals`` maps an output name to the summed column. (keys, order) must be
-    unique: add a tie-breaker to ``order`` where it is not.
+    unique: add a tie-breaker to ``order`` where it is not. Missing values add
+    nothing and the sum is missing until the first value (``na="skip"``), or
+    every sum from the first missing value on is missing (``na="propagate"``).
     """
+    if na not in NA_RULES:
+        raise ValueError(f"na must be one of {NA_RULES}")
     keys = list(keys)
-    limits = _cut_points(df, order, blocks)
-    if not limits:  # fewer rows than the sample size: one range is enough
-        whole = (
-            Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumns({out: F.sum(c).over(whole) for out, c in totals.items()})
-    tagged = df.withColumn("__block", _block(order, limits))
+    tagged = _in_ranges(df, order, range_rows)
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*keys, "__block")
-        .agg(*[F.sum(c).alias(f"__sum_{out}") for out, c in totals.items()])
-        .select(*keys, "__block",
-                *[F.coalesce(F.sum(f"__sum_{out}").over(before), F.lit(0)).alias(f"__before_{out}")
-                  for out in totals])
-    )
+    parts = {out: (F.sum(c), F.count(c), F.count(F.lit(1)) - F.count(c)) for out, c in totals.items()}
+    offsets = tagged.groupBy(*keys, "__block").agg(*[
+        a.alias(f"__{name}_{out}") for out, found in parts.items() for name, a in zip(("sum", "seen", "gone"), found)])
+    offsets = offsets.select(*keys, "__block", *[
+        F.coalesce(F.sum(f"__{name}_{out}").over(before), F.lit(0)).alias(f"__before_{name}_{out}")
+        for out in totals for name in ("sum", "seen", "gone")])
     inside = (
         Window.partitionBy(*keys, "__block")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     joined = match(tagged, offsets, [*keys, "__block"], "inner")
-    return joined.withColumns(
-        {out: F.sum(c).over(inside) + F.col(f"__before_{out}") for out, c in totals.items()}
-    ).drop("__block", *[f"__before_{out}" for out in totals])
 
+    def total(out: str, c: str) -> Column:
+        value = F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__before_sum_{out}")
+        seen = F.count(c).over(inside) + F.col(f"__before_seen_{out}")
+        gone = F.count(F.lit(1)).over(inside) - F.count(c).over(inside) + F.col(f"__before_gone_{out}")
+        return F.when(seen > 0 if na == "skip" else gone == 0, value)
 
-def sequence_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "seq",
-                      blocks: int = BLOCKS) -> DataFrame:
+    return joined.select(*df.columns, *[total(out, c).alias(out) for out, c in totals.items()])
+
+
+def sequence_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "seq", *,
+                      range_rows: int = RANGE_ROWS) -> DataFrame:
     """1, 2, 3 … within ``keys`` along a unique ``order``; no keys numbers the whole table."""
     counted = df.withColumn("__one", F.lit(1).cast("bigint"))
-    return running_total(counted, keys, order, {out: "__one"}, blocks).drop("__one")
+    return running_total(counted, keys, order, {out: "__one"}, range_rows=range_rows).drop("__one")
 
 
 def extreme_rows(df: DataFrame, keys: Sequence[str], order: str, which: str = "min") -> DataFrame:
@@ -190,6 +159,13 @@ def sort_by_levels(df: DataFrame, column: str, levels: Sequence[str], *then: str
     return keyed.orderBy(F.col("__order").asc_nulls_last(), *then).drop("__order")
 
 
+def renumbered(df: DataFrame, column: str, levels: Sequence[str], out: str) -> DataFrame:
+    """Code of each value among the levels that occur, from 1; other values have none."""
+    kept = used_levels(df, column, levels)
+    place = F.array_position(F.array(*[F.lit(v) for v in kept]).cast("array<string>"), F.col(column).cast("string"))
+    return df.withColumn(out, F.when(place > 0, place.cast("bigint")))
+
+
 def used_levels(df: DataFrame, column: str, levels: Sequence[str]) -> list[str]:
     """Levels that occur, in their given order (bounded by the level list)."""
     seen = {r[0] for r in df.where(F.col(column).isin(list(levels))).select(column).distinct().collect()}

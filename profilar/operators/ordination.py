@@ -224,7 +224,7 @@ def redundancy_by(df: DataFrame, group: str, species: Sequence[str], constraint:
     numerics = {**design.numerics(), **{s: f"`{s}`" for s in species}}
     factors = design.factors
     shift = shifts(df, numerics)
-    rows = moment_rows(df, [group], numerics, shift, factors)
+    rows = moment_rows(df, [group], numerics, shift, factors, design.levels)
     cols, ys = design.columns(), as_columns(species)
     z = condition_places(design, condition)
     names, species = list(numerics), list(species)

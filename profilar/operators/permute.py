@@ -23,27 +23,24 @@ from profilar.operators.ordered import sequence_in_group
 from profilar.operators.ordination import Ordination, condition_places, full_design
 from profilar.session import save_and_reload
 
-ONE_TASK_STRATUM = 200_000
-HASH_BLOCKS = 64
+#: Rows of a stratum ranked in one task, about; longer strata are ranked over as many hash ranges as they need.
+RANGE_ROWS = 100_000
 CHUNK = 250
 CLOSE = float(np.sqrt(np.finfo(float).eps))
 
 
 def _shuffled_rank(rows: DataFrame, strata: Sequence[str], largest: int) -> DataFrame:
-    """``__rank`` of every row within (permutation, stratum) by its hash."""
+    """``__to``: rank of every row within (permutation, stratum) by its hash, over ranges of the hash."""
     keys = ["__b", *strata]
-    if largest <= ONE_TASK_STRATUM:
-        return rows.withColumn("__rank", F.row_number().over(
-            Window.partitionBy(*keys).orderBy("__h", "__key")).cast("bigint"))
-    blocked = rows.withColumn("__blk", F.shiftright("__h", 58))
+    bits = max(0, (max(1, largest) - 1) // RANGE_ROWS).bit_length()
+    ranged = rows.withColumn("__blk", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("bigint"))
     before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__c"))
+        ranged.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__c"))
         .select(*keys, "__blk", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
     )
     inside = Window.partitionBy(*keys, "__blk").orderBy("__h", "__key")
-    return match(blocked, offsets, [*keys, "__blk"], "inner").withColumn(
-        "__rank", F.row_number().over(inside) + F.col("__off"))
+    return match(ranged, offsets, [*keys, "__blk"], "inner").withColumn("__to", F.row_number().over(inside) + F.col("__off"))
 
 
 def permuted_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[str], n_x: int, n_y: int,
@@ -51,19 +48,23 @@ def permuted_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[s
     """Σ[1,x]·y' per permutation and factor cell.
 
     ``base`` has ``__key``, ``__place`` (its rank in the stratum), strata,
-    factors, x0… and y0…. Permutation 0 leaves the rows as they are.
+    factors, x0… and y0…. Permutation 0 leaves the rows as they are. Only
+    (permutation, place, rank) rows are multiplied and shuffled; responses and
+    design meet them in the last joins, ahead of the map-side sums. A missing
+    stratum is a stratum.
     """
     ys = [f"y{j}" for j in range(n_y)]
-    shuffled = base.select("__key", *strata, *ys).withColumn(
+    shuffled = base.select("__key", "__place", *strata).withColumn(
         "__b", F.explode(F.sequence(F.lit(first), F.lit(last))))
     shuffled = shuffled.withColumn("__h", F.xxhash64(F.lit(seed), "__b", "__key"))
-    ranked = _shuffled_rank(shuffled, strata, largest).select(
-        "__b", *strata, F.col("__rank").alias("__place"), *ys)
-    kept = base.select("__place", *strata, *[f for f in factors if f not in strata],
-                       *[f"x{i}" for i in range(n_x)])
-    paired = match(ranked, kept, [*strata, "__place"], "inner", null_safe=False)
+    ranked = _shuffled_rank(shuffled, strata, largest).select("__b", *strata, "__place", "__to")
+    kept = base.select(F.col("__place").alias("__to"), *strata,
+                       *[F.col(f).alias(f"__f{i}") for i, f in enumerate(factors)], *[f"x{i}" for i in range(n_x)])
+    paired = match(match(ranked, kept, [*strata, "__to"], "inner"), base.select("__place", *strata, *ys),
+                   [*strata, "__place"], "inner")
     xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(n_x)]
-    return paired.groupBy("__b", *factors).agg(
+    cells = [F.col(f"__f{i}").alias(f) for i, f in enumerate(factors)]
+    return paired.select("__b", *cells, *[f"x{i}" for i in range(n_x)], *ys).groupBy("__b", *factors).agg(
         F.array(*[F.sum(x * F.col(y)) for x in xs for y in ys]).alias("cross"))
 
 
@@ -87,7 +88,7 @@ def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design:
     factors = list(design.factors)
 
     shifted = {n: f"({e}) - {double_text(moments.shift[n])}" for n, e in numerics.items()}
-    complete = complete_rows(df, factors, {**numerics, **{r: f"`{r}`" for r in responses}})
+    complete = complete_rows(df, factors, {**numerics, **{r: f"`{r}`" for r in responses}}, design.levels)
     ys = [
         F.expr(f"`{r}` - {double_text(moments.shift[r])} - {combination_text(z_cols, coef[:, j], shifted)}").alias(f"y{j}")
         for j, r in enumerate(responses)
@@ -96,7 +97,10 @@ def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design:
         F.col(key).alias("__key"), *dict.fromkeys([*strata, *factors]),
         *[F.expr(shifted[n]).cast("double").alias(f"x{i}") for i, n in enumerate(names)], *ys)
     base = save_and_reload(sequence_in_group(base, strata, ["__key"], out="__place"), "permute")
-    largest = base.agg(F.max("__place")).first()[0] or 0
+    counted = base.agg(F.max("__place"), F.count(F.lit(1)), F.count_distinct("__key")).first()
+    if counted[1] != counted[2]:
+        raise ValueError(f"values of {key} are not unique")
+    largest = counted[0] or 0
 
     n_x, n_y = len(names), len(responses)
     tests = list(observed)

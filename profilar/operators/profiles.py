@@ -62,11 +62,12 @@ def append_ready_made(shares: DataFrame, extra: DataFrame, groups: Sequence[str]
 def profile_table(df: DataFrame, *, ids: Sequence[str], groups: Sequence[str], group: str = "grp",
                   value: str = "value", drop: Sequence[str] = BY_PRODUCTS,
                   classes: Mapping[str, Sequence[str]] = ROLL_UP, missing: str | None = None,
-                  extra: Mapping[str, Column] | None = None) -> DataFrame:
+                  other: str | None = None, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Drop, roll up, share and widen in one aggregation.
 
     Conditional sums per group and one total share a single shuffle, summed
-    map-side first. ``missing`` names a column for the share of the NULL group.
+    map-side first. ``missing`` names a column for the share of the NULL group,
+    ``other`` one for the share of groups not listed: with both, shares sum to 1.
     ``extra`` adds aggregates over all rows, by-products included, to the same pass.
     """
     kept = not_in(group, drop)
@@ -76,6 +77,8 @@ def profile_table(df: DataFrame, *, ids: Sequence[str], groups: Sequence[str], g
     sums = {g: F.col(group) == F.lit(g) for g in groups}
     if missing:
         sums[missing] = F.col(group).isNull()
+    if other:
+        sums[other] = F.col(group).isNotNull() & ~F.col(group).isin(list(groups))
     total = F.when(F.col("__kept"), F.col(value))
     wide = rows.groupBy(*ids).agg(
         *[F.coalesce(F.sum(F.when(F.col("__kept") & test, F.col(value))), F.lit(0.0)).alias(g)

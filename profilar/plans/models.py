@@ -21,7 +21,7 @@ from profilar.session import save_and_reload
 P = b.sql(b.SQL_PROFILES)
 T = b.sql(b.SQL_TABLE)
 H = [f"h_{g}" for g in b.GROUPS]
-PERMUTATIONS = 99
+PERMUTATIONS = 999
 LEVELS = {"site": b.SITES, "treatment": [b.CONTROL] + [t for t in b.TREATMENTS if t != b.CONTROL]}
 TREATMENT = Design([factor("treatment")], levels=LEVELS)
 SITE = Design([factor("site")], levels=LEVELS)
@@ -492,6 +492,20 @@ def random_effects(spark, folder):
     return _rounded(_rounded(out, 4, ["tau2"]), 5, ["i2", "h2", "qe", "aic"])
 
 
+@query("heterogeneity_per_model", "E14 E7", META + """,
+u AS (SELECT yi, vi, n_added AS x, 'intercept' AS model FROM j WHERE vi > 0 AND yi IS NOT NULL
+      UNION ALL SELECT yi, vi, n_added, 'moderator' FROM j WHERE vi > 0 AND yi IS NOT NULL AND n_added IS NOT NULL),
+s AS (SELECT model, count(*) AS k, sum(1 / vi) AS w, sum(x / vi) AS wx, sum(x * x / vi) AS wxx, sum(1 / (vi * vi)) AS v,
+             sum(x / (vi * vi)) AS vx, sum(x * x / (vi * vi)) AS vxx FROM u GROUP BY 1)
+SELECT model, round(CASE model WHEN 'intercept' THEN (k - 1) / (w - v / w)
+  ELSE (k - 2) / (w - (wxx * v - 2 * wx * vx + w * vxx) / (w * wxx - wx * wx)) END, 6) AS typical FROM s""")
+def heterogeneity_per_model(spark, folder):
+    """The typical sampling variance behind I² and H², for two models at once."""
+    models = [intercept_and(name="intercept"), intercept_and("n_added", name="moderator")]
+    found = meta.typical_variance(_rom(spark, folder), models)
+    return _rounded(spark.createDataFrame(list(found.items()), "model string, typical double"))
+
+
 @query("site_random_effects", "E8 E13 E14 DM10", META + "," + variance_search("j", "group") + """
 SELECT round(estimate, 5) AS estimate, round(sqrt(1 / a), 5) AS se, round(estimate * sqrt(a), 4) AS zval,
        round(estimate - 1.959963984540054 / sqrt(a), 5) AS ci_lb, round(s, 5) AS sigma2, round(ll, 5) AS loglik,
@@ -545,7 +559,7 @@ def quadratic_prediction(spark, folder):
 def _ranked(sets: str) -> str:
     """AICc rows from CTE ``fit``; one variance component."""
     return f""",
-ic AS (SELECT key AS model, p + 1 AS df, CASE WHEN n >= p THEN -2 * ll + 2.0 * (p + 1) * (n - p) / greatest(n - p - p - 2, 1) END AS aicc,
+ic AS (SELECT key AS model, p + 1 AS df, CASE WHEN n >= p THEN -2 * ll + 2.0 * (p + 1) * (n - p) / nullif(greatest(n - p - p - 2, 0), 0) END AS aicc,
               {sets} AS candidate_set FROM fit)
 SELECT model, CAST(df AS INTEGER) AS df, round(aicc, 4) AS aicc, candidate_set,
        round(aicc - min(aicc) OVER (PARTITION BY candidate_set), 4) AS delta,
@@ -623,7 +637,7 @@ wt AS (SELECT site, trt_id, yi, vi, d * 100 / sum(d) OVER () AS weight FROM d)""
 @query("model_weights", "E16", WEIGHTS + "SELECT trt_id, site, round(weight, 4) AS weight FROM wt")
 def model_weights(spark, folder):
     rom = _rom(spark, folder)
-    return _rounded(meta.row_weights(rom, mixed.fit(rom, [intercept_and()]), key="trt_id"), 4)
+    return _rounded(meta.row_weights(rom, mixed.fit(rom, [intercept_and()]), key="trt_id").drop("model"), 4)
 
 
 @query("forest_rows", "E19 E16 U1", WEIGHTS + """
@@ -634,7 +648,7 @@ UNION ALL SELECT 'intrcpt', round(estimate, 5), round(estimate - 1.9599639845400
 def forest_rows(spark, folder):
     rom = _rom(spark, folder)
     fits = mixed.fit(rom, [intercept_and()])
-    weights = meta.row_weights(rom, fits, key="trt_id")
+    weights = meta.row_weights(rom, fits, key="trt_id").drop("model")
     out = (meta.forest_table(rom, meta.coefficients(fits), label="trt_id", weights=weights))
     return _rounded(_rounded(out, 5, ["weight"]), 4, ["estimate", "ci_lb", "ci_ub"])
 

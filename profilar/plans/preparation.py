@@ -45,7 +45,8 @@ def tagged_scan(spark, folder):
     root = shared_folder(spark)
     source = b.table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     sinks.write_csv_per_key(source, root, "o_orderstatus")
-    paths = {s: os.path.join(root, f"o_orderstatus={s}") for s in ("F", "O", "P")}
+    found = [r[0] for r in source.select("o_orderstatus").distinct().collect()]
+    paths = {s: os.path.join(root, f"o_orderstatus={s}") for s in found}
     tagged = files.read_tagged(spark, paths, "o_orderkey bigint, o_totalprice double", "status")
     return tagged.groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), tidy(F.sum("o_totalprice"), 2).alias("total"))
@@ -187,12 +188,12 @@ def label_recode(spark, folder):
 
 @query("row_filters", "P7 N1 N2 N17", """
 WITH a AS (SELECT l_partkey, p_type, l_extendedprice FROM lineitem
-           LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON l_partkey = p_partkey)
+           LEFT JOIN (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_type END AS p_type FROM part) ON l_partkey = p_partkey)
 SELECT p_type AS grp, count(*) AS n, round(sum(l_extendedprice), 2) AS value FROM a
 WHERE p_type IS NULL OR p_type NOT IN ('PROMO', 'promo', 'LARGE') GROUP BY 1""")
 def row_filters(spark, folder):
-    # The dimension lacks some parts on purpose: their lines have no group and must stay.
-    part = b.table(spark, folder, "part").where("p_size > 5").select("p_partkey", "p_type")
+    # Small parts have no group: their lines must stay.
+    part = b.table(spark, folder, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_type")).alias("p_type"))
     lines = b.table(spark, folder, "lineitem")
     joined = lines.join(part, lines.l_partkey == part.p_partkey, "left")
     return (
@@ -249,14 +250,15 @@ def row_shares(spark, folder):
 
 
 @query("used_levels", "P12", """
-SELECT DISTINCT c_mktsegment AS treatment,
-  CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 3 ELSE 4 END AS level
-FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE', 'BUILDING')""")
+SELECT DISTINCT CASE WHEN c_mktsegment IN ('MACHINERY', 'FURNITURE', 'BUILDING') THEN c_mktsegment END AS treatment,
+  CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'BUILDING' THEN 3 END AS level
+FROM customer""")
 def used_levels(spark, folder):
-    df = b.table(spark, folder, "customer").where(F.col("c_mktsegment").isin("MACHINERY", "FURNITURE", "BUILDING"))
-    distinct = df.select(F.col("c_mktsegment").alias("treatment")).distinct()
+    """Levels that occur are numbered anew; the others lose their label."""
+    kept = F.when(F.col("c_mktsegment").isin("MACHINERY", "FURNITURE", "BUILDING"), F.col("c_mktsegment"))
+    distinct = b.table(spark, folder, "customer").select(kept.alias("treatment")).distinct()
     levels = ["MACHINERY", "AUTOMOBILE", "FURNITURE", "BUILDING", "HOUSEHOLD"]
-    return ordered.at_level_order(distinct, "treatment", levels, order_name="level")
+    return ordered.renumbered(distinct, "treatment", levels, "level")
 
 
 @query("wide_to_long", "R1 DM2", """

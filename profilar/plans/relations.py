@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from profilar.functions import nulls, scalar
 from profilar.functions.nulls import tidy
-from profilar.operators import aggregate, effects, joins, ordered, reconcile, reshape, shares
+from profilar.operators import aggregate, effects, joins, ordered, profiles, reconcile, reshape, shares
 from profilar.plans import bindings as b
 from profilar.plans.registry import query
 
@@ -29,11 +29,12 @@ WITH f AS (SELECT n_name AS site, o_custkey AS sample, l_partkey, sum(l_extended
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT site, p_type AS grp, count(*) AS n, round(sum(value), 2) AS value
-FROM f LEFT JOIN (SELECT * FROM part WHERE p_size < 48) ON l_partkey = p_partkey GROUP BY ALL""")
+FROM f LEFT JOIN (SELECT p_partkey, CASE WHEN p_size < 48 THEN p_type END AS p_type FROM part) ON l_partkey = p_partkey
+GROUP BY ALL""")
 def annotated_spectrum(spark, folder):
-    # The dimension lacks some parts on purpose: their lines are the unannotated windows.
-    dim = b.table(spark, folder, "part").where("p_size < 48").select(
-        F.col("p_partkey").alias("window"), F.col("p_type").alias("grp"))
+    # Large parts have no label: their lines are the unannotated windows.
+    dim = b.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("window"), F.when(F.col("p_size") < 48, F.col("p_type")).alias("grp"))
     facts = b.purchases(spark, folder).groupBy("sample", "window").agg(F.sum("value").alias("value"))
     sites = b.samples(spark, folder).select("sample", "site")
     joined = joins.annotate(facts.join(sites, "sample"), dim, ["window"])
@@ -91,18 +92,19 @@ def outer_label_merge(spark, folder):
 
 @query("outer_join_chain", "J4 Q7", """
 SELECT coalesce(a.k, s.k, c.k) AS k, a.n AS a_n, s.n AS s_n, c.n AS c_n
-FROM (SELECT p_name AS k, count(*) AS n FROM part WHERE p_brand = 'Brand#1' GROUP BY 1) a
-FULL JOIN (SELECT p_name AS k, count(*) AS n FROM part WHERE p_brand = 'Brand#2' GROUP BY 1) s ON a.k = s.k
-FULL JOIN (SELECT p_name AS k, count(*) AS n FROM part WHERE p_type = 'LARGE' GROUP BY 1) c ON coalesce(a.k, s.k) = c.k""")
+FROM (SELECT p_name AS k, p_partkey AS n FROM part WHERE p_brand = 'Brand#1') a
+FULL JOIN (SELECT p_name AS k, p_partkey AS n FROM part WHERE p_brand = 'Brand#2') s ON a.k = s.k
+FULL JOIN (SELECT p_name AS k, count(*) AS n FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2') GROUP BY 1) c
+  ON coalesce(a.k, s.k) = c.k""")
 def outer_join_chain(spark, folder):
     part = b.table(spark, folder, "part")
 
-    def counts(test, name):
-        return part.where(test).groupBy(F.col("p_name").alias("k")).agg(F.count(F.lit(1)).alias(name))
+    def rows(brand, name):  # names repeat within a brand: every pair of matches is a row
+        return part.where(F.col("p_brand") == brand).select(F.col("p_name").alias("k"), F.col("p_partkey").alias(name))
 
-    return joins.outer_chain([
-        counts(F.col("p_brand") == "Brand#1", "a_n"), counts(F.col("p_brand") == "Brand#2", "s_n"),
-        counts(F.col("p_type") == "LARGE", "c_n")], ["k"])
+    rest = part.where(~F.col("p_brand").isin("Brand#1", "Brand#2")).groupBy(F.col("p_name").alias("k")).agg(
+        F.count(F.lit(1)).alias("c_n"))
+    return joins.outer_chain([rows("Brand#1", "a_n"), rows("Brand#2", "s_n"), rest], ["k"])
 
 
 def _window_cell(source):
@@ -302,6 +304,43 @@ def running_total(spark, folder):
     return out.select("trt_id", "yr", tidy("added", 2).alias("added"))
 
 
+@query("running_total_missing", "W3 N5", """
+SELECT l_orderkey, l_linenumber, l_partkey,
+  round(sum(CASE WHEN l_quantity > 10 THEN l_extendedprice END) OVER w, 2) AS skipped,
+  CASE WHEN count(*) FILTER (l_quantity IS NULL OR l_orderkey > 900 AND l_quantity <= 10) OVER w = 0
+       THEN round(sum(l_extendedprice) OVER w, 2) END AS propagated
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)""")
+def running_total_missing(spark, folder):
+    """Running sums over a column with missing values, under both rules."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    df = b.table(spark, folder, "lineitem").select(
+        "l_returnflag", *order, F.when(F.col("l_quantity") > 10, F.col("l_extendedprice")).alias("some"),
+        F.when(~((F.col("l_orderkey") > 900) & (F.col("l_quantity") <= 10)), F.col("l_extendedprice")).alias("most"))
+    out = ordered.running_total(df, ["l_returnflag"], order, {"skipped": "some"}, range_rows=10_000)
+    out = ordered.running_total(out, ["l_returnflag"], order, {"propagated": "most"}, na="propagate", range_rows=10_000)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", tidy("skipped", 2).alias("skipped"),
+                      tidy("propagated", 2).alias("propagated"))
+
+
+@query("complete_shares", "P3 R4 N1", b.sql(b.SQL_LONG) + """,
+k AS (SELECT sample, CASE WHEN p_size < 45 THEN grp END AS grp, value FROM long JOIN part ON p_partkey = "window"
+      WHERE p_size >= 45 OR grp <> 'PROMO')
+SELECT sample, round(coalesce(sum(value) FILTER (grp = 'ECONOMY'), 0) / sum(value), 6) AS "ECONOMY",
+       round(coalesce(sum(value) FILTER (grp IS NULL), 0) / sum(value), 6) AS unlabelled,
+       round(coalesce(sum(value) FILTER (grp <> 'ECONOMY'), 0) / sum(value), 6) AS rest, 1.0::DOUBLE AS total
+FROM k GROUP BY 1""")
+def complete_shares(spark, folder):
+    """Shares of one listed group, of the unlabelled and of all others: they sum to 1."""
+    dim = b.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("window"), F.when(F.col("p_size") < 45, F.col("p_type")).alias("grp"))
+    lines = joins.annotate(b.purchases(spark, folder), dim, ["window"])
+    wide = profiles.profile_table(lines, ids=["sample"], groups=["ECONOMY"], drop=b.DROP, classes={},
+                                  missing="unlabelled", other="rest")
+    total = F.col("ECONOMY") + F.col("unlabelled") + F.col("rest")
+    return wide.select("sample", *[tidy(c).alias(c) for c in ("ECONOMY", "unlabelled", "rest")], tidy(total, 9).alias("total"))
+
+
 @query("running_total_lines", "W3", """
 SELECT l_orderkey, l_linenumber, l_partkey, round(sum(l_extendedprice) OVER (PARTITION BY l_returnflag
   ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING), 2) AS running

@@ -98,7 +98,7 @@ def test_permutation_identity_and_blocks(spark, rows, frame, monkeypatch):
     fit = ordination.redundancy(frame, SPECIES, design)
     plain = permute.permutation_test(frame, fit, key="key", strata=["site"], n_perm=60, seed=5).first()
     again = permute.permutation_test(frame.repartition(3), fit, key="key", strata=["site"], n_perm=60, seed=5).first()
-    monkeypatch.setattr(permute, "ONE_TASK_STRATUM", 1)
+    monkeypatch.setattr(permute, "RANGE_ROWS", 5)
     blocked = permute.permutation_test(frame, fit, key="key", strata=["site"], n_perm=60, seed=5).first()
     assert plain == again == blocked
 
@@ -284,7 +284,8 @@ def test_single_effect_gets_no_extra_variance(spark):
 
 
 def test_model_without_enough_rows_has_no_estimate(spark):
-    df = spark.createDataFrame([("s", 1.0, 0.2, 3.0, 6.0), ("t", 2.0, 0.3, 4.0, 8.0), ("t", 1.5, 0.3, 5.0, 10.0)],
+    df = spark.createDataFrame([("s", 1.0, 0.2, 3.0, 6.0), ("t", 2.0, 0.3, 4.0, 8.0), ("t", 1.5, 0.3, 5.0, 10.0),
+                                ("u", 1.2, 0.2, 6.0, 12.0), ("u", 1.8, 0.3, 7.0, 14.0), ("s", 1.6, 0.2, 8.0, 16.0)],
                                "site string, yi double, vi double, x double, twice double")
     models = [mixed.intercept_and(), mixed.intercept_and("x", where="x < 4", name="few"), mixed.intercept_and("x", "twice")]
     fits = mixed.fit(df, models)
@@ -292,7 +293,60 @@ def test_model_without_enough_rows_has_no_estimate(spark):
     assert got["few"]["loglik"] is None and got["1+x+twice"]["beta"] == [None] * 3
     assert got["1"]["loglik"] is not None
     ranks = {r["model"]: (r["rank"], r["aicc"]) for r in meta.compare(fits).collect()}
-    assert ranks["1"][0] == 1 and ranks["few"] == (2, None)
+    assert ranks["1"][0] == 1 and ranks["1"][1] is not None and ranks["few"] == (2, None)
+
+
+def test_criterion_is_missing_where_undefined(spark):
+    df = spark.createDataFrame([("s", 1.0, 0.2), ("t", 2.0, 0.3), ("t", 1.5, 0.3)], "site string, yi double, vi double")
+    assert meta.information(mixed.fit(df, [mixed.intercept_and()])).first()["aicc"] is None
+
+
+def test_boolean_and_unlisted_factor_levels(spark):
+    rng = np.random.default_rng(8)
+    data = [(bool(i % 2), ["a", "b", "c"][i % 3], float(2 * (i % 2) + rng.normal()), 1e7 if i % 2 else 0.5) for i in range(90)]
+    df = spark.createDataFrame(data, "flag boolean, g string, y double, d double")
+    from profilar.operators.moments import collect_moments
+    y = np.array([r[2] for r in data])
+    odd = np.array([r[0] for r in data])
+    for name, levels in (("flag", [False, True]), ("d", [0.5, 1e7])):
+        m = collect_moments(df, Design([factor(name)], levels={name: levels}), ["y"])
+        cols = Design([factor(name)], levels={name: levels}).columns()
+        assert m.cross(cols, cols)[1, 1] == 45
+        assert m.cross(cols[1:], [c for c in cols[:1]])[0, 0] == 45 and m.n == 90
+        assert m.cross(cols, cols).tolist() == [[90, 45], [45, 45]] and (y[odd].mean() > y[~odd].mean())
+    m = collect_moments(df, Design([factor("g")], levels={"g": ["a", "b"]}), ["y"])
+    assert m.n == 60  # rows of level c are not part of the model
+
+
+def test_weights_and_heterogeneity_of_two_models(spark, effects):
+    df, groups, x, y, v = effects
+    df = df.withColumn("z", F.when(F.col("id") % 4 != 0, F.col("x")))
+    models = [mixed.intercept_and(name="one"), mixed.intercept_and("z", name="two")]
+    fits = mixed.fit(df, models)
+    ids = np.arange(len(y))
+    got = {(r["model"], r["id"]): r["weight"] for r in meta.row_weights(df, fits, key="id", models=models).collect()}
+    typical = meta.typical_variance(df, models)
+    for r in fits.collect():
+        use = ids if r["model"] == "one" else ids[ids % 4 != 0]
+        g = (groups[use][:, None] == groups[use][None]).astype(float)
+        w = np.diag(np.linalg.inv(np.diag(v[use]) + r["sigma2"] * g))
+        assert [got[r["model"], i] for i in use] == pytest.approx(list(100 * w / w.sum()), rel=1e-8)
+        design = np.column_stack([np.ones(len(use)), x[use]])[:, :1 if r["model"] == "one" else 2]
+        a = np.diag(1 / v[use])
+        p = a - a @ design @ np.linalg.inv(design.T @ a @ design) @ design.T @ a
+        assert typical[r["model"]] == pytest.approx((len(use) - design.shape[1]) / np.trace(p))
+    assert len(got) == len(ids) + (ids % 4 != 0).sum()
+
+
+def test_missing_stratum_is_permuted(spark, frame):
+    from profilar.operators.ordered import sequence_in_group
+
+    some = frame.withColumn("site", F.when(F.col("site") != "s1", F.col("site")))
+    base = some.select(F.col("key").alias("__key"), "site", F.col("a").alias("y0"), F.lit(1.0).alias("x0"))
+    base = sequence_in_group(base, ["site"], ["__key"], out="__place")
+    got = permute.permuted_moments(base, ["site"], [], 1, 1, 1, 3, 1, 10).collect()
+    total = frame.agg(F.sum("a")).first()[0]
+    assert len(got) == 3 and all(r["cross"][0] == pytest.approx(total) for r in got)
 
 
 def test_weights_prediction_and_comparison(spark, effects):

@@ -22,17 +22,32 @@ def test_running_total_and_sequence(skewed):
     pdf = skewed.toPandas().sort_values(["t", "id"])
     pdf["k"] = pdf["k"].fillna("-")
     want = dict(zip(pdf["id"], pdf.groupby("k")["v"].cumsum()))
-    got = ordered.running_total(skewed, ["k"], ["t", "id"], {"s": "v"}, blocks=16)
+    got = ordered.running_total(skewed, ["k"], ["t", "id"], {"s": "v"}, range_rows=400)
     assert {r["id"]: r["s"] for r in got.collect()} == want
-    seq = ordered.sequence_in_group(skewed, [], ["t", "id"], blocks=8)
+    seq = ordered.sequence_in_group(skewed, [], ["t", "id"], range_rows=700)
     ranks = {r["id"]: r["seq"] for r in seq.collect()}
     assert [ranks[i] for i in pdf["id"]] == list(range(1, 6001))
 
 
-def test_small_table_takes_one_range(spark):
-    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("a", 3, 1.0)], "k string, t int, v double")
-    got = [r["s"] for r in ordered.running_total(df, ["k"], ["t"], {"s": "v"}).orderBy("t").collect()]
-    assert got == [2.0, 2.0, 3.0]
+@pytest.mark.parametrize("na,want", [("skip", [None, 2.0, 2.0, 3.0]), ("propagate", [None] * 4)])
+def test_running_total_of_few_rows(spark, na, want):
+    df = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 1.0)], "k string, t int, v double")
+    got = [r["s"] for r in ordered.running_total(df, ["k"], ["t"], {"s": "v"}, na=na).orderBy("t").collect()]
+    assert got == want
+
+
+@pytest.mark.parametrize("na", ["skip", "propagate"])
+@pytest.mark.parametrize("range_rows", [100, 5000])
+def test_running_total_with_missing_values(spark, na, range_rows):
+    rows = [("ab"[i % 2], i, None if i % 3 == 0 and i > 600 else float(i % 7)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    got = {r["t"]: r["s"] for r in ordered.running_total(df, ["k"], ["t"], {"s": "v"}, na=na, range_rows=range_rows).collect()}
+    totals, gone, want = {"a": 0.0, "b": 0.0}, set(), {}
+    for k, t, v in rows:
+        totals[k] += v or 0.0
+        gone |= {k} if v is None else set()
+        want[t] = None if na == "propagate" and k in gone else totals[k]
+    assert got == want
 
 
 def test_quantiles_match_numpy(skewed):
