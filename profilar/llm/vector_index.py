@@ -181,7 +181,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
 
     def rerank(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         if not len(near) or not len(far):
-            return pd.DataFrame({"p": [], "score": [], "ids": []})
+            return pd.DataFrame([], columns=["p", "score", "ids"], dtype=object)
         q, e, codes = _matrix(near["v"], width), _matrix(far["v"], width), far["j"].to_numpy()
         ids, out = far["ids"].to_numpy(), []
         lists = near["js"].to_numpy()
