@@ -59,9 +59,8 @@ def ngram_counts(text: str | None, order: int = ORDER, bits: int = BITS) -> np.n
         is_letter = letters[codes]
         seen = seen or bool(is_letter.any())
         codes = np.where(is_letter, codes, np.uint32(SPACE))
-        # runs of other characters count as one space
-        keep = np.ones(len(codes), dtype=bool)
-        keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
+        # runs of other characters count as one space, across parts too
+        keep = (codes != SPACE) | (np.concatenate([before[-1:], codes[:-1]]) != SPACE)
         codes = np.concatenate([before, codes[keep]])
         counts += np.bincount(_buckets(codes, order, bits), minlength=1 << bits)
         before = codes[len(codes) - order + 1:]

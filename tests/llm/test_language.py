@@ -15,10 +15,11 @@ def model(docs):
 def test_counts_every_part_of_a_text(monkeypatch):
     text = "Ab  cd, éf\n12 ghi " * 40
     whole = language.ngram_counts(text)
-    assert whole.sum() == len(" " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + "   ") + 0
-    for size in (5, 64):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    assert whole.sum() == len(" ".join(words) + " ") + 2  # the text ends with a space; two more at its end
+    for size in (1, 5, 64):
         monkeypatch.setattr(language, "BATCH_CHARS", size)
-        assert abs(language.ngram_counts(text) - whole).sum() <= 2 * len(text) / size  # spaces at cuts are not joined
+        assert (language.ngram_counts(text) == whole).all()
 
 
 def test_held_out_accuracy(spark, docs):
