@@ -13,9 +13,9 @@ from profilar.operators.moments import moment_rows
 from profilar.plans import bindings as b
 from profilar.plans.registry import query
 from profilar.plans.relations import CELL_COVARIATES, MD, rom_table
-from profilar.plans.sql_text import (coefficient_rows, covariance, cross_products, eigenpairs, multi_fit,
+from profilar.plans.sql_text import (chi2_tail, coefficient_rows, covariance, cross_products, eigenpairs, f_tail, multi_fit,
                                        nested_search, normal_quantile, orthogonal_steps, restricted_search, stacked_models, sweep,
-                                       variance_search)
+                                       t_tail, variance_search, z_tail)
 from profilar.session import save_and_reload
 
 P = b.sql(b.SQL_PROFILES)
@@ -484,12 +484,13 @@ def equal_effects_moderator(spark, folder):
 t AS (SELECT (count(*) - 1) * sum(1 / vi) / (power(sum(1 / vi), 2) - sum(1 / (vi * vi))) AS typical,
              sum(yi * yi / vi) - power(sum(yi / vi), 2) / sum(1 / vi) AS q FROM e)
 SELECT round(s, 5) AS tau2, round(s / (s + typical), 4) AS i2, round(1 + s / typical, 4) AS h2,
-       round(q, 4) AS qe, n - 1 AS qe_df, round(-2 * ll + 4, 4) AS aic FROM reml, t""")
+       round(q, 4) AS qe, n - 1 AS qe_df, round(-2 * ll + 4, 4) AS aic,
+       round(""" + chi2_tail("q", "n - 1") + """, 6) AS qe_p FROM reml, t""")
 def random_effects(spark, folder):
     rom = _rom(spark, folder)
     fits = mixed.fit(rom, [intercept_and()], random="row")
-    out = meta.model_performance(fits, rom).select("tau2", "i2", "h2", "qe", "qe_df", "aic")
-    return _rounded(_rounded(out, 4, ["tau2"]), 5, ["i2", "h2", "qe", "aic"])
+    out = meta.model_performance(fits, rom).select("tau2", "i2", "h2", "qe", "qe_df", "aic", tidy("qe_p").alias("qe_p"))
+    return _rounded(_rounded(out, 4, ["tau2", "qe_p"]), 5, ["i2", "h2", "qe", "aic", "qe_p"])
 
 
 @query("heterogeneity_per_model", "E14 E7", META + """,
@@ -509,12 +510,13 @@ def heterogeneity_per_model(spark, folder):
 @query("site_random_effects", "E8 E13 E14 DM10", META + "," + variance_search("j", "group") + """
 SELECT round(estimate, 5) AS estimate, round(sqrt(1 / a), 5) AS se, round(estimate * sqrt(a), 4) AS zval,
        round(estimate - 1.959963984540054 / sqrt(a), 5) AS ci_lb, round(s, 5) AS sigma2, round(ll, 5) AS loglik,
-       n, round(-2 * ll + 4.0 * (n - 1) / (n - 4), 4) AS aicc FROM reml""")
+       n, round(-2 * ll + 4.0 * (n - 1) / (n - 4), 4) AS aicc,
+       round(""" + z_tail("estimate * sqrt(a)") + """, 6) AS pval FROM reml""")
 def site_random_effects(spark, folder):
     fits = mixed.fit(_rom(spark, folder), [intercept_and()])
     out = meta.coefficients(fits).join(meta.information(fits), "model").select(
-        "estimate", "se", "zval", "ci_lb", "sigma2", "loglik", "n", "aicc")
-    return _rounded(_rounded(out, 4, ["estimate", "se", "ci_lb", "sigma2", "loglik"]), 5, ["zval", "aicc"])
+        "estimate", "se", "zval", "ci_lb", "sigma2", "loglik", "n", "aicc", tidy("pval").alias("pval"))
+    return _rounded(_rounded(out, 4, ["estimate", "se", "ci_lb", "sigma2", "loglik", "pval"]), 5, ["zval", "aicc", "pval"])
 
 
 @query("level_estimates", "E10 E13 A6 E19", LEVEL_SQL + ", co AS (" + coefficient_rows({
@@ -708,13 +710,14 @@ _FULL_NAMES = ["(Intercept)", "cn", *[f"treatment[{t}]" for t in OTHERS], *[f"cn
 
 @query("linear_model", "L1 L2", FULL_ROWS + "," + _design("fu", *_FULL) + "\n" + " UNION ALL ".join(
     f"SELECT '{n}' AS term, round(b{i}, 5) AS estimate, round(sqrt(v{i}_{i} * rss / (n - 11)), 5) AS se, "
-    f"round(b{i} / sqrt(v{i}_{i} * rss / (n - 11)), 4) AS t FROM fu"
+    f"round(b{i} / sqrt(v{i}_{i} * rss / (n - 11)), 4) AS t, "
+    f"round({t_tail(f'b{i} / sqrt(v{i}_{i} * rss / (n - 11))', 'n - 11')}, 6) AS p FROM fu"
     for i, n in enumerate(_FULL_NAMES) if n.startswith("cn") or n == "log(qty)"))
 def linear_model(spark, folder):
     """Coefficients that do not depend on where the covariates are centred."""
     table = regress.coefficient_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL))
-    kept = table.where("term LIKE 'cn%' OR term = 'log(qty)'").select("term", "estimate", "se", "t")
-    return _rounded(_rounded(kept, 5, ["t"]), 4, ["estimate", "se"])
+    kept = table.where("term LIKE 'cn%' OR term = 'log(qty)'").select("term", "estimate", "se", "t", "p")
+    return _rounded(_rounded(_rounded(kept, 5, ["t", "p"]), 4, ["estimate", "se", "p"]), 6, ["estimate", "se", "t"])
 
 
 @query("linear_model_all_terms", "L1 L2")
@@ -722,34 +725,41 @@ def linear_model_all_terms(spark, folder):
     return _rounded(regress.coefficient_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)))
 
 
+def _f_rows(table):
+    """An F table, rounded as in the SQL."""
+    return table.select("term", "df", tidy("sum_sq", 5).alias("sum_sq"), tidy("f", 4).alias("f"), tidy("p", 6).alias("p"))
+
+
 @query("linear_summary", "L1", LM + """,
 r AS (SELECT n, tss, tss - s1 - s2 - s3 AS rss FROM ss)
 SELECT n, CAST(n - 4 AS INTEGER) AS df_residual, round(sqrt(rss / (n - 4)), 6) AS sigma, round(1 - rss / tss, 6) AS r2,
        round(1 - rss / tss * (n - 1) / (n - 4), 6) AS adj_r2, round((tss - rss) / 3 / (rss / (n - 4)), 5) AS f,
        round(-n / 2.0 * (ln(2 * pi()) + ln(rss / n) + 1), 4) AS loglik,
-       round(n * (ln(2 * pi()) + ln(rss / n) + 1) + 10.0 * n / (n - 6), 4) AS aicc FROM r""")
+       round(n * (ln(2 * pi()) + ln(rss / n) + 1) + 10.0 * n / (n - 6), 4) AS aicc,
+       round(""" + f_tail("(tss - rss) / 3 / (rss / (n - 4))", "3", "n - 4") + """, 6) AS p FROM r""")
 def linear_summary(spark, folder):
-    out = regress.fit_summary(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)).drop("p")
+    out = regress.fit_summary(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC))
     out = _rounded(out, 6, ["f", "loglik", "aicc"])
-    return _rounded(_rounded(out, 4, ["sigma", "r2", "adj_r2", "f"]), 5, ["sigma", "r2", "adj_r2", "loglik", "aicc"])
+    return _rounded(_rounded(out, 4, ["sigma", "r2", "adj_r2", "f", "p"]), 5, ["sigma", "r2", "adj_r2", "loglik", "aicc", "p"])
 
 
 @query("sequential_terms", "L3 L2", LM + """,
 r AS (SELECT *, (tss - s1 - s2 - s3) AS rss, (tss - s1 - s2 - s3) / (n - 4) AS ms FROM ss)
-SELECT term, CAST(df AS INTEGER) AS df, round(ss, 5) AS sum_sq, round(f, 4) AS f FROM r, LATERAL (VALUES
+SELECT term, CAST(df AS INTEGER) AS df, round(ss, 5) AS sum_sq, round(f, 4) AS f,
+  CASE WHEN f IS NOT NULL THEN round(""" + f_tail("f", "df", "n - 4") + """, 6) END AS p FROM r, LATERAL (VALUES
   ('n_lines', 1, s1, s1 / ms), ('cn', 1, s2, s2 / ms), ('n_lines^2', 1, s3, s3 / ms), ('Residuals', n - 4, rss, NULL))
   AS x(term, df, ss, f)""")
 def sequential_terms(spark, folder):
-    out = regress.sequential_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)).drop("p")
-    return _rounded(_rounded(out, 5, ["f"]), 4, ["sum_sq"])
+    return _f_rows(regress.sequential_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)))
 
 
 @query("nested_models", "L3", LM + """
 SELECT '-n_lines^2' AS term, CAST(1 AS INTEGER) AS df, round(s3, 5) AS sum_sq,
-       round(s3 / ((tss - s1 - s2 - s3) / (n - 4)), 4) AS f FROM ss""")
+       round(s3 / ((tss - s1 - s2 - s3) / (n - 4)), 4) AS f,
+       round(""" + f_tail("s3 / ((tss - s1 - s2 - s3) / (n - 4))", "1", "n - 4") + """, 6) AS p FROM ss""")
 def nested_models(spark, folder):
     fit = regress.ols(_lm_rows(spark, folder), "lrr", QUADRATIC)
-    return _rounded(_rounded(regress.nested_test(spark, fit, "n_lines^2").drop("p"), 5, ["f"]), 4, ["sum_sq"])
+    return _f_rows(regress.nested_test(spark, fit, "n_lines^2"))
 
 
 @query("type_two_terms", "L4", FULL_ROWS + "," + ",".join([
@@ -757,12 +767,12 @@ def nested_models(spark, folder):
     _design("main", "1", "cn", "treatment", "log(qty)"), _design("nolq", "1", "cn", "treatment", "cn:treatment")]) + """,
 s2 AS (SELECT fu.rss / (fu.n - 11) AS ms, fu.n, fu.rss, nocn.rss - main.rss AS cn, notr.rss - main.rss AS tr,
               main.rss - fu.rss AS ia, nolq.rss - fu.rss AS lq FROM fu, nocn, notr, main, nolq)
-SELECT term, CAST(df AS INTEGER) AS df, round(ss, 5) AS sum_sq, round(CASE WHEN term <> 'Residuals' THEN ss / df / ms END, 4) AS f
+SELECT term, CAST(df AS INTEGER) AS df, round(ss, 5) AS sum_sq, round(CASE WHEN term <> 'Residuals' THEN ss / df / ms END, 4) AS f,
+  CASE WHEN term <> 'Residuals' THEN round(""" + f_tail("ss / df / ms", "df", "n - 11") + """, 6) END AS p
 FROM s2, LATERAL (VALUES ('cn', 1, cn), ('treatment', 4, tr), ('cn:treatment', 4, ia), ('log(qty)', 1, lq),
   ('Residuals', n - 11, rss)) AS x(term, df, ss)""")
 def type_two_terms(spark, folder):
-    out = regress.type_two_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)).drop("p")
-    return _rounded(_rounded(out, 5, ["f"]), 4, ["sum_sq"])
+    return _f_rows(regress.type_two_table(spark, regress.ols(_lm_rows(spark, folder), "lrr", FULL)))
 
 
 @query("linear_comparison", "L5", LM + """,
@@ -851,11 +861,13 @@ def residual_quantiles(spark, folder):
 @query("correlation_test", "L12", LINE + """CAST(count(*) AS BIGINT) AS n, round(corr(qty, n_lines), 6) AS r,
   round(corr(qty, n_lines) * sqrt((count(*) - 2) / (1 - power(corr(qty, n_lines), 2))), 5) AS t,
   round(tanh(atanh(corr(qty, n_lines)) - 1.959963984540054 / sqrt(count(*) - 3)), 6) AS ci_lb,
-  round(tanh(atanh(corr(qty, n_lines)) + 1.959963984540054 / sqrt(count(*) - 3)), 6) AS ci_ub FROM covariates""")
+  round(tanh(atanh(corr(qty, n_lines)) + 1.959963984540054 / sqrt(count(*) - 3)), 6) AS ci_ub,
+  round(""" + t_tail("corr(qty, n_lines) * sqrt((count(*) - 2) / (1 - power(corr(qty, n_lines), 2)))", "count(*) - 2")
+       + """, 6) AS p FROM covariates""")
 def correlation_test(spark, folder):
     out = regress.correlation_test(b.covariates(spark, folder), "qty", "n_lines")
     return out.select("n", tidy("r").alias("r"), tidy("t", 5).alias("t"), tidy("ci_lb").alias("ci_lb"),
-                      tidy("ci_ub").alias("ci_ub"))
+                      tidy("ci_ub").alias("ci_ub"), tidy("p").alias("p"))
 
 
 _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -302,3 +302,37 @@ def nested_search(source: str, p: int, rounds: int = 8, points: int = 12) -> str
             text.append(f"gr{r + 1} AS MATERIALIZED (SELECT key, t, s FROM vt{r} JOIN vs{r} USING (key))")
     text.append(f"fit AS (SELECT li.* FROM li{rounds} li JOIN to{rounds} USING (key) WHERE t = bt AND s = bs)")
     return ",\n".join(text)
+
+
+_SIMPSON = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def _simpson(integrand: str, width: str) -> str:
+    """Integral over [0, width] of an expression in ``u``, in 2,000 steps."""
+    step = f"(({width}) / 2000.0)"
+    body = integrand.replace("<u>", f"({step} * i)")
+    return f"(list_sum(list_transform(range(2001), lambda i: ({_SIMPSON}) * {body})) * {step} / 3)"
+
+
+def f_tail(f: str, df1: str, df2: str) -> str:
+    """P(F > f): an incomplete beta integral over the angle whose squared sine is df2 / (df2 + df1 f)."""
+    body = f"pow(sin(<u>), ({df2}) - 1) * pow(cos(<u>), ({df1}) - 1)"
+    angle = f"asin(sqrt(({df2}) / (({df2}) + ({df1}) * ({f}))))"
+    return f"({_simpson(body, angle)} / {_simpson(body, 'pi() / 2')})"
+
+
+def t_tail(t: str, df: str) -> str:
+    """P(|T| > |t|)."""
+    return f_tail(f"({t}) * ({t})", "1", df)
+
+
+def chi2_tail(x: str, df: str) -> str:
+    """P(X > x): the density of the square root, from there on."""
+    above = f"pow(sqrt({x}) + <u>, ({df}) - 1) * exp(-pow(sqrt({x}) + <u>, 2) / 2)"
+    whole = f"pow(<u>, ({df}) - 1) * exp(-pow(<u>, 2) / 2)"
+    return f"({_simpson(above, f'sqrt({df}) + 14')} / {_simpson(whole, f'sqrt({df}) + 14')})"
+
+
+def z_tail(z: str) -> str:
+    """P(|Z| > |z|)."""
+    return chi2_tail(f"({z}) * ({z})", "1")
