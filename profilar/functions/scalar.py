@@ -113,7 +113,7 @@ def capitalise_words(c: str | Column, strict: bool = False) -> Column:
     """Upper-case the first letter of each blank-separated word; ``strict`` lowers the rest."""
 
     def one(word: Column) -> Column:
-        rest = F.substring(word, 2, 1 << 20)
+        rest = F.substr(word, F.lit(2))
         return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(rest) if strict else rest)
 
     return F.array_join(F.transform(F.split(col_of(c), " "), one), " ")

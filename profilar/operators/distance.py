@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilar.functions.linalg import descending_eigen
+from profilar.functions.nulls import ratio
+from profilar.session import save_and_reload
 
 MAX_ANCHORS = 2_000
 
 
 def _metric(name: str):
     def bray(x, a):
-        return np.stack([np.abs(x - r).sum(1) / np.maximum((x + r).sum(1), 1e-300) for r in a], axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):  # two empty profiles have no distance
+            return np.stack([np.abs(x - r).sum(1) / (x + r).sum(1) for r in a], axis=1)
 
     def euclid(x, a):
         return np.stack([np.sqrt(((x - r) ** 2).sum(1)) for r in a], axis=1)
@@ -29,11 +32,12 @@ def _metric(name: str):
     return {"bray": bray, "euclidean": euclid}[name]
 
 
-def collect_anchors(anchors: DataFrame, key: str, columns: Sequence[str]) -> tuple[list, np.ndarray]:
-    """Anchor keys and profiles; an error beyond ``MAX_ANCHORS``."""
-    rows = anchors.select(key, *columns).dropna().limit(MAX_ANCHORS + 1).collect()
-    if len(rows) > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors; use group centroids")
+def collect_anchors(anchors: DataFrame, key: str, columns: Sequence[str],
+                    most: int = MAX_ANCHORS) -> tuple[list, np.ndarray]:
+    """Complete anchor keys and profiles, held by every task; an error beyond ``most``, their allowed number."""
+    rows = anchors.select(key, *columns).dropna().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} anchors; use group centroids")
     rows = sorted(rows, key=lambda r: r[0])
     return [r[0] for r in rows], np.array([[float(r[c]) for c in columns] for r in rows])
 
@@ -116,20 +120,37 @@ def principal_coordinates(df: DataFrame, key: str, columns: Sequence[str], ancho
     return rows.mapInPandas(place, schema), values
 
 
-def stress(pairs: DataFrame, dissimilarity: str, distance: str, digits: int = 4) -> DataFrame:
+def stress(pairs: DataFrame, dissimilarity: str, distance: str, digits: int | None = None) -> DataFrame:
     """Stress of the best rising fit of ordination distance on dissimilarity.
 
-    Pairs are summed per dissimilarity level (rounded to ``digits``) first, so
-    the monotone fit works on a table whose size is set by the rounding.
+    Pairs are summed per dissimilarity first. ``digits`` rounds dissimilarities
+    beforehand, which bounds that table's size and changes the stress a little.
     """
     from pyspark.ml.regression import IsotonicRegression
 
-    levels = pairs.groupBy(F.round(dissimilarity, digits).alias("features")).agg(
+    level = F.col(dissimilarity) if digits is None else F.round(dissimilarity, digits)
+    levels = save_and_reload(pairs.groupBy(level.alias("features")).agg(
         F.avg(distance).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"),
-        F.sum(F.col(distance) ** 2).alias("square"))
+        F.sum(F.col(distance) ** 2).alias("square")), "levels")
     model = IsotonicRegression(weightCol="weight", featuresCol="features", labelCol="label").fit(levels)
     fitted = model.transform(levels)
     lost = F.sum(F.col("square") - 2 * F.col("prediction") * F.col("label") * F.col("weight")
                  + F.col("weight") * F.col("prediction") ** 2)
     return fitted.agg(F.sum("weight").cast("bigint").alias("n_pairs"),
                       F.sqrt(F.greatest(lost, F.lit(0.0)) / F.sum("square")).alias("stress"))
+
+
+def eigenvalue_table(df: DataFrame, values: np.ndarray) -> DataFrame:
+    """Scaling eigenvalues with each axis's share of the positive ones."""
+    positive = float(values[values > 0].sum())
+    rows = [(i + 1, float(x), float(x) / positive if positive else None) for i, x in enumerate(values)]
+    return df.sparkSession.createDataFrame(rows, "axis int, eigenvalue double, share double")
+
+
+def column_scores(points: DataFrame, columns: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """Weighted average of the rows' coordinates for each column (its values are the weights): one aggregation."""
+    sums = [F.sum(F.col(c) * F.col(a)).alias(f"{i}_{j}") for i, c in enumerate(columns) for j, a in enumerate(axes)]
+    row = points.agg(*sums, *[F.sum(c).alias(f"w{i}") for i, c in enumerate(columns)])
+    cells = [F.struct(F.lit(c).alias("component"), *[ratio(f"{i}_{j}", f"w{i}").alias(a) for j, a in enumerate(axes)])
+             for i, c in enumerate(columns)]
+    return row.select(F.inline(F.array(*cells)))

@@ -16,6 +16,7 @@ from profilar.functions.linalg import scaled_pinv
 from profilar.functions.nulls import ratio
 from profilar.operators import mixed
 from profilar.operators.design import Design, DesignColumn, Term, column_expression, combination_text, double_text
+from profilar.operators.joins import match
 from profilar.operators.meta import coefficients
 from profilar.operators.moments import Moments, as_columns, collect_moments, shifts
 from profilar.operators.ordered import quantiles, sequence_in_group
@@ -200,6 +201,41 @@ def residuals(df: DataFrame, fit: LinearModel) -> DataFrame:
     return df.withColumn("fitted", fitted_column(fit)).withColumn("resid", F.col(fit.response) - F.col("fitted"))
 
 
+def influence(df: DataFrame, fit: LinearModel) -> DataFrame:
+    """Residuals with leverage, standardised residual and Cook's distance: one row expression on the stored inverse."""
+    shifted = {n: f"({e}) - {double_text(fit.moments.shift[n])}" for n, e in fit.design.numerics().items()}
+    rows = residuals(df, fit).withColumns(
+        {f"__d{i}": column_expression(c, shifted) for i, c in enumerate(fit.columns)})
+    size = range(len(fit.columns))
+    leverage = F.expr(" + ".join(f"__d{i} * __d{j} * {double_text(fit.inverse[i, j])}" for i in size for j in size) or "0D")
+    rows = rows.withColumn("leverage", leverage).drop(*[f"__d{i}" for i in size])
+    rest = 1 - F.col("leverage")
+    return rows.withColumn("standardised", ratio("resid", F.sqrt(F.when(rest > 0, rest) * fit.sigma2))).withColumn(
+        "cook", F.pow("standardised", F.lit(2.0)) * ratio("leverage", rest) / fit.rank)
+
+
+def mixed_residuals(df: DataFrame, fits: DataFrame, model: mixed.Model, *, response: str, group: str,
+                    v: str | None = None) -> DataFrame:
+    """Rows a model uses, with their fixed part, predicted group effect, fitted value and residual.
+
+    Group effects are the best linear predictions at the fitted variances: one sum per group, joined back.
+    """
+    found = fits.where(F.col("model") == model.name).select("beta", "sigma2", "tau2", "error_variance").first()
+    if found is None or found["sigma2"] is None:
+        raise ValueError(f"model {model.name} has no estimate")
+    rows = df.where(model.where) if model.where else df
+    fixed = " + ".join(f"{double_text(b)} * CAST(({e}) AS DOUBLE)" for b, e in zip(found["beta"], model.columns.values()))
+    noise = F.lit(float(found["error_variance"])) if v is None else F.col(v) + F.lit(float(found["tau2"]))
+    rows = rows.withColumns({"fixed": F.expr(fixed), "__w": 1.0 / noise}).where(
+        F.col("fixed").isNotNull() & F.col(response).isNotNull() & F.col(group).isNotNull() & (F.col("__w") > 0))
+    sums = rows.groupBy(group).agg(F.sum("__w").alias("__sw"),
+                                   F.sum(F.col("__w") * (F.col(response) - F.col("fixed"))).alias("__swr"))
+    s2 = float(found["sigma2"])
+    out = match(rows, sums, [group], "left").withColumn("effect", s2 * F.col("__swr") / (1 + s2 * F.col("__sw")))
+    out = out.withColumn("fitted", F.col("fixed") + F.col("effect"))
+    return out.withColumn("resid", F.col(response) - F.col("fitted")).drop("__w", "__sw", "__swr")
+
+
 def quantile_pairs(df: DataFrame, value: str, key: str) -> DataFrame:
     """Every residual with its rank, plotting position and normal quantile.
 

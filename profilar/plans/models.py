@@ -100,8 +100,8 @@ SELECT CAST(count(*) AS INTEGER) AS columns, round(sum(v), 4) AS inertia FROM v"
 def embedding_inertia(spark, folder):
     """Wide profiles: the per-task matrix path of the cross-product kernel."""
     raw = b.table(spark, folder, "embeddings")
-    width = len(raw.select("embedding").first()[0])
-    wide = raw.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
+    width = raw.agg(F.max(F.size("embedding"))).first()[0]
+    wide = raw.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
     fit = ordination.principal_components(wide, [f"e{i}" for i in range(width)])
     out = spark.createDataFrame([(width, float(fit.eigenvalues.sum()))], "columns int, inertia double")
     return _rounded(out, 4)
@@ -416,6 +416,22 @@ def principal_coordinates(spark, folder):
     return _rounded(points)
 
 
+@query("scaling_eigenvalues", "M19")
+def scaling_eigenvalues(spark, folder):
+    df = profile_rows(spark, folder)
+    cells = distance.group_profiles(df, "trt_id", b.GROUPS)
+    _, values = distance.principal_coordinates(df, "sample", b.GROUPS, cells, "trt_id", k=3)
+    return _rounded(distance.eigenvalue_table(df, values), 5)
+
+
+@query("scaled_component_scores", "M18 M19")
+def scaled_component_scores(spark, folder):
+    df = profile_rows(spark, folder)
+    cells = distance.group_profiles(df, "trt_id", b.GROUPS)
+    points, _ = distance.principal_coordinates(df, "sample", b.GROUPS, cells, "trt_id", k=2, keep=b.GROUPS)
+    return _rounded(distance.column_scores(points, b.GROUPS, ["Axis1", "Axis2"]), 5)
+
+
 @query("ordination_stress", "M20 M18 M19")
 def ordination_stress(spark, folder):
     df = profile_rows(spark, folder)
@@ -848,6 +864,27 @@ def residual_rows(spark, folder):
     return _rounded(regress.residuals(df, regress.ols(df, "lrr", QUADRATIC)).select("sample", "fitted", "resid").where("fitted IS NOT NULL"), 5)
 
 
+@query("row_influence", "L11", LM + """,
+iv AS (SELECT key AS sample, 1.0 / count(*) OVER () + r1 * r1 / sum(r1 * r1) OVER () + r2 * r2 / sum(r2 * r2) OVER ()
+         + r3 * r3 / sum(r3 * r3) OVER () AS h, raw - (mean + b1 * r1 + b2 * r2 + b3 * r3) AS e,
+         (tss - s1 - s2 - s3) / (n - 4) AS ms FROM o, ss)
+SELECT sample, round(h, 6) AS leverage, round(e / sqrt(ms * (1 - h)), 5) AS standardised,
+       round(e * e / ms * h / power(1 - h, 2) / 4, 6) AS cook FROM iv""")
+def row_influence(spark, folder):
+    df = _lm_rows(spark, folder)
+    out = regress.influence(df, regress.ols(df, "lrr", QUADRATIC)).where("fitted IS NOT NULL")
+    return out.select("sample", tidy("leverage").alias("leverage"), tidy("standardised", 5).alias("standardised"),
+                      tidy("cook").alias("cook"))
+
+
+@query("mixed_residuals", "L11 L6")
+def mixed_residuals(spark, folder):
+    df, model = _lm_rows(spark, folder), intercept_and("n_lines", "cn")
+    fits = regress.random_intercept(df, [model], response="lrr", group="site")
+    out = regress.mixed_residuals(df, fits, model, response="lrr", group="site")
+    return _rounded(out.select("sample", "site", "fixed", "effect", "fitted", "resid"), 5)
+
+
 @query("residual_quantiles", "L11", RESID + """,
 k AS (SELECT sample, resid, row_number() OVER (ORDER BY resid, sample) AS rank, count(*) OVER () AS n FROM res),
 q AS (SELECT sample, resid, rank, (rank - 0.5) / n AS p FROM k)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,14 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's checkpoint location.
 
     A machine-local folder is made only when the session names no location
-    and runs in local mode, as in tests.
+    and runs in local mode, where driver and executors are one process; it goes
+    when that process ends.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         global _local_base
-        _local_base = _local_base or tempfile.mkdtemp(prefix="profilar-")
+        if _local_base is None:
+            _local_base = tempfile.mkdtemp(prefix="profilar-")
+            atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
         base = _local_base
     return os.path.join(base, "profilar-" + uuid.uuid4().hex)
 

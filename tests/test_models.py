@@ -482,3 +482,49 @@ def test_permutation_p_by_brute_force(spark, rows, frame):
             permuted[place] = inner[sorted(place, key=lambda i: order[i])]
         hits += f_of(permuted) >= observed - 1e-8
     assert got["p"] == pytest.approx((1 + hits) / (n_perm + 1))
+
+
+def test_influence_against_the_hat_matrix(spark):
+    rng = np.random.default_rng(12)
+    g, x = rng.integers(0, 3, 60), rng.normal(100, 1, 60)
+    y = 2 * x + g + rng.normal(size=60)
+    df = spark.createDataFrame([(i, "abc"[a], float(b), float(c)) for i, (a, b, c) in enumerate(zip(g, x, y))],
+                               "id int, g string, x double, y double")
+    fit = regress.ols(df, "y", Design([num("x"), factor("g")], levels={"g": ["a", "b", "c"]}))
+    d = np.column_stack([np.ones(60), x - 100, g == 1, g == 2]).astype(float)
+    hat = d @ np.linalg.inv(d.T @ d) @ d.T
+    h, e = np.diag(hat), y - hat @ y
+    s2 = e @ e / 56
+    rows = regress.influence(df, fit).orderBy("id").collect()
+    assert [r["leverage"] for r in rows] == pytest.approx(list(h), rel=1e-7)
+    assert [r["standardised"] for r in rows] == pytest.approx(list(e / np.sqrt(s2 * (1 - h))), rel=1e-6)
+    assert [r["cook"] for r in rows] == pytest.approx(list(e ** 2 / s2 * h / (1 - h) ** 2 / 4), rel=1e-5)
+
+
+def test_mixed_residuals_against_dense_prediction(spark, effects):
+    df, groups, x, y, v = effects
+    model = mixed.intercept_and("x")
+    for known in (None, "vi"):
+        fits = mixed.fit(df, [model], v=known)
+        r = fits.first()
+        rows = regress.mixed_residuals(df, fits, model, response="yi", group="site", v=known).orderBy("id").collect()
+        noise = np.full(len(y), r["error_variance"]) if known is None else v
+        g = (groups[:, None] == groups[None]).astype(float)
+        fixed = np.column_stack([np.ones(len(y)), x]) @ np.array(r["beta"])
+        effect = r["sigma2"] * g @ np.linalg.inv(np.diag(noise) + r["sigma2"] * g) @ (y - fixed)
+        assert [q["effect"] for q in rows] == pytest.approx(list(effect), rel=1e-6, abs=1e-9)
+        assert [q["resid"] for q in rows] == pytest.approx(list(y - fixed - effect), rel=1e-6, abs=1e-9)
+
+
+def test_column_scores_and_eigenvalues(spark):
+    df = spark.createDataFrame([(1.0, 0.0, 2.0, 4.0), (3.0, 0.0, 6.0, 0.0)], "a double, b double, p double, q double")
+    rows = {r["component"]: (r["p"], r["q"]) for r in distance.column_scores(df, ["a", "b"], ["p", "q"]).collect()}
+    assert rows == {"a": (5.0, 1.0), "b": (None, None)}
+    table = distance.eigenvalue_table(df, np.array([3.0, 1.0, -1.0])).collect()
+    assert [(r["axis"], r["share"]) for r in table] == [(1, 0.75), (2, 0.25), (3, -0.25)]
+
+
+def test_empty_profiles_have_no_distance(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "k int, a double, b double")
+    found = {(r["k"], r["anchor"]): r["d"] for r in distance.to_anchors(df, "k", ["a", "b"], df, "k").collect()}
+    assert found == {(1, 1): None, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 0.0}
