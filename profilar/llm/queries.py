@@ -29,7 +29,7 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         sharding.shard_for(F.col("doc_id"), dict.fromkeys(range(SHARDS + 1), 1.0)).alias("grown_shard"))
     placed = sharding.assign(sized, "doc_id", dict.fromkeys(range(SHARDS), 1.0), order=("text_crc32", "size"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -73,7 +73,7 @@ def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language")
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     found = language.identify(docs, ~held)
     return found.select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score")
 
@@ -81,7 +81,7 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     scored = quality.score(docs, quality.train(docs, labels.where(~held)))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from profilar.llm.components import components
 from profilar.session import save_and_reload
@@ -27,19 +27,31 @@ SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 GROUPS = 8
 SEED = 42
+#: Of groups by similarity: words of a shingle, least share of common shingles, fingerprints of samples and their size.
+STAGE_WORDS = 5
+SIMILARITY = 0.8
+SAMPLES = 12
+SAMPLE_SHINGLES = 4
 EVEN_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """Majority bits of the shingles' 64-bit hashes, as a signed number."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; of all words if they are fewer."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
-    if not found:
-        return 0
     if len(found) < words:
-        shingles = iter([b" ".join(found)])
+        shingles = iter([b" ".join(found)] if found else [])
     else:
         shingles = map(b" ".join, zip(*[found[k:] for k in range(words)]))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """Majority bits of the shingles' 64-bit hashes, as a signed number."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; none for no hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
         block = np.unpackbits(hashes[at:at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -112,10 +124,77 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
-             distance: int = MAX_DISTANCE) -> DataFrame:
+def sampled_fingerprints(hashes: np.ndarray, samples: int = SAMPLES, size: int = SAMPLE_SHINGLES) -> np.ndarray:
+    """A fingerprint for each of several random orders of the shingles: of the first ``size`` different ones."""
+    distinct = np.unique(hashes)
+    if not len(distinct):
+        return np.zeros(0, dtype=np.int64)
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, size=samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    size = min(size, len(distinct))
+    out = np.empty((samples, size), dtype=np.uint64)
+    for k, factor in enumerate(factors):
+        order = (distinct ^ (distinct >> np.uint64(29))) * factor
+        order ^= order >> np.uint64(32)
+        out[k] = distinct[np.argpartition(order, size - 1)[:size]]
+    bits = np.unpackbits(out.view(np.uint8).reshape(samples, size, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * bits > size, axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
+                   similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
+    """``key`` and ``component`` for every row with a key: groups linked by fingerprints or by shared shingles.
+
+    Fingerprints within a few bits belong to nearly equal texts only; at a similarity of 0.8 they differ in about ten bits of
+    64. So texts are also linked whose sets of shingles overlap by ``similarity`` (shared over all, verified exactly).
+    Candidates agree in the fingerprint of a sample: ``SAMPLES`` random orders of the shingles each give the fingerprint of
+    the first ``SAMPLE_SHINGLES``, so a pair at 0.8 is met with a probability of 1 - (1 - 0.8^4)^12 = 0.998. Within a
+    cell each text is compared with the cell's first and with its predecessor: candidates grow with the texts, not with their
+    pairs. Equal texts are one row throughout.
+    """
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t in batch["text"]:
+                hashes = shingle_hashes(t, words)
+                rows.append((xxhash.xxh64_intdigest((t or "").encode(), SEED) - (1 << 63), majority(hashes), sampled_fingerprints(hashes)))
+            yield pd.DataFrame({"key": batch["key"], "t": [r[0] for r in rows], "fp": [r[1] for r in rows],
+                                "samples": [r[2] for r in rows]})
+
+    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    marked = save_and_reload(narrow.mapInPandas(each, "key long, t long, fp long, samples array<long>"), "marked")
+    texts = save_and_reload(marked.groupBy("t", "fp").agg(F.min("key").alias("node"), F.min_by("samples", "key").alias("samples")),
+                            "texts")
+    points = save_and_reload(texts.groupBy("fp").agg(F.min("node").alias("first")), "points")
+    near = links(points.withColumnRenamed("first", "node"), distance)
+    same = texts.join(points, "fp").where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+    cells = texts.select("node", F.posexplode("samples").alias("order", "cell"))
+    cell = Window.partitionBy("order", "cell")
+    met = cells.select("node", F.min("node").over(cell).alias("first"), F.lag("node").over(cell.orderBy("node")).alias("last"))
+    pairs = met.where(F.col("last").isNotNull()).select("node", F.explode(F.array_distinct(F.array("first", "last"))).alias("other"))
+    pairs = save_and_reload(pairs.distinct(), "pairs")
+    needed = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["key"], "set": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["text"]]})
+
+    held = save_and_reload(narrow.join(needed.withColumnRenamed("node", "key"), "key", "left_semi").mapInPandas(
+        sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(held, "node").join(held.select(F.col("node").alias("other"), F.col("set").alias("set2")), "other")
+    shared = F.size(F.array_intersect("set", "set2"))
+    alike = both.where(shared >= similarity * (F.size("set") + F.size("set2") - shared)).select(
+        F.col("node").alias("a"), F.col("other").alias("b"))
+
+    roots = components(near.union(same).union(alike), "a", "b")
+    named = texts.join(roots, "node", "left").select("t", "fp", F.coalesce("root", "node").alias("component"))
+    return marked.join(save_and_reload(named, "named"), ["t", "fp"]).select("key", "component")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
+             similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with the row of the least key of each group; rows without a key stay; of repeated keys one row stays."""
-    kept = groups(docs, key, text, words, distance).where(F.col("key") == F.col("component")).select(
-        F.col("key").alias(key))
+    kept = similar_groups(docs, key, text, words, similarity, distance).where(F.col("key") == F.col("component")).select(
+        F.col("key").alias(key)).distinct()
     held = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
     return held.unionByName(docs.where(F.col(key).isNull()))

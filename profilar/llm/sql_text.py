@@ -45,7 +45,7 @@ def sharding(shards: int, bits: int) -> str:
     crc_table as {crc_table},
     bytes as (select rid, doc_id, text, hex(encode(text)) as x from docs),
     sums as (select rid, doc_id, coalesce(octet_length(encode(text)), 0) + 16 as size,
-             case when text is null then null else xor(4294967295, list_reduce(
+             case when text is null then 0 else xor(4294967295, list_reduce(
                list_prepend(4294967295::bigint, list_transform(range(length(x) // 2),
                  lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)),
                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) end as text_crc32

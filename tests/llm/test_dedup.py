@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -58,7 +59,8 @@ def brute_fingerprint(text, words=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_roots(points, distance):
+def brute_roots(points, distance, texts=None, similarity=0.8):
+    """Least key reachable through fingerprints within ``distance`` bits or, given texts, similar sets of five-word shingles."""
     root = {p: p for p in points}
 
     def find(p):
@@ -66,8 +68,15 @@ def brute_roots(points, distance):
             p = root[p]
         return p
 
+    def shingles(text):
+        found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {b" ".join(found[k:k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+    sets = {p: shingles(texts[p]) for p in points} if texts else {}
     for (a, x), (b, y) in combinations(points.items(), 2):
-        if bin(x ^ y).count("1") <= distance and find(a) != find(b):
+        shared = len(sets[a] & sets[b]) if texts else 0
+        alike = shared and shared >= similarity * len(sets[a] | sets[b])
+        if (alike or bin(x ^ y).count("1") <= distance) and find(a) != find(b):
             root[max(find(a), find(b))] = min(find(a), find(b))
     return {p: find(p) for p in points}
 
@@ -86,10 +95,39 @@ def test_fingerprints_and_groups(spark, docs):
     for r in found:
         assert r["hex"] == f"{prints[r['key']]:016x}" and r["component"] == want[r["key"]]
     assert sum(want[k] != k for k in want) > 10
-    kept = simhash.keep_one(table.withColumn("fp", F.lit("clash"))).collect()
+
+
+def test_similar_texts_keep_one(spark, docs):
+    rnd = random.Random(9)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for k in range(40):  # scattered and bundled edits, and copies of copies
+        words = texts[rnd.choice(list(texts))].split()
+        for _ in range(max(1, int(len(words) * rnd.choice([0.005, 0.01, 0.02, 0.03])))):
+            words[rnd.randrange(len(words))] = f"new{rnd.randrange(10 ** 6)}"
+        if k % 3 == 0:
+            at = rnd.randrange(len(words))
+            words[at:at + len(words) // 12] = []
+        texts[10_000 + k] = " ".join(words)
+    texts |= {20_000: None, 20_001: "", 20_002: "One two", 20_003: "one TWO", 20_004: "É é"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = table.union(table.where("doc_id < 3")).withColumn("fp", F.lit("clash"))
+    want = brute_roots({k: brute_fingerprint(t, 5) for k, t in texts.items()}, 4, texts)
+    found = {r["key"]: r["component"] for r in simhash.similar_groups(table).collect()}
+    assert found == want and sum(want[k] != k for k in want if k >= 10_000) > 25
+    kept = simhash.keep_one(table).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
 
 
+def test_samples_meet_similar_sets():
+    rng = np.random.default_rng(10)
+    met = 0
+    for _ in range(400):
+        union = rng.integers(0, 1 << 63, size=200, dtype=np.uint64)
+        a, b = union[:180], union[20:]  # similarity 160 / 200
+        met += bool((simhash.sampled_fingerprints(a) == simhash.sampled_fingerprints(b)).any())
+    assert met / 400 > 0.98
+
+
 def test_grid_join_finds_every_pair_once(spark):
     rnd = random.Random(6)
     points = {}

@@ -18,7 +18,7 @@ LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_to
 def brute(rows, items):
     rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     rows = brute_lines(rows)
-    roots = brute_roots({k: brute_fingerprint(t, 5) for k, t in rows}, 4)
+    roots = brute_roots({k: brute_fingerprint(t, 5) for k, t in rows}, 4, dict(rows))
     rows = [r for r in rows if roots[r[0]] == r[0]]
     clean = []
     for key, text in rows:
