@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilar.functions.linalg import scaled_pinv
+from profilar.functions.linalg import scaled_pinv, unpack_symmetric
 from profilar.operators.design import Design, combination_text, double_text, factor, num
 from profilar.operators.joins import match
-from profilar.operators.moments import Moments, as_columns, cell_keys, collect_moments, complete_rows
+from profilar.operators.moments import (Moments, as_columns, cell_keys, collect_moments, complete_rows, moment_rows,
+                                        shifts)
 from profilar.operators.ordered import sequence_in_group
 from profilar.operators.ordination import Ordination, condition_places, full_design
 from profilar.session import save_and_reload
@@ -188,6 +189,70 @@ def permutation_test(df: DataFrame, fit: Ordination, *, key: str, strata: Sequen
         rows, "term string, df int, variance double, f double, p double")
 
 
+def permutation_test_by(df: DataFrame, group: str, species: Sequence[str], constraint: Design, *, key: str,
+                        n_perm: int = 999, seed: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """Overall pseudo-F of every group's own ordination with its permutation P, all groups in the same jobs.
+
+    Rows are permuted within their group. A group reaches a task as one row per permutation and factor cell, and never as
+    its rows; the permutations are those of :func:`permutation_test` on that group alone.
+    """
+    design, species = full_design(constraint, Design([])), list(species)
+    numerics, factors, cols, ys = design.numerics(), list(design.factors), design.columns(), as_columns(species)
+    names = list(numerics)
+    every = {**numerics, **{s: f"`{s}`" for s in species}}
+    shift = shifts(df, every)
+    cells = save_and_reload(moment_rows(df, [group], every, shift, factors, design.levels), "cells")
+
+    shifted = {n: f"({e}) - {double_text(shift[n])}" for n, e in every.items()}
+    complete = complete_rows(df, factors, every, design.levels).where(F.col(group).isNotNull())
+    base = complete.select(
+        F.col(key).alias("__key"), *dict.fromkeys([group, *factors]),
+        *[F.expr(shifted[n]).cast("double").alias(f"x{i}") for i, n in enumerate(names)],
+        *[F.expr(shifted[s]).cast("double").alias(f"y{j}") for j, s in enumerate(species)])
+    base = save_and_reload(sequence_in_group(base, [group], ["__key"], out="__place"), "permute")
+    largest = base.agg(F.max("__place")).first()[0] or 0
+    size, n_x, n_y = len(every) + 1, len(names), len(species)
+
+    def judge(kept: pd.DataFrame, permuted: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame(columns=[group, "df_model", "df_residual", "f", "hits"])
+        if not len(kept):
+            return empty
+        grams = np.array([unpack_symmetric(u, size) for u in kept["upper"]])
+        m = Moments(factors, list(every), {}, cell_keys(kept, factors), grams)
+        gram, cross, yy = m.cross(cols, cols), m.cross(cols, ys), m.cross(ys, ys)
+        inverse, rank = scaled_pinv(gram)
+        total = float(np.trace(yy) - np.sum(cross[0] ** 2) / gram[0, 0])
+        df_model, df_residual = rank - 1, m.n - rank
+        if df_model < 1 or df_residual < 1:
+            return empty
+
+        def pseudo_f(dty: np.ndarray) -> float:
+            fitted = float(np.sum(dty * (inverse @ dty)) - np.sum(dty[0] ** 2) / gram[0, 0])
+            return (fitted / df_model) / ((total - fitted) / df_residual) if total > fitted else float("inf")
+
+        observed, hits = pseudo_f(cross), 0
+        for _, part in permuted.groupby("__b", sort=False):
+            sums = np.stack(part["cross"].to_numpy()).reshape(len(part), n_x + 1, n_y)
+            held = Moments(factors, names, {}, cell_keys(part, factors), np.zeros((len(part), 1, 1)))
+            dty = np.array([held.indicator(c) @ sums[:, held.place(c.numeric), :] for c in cols])
+            hits += pseudo_f(dty) >= observed - CLOSE
+        return pd.DataFrame([(kept[group].iloc[0], int(df_model), int(df_residual), observed, hits)], columns=empty.columns)
+
+    kind = df.schema[group].dataType.simpleString()
+    schema = f"`{group}` {kind}, df_model int, df_residual int, f double, hits bigint"
+    judged = []
+    for first in range(1, n_perm + 1, chunk):
+        last = min(first + chunk - 1, n_perm)
+        moved = permuted_moments(base, [group], [group, *[f for f in factors if f != group]], n_x, n_y, first, last, seed, largest)
+        judged.append(cells.groupBy(group).cogroup(moved.groupBy(group)).applyInPandas(judge, schema))
+    whole = judged[0]
+    for part in judged[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(group).agg(
+        F.first("df_model").alias("df_model"), F.first("df_residual").alias("df_residual"), F.first("f").alias("f"),
+        ((1 + F.sum("hits")) / F.lit(n_perm + 1)).alias("p"))
+
+
 def _first_root(dty: np.ndarray, middle: np.ndarray) -> float:
     values = np.linalg.eigvalsh(dty.T @ middle @ dty)
     return float(values[-1])

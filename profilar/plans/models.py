@@ -151,6 +151,12 @@ def axis_labels(spark, folder):
     return _rounded(ordination.axis_table(spark, fit))
 
 
+@query("permutation_by_site", "M14 M11")
+def permutation_by_site(spark, folder):
+    out = permute.permutation_test_by(profile_rows(spark, folder), "site", H, TREATMENT, key="sample", n_perm=PERMUTATIONS)
+    return _rounded(out)
+
+
 @query("row_scores", "M9 M5", PARTIAL + """
 SELECT sample, site, round(s1, 5) AS "RDA1", round(s2, 5) AS "RDA2" FROM sc""")
 def row_scores(spark, folder):

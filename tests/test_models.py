@@ -528,3 +528,14 @@ def test_empty_profiles_have_no_distance(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "k int, a double, b double")
     found = {(r["k"], r["anchor"]): r["d"] for r in distance.to_anchors(df, "k", ["a", "b"], df, "k").collect()}
     assert found == {(1, 1): None, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 0.0}
+
+
+def test_group_permutations_equal_single_ones(spark, frame):
+    design = Design([factor("trt")], levels=LV)
+    rows = {r["site"]: r for r in permute.permutation_test_by(frame, "site", SPECIES, design, key="key", n_perm=30,
+                                                               seed=4, chunk=20).collect()}
+    assert set(rows) == set(LV["site"])
+    for s, r in rows.items():
+        part = frame.where(F.col("site") == s)
+        one = permute.permutation_test(part, ordination.redundancy(part, SPECIES, design), key="key", n_perm=30, seed=4).first()
+        assert r["f"] == pytest.approx(one["f"]) and r["p"] == pytest.approx(one["p"]) and r["df_model"] == one["df"]
