@@ -11,6 +11,7 @@ from profilar.operators.design import Design, crossed, factor, logged, num, squa
 from profilar.operators.mixed import intercept_and, level_means
 from profilar.operators.moments import moment_rows
 from profilar.plans import bindings as b
+from profilar.plans.hash_text import permutations
 from profilar.plans.registry import query
 from profilar.plans.relations import CELL_COVARIATES, MD, rom_table
 from profilar.plans.sql_text import (chi2_tail, coefficient_rows, covariance, cross_products, eigenpairs, f_tail, multi_fit,
@@ -151,12 +152,6 @@ def axis_labels(spark, folder):
     return _rounded(ordination.axis_table(spark, fit))
 
 
-@query("permutation_by_site", "M14 M11")
-def permutation_by_site(spark, folder):
-    out = permute.permutation_test_by(profile_rows(spark, folder), "site", H, TREATMENT, key="sample", n_perm=PERMUTATIONS)
-    return _rounded(out)
-
-
 @query("row_scores", "M9 M5", PARTIAL + """
 SELECT sample, site, round(s1, 5) AS "RDA1", round(s2, 5) AS "RDA2" FROM sc""")
 def row_scores(spark, folder):
@@ -351,11 +346,43 @@ def factor_share(spark, folder):
     return _rounded(out.drop("p"))
 
 
-@query("permutation_overall", "M11")
+_CLOSE = 1.4901161193847656e-08  # how near a permuted statistic counts as equal
+_WITHIN = SQL_H + ", hw AS (SELECT sample, site, treatment, " + ", ".join(
+    f"{x} - avg({x}) OVER (PARTITION BY site) AS {x}" for x in "abcd") + " FROM h), " + permutations(
+    "h", "sample", "site", PERMUTATIONS) + """,
+pv AS (SELECT m.b, d.site, d.treatment, s.a, s.b AS b2, s.c, s.d FROM moved m JOIN hw s ON s.sample = m.key
+       JOIN h d ON d.sample = m.onto UNION ALL SELECT 0, site, treatment, a, b, c, d FROM hw),
+pc AS (SELECT b, site, treatment, count(*) AS n,
+              count(*) * (power(avg(a), 2) + power(avg(b2), 2) + power(avg(c), 2) + power(avg(d), 2)) AS ss FROM pv GROUP BY ALL),
+tt AS (SELECT site, count(*) AS n, count(DISTINCT treatment) AS k, sum(a * a + b * b + c * c + d * d) AS t FROM hw GROUP BY 1)"""
+
+
+@query("permutation_overall", "M11", _WITHIN + """,
+w AS (SELECT sum(n) AS n, sum(k) AS k, count(*) AS j, sum(t) AS t FROM tt),
+f AS (SELECT b, sum(ss) AS m, (sum(ss) / any_value(k - j)) / ((any_value(t) - sum(ss)) / any_value(w.n - k)) AS f FROM pc, w GROUP BY b),
+o AS (SELECT * FROM f WHERE b = 0)
+SELECT 'Model' AS term, CAST(k - j AS INTEGER) AS df, round(o.m / (n - 1), 6) AS variance, round(o.f, 4) AS f,
+       (1 + (SELECT count(*) FROM f WHERE b > 0 AND f.f >= o.f - """ + str(_CLOSE) + f""")) / {PERMUTATIONS + 1.0} AS p FROM o, w
+UNION ALL SELECT 'Residual', CAST(n - k AS INTEGER), round((t - o.m) / (n - 1), 6), NULL, NULL FROM o, w""")
 def permutation_overall(spark, folder):
+    """The permutations are replayed in the SQL from the same hash."""
     df = profile_rows(spark, folder)
     fit = ordination.redundancy(df, H, CROSSED, SITE)
-    return _rounded(permute.permutation_test(df, fit, key="sample", strata=["site"], n_perm=PERMUTATIONS))
+    out = permute.permutation_test(df, fit, key="sample", strata=["site"], n_perm=PERMUTATIONS)
+    return _rounded(_rounded(out, 6, ["f"]), 4, ["variance", "p"])
+
+
+@query("permutation_by_site", "M14 M11", _WITHIN + """,
+f AS (SELECT b, site, any_value(tt.n) AS n, any_value(k) AS k,
+             (sum(ss) / any_value(k - 1)) / ((any_value(t) - sum(ss)) / any_value(tt.n - k)) AS f
+      FROM pc JOIN tt USING (site) WHERE k > 1 AND tt.n > k GROUP BY ALL),
+o AS (SELECT * FROM f WHERE b = 0)
+SELECT o.site, CAST(any_value(o.k) - 1 AS INTEGER) AS df_model, CAST(any_value(o.n - o.k) AS INTEGER) AS df_residual,
+       round(any_value(o.f), 4) AS f, (1 + count(*) FILTER (f.f >= o.f - """ + str(_CLOSE) + f""")) / {PERMUTATIONS + 1.0} AS p
+FROM o JOIN f ON f.site = o.site AND f.b > 0 GROUP BY o.site""")
+def permutation_by_site(spark, folder):
+    out = permute.permutation_test_by(profile_rows(spark, folder), "site", H, TREATMENT, key="sample", n_perm=PERMUTATIONS)
+    return _rounded(_rounded(out, 4, ["p"]), 6, ["f"])
 
 
 @query("permutation_margin", "M12 M6")
@@ -373,16 +400,39 @@ def permutation_axis(spark, folder):
     return _rounded(permute.permutation_test(df, fit, key="sample", by="axis", n_perm=PERMUTATIONS))
 
 
-@query("vector_fit", "M17")
+@query("vector_fit", "M17", _PC + """,
+vc AS (SELECT sample, p1 - avg(p1) OVER () AS x, p2 - avg(p2) OVER () AS y, cn - avg(cn) OVER () AS cn, qty - avg(qty) OVER () AS qty,
+              tax - avg(tax) OVER () AS tax FROM pt JOIN covariates USING (sample) WHERE cn IS NOT NULL),
+gg AS (SELECT sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(cn * cn) AS t_cn, sum(qty * qty) AS t_qty,
+              sum(tax * tax) AS t_tax FROM vc), """ + permutations("vc", "sample", "0", PERMUTATIONS) + """,
+vp AS (SELECT m.b, d.x, d.y, s.cn, s.qty, s.tax FROM moved m JOIN vc s ON s.sample = m.key JOIN vc d ON d.sample = m.onto
+       UNION ALL SELECT 0, x, y, cn, qty, tax FROM vc),
+vs AS (""" + " UNION ALL ".join(
+    f"SELECT '{v}' AS variable, b, sum(x * {v}) AS u, sum(y * {v}) AS w, any_value(t_{v}) AS t FROM vp, gg GROUP BY b"
+    for v in ("cn", "qty", "tax")) + """),
+vr AS (SELECT variable, b, u, w, xx, xy, yy, (u * u * yy - 2 * u * w * xy + w * w * xx) / (xx * yy - xy * xy) / t AS r2 FROM vs, gg),
+vo AS (SELECT variable, (u * yy - w * xy) / (xx * yy - xy * xy) AS s1, (w * xx - u * xy) / (xx * yy - xy * xy) AS s2, r2
+       FROM vr WHERE b = 0)
+SELECT variable, round(any_value(s1 / sqrt(s1 * s1 + s2 * s2)), 5) AS "PC1", round(any_value(s2 / sqrt(s1 * s1 + s2 * s2)), 5) AS "PC2",
+       round(any_value(vo.r2), 6) AS r2, (1 + count(*) FILTER (vr.r2 >= vo.r2 - """ + str(_CLOSE) + f""")) / {PERMUTATIONS + 1.0} AS p
+FROM vo JOIN vr USING (variable) WHERE b > 0 GROUP BY variable""")
 def vector_fit(spark, folder):
     df = profile_rows(spark, folder)
     fit = ordination.principal_components(df, H)
     scored = save_and_reload(ordination.row_scores(df, fit).select("sample", "PC1", "PC2", "cn", "qty", "tax"), "scores")
-    return _rounded(permute.fit_vectors(scored, ["PC1", "PC2"], ["cn", "qty", "tax"], key="sample",
-                                        n_perm=PERMUTATIONS))
-
-
-@query("factor_fit", "M17")
+    out = permute.fit_vectors(scored, ["PC1", "PC2"], ["cn", "qty", "tax"], key="sample", n_perm=PERMUTATIONS)
+    return _rounded(_rounded(out, 6, ["PC1", "PC2"]), 5, ["r2", "p"])
+
+
+@query("factor_fit", "M17", _PC + ", " + permutations("h", "sample", "0", PERMUTATIONS) + """,
+fp AS (SELECT m.b, d.treatment, s.p1, s.p2 FROM moved m JOIN pt s ON s.sample = m.key JOIN h d ON d.sample = m.onto
+       UNION ALL SELECT 0, treatment, p1, p2 FROM pt),
+ft AS (SELECT avg(p1) AS m1, avg(p2) AS m2, var_pop(p1) * count(*) + var_pop(p2) * count(*) AS t FROM pt),
+fc AS (SELECT b, treatment, count(*) * (power(avg(p1) - any_value(m1), 2) + power(avg(p2) - any_value(m2), 2)) AS ss FROM fp, ft GROUP BY ALL),
+fr AS (SELECT b, sum(ss) / any_value(t) AS r2 FROM fc, ft GROUP BY b),
+fo AS (SELECT r2 FROM fr WHERE b = 0)
+SELECT 'treatment' AS variable, round(any_value(fo.r2), 6) AS r2,
+       (1 + count(*) FILTER (fr.r2 >= fo.r2 - """ + str(_CLOSE) + f""")) / {PERMUTATIONS + 1.0} AS p FROM fr, fo WHERE b > 0""")
 def factor_fit(spark, folder):
     df = profile_rows(spark, folder)
     fit = ordination.principal_components(df, H)
