@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from profilar.llm.samples import least_hashed
+
 #: Labelled rows fitted on, at most.
 SAMPLE = 20_000
 BINS = 64
@@ -139,9 +141,9 @@ def _matrix(texts) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled rows. Of several labels for a key the least counts; NULL labels do not count."""
-    chosen = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
-              .agg(F.min(label).alias("__label"))
-              .orderBy(F.xxhash64("__key"), "__key").limit(sample))
+    labelled = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+                .agg(F.min(label).alias("__label")))
+    chosen = least_hashed(labelled, F.xxhash64("__key"), sample)
     rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).select(  # ``sample`` rows at most
         F.col("__key").alias("key"), F.col(text).alias("text"), F.col("__label").cast("double").alias("label"))
 

@@ -2,40 +2,11 @@
 
 from __future__ import annotations
 
-# fixed values of the hash: its five primes, and the seed of the session's hash function
-PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
-SEED = 42
-
-
-def _times(x: str, factor: int) -> str:
-    """Product modulo 2^64."""
-    return f"(({x})::uhugeint * {factor}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
-
-
-def _plus(x: str, addend: int) -> str:
-    return f"((({x})::uhugeint + {addend}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
-
-
-def _turned(x: str, bits: int) -> str:
-    high = f"(({x})::uhugeint * {1 << bits}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
-    return f"({high} | ({x} >> {64 - bits}))"
-
-
-def hash_steps(source: str, value: str, seed: str, prefix: str) -> str:
-    """CTEs that hash a 64-bit ``value`` (unsigned) of each row of ``source`` under ``seed``: column ``h``."""
-    p1, p2, p3, p4, p5 = PRIMES
-    return f"""
-      {prefix}1 as (select *, {_times(value, p2)} as k0, {_plus(seed, p5 + 8)} as s0 from {source}),
-      {prefix}2 as (select *, xor(s0, {_times(_turned('k0', 31), p1)}) as s1 from {prefix}1),
-      {prefix}3 as (select *, {_plus(_times(_turned('s1', 27), p1), p4)} as s2 from {prefix}2),
-      {prefix}4 as (select *, {_times('xor(s2, s2 >> 33)', p2)} as s3 from {prefix}3),
-      {prefix}5 as (select *, {_times('xor(s3, s3 >> 29)', p3)} as s4 from {prefix}4),
-      {prefix} as (select * exclude (k0, s0, s1, s2, s3, s4), xor(s4, s4 >> 32) as h from {prefix}5)"""
+from profilar.plans.hash_text import SEED, hash_steps
 
 
 def sharding(shards: int, bits: int) -> str:
     """Rendezvous choice, sizes, checksums and slots."""
-    key = "(doc_id::hugeint & 18446744073709551615::hugeint)::ubigint"
     crc_table = """(select list(v order by i) as t from (
         select i, list_reduce(list_prepend(i, range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384)
                                                                       else c >> 1 end) as v
@@ -51,9 +22,9 @@ def sharding(shards: int, bits: int) -> str:
                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) end as text_crc32
              from bytes, crc_table),
     pairs as (select rid, doc_id, s from docs, range(-1, {shards + 1}) r(s)),
-    {hash_steps('pairs', key, f'{SEED}::ubigint', 'one')},
+    {hash_steps('pairs', 'doc_id', f'{SEED}::ubigint', 'one')},
     keyed as (select rid, s, h as before from one),
-    {hash_steps('keyed', '(s::hugeint & 18446744073709551615::hugeint)::ubigint', 'before', 'two')},
+    {hash_steps('keyed', 's', 'before', 'two')},
     costs as (select rid, s, h, -ln(((h >> 11)::double + 0.5) * pow(2.0, -53)) as cost from two),
     chosen as (select rid, arg_min(s, cost) filter (s between 0 and {shards - 1}) as shard,
                       arg_min(s, cost) filter (s >= 0) as grown_shard,

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from profilar.llm.samples import least_hashed
 from profilar.session import save_and_reload
 
 CENTROIDS = 64
@@ -138,7 +139,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     points = save_and_reload(points.select(F.format_string("%d-%x", "point", F.xxhash64("v")).alias("p"), "v", "ids"), "points")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    taken = points.orderBy(F.xxhash64("p"), "p").limit(sample).select("v").toPandas()  # ``sample`` rows at most
+    taken = least_hashed(points, F.xxhash64("p"), sample).select("v").toPandas()  # ``sample`` rows at most
     if not len(taken):
         return empty
     books = spark.sparkContext.broadcast(train(_matrix(taken["v"], width), k, centroids, target))
