@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from profilar.functions.linalg import unpack_symmetric
 from profilar.operators.design import Design, DesignColumn, double_text, level_text
 
-MAX_CELLS = 20_000
+#: Numbers that the cells of one design may bring to the driver: cells times squared columns.
+MAX_NUMBERS = 20_000_000
+#: Wider rows are summed as one matrix per task; the result is the same.
 EXPRESSION_LIMIT = 24
 
 
@@ -151,10 +153,11 @@ def collect_moments(df: DataFrame, design: Design, responses: Sequence[str],
     factors = design.factors
     if shift is None:
         shift = shifts(df, numerics)
-    rows = moment_rows(df, [], numerics, shift, factors, design.levels).limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} factor cells")
     size = len(numerics) + 1
+    most = max(1, MAX_NUMBERS // size ** 2)
+    rows = moment_rows(df, [], numerics, shift, factors, design.levels).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} factor cells of {size} columns")
     rows = [r for r in rows if r["upper"] is not None and r["upper"][0] is not None]
     grams = np.array([unpack_symmetric(r["upper"], size) for r in rows]).reshape(-1, size, size)
     return Moments(factors, list(numerics), dict(shift), [tuple(r[f] for f in factors) for r in rows], grams)
