@@ -32,6 +32,9 @@ STAGE_WORDS = 5
 SIMILARITY = 0.8
 SAMPLES = 12
 SAMPLE_SHINGLES = 4
+#: Of a cell's texts compared with each other in one task: their shingles, and what a text counts beside its own.
+BLOCK_SHINGLES = 1 << 20
+TEXT_SHINGLES = 256
 EVEN_BITS = 0x5555555555555555
 
 
@@ -140,37 +143,73 @@ def sampled_fingerprints(hashes: np.ndarray, samples: int = SAMPLES, size: int =
     return np.packbits(2 * bits > size, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
+def merged_roots(sets: list[np.ndarray], roots: np.ndarray, block: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of roots with texts whose sets overlap by ``similarity``: enough of them to connect all that do.
+
+    Every pair of texts of different roots is judged, of one block or, if there are two, of both; roots connected on the way
+    are one. ``sets`` are of different hashes.
+    """
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    own = block.min() == block.max()
+    size = np.array([len(s) for s in sets])
+    values, owner = np.concatenate([sets[k] for k in right]), np.repeat(np.arange(len(right)), size[right])
+    by_value = np.argsort(values, kind="stable")
+    values, owner = values[by_value], owner[by_value]
+    _, label = np.unique(roots, return_inverse=True)
+    out = []
+    for k in left:
+        other = label[right] != label[k]
+        if own:
+            other &= right > k
+        if not other.any():
+            continue
+        low = np.searchsorted(values, sets[k], side="left")
+        n = np.searchsorted(values, sets[k], side="right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(right))
+        met = right[other & (shared >= similarity * (size[k] + size[right] - shared))]
+        for j in met:
+            if label[j] != label[k]:
+                out.append((int(roots[k]), int(roots[j])))
+                label[label == label[j]] = label[k]
+    return out
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
-                   similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
+                   similarity: float = SIMILARITY, distance: int = MAX_DISTANCE, block: int = BLOCK_SHINGLES) -> DataFrame:
     """``key`` and ``component`` for every row with a key: groups linked by fingerprints or by shared shingles.
 
     Fingerprints within a few bits belong to nearly equal texts only; at a similarity of 0.8 they differ in about ten bits of
     64. So texts are also linked whose sets of shingles overlap by ``similarity`` (shared over all, verified exactly).
     Candidates agree in the fingerprint of a sample: ``SAMPLES`` random orders of the shingles each give the fingerprint of
-    the first ``SAMPLE_SHINGLES``, so a pair at 0.8 is met with a probability of 1 - (1 - 0.8^4)^12 = 0.998. Within a
-    cell each text is compared with the cell's first and with its predecessor: candidates grow with the texts, not with their
-    pairs. Equal texts are one row throughout.
+    the first ``SAMPLE_SHINGLES``, so a pair at 0.8 is met with a probability of 1 - (1 - 0.8^4)^12 = 0.998. Every pair that
+    meets is judged unless it is connected already: first each text with its cell's first and with its predecessor, which
+    connects most copies; then, in cells that still hold texts of several groups, all pairs of different groups, by blocks of
+    ``block`` shingles that return links between groups only. Equal texts are one row throughout.
     """
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch["text"]:
                 hashes = shingle_hashes(t, words)
-                rows.append((xxhash.xxh64_intdigest((t or "").encode(), SEED) - (1 << 63), majority(hashes), sampled_fingerprints(hashes)))
+                rows.append((xxhash.xxh64_intdigest((t or "").encode(), SEED) - (1 << 63), majority(hashes),
+                             len(hashes), sampled_fingerprints(hashes)))
             yield pd.DataFrame({"key": batch["key"], "t": [r[0] for r in rows], "fp": [r[1] for r in rows],
-                                "samples": [r[2] for r in rows]})
+                                "size": [r[2] for r in rows], "samples": [r[3] for r in rows]})
 
     narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    marked = save_and_reload(narrow.mapInPandas(each, "key long, t long, fp long, samples array<long>"), "marked")
-    texts = save_and_reload(marked.groupBy("t", "fp").agg(F.min("key").alias("node"), F.min_by("samples", "key").alias("samples")),
-                            "texts")
+    marked = save_and_reload(narrow.mapInPandas(each, "key long, t long, fp long, size long, samples array<long>"), "marked")
+    texts = save_and_reload(marked.groupBy("t", "fp").agg(F.min("key").alias("node"), F.min("size").alias("size"),
+                                                          F.min_by("samples", "key").alias("samples")), "texts")
     points = save_and_reload(texts.groupBy("fp").agg(F.min("node").alias("first")), "points")
     near = links(points.withColumnRenamed("first", "node"), distance)
     same = texts.join(points, "fp").where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
 
-    cells = texts.select("node", F.posexplode("samples").alias("order", "cell"))
+    cells = texts.select("node", "size", F.posexplode("samples").alias("order", "cell"))
     cell = Window.partitionBy("order", "cell")
-    met = cells.select("node", F.min("node").over(cell).alias("first"), F.lag("node").over(cell.orderBy("node")).alias("last"))
+    met = cells.select("*", F.min("node").over(cell).alias("first"), F.count("*").over(cell).alias("n"),
+                       F.lag("node").over(cell.orderBy("node")).alias("last"))
+    met = save_and_reload(met.where(F.col("n") > 1), "met")
     pairs = met.where(F.col("last").isNotNull()).select("node", F.explode(F.array_distinct(F.array("first", "last"))).alias("other"))
     pairs = save_and_reload(pairs.distinct(), "pairs")
     needed = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
@@ -187,10 +226,45 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         F.col("node").alias("a"), F.col("other").alias("b"))
 
     roots = components(near.union(same).union(alike), "a", "b")
+    # of three texts in a cell every pair is judged by now
+    placed = met.where(F.col("n") > 3).join(roots, "node", "left").select(
+        "order", "cell", "node", "size", F.coalesce("root", "node").alias("root"))
+    open_ = placed.select("*", F.min("root").over(cell).alias("low"), F.max("root").over(cell).alias("high")).where(
+        F.col("low") != F.col("high"))
+    weight = F.col("size") + TEXT_SHINGLES
+    before = F.sum(weight).over(cell.orderBy("root", "node").rowsBetween(Window.unboundedPreceding, 0)) - weight
+    dealt = save_and_reload(open_.select("order", "cell", "node", "root", F.floor(before / block).cast("long").alias("block")), "dealt")
+    if not dealt.isEmpty():
+        roots = _joined(roots, components(save_and_reload(_block_links(dealt, held, similarity), "merged"), "a", "b"))
     named = texts.join(roots, "node", "left").select("t", "fp", F.coalesce("root", "node").alias("component"))
     return marked.join(save_and_reload(named, "named"), ["t", "fp"]).select("key", "component")
 
 
+def _block_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: roots to merge, from every pair of texts in ``dealt`` (order, cell, block, node, root) of different roots."""
+    blocks = dealt.groupBy("order", "cell", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    first = blocks.select("order", "cell", F.col("block").alias("i"), "low")
+    second = blocks.select("order", "cell", F.col("block").alias("j"), "high")
+    # blocks follow the roots' order: all of one root if the first block's least is the second's greatest
+    judged = first.join(second, ["order", "cell"]).where((F.col("i") <= F.col("j")) & (F.col("low") != F.col("high")))
+    parts = judged.select("order", "cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = parts.join(dealt, ["order", "cell", "block"]).join(held, "node")
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(merged_roots(list(group["set"]), group["root"].to_numpy(), group["block"].to_numpy(), similarity),
+                            columns=["a", "b"], dtype="int64")
+
+    return rows.select("order", "cell", "i", "j", "block", "root", "set").groupBy("order", "cell", "i", "j").applyInPandas(
+        merged, "a long, b long")
+
+
+def _joined(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """``roots`` (node, root) where roots are nodes of ``merged``, too."""
+    onward = merged.select(F.col("node").alias("root"), F.col("root").alias("onward"))
+    moved = roots.join(onward, "root", "left").select("node", F.coalesce("onward", "root").alias("root"))
+    return moved.union(merged.join(roots.select("node"), "node", "left_anti"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
              similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with the row of the least key of each group; rows without a key stay; of repeated keys one row stays."""

@@ -128,6 +128,73 @@ def test_samples_meet_similar_sets():
     assert met / 400 > 0.98
 
 
+def star(rnd, copies, first):
+    """Copies of a text of 204 words, each with four scattered edits; the original has the middle key."""
+    words = [f"w{rnd.randrange(10 ** 9)}" for _ in range(204)]
+    out = []
+    for k in range(copies + 1):
+        new = list(words)
+        for at in range(4) if k != copies // 2 else ():
+            new[rnd.randrange(at * 51 + 5, at * 51 + 46)] = f"new{rnd.randrange(10 ** 9)}"
+        out.append((first + k, " ".join(new)))
+    return out
+
+
+def similar_pairs(texts):
+    """Pairs at 0.8 or more that agree in a sample."""
+    sets = {k: np.unique(simhash.shingle_hashes(t, 5)) for k, t in texts}
+    samples = {k: simhash.sampled_fingerprints(s) for k, s in sets.items()}
+    for a, b in combinations(sets, 2):
+        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+            yield a, b, bool((samples[a] == samples[b]).any())
+
+
+def test_star_of_copies_is_one_group(spark):
+    texts = star(random.Random(11), 500, 0)
+    near = list(similar_pairs(texts))
+    assert len(near) >= 500 and sum(met for *_, met in near) >= 0.99 * len(near)
+    met = {k for a, b, m in near if m and 250 in (a, b) for k in (a, b)}
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    for block in (simhash.BLOCK_SHINGLES, 20_000):
+        found = {r["key"]: r["component"] for r in simhash.similar_groups(table, block=block).collect()}
+        lost = [k for k in met if found[k] != found[250]]
+        assert not lost, len(lost)
+
+
+def test_interleaved_families_of_a_shared_passage(spark):
+    rnd = random.Random(12)
+    passage = " ".join(f"p{rnd.randrange(10 ** 9)}" for _ in range(100))
+    one, two = star(rnd, 30, 0), star(rnd, 30, 0)
+    texts = [(2 * k + n, f"{t} {passage}") for n, part in enumerate((one, two)) for k, t in part]
+    links = [(a, b) for a, b, met in similar_pairs(texts) if met]
+    assert all(a % 2 == b % 2 for a, b in links)
+    found = {r["key"]: r["component"] for r in simhash.similar_groups(
+        spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(found[a] == found[b] for a, b in links) and set(found.values()) == {0, 1}
+
+
+def test_merged_roots_by_brute_force():
+    rng = np.random.default_rng(13)
+    for n in range(40):
+        base = rng.integers(0, 50, size=30)
+        sets = [np.unique(np.where(rng.random(30) < 0.1, rng.integers(0, 50, size=30), base)) for _ in range(12)]
+        roots, block = rng.integers(0, 9, size=12), np.arange(12) * (n % 2 + 1) // 12
+        pairs = [(roots[a], roots[b]) for a, b in combinations(range(12), 2) if n % 2 == 0 or block[a] != block[b]
+                 if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        label = lambda links: [min(x) for x in _closed(links)]
+        assert label(pairs) == label(simhash.merged_roots(sets, roots, block, 0.8))
+
+
+def _closed(links):
+    """For each root from 0 to 8 all that are connected with it."""
+    out = [{k} for k in range(9)]
+    for _ in range(9):
+        for a, b in links:
+            out[a] = out[b] = out[a] | out[b]
+    return out
+
+
 def test_grid_join_finds_every_pair_once(spark):
     rnd = random.Random(6)
     points = {}
