@@ -123,6 +123,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     return marked.join(save_and_reload(named, "named"), "fp").select("key", "fp", "component")
 
 
+def text_hash(text: str) -> Column:
+    """Hash that names a text; NULL as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -175,9 +180,9 @@ def merged_roots(sets: list[np.ndarray], roots: np.ndarray, block: np.ndarray, s
     return out
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
-                   similarity: float = SIMILARITY, distance: int = MAX_DISTANCE, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """``key`` and ``component`` for every row with a key: groups linked by fingerprints or by shared shingles.
+def _similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
+                   similarity: float = SIMILARITY, distance: int = MAX_DISTANCE, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Rows with a key (key, t, fp), and the group of each different text (t, fp, lead: least ``least`` and ``t`` of its group).
 
     Fingerprints within a few bits belong to nearly equal texts only; at a similarity of 0.8 they differ in about ten bits of
     64. So texts are also linked whose sets of shingles overlap by ``similarity`` (shared over all, verified exactly).
@@ -185,22 +190,24 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     the first ``SAMPLE_SHINGLES``, so a pair at 0.8 is met with a probability of 1 - (1 - 0.8^4)^12 = 0.998. Every pair that
     meets is judged unless it is connected already: first each text with its cell's first and with its predecessor, which
     connects most copies; then, in cells that still hold texts of several groups, all pairs of different groups, by blocks of
-    ``block`` shingles that return links between groups only. Equal texts are one row throughout.
+    ``block`` shingles that return links between groups only. Equal texts are one row throughout, named by their hash ``t``:
+    keys may repeat with different texts.
     """
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch["text"]:
                 hashes = shingle_hashes(t, words)
-                rows.append((xxhash.xxh64_intdigest((t or "").encode(), SEED) - (1 << 63), majority(hashes),
-                             len(hashes), sampled_fingerprints(hashes)))
-            yield pd.DataFrame({"key": batch["key"], "t": [r[0] for r in rows], "fp": [r[1] for r in rows],
-                                "size": [r[2] for r in rows], "samples": [r[3] for r in rows]})
+                rows.append((majority(hashes), len(hashes), sampled_fingerprints(hashes)))
+            yield pd.DataFrame({"key": batch["key"], "t": batch["t"], "fp": [r[0] for r in rows],
+                                "size": [r[1] for r in rows], "samples": [r[2] for r in rows]})
 
-    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    narrow = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
+                                                    text_hash(text).alias("t"))
     marked = save_and_reload(narrow.mapInPandas(each, "key long, t long, fp long, size long, samples array<long>"), "marked")
-    texts = save_and_reload(marked.groupBy("t", "fp").agg(F.min("key").alias("node"), F.min("size").alias("size"),
-                                                          F.min_by("samples", "key").alias("samples")), "texts")
+    texts = save_and_reload(marked.groupBy("t", "fp").agg(
+        F.min("key").alias("least"), F.min("size").alias("size"), F.min_by("samples", "key").alias("samples")
+    ).withColumn("node", F.col("t")), "texts")
     points = save_and_reload(texts.groupBy("fp").agg(F.min("node").alias("first")), "points")
     near = links(points.withColumnRenamed("first", "node"), distance)
     same = texts.join(points, "fp").where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -216,9 +223,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["key"], "set": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["t"], "set": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["text"]]})
 
-    held = save_and_reload(narrow.join(needed.withColumnRenamed("node", "key"), "key", "left_semi").mapInPandas(
+    rows = texts.join(needed, "node", "left_semi").select("t", F.col("least").alias("key"))
+    held = save_and_reload(narrow.join(rows, ["key", "t"], "left_semi").mapInPandas(
         sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
     both = pairs.join(held, "node").join(held.select(F.col("node").alias("other"), F.col("set").alias("set2")), "other")
     shared = F.size(F.array_intersect("set", "set2"))
@@ -236,8 +244,20 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     dealt = save_and_reload(open_.select("order", "cell", "node", "root", F.floor(before / block).cast("long").alias("block")), "dealt")
     if not dealt.isEmpty():
         roots = _joined(roots, components(save_and_reload(_block_links(dealt, held, similarity), "merged"), "a", "b"))
-    named = texts.join(roots, "node", "left").select("t", "fp", F.coalesce("root", "node").alias("component"))
-    return marked.join(save_and_reload(named, "named"), ["t", "fp"]).select("key", "component")
+    rooted = save_and_reload(texts.join(roots, "node", "left").select("t", "fp", "least", F.coalesce("root", "node").alias("root")),
+                             "rooted")
+    leads = rooted.groupBy("root").agg(F.min(F.struct("least", "t")).alias("lead"))
+    return marked.select("key", "t", "fp"), save_and_reload(rooted.join(leads, "root").select("t", "fp", "lead"), "named")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
+                   similarity: float = SIMILARITY, distance: int = MAX_DISTANCE, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``key`` and ``component`` (least key of the group) for every row with a key; see ``_similar_texts``.
+
+    Groups have one name if they share their least key, which only a key of different texts makes possible.
+    """
+    marked, named = _similar_texts(docs, key, text, words, similarity, distance, block)
+    return marked.join(named, ["t", "fp"]).select("key", F.col("lead.least").alias("component"))
 
 
 def _block_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -267,8 +287,14 @@ def _joined(roots: DataFrame, merged: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
              similarity: float = SIMILARITY, distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with the row of the least key of each group; rows without a key stay; of repeated keys one row stays."""
-    kept = similar_groups(docs, key, text, words, similarity, distance).where(F.col("key") == F.col("component")).select(
-        F.col("key").alias(key)).distinct()
-    held = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    return held.unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with the row of the least key of each group; rows without a key stay.
+
+    Of rows equal in key and text one stays, that of the least hash. A key of different texts has each of them judged by
+    itself: the least key and, under it, the text of least hash leads a group.
+    """
+    _, named = _similar_texts(docs, key, text, words, similarity, distance)
+    kept = named.where(F.col("t") == F.col("lead.t")).select(F.col("lead.least").alias("__key"), F.col("t").alias("__t")).distinct()
+    marked = docs.where(F.col(key).isNotNull()).withColumn("__key", F.col(key).cast("long")).withColumn("__t", text_hash(text))
+    equal = Window.partitionBy("__key", "__t").orderBy(F.xxhash64(*docs.columns))
+    held = marked.join(kept, ["__key", "__t"], "left_semi").withColumn("__n", F.row_number().over(equal)).where("__n = 1")
+    return held.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -174,6 +174,16 @@ def test_interleaved_families_of_a_shared_passage(spark):
     assert all(found[a] == found[b] for a, b in links) and set(found.values()) == {0, 1}
 
 
+def test_repeated_keys_with_different_texts(spark):
+    rnd = random.Random(14)
+    a, b, c = (" ".join(f"{name}{rnd.randrange(10 ** 9)}" for _ in range(100)) for name in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (8, c), (5, c + " end"), (9, c)]
+    for seed in range(3):
+        table = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string")
+        kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(table.repartition(3)).collect())
+        assert kept == sorted([(5, a), (5, b), (5, c + " end")])
+
+
 def test_merged_roots_by_brute_force():
     rng = np.random.default_rng(13)
     for n in range(40):
