@@ -3,7 +3,7 @@
 Training counts hashed letter n-grams per language over all labelled rows. A text's n-grams are then explained as draws from
 a mixture of those languages: expectation-maximisation estimates the proportions, first over all languages, then over the
 one, two, three ... largest. The set with the greatest log-likelihood less half a logarithm of the n-gram count per further
-language is selected. Sets grow until no text of the batch gains.
+language is selected. Each text's set grows for as long as that text gains, whatever else is in its batch.
 
 Letters are compared in lower case, everything else counts as one space. NULL texts and texts without a letter are
 ``und`` with no proportions; so is every text if nothing could be learned. Ties go to the smaller language name.
@@ -92,14 +92,14 @@ class LanguageModel:
         total = np.add.reduceat(weight, starts)
         shares, _ = _fit(given, weight, owner, starts, total, np.ones((len(self.languages), len(known)), dtype=bool))
         rank = np.argsort(np.argsort(-shares, axis=0, kind="stable"), axis=0)
-        best, best_value = None, None
+        best, best_value, open_ = None, None, np.ones(len(known), dtype=bool)
         for size in range(1, len(self.languages) + 1):
             shares, value = _fit(given, weight, owner, starts, total, rank < size)
             value = value - 0.5 * (size - 1) * np.log(np.maximum(total, 2.0))
             if best is None:
                 best, best_value = shares, value
                 continue
-            gains = value > best_value
+            gains = open_ = open_ & (value > best_value)
             if not gains.any():
                 break
             best, best_value = np.where(gains, shares, best), np.where(gains, value, best_value)

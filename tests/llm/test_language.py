@@ -66,6 +66,22 @@ def test_selection_by_brute_force(docs, model):
         assert model.proportions([r["text"]])[0] == pytest.approx(want)
 
 
+def test_search_of_a_text_ends_by_itself(monkeypatch):
+    """A likelihood that dips at two languages and rises at three, beside a text that gains at two."""
+    values = {1: [0.0, 0.0], 2: [-1e3, 1e3], 3: [1e6, -1e6], 4: [0.0, 0.0]}
+
+    def fit(given, weight, owner, starts, total, allowed, rounds=0):
+        size = 4 if allowed.all() else int(allowed.sum(axis=0)[0])
+        return allowed / allowed.sum(axis=0), np.array([values[size][int(n < 100)] for n in total])
+
+    monkeypatch.setattr(language, "_fit", fit)
+    model = language.LanguageModel(list("abcd"), np.full((4, 1 << language.BITS), 2.0 ** -language.BITS))
+    dips, gains = "words of many " * 20, "a few words"
+    together = model.proportions([dips, gains])
+    assert together == model.proportions([dips]) + model.proportions([gains])
+    assert [len(found) for found in together] == [1, 2]
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = language.identify(odd_docs, F.lit(True)).collect()
     assert len(rows) == odd_docs.count() and rows[0]["key"] == "clash"
