@@ -7,7 +7,7 @@ from the root and give every node's exact marginal; text runs whose marginal exc
 Weights maximise the likelihood of labelled pages. Labels come from pages that mark their article: its text runs are content,
 the page's others are not. As pages differ in mark-up, each labelled page is also trained on in further layouts (``LAYOUTS``),
 where the same texts (some shortened) stand in other elements, some without telling names, and paragraphs of other pages stand in the places
-beside the article. Training takes at most ``sample`` different pages (least hash); extraction covers every page.
+beside the article. Training takes at most ``sample`` different labelled pages (least hash); extraction covers every page.
 
 NULL and empty pages have the empty text, as have pages without content. Without labelled pages all shown text is kept.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from profilar.llm.page_tree import Page, read_page
 from profilar.llm.samples import least_hashed
+from profilar.session import save_and_reload
 
 SAMPLE = 128
 ROUNDS = 150
@@ -232,9 +233,16 @@ def train(sources: list[str], rounds: int = ROUNDS, step: float = STEP, penalty:
 
 
 def learn(pages: DataFrame, source: str = "html", sample: int = SAMPLE) -> PageModel:
-    """Train on at most ``sample`` different pages, those of least hash."""
+    """Train on at most ``sample`` different pages that mark one article, those of least hash."""
+    @F.pandas_udf("boolean")
+    def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([article_labels(read_page(s)) is not None for s in batch], dtype=bool)
+
     hashed = pages.where(F.col(source).isNotNull()).select(F.xxhash64(source).alias("h"), F.col(source).alias("s"))
-    chosen = [row["h"] for row in least_hashed(hashed.select("h").distinct(), F.col("h"), sample).collect()]
+    # what has no such tag in its source has no such element
+    marked = save_and_reload(hashed.where(F.lower("s").contains("article")).where(labelled("s")).select("h").distinct(), "labelled")
+    chosen = [row["h"] for row in least_hashed(marked, F.col("h"), sample).collect()]
     taken = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("s").alias("s"))
     return train([row["s"] for row in sorted(taken.collect(), key=lambda row: row["h"])])
 

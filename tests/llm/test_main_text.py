@@ -34,6 +34,14 @@ def test_pages(pages, model):
     assert np.mean([r["text"] == plain(r["html"]) for r in rows]) > 0.98
 
 
+def test_few_pages_mark_an_article(spark, pages):
+    marked = [r["html"] for r in pages.limit(8).collect()]
+    plain_pages = [f"<html><body><div>menu {k}</div><div>Some words of page {k}.</div></body></html>" for k in range(120)]
+    rows = spark.createDataFrame([(s,) for s in marked + plain_pages + [plain_pages[0], marked[0]]], "html string")
+    found = main_text.learn(rows, sample=8)
+    assert np.array_equal(found.weights, main_text.learn(pages.limit(8), sample=8).weights) and len(found.features) > 1
+
+
 def test_marginals_by_enumeration(model):
     page = read_page("<body><nav><a href=x>one</a></nav><div><p>Some words here.<p>more</div></body>")
     forest = main_text.Forest([page], model.features)
