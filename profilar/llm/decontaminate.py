@@ -9,6 +9,8 @@ Hamming distance. LSH samples a few output steps: windows that agree there are c
 of every item; document windows start at every word of every document. Each table has its own random walk and sample. Tables
 are added until items altered by the largest allowed number of edits are found at the target rate (a simulation over the
 items), and every candidate is verified by an exact edit distance between the whole item and the words around the window.
+Windows are short seeds of at most ``STEPS`` steps, whatever the item's length. Items of a size class that ``MAX_TABLES``
+tables leave below the target are compared with every document as a whole.
 
 Items are held by every task in blocks of ``block_items``; a larger benchmark takes more passes. Items without words match
 nothing, NULL texts contain nothing. Repeated documents and items give repeated matches.
@@ -101,6 +103,8 @@ class Index:
         for k, x in enumerate(self.items):
             by_steps.setdefault(min(STEPS, 1 << (len(x).bit_length() - 1)), []).append(k)
         self.recall = {steps: self._build(steps, members, target) for steps, members in sorted(by_steps.items())}
+        #: Items that tables find too seldom.
+        self.exact = [k for steps, members in sorted(by_steps.items()) if self.recall[steps] < target for k in members]
 
     def edits(self, k: int) -> int:
         return int((1.0 - self.similarity) * len(self.items[k]) + 1e-9)
@@ -224,6 +228,9 @@ class Index:
             for row, owner, entry in zip(rows.tolist(), owners.tolist(), entries.tolist()):
                 for k, offset in table["entries"][entry]:
                     places.setdefault((owner, k), set()).add(row - int(begins[owner]) - offset)
+        for k in self.exact:
+            for owner, words in enumerate(texts):
+                places[owner, k] = set(range(0, len(words), len(self.items[k])))  # all in one region
         out = []
         for (owner, k), diagonals in places.items():
             if (best := self._verified(texts[owner], k, diagonals)) is not None:

@@ -65,6 +65,17 @@ def test_matches_by_brute_force(spark, planted):
     assert left == set(texts) - {d for d, _ in found}
 
 
+def test_items_below_target_are_searched_whole(planted, monkeypatch):
+    items, texts = planted
+    monkeypatch.setattr(dec, "MAX_TABLES", 0)
+    index = dec.Index(list(items.items()))
+    assert set(index.recall.values()) == {0.0}
+    keys = list(texts)
+    found = {(keys[o], index.ids[k]): d for o, k, _, _, d in index.search([index.symbols_of(" ".join(texts[d])) for d in keys])}
+    want = {(d, i): n for d, words in texts.items() for i, item in items.items() if (n := least_distance(item, words)) <= len(item) // 5}
+    assert found == want
+
+
 def test_words_in_bounded_lists(monkeypatch):
     text = "Ab c_d  é1, ä-ö\n" * 50
     whole = dec.all_words(text)
