@@ -16,10 +16,14 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no known language: NULL texts and texts without a letter."""
+    """Drop documents in no known language: NULL texts and texts without a letter.
+
+    Where nothing could be learned, texts with a letter stay.
+    """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     found = language.identify(docs, F.coalesce(~held, F.lit(True)), result="__language")
-    return found.where(F.col("__language.lang_pred") != language.UNKNOWN).select(*docs.columns)
+    unlearned = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))  # if not identified despite a letter
+    return found.where((F.col("__language.lang_pred") != language.UNKNOWN) | unlearned).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

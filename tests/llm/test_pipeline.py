@@ -7,6 +7,7 @@ import tiktoken
 
 import corpus_pipeline
 from profilar.llm import bpe, decontaminate
+from tests.llm.conftest import DOCS
 from tests.llm.test_dedup import brute_fingerprint, brute_lines, brute_roots
 from tests.llm.test_decontaminate import least_distance
 
@@ -38,6 +39,11 @@ def test_run_equals_brute_force(spark, docs):
     assert found == want
 
 
+def test_language_stage_with_nothing_learned(spark):
+    rows = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 !", None, "s", 4), (3, None, None, "s", None)], DOCS)
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, rows, FOLDER).collect()] == [1]
+
+
 def test_stages_take_odd_rows(spark, odd_docs, no_docs):
     for start in (odd_docs, no_docs):
         rows = start
