@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profilar.llm import (bpe, decontaminate, language, line_dedup, main_text, quality, sharding, simhash, sql_text,
+from profilar.llm import (bpe, conversation_repair, decontaminate, language, line_dedup, main_text, quality, sharding, simhash, sql_text,
                           token_counts, vector_index)
 from profilar.llm.registry import query
+from profilar.session import save_and_reload
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
@@ -91,3 +92,25 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults by the checksum of their place; ``there`` is false for dropped rows."""
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = (F.crc32(place.cast("binary")) % 20).alias("kind")
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    marked = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind)
+    copies = F.array_repeat(F.lit(True), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return marked.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("kind") != 0).alias("there"), F.explode(copies)).drop("col")
+
+
+@query("op13_conversation_repair", sql_text.conversation_repair())
+def conversation_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, there = damaged(table(spark, sf_dir, "conversations")), F.col("there")
+    found = save_and_reload(conversation_repair.audits(rows, where=there), "repairs")
+    hashed = conversation_repair.digests(rows, found, where=there)
+    whole = found.join(hashed, found["key"].eqNullSafe(hashed["key"])).drop(hashed["key"])
+    return whole.select(F.col("key").alias("conv_id"), *conversation_repair.COUNTS, "cost", "audit", "repaired_sha256")

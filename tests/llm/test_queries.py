@@ -24,6 +24,6 @@ def test_query(spark, docs, name):
 
 
 def test_one_query_per_operator():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in catalogue.QUERIES) == 1
     assert "pipeline" in driver.queries()
