@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from profilar.llm import (bpe, conversation_repair, decontaminate, language, line_dedup, main_text, quality, sharding, simhash, sql_text,
-                          token_counts, vector_index)
+from profilar.llm import (bpe, conversation_repair, decontaminate, fingerprints, language, line_dedup, main_text, quality, sharding,
+                          simhash, sql_text, token_counts, vector_index)
 from profilar.llm.registry import query
 from profilar.session import save_and_reload
 
@@ -94,6 +98,34 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def edited(text: str, following: str) -> str:
+    """A text whose last quarter is replaced by the start of the following one."""
+    n = len(text) // 4
+    return text[:len(text) - n] + following[:n]
+
+
+EDITED = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def edited_rows(texts: list[str], ranks: np.ndarray) -> pd.DataFrame:
+    """A row of ``EDITED`` for every text but the last, by the text after it."""
+    own = [fingerprints.filters(f) for f in fingerprints.features([fingerprints.encoded(t) for t in texts], ranks)]
+    data = [fingerprints.encoded(edited(a, b)) for a, b in zip(texts, texts[1:])]
+    other = [fingerprints.filters(f) for f in fingerprints.features(data, ranks)]
+    return pd.DataFrame({
+        "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(d).hexdigest() for d in data],
+        "fingerprint": [fingerprints.written(f) for f in own[:-1]], "edited_fingerprint": [fingerprints.written(f) for f in other],
+        "near_edited": [fingerprints.likeness(a, b) for a, b in zip(own, other)],
+        "near_next": [fingerprints.likeness(a, b) for a, b in zip(own, own[1:])]})
+
+
+@query("op12_fingerprints")
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = fingerprints.learn(docs)
+    return fingerprints.with_next(docs, "doc_id", "text", lambda texts: edited_rows(texts, ranks), EDITED)
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with planted faults by the checksum of their place; ``there`` is false for dropped rows."""
     place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
