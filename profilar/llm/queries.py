@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from profilar.llm import (bpe, conversation_repair, decontaminate, fingerprints, language, line_dedup, main_text, quality, sharding,
-                          simhash, sql_text, token_counts, vector_index)
+                          simhash, sql_text, token_counts, vector_index, whitening)
 from profilar.llm.registry import query
 from profilar.session import save_and_reload
 
@@ -98,6 +98,23 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op11_whitening")
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.usable(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    points = vectors.select("vec_id", whitening.quantised("embedding", 256).alias("x"))
+    model = whitening.fit(points, "x")
+    if model is None:
+        return spark.createDataFrame([], WHITENED)
+    rows = whitening.whiten(points, model, "x").select("vec_id", "whitening.deviation", F.posexplode("whitening.whitened"))
+    shares = F.array(*[F.lit(float(v)) for v in model.explained]).cast("array<double>")
+    return rows.select("vec_id", (F.col("pos") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+                       F.col("col").alias("whitened"), shares[F.col("pos")].alias("explained"),
+                       F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+WHITENED = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+
+
 def edited(text: str, following: str) -> str:
     """A text whose last quarter is replaced by the start of the following one."""
     n = len(text) // 4
