@@ -7,7 +7,7 @@ of groups. Work and output are linear in the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -62,20 +62,24 @@ def several_to_anchors(df: DataFrame, key: str, anchors: DataFrame, anchor_key:
     kinds = df.select(key).schema[0].dataType.simpleString(), anchors.select(anchor_key).schema[0].dataType.simpleString()
     parts = {out: ([needed.index(c) for c in columns], _metric(metric)) for out, (columns, metric) in measures.items()}
 
-    def block(batches):
+    @F.pandas_udf(", ".join(f"{n} array<double>" for n in measures))
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[needed].to_numpy(dtype=float)
-            for start in range(0, len(x), 2000):  # keeps one output batch small
-                part = x[start:start + 2000]
-                out = {"row": np.repeat(pdf[key].to_numpy()[start:start + 2000], len(names)),
-                       "anchor": np.tile(np.array(names, dtype=object), len(part))}
+            found = {name: [] for name in parts}
+            for start in range(0, len(x), 2000):
                 for name, (at, measure) in parts.items():
-                    out[name] = measure(part[:, at], matrix[:, at]).ravel()
-                yield pd.DataFrame(out)
+                    found[name].extend(measure(x[start:start + 2000][:, at], matrix[:, at]))
+            yield pd.DataFrame(found)
 
+    # keys stay with Spark: beside a NULL they would be rounded in pandas
     rows = df.select(key, *needed).dropna()
-    schema = f"`row` {kinds[0]}, anchor {kinds[1]}, " + ", ".join(f"{n} double" for n in measures)
-    return rows.mapInPandas(block, schema).withColumnRenamed("row", key)
+    each = rows.select(F.col(key).alias("__key"), measured(F.struct(*needed)).alias("__m"))
+    held = F.array(*[F.lit(n).cast(kinds[1]) for n in names]) if names else F.array().cast(f"array<{kinds[1]}>")
+    zipped = F.arrays_zip(held.alias("anchor"), *[F.col(f"__m.{n}").alias(n) for n in measures])
+    out = each.select("__key", F.explode(zipped).alias("__at"))
+    distances = [F.when(~F.isnan(f"__at.{n}"), F.col(f"__at.{n}")).alias(n) for n in measures]
+    return out.select(F.col("__key").alias(key), F.col("__at.anchor").alias("anchor"), *distances)
 
 
 def group_profiles(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -98,11 +102,10 @@ def principal_coordinates(df: DataFrame, key: str, columns: Sequence[str], ancho
     values, vectors = descending_eigen(-0.5 * centre @ squared @ centre)
     k = min(k, len(values))
     top, mean_squared = vectors[:, :k] / np.sqrt(values[:k]), squared.mean(axis=0)
-    kept = [key, *keep]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(kept).schema.fields]
     axes = [f"Axis{i + 1}" for i in range(k)]
 
-    def place(batches):
+    @F.pandas_udf(", ".join(f"{a} double" for a in axes))
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[columns].to_numpy(dtype=float)
             coords = [np.zeros((0, k))]
@@ -110,14 +113,12 @@ def principal_coordinates(df: DataFrame, key: str, columns: Sequence[str], ancho
                 d2 = measure(x[start:start + 2000], matrix) ** 2
                 centred = -0.5 * (d2 - mean_squared)
                 coords.append((centred - centred.mean(axis=1, keepdims=True)) @ top)
-            out = pd.DataFrame(np.concatenate(coords), columns=axes)
-            for i, name in enumerate(kept):
-                out.insert(i, name, pdf[name].to_numpy())
-            yield out
+            yield pd.DataFrame(np.concatenate(coords), columns=axes)
 
-    schema = ", ".join([*kinds, *[f"{a} double" for a in axes]])
+    kept = [key, *keep]  # stay with Spark: beside a NULL, large keys would be rounded in pandas
     rows = df.select(*dict.fromkeys([*kept, *columns])).dropna(subset=columns)
-    return rows.mapInPandas(place, schema), values
+    placed = rows.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)], place(F.struct(*columns)).alias("__at"))
+    return placed.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)], "__at.*"), values
 
 
 def stress(pairs: DataFrame, dissimilarity: str, distance: str, digits: int | None = None) -> DataFrame:

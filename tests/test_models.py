@@ -530,6 +530,18 @@ def test_empty_profiles_have_no_distance(spark):
     assert found == {(1, 1): None, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 0.0}
 
 
+def test_scaling_rows_keep_large_keys(spark):
+    """A NULL key in the batch does not round the others, nor other columns that are kept."""
+    big = 1 << 60
+    rows = [(None, None, 1.0, 2.0), (big + 1, big + 2, 2.0, 1.0), (big + 2, big + 1, 0.5, 4.0), (big + 3, None, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "k long, other long, a double, b double").coalesce(1)
+    anchors = df.where("k is not null")
+    points, _ = distance.principal_coordinates(df, "k", ["a", "b"], anchors, "k", k=2, keep=["other"])
+    assert {(r["k"], r["other"]) for r in points.collect()} == {r[:2] for r in rows}
+    found = distance.to_anchors(df, "k", ["a", "b"], anchors, "k").collect()
+    assert {(r["k"], r["anchor"]) for r in found} == {(a, b) for a in range(big + 1, big + 4) for b in range(big + 1, big + 4)}
+
+
 def test_group_permutations_equal_single_ones(spark, frame):
     design = Design([factor("trt")], levels=LV)
     rows = {r["site"]: r for r in permute.permutation_test_by(frame, "site", SPECIES, design, key="key", n_perm=30,
