@@ -25,7 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
@@ -256,9 +256,6 @@ class Index:
         return best
 
 
-RESULT = "key long, item long, start_word int, end_word int, distance int, similarity double"
-
-
 def item_blocks(benchmark: DataFrame, item_key: str, text: str, size: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, list[str]]]]:
     """The items' words in blocks of about ``size``, one at a time."""
     rows = benchmark.select(F.col(item_key).cast("long").alias("item"), F.col(text).alias("text"))
@@ -268,36 +265,41 @@ def item_blocks(benchmark: DataFrame, item_key: str, text: str, size: int = BLOC
         yield [(r["item"], all_words(r["text"])) for r in part.orderBy("item", "text").collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-            item_text: str = "text", similarity: float = SIMILARITY, target: float = TARGET_RECALL,
-            block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """A row for each document and item found in it: key, item, its best stretch of words, distance and similarity."""
-    narrow = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+FOUND = "array<struct<item: long, start_word: int, end_word: int, distance: int, similarity: double>>"
 
-    def searched(items: list[tuple[int, list[str]]]) -> DataFrame:
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, similarity, target))  # ``block_items`` at most
 
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at = index.value
-            for batch in batches:
-                for keys, texts in _bounded(batch["key"], map(at.symbols_of, batch["text"])):
-                    rows = [(keys[o], at.ids[k], start, end, d, 1.0 - d / len(at.items[k]))
-                            for o, k, start, end, d in at.search(texts)]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["key", "item", "start_word", "end_word", "distance", "similarity"]
-                                           ).astype({"key": "Int64", "item": "Int64"})
+def _found_in(text: str, items: list[tuple[int, list[str]]], docs: DataFrame, similarity: float, target: float) -> Column:
+    """Array of the items found in each text. Keys of documents stay with Spark: beside a NULL, pandas would round them."""
+    index = docs.sparkSession.sparkContext.broadcast(Index(items, similarity, target))  # ``block_items`` at most
 
-        return narrow.mapInPandas(each, RESULT)
+    @F.pandas_udf(FOUND)
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        at = index.value
+        for batch in batches:
+            rows: list[list[tuple]] = [[] for _ in range(len(batch))]
+            for places, texts in _bounded(range(len(batch)), map(at.symbols_of, batch)):
+                for o, k, start, end, d in at.search(texts):
+                    rows[places[o]].append((at.ids[k], start, end, d, 1.0 - d / len(at.items[k])))
+            yield pd.Series(rows, dtype=object)
 
-    found = [searched(items) for items in item_blocks(benchmark, item_key, item_text, block_items)]
+    return each(F.col(text))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+            item_text: str = "text", similarity: float = SIMILARITY, target: float = TARGET_RECALL,
+            block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """A row for each document and item found in it: key, item, its best stretch of words, distance and similarity."""
+    narrow = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = [narrow.select("key", F.explode(_found_in("text", items, docs, similarity, target)).alias("m")).select("key", "m.*")
+             for items in item_blocks(benchmark, item_key, item_text, block_items)]
     return reduce(DataFrame.unionByName, found)
 
 
-def _bounded(keys: Iterable, texts: Iterable[np.ndarray]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _bounded(places: Iterable[int], texts: Iterable[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     held: tuple[list, list[np.ndarray]] = ([], [])
     size = 0
-    for key, words in zip(keys, texts):
-        held[0].append(None if pd.isna(key) else int(key))
+    for place, words in zip(places, texts):
+        held[0].append(place)
         held[1].append(words)
         size += len(words)
         if size >= BATCH_WORDS:
@@ -307,7 +309,11 @@ def _bounded(keys: Iterable, texts: Iterable[np.ndarray]) -> Iterator[tuple[list
         yield held
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that contain an item. Rows without a key stay."""
-    found = matches(docs, benchmark, key, **how).select(F.col("key").alias(key)).where(F.col(key).isNotNull()).distinct()
-    return docs.join(found, key, "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+                        item_text: str = "text", similarity: float = SIMILARITY, target: float = TARGET_RECALL,
+                        block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` without the rows whose text contains an item, each judged by its own text. Rows without a key stay."""
+    for items in item_blocks(benchmark, item_key, item_text, block_items):
+        found = _found_in(text, items, docs, similarity, target)
+        docs = docs.where(F.col(key).isNull() | (F.size(found) == 0))
+    return docs

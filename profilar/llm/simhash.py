@@ -63,14 +63,13 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Columns ``key`` and ``fp`` (long) for every row."""
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Columns ``key`` and ``fp`` (long) for every row. Keys stay with Spark: beside a NULL, pandas would round them."""
+    @F.pandas_udf("long")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "fp": np.array([fingerprint(t, words) for t in batch["text"]],
-                                                                    dtype=np.int64)})
+            yield pd.Series([fingerprint(t, words) for t in batch], dtype=np.int64)
 
-    narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return narrow.mapInPandas(each, "key long, fp long")
+    return docs.select(F.col(key).cast("long").alias("key"), each(F.col(text)).alias("fp"))
 
 
 def unary_counts(fp: Column) -> Column:
@@ -115,11 +114,17 @@ def links(points: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
            distance: int = MAX_DISTANCE) -> DataFrame:
-    """``key``, ``fp`` and ``component`` (least key reachable) for every row, repeated rows included."""
+    """``key``, ``fp`` and ``component`` (least key reachable) for every row, repeated rows included.
+
+    Fingerprints are linked whatever their keys are; a key of several texts has a row, and maybe a group, for each.
+    """
     marked = save_and_reload(fingerprints(docs, key, text, words), "fingerprints")
-    points = save_and_reload(marked.groupBy("fp").agg(F.min("key").alias("node")), "points")
-    roots = components(links(points.where(F.col("node").isNotNull()), distance), "a", "b")
-    named = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
+    points = save_and_reload(marked.groupBy("fp").agg(F.min("key").alias("least")), "points")
+    roots = save_and_reload(components(links(points.select("fp", F.col("fp").alias("node")), distance), "a", "b"), "roots")
+    linked = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
+    names = linked.join(points, "fp").groupBy("root").agg(F.min("least").alias("name"))
+    named = points.join(linked.join(names, "root"), "fp", "left")
+    named = named.select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
     return marked.join(save_and_reload(named, "named"), "fp").select("key", "fp", "component")
 
 

@@ -75,32 +75,29 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, key: str = "d
         raise ValueError(f"rule must be one of {RULES}")
     ranks, name = broadcast_ranks(docs, vocabulary, pattern)
     kind = "double" if rule == "share" else "long"
-    schema = f"{key} {dict(docs.dtypes)[key]}, section int, char_start long, char_end long, n_tokens {kind}, doc_tokens long"
-    columns = [F.col(key).alias("__key"), F.col(text).alias("__text")] + ([F.col(spans).alias("__spans")] if spans else [])
 
+    @F.pandas_udf(f"char_start array<long>, char_end array<long>, n_tokens array<{kind}>, doc_tokens long")
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = shared_tokenizer(name, ranks, pattern)
         for batch in batches:
             parts = []
             for row in batch.itertuples(index=False):
-                whole = row[1] or ""
+                whole = row[0] or ""
                 if spans:
-                    given = [s for s in (row[2] if row[2] is not None else [])
+                    given = [s for s in (row[1] if row[1] is not None else [])
                              if s is not None and s["start"] is not None and s["end"] is not None]
                     low = np.clip(np.array([s["start"] for s in given], dtype=np.int64), 0, len(whole))
                     high = np.clip(np.array([s["end"] for s in given], dtype=np.int64), 0, len(whole))
                 else:
                     low, high = line_spans(whole)
                 tokens = token_spans(tokenizer, whole)
-                parts.append((np.arange(len(low)), low, high, allocate(tokens, (low, high), rule), len(tokens[0])))
-            sizes = [len(p[0]) for p in parts]
-            counts = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0)
-            yield pd.DataFrame({
-                key: batch["__key"].repeat(sizes).reset_index(drop=True),
-                "section": np.concatenate([p[0] for p in parts] or [[]]).astype(np.int32),
-                "char_start": np.concatenate([p[1] for p in parts] or [[]]).astype(np.int64),
-                "char_end": np.concatenate([p[2] for p in parts] or [[]]).astype(np.int64),
-                "n_tokens": counts if rule == "share" else counts.astype(np.int64),
-                "doc_tokens": np.repeat([p[4] for p in parts], sizes).astype(np.int64)})
-
-    return docs.select(*columns).mapInPandas(each, schema)
+                counts = allocate(tokens, (low, high), rule)
+                parts.append((low.astype(np.int64), high.astype(np.int64), counts if rule == "share" else counts.astype(np.int64), len(tokens[0])))
+            yield pd.DataFrame(parts, columns=["char_start", "char_end", "n_tokens", "doc_tokens"])
+
+    # only texts and spans go to Python: a key beside a NULL would be rounded there
+    read = F.struct(F.col(text).alias("text"), *([F.col(spans).alias("spans")] if spans else []))
+    found = docs.select(F.col(key).alias("__key"), each(read).alias("__found"))
+    fields = [F.col(f"__found.{c}").alias(c) for c in ("char_start", "char_end", "n_tokens")]
+    dealt = found.select("__key", F.col("__found.doc_tokens").alias("__doc"), F.posexplode(F.arrays_zip(*fields)).alias("__section", "__at"))
+    return dealt.select(F.col("__key").alias(key), F.col("__section").alias("section"), "__at.*", F.col("__doc").alias("doc_tokens"))
