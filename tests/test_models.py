@@ -551,3 +551,67 @@ def test_group_permutations_equal_single_ones(spark, frame):
         part = frame.where(F.col("site") == s)
         one = permute.permutation_test(part, ordination.redundancy(part, SPECIES, design), key="key", n_perm=30, seed=4).first()
         assert r["f"] == pytest.approx(one["f"]) and r["p"] == pytest.approx(one["p"]) and r["df_model"] == one["df"]
+
+
+@pytest.mark.parametrize("reml", [True, False])
+def test_variance_derivatives_equal_dense_ones(reml):
+    """Score, observed and average information from group sums, against finite differences and dense matrices."""
+    rng = np.random.default_rng(8)
+    n, sizes = 24, [5, 1, 9, 9]
+    x = np.column_stack([np.ones(n), rng.normal(size=n), rng.normal(size=n) ** 2 * 10])
+    y, v, group = rng.normal(size=n) + x[:, 1], rng.uniform(0.1, 0.5, size=n), np.repeat(np.arange(4), sizes)
+    p, z = 3, np.equal.outer(group, np.arange(4)).astype(float)
+
+    def from_sums(tau2, sigma2):
+        w, e = 1 / (v + tau2), np.column_stack([np.ones(n), x, y])
+        s = [np.array([(e[group == g] * w[group == g, None] ** k).T @ e[group == g] for g in range(4)]) for k in (1, 2, 3)]
+        lnv = np.array([np.log(v + tau2)[group == g].sum() for g in range(4)])
+        return mixed._Sums(mixed._group_parts(s, lnv, sigma2), p, n, x.T @ x, reml, False)
+
+    at, h = np.array([0.3, 0.2]), 1e-4
+    found = from_sums(*at)
+    ll = lambda d: from_sums(*(at + d)).loglik
+    unit = np.eye(2) * h
+    score = [(ll(u) - ll(-u)) / (2 * h) for u in unit]
+    assert found.score == pytest.approx(score, rel=1e-5)
+    second = [[(ll(a + b) - ll(a - b) - ll(b - a) + ll(-a - b)) / (4 * h * h) for b in unit] for a in unit]
+    assert found.observed == pytest.approx(-np.array(second), rel=1e-4)
+    cov = np.diag(v + at[0]) + at[1] * z @ z.T
+    inv = np.linalg.inv(cov)
+    proj = inv - inv @ x @ np.linalg.inv(x.T @ inv @ x) @ x.T @ inv
+    parts = [proj @ y, z @ z.T @ proj @ y]
+    assert found.average == pytest.approx(0.5 * np.array([[a @ proj @ b for b in parts] for a in parts]), rel=1e-8)
+    sign, logdet = np.linalg.slogdet(cov)
+    beta = np.linalg.solve(x.T @ inv @ x, x.T @ inv @ y)
+    dense = -0.5 * ((n - p * reml) * np.log(2 * np.pi) + logdet + (y - x @ beta) @ inv @ (y - x @ beta))
+    if reml:
+        dense += 0.5 * (np.linalg.slogdet(x.T @ x)[1] - np.linalg.slogdet(x.T @ inv @ x)[1])
+    assert found.loglik == pytest.approx(dense)
+
+
+def test_profiled_variance_derivatives():
+    """With the error variance profiled out, the score and information are those of the profile likelihood."""
+    rng = np.random.default_rng(9)
+    n, group = 20, np.repeat(np.arange(5), 4)
+    x, y = np.column_stack([np.ones(n), rng.normal(size=n)]), rng.normal(size=n) + np.repeat(rng.normal(size=5), 4)
+    e = np.column_stack([np.ones(n), x, y])
+    s = [np.array([e[group == g].T @ e[group == g] for g in range(5)])]
+
+    def at(ratio):
+        return mixed._Sums(mixed._group_parts(s, np.zeros(5), ratio), 2, n, x.T @ x, True, True)
+
+    h, found = 1e-4, at(0.7)
+    assert found.score[0] == pytest.approx((at(0.7 + h).loglik - at(0.7 - h).loglik) / (2 * h), rel=1e-5)
+    assert found.observed[0, 0] == pytest.approx(-(at(0.7 + h).loglik - 2 * found.loglik + at(0.7 - h).loglik) / h ** 2, rel=1e-4)
+
+
+def test_searches_settle_in_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(f"g{k % 12}", float(rng.normal(size=1)[0] + k % 12 / 6), 0.05 + 0.1 * rng.random(), float(k % 7)) for k in range(240)]
+    df = spark.createDataFrame(rows, "site string, yi double, vi double, x double")
+    passes, plain = [], mixed._evaluated
+    monkeypatch.setattr(mixed, "_evaluated", lambda *a: passes.append(1) or plain(*a))
+    for random in ("row", "group", "group/row"):
+        passes.clear()
+        fits = mixed.fit(df, [mixed.intercept_and(), mixed.intercept_and("x")], random=random)
+        assert fits.count() == 2 and len(passes) <= 9, random  # the last one is that at zero variance
