@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from profilar.session import save_and_reload
+from profilar.session import shared_folder
 
 WINDOW = 32
 LEVELS = 1024
@@ -282,7 +282,9 @@ def with_next(docs: DataFrame, key: str, text: str, work: Pair, schema: str) ->
         if held is not None:
             yield edge("last", part, *held)
 
-    made = save_and_reload(stream.mapInPandas(each, f"part int, kind string, key string, text string, {schema}"), "ranges")
+    rows, path = stream.mapInPandas(each, f"part int, kind string, key string, text string, {schema}"), f"{shared_folder(spark)}/ranges"
+    rows.write.option("compression", "zstd").parquet(path)  # filters with few features are mostly zeros
+    made = spark.read.schema(rows.schema).parquet(path)
     held_parts = sorted(r[0] for r in made.where("kind = 'first'").select("part").collect())  # a number for each range
     after = spark.createDataFrame(list(zip(held_parts, held_parts[1:] + held_parts[:1])), "part int, after int")
     first = made.where("kind = 'first'").select(F.col("part").alias("after"), F.col("text").alias("next"))
