@@ -1,18 +1,18 @@
 """Permutation tests as a table: one shuffled copy of the response per permutation.
 
-The order of a shuffled copy comes from a seeded hash of (permutation, row
-key), so it does not depend on partitioning and a lost task recomputes the same
-rows. Ranks within a stratum are taken over hash ranges, so a stratum holding
-much of the table is spread over many tasks.
+No copy is sorted. A row's place in its stratum (numbered once) goes to its partner's place by a keyed bijection of 0 … n - 1:
+Feistel rounds on the pair (place // a, place % a), a the least whole number with a² >= n, repeated while the result is n
+or more. Keys come from the seed and the permutation's number, so copies depend neither on partitioning nor on
+attempts, and rows are paired by one join on (stratum, place), in which a stratum that holds much of the table is spread over its places.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilar.functions.linalg import scaled_pinv, unpack_symmetric
@@ -24,54 +24,95 @@ from profilar.operators.ordered import sequence_in_group
 from profilar.operators.ordination import Ordination, condition_places, full_design
 from profilar.session import save_and_reload
 
-#: Rows of a stratum ranked in one task, about; longer strata are ranked over as many hash ranges as they need.
-RANGE_ROWS = 100_000
-CHUNK = 250
+ROUNDS = 6
+#: Rows, times permutations, of one job, about.
+CHUNK_ROWS = 1 << 25
+#: Numbers worked on at once in a task.
+BLOCK = 1 << 18
+# fixed values of the mixing function: increments and multipliers
+STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 CLOSE = float(np.sqrt(np.finfo(float).eps))
 
 
-def _shuffled_rank(rows: DataFrame, strata: Sequence[str], largest: int) -> DataFrame:
-    """``__to``: rank of every row within (permutation, stratum) by its hash, over ranges of the hash."""
-    keys = ["__b", *strata]
-    bits = max(0, (max(1, largest) - 1) // RANGE_ROWS).bit_length()
-    ranged = rows.withColumn("__blk", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("bigint"))
-    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__c"))
-        .select(*keys, "__blk", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    )
-    inside = Window.partitionBy(*keys, "__blk").orderBy("__h", "__key")
-    return match(ranged, offsets, [*keys, "__blk"], "inner").withColumn("__to", F.row_number().over(inside) + F.col("__off"))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(FIRST)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(SECOND)
+    return x ^ (x >> np.uint64(31))
+
+
+def round_keys(seed: int, permutations: np.ndarray) -> np.ndarray:
+    """A key for each permutation (rows) and round."""
+    number = permutations.astype(np.uint64)[:, None] * np.uint64(ROUNDS) + np.arange(ROUNDS, dtype=np.uint64)
+    return mixed(mixed(number * np.uint64(STEP) + np.uint64(seed % (1 << 64))))
+
+
+def partner_places(places: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the places (from 0) of strata of the given sizes go, for each permutation's keys: places × permutations."""
+    shape = len(places), len(keys)
+    side = np.ceil(np.sqrt(sizes.astype(float))).astype(np.uint64)
+    side += (side * side < sizes.astype(np.uint64)).astype(np.uint64)
+    at = np.repeat(places.astype(np.uint64), len(keys))
+    side, size = np.repeat(side, len(keys)), np.repeat(sizes.astype(np.uint64), len(keys))
+    permutation = np.tile(np.arange(len(keys)), len(places))
+    left = np.arange(len(at))
+    while len(left):
+        a = side[left]
+        high, low = at[left] // a, at[left] % a
+        for k in range(keys.shape[1]):
+            high, low = low, (high + mixed(keys[permutation[left], k] + low * np.uint64(STEP)) % a) % a
+        at[left] = high * a + low
+        left = left[at[left] >= size[left]]
+    return at.astype(np.int64).reshape(shape)
+
+
+def _sized(base: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """``base`` with ``__n``, the rows of its stratum. A missing stratum is a stratum."""
+    counts = base.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
+    return match(base, counts, list(strata), "inner") if strata else base.withColumn("__n", F.lit(base.count()))
 
 
 def permuted_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[str], n_x: int, n_y: int,
-                     first: int, last: int, seed: int, largest: int) -> DataFrame:
+                     first: int, last: int, seed: int) -> DataFrame:
     """Σ[1,x]·y' per permutation and factor cell.
 
-    ``base`` has ``__key``, ``__place`` (its rank in the stratum), strata,
-    factors, x0… and y0…. Permutation 0 leaves the rows as they are. Only
-    (permutation, place, rank) rows are multiplied and shuffled; responses and
-    design meet them in the last joins, ahead of the map-side sums. A missing
-    stratum is a stratum.
+    ``base`` has ``__place`` (its number in the stratum, from 1), strata,
+    factors, x0… and y0…, and ``__n`` (the stratum's rows; counted if absent).
+    The responses of a row meet the design of the row whose place they go to.
     """
+    base = base if "__n" in base.columns else _sized(base, strata)
     ys = [f"y{j}" for j in range(n_y)]
-    shuffled = base.select("__key", "__place", *strata).withColumn(
-        "__b", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    shuffled = shuffled.withColumn("__h", F.xxhash64(F.lit(seed), "__b", "__key"))
-    ranked = _shuffled_rank(shuffled, strata, largest).select("__b", *strata, "__place", "__to")
+    keys = round_keys(seed, np.arange(first, last + 1))
+
+    @F.pandas_udf("array<long>")
+    def partners(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        rows = max(1, BLOCK // len(keys))
+        for place, size in batches:
+            found: list[np.ndarray] = []
+            for k in range(0, len(place), rows):
+                found.extend(partner_places(place.to_numpy()[k:k + rows] - 1, size.to_numpy()[k:k + rows], keys))
+            yield pd.Series(found, dtype=object)
+
+    moved = base.select(*strata, *ys, F.posexplode(partners("__place", "__n")).alias("__at", "__to"))
+    moved = moved.select((F.col("__at") + first).alias("__b"), *strata, (F.col("__to") + 1).alias("__to"), *ys)
     kept = base.select(F.col("__place").alias("__to"), *strata,
                        *[F.col(f).alias(f"__f{i}") for i, f in enumerate(factors)], *[f"x{i}" for i in range(n_x)])
-    paired = match(match(ranked, kept, [*strata, "__to"], "inner"), base.select("__place", *strata, *ys),
-                   [*strata, "__place"], "inner")
+    paired = match(moved, kept, [*strata, "__to"], "inner")
     xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(n_x)]
     cells = [F.col(f"__f{i}").alias(f) for i, f in enumerate(factors)]
     return paired.select("__b", *cells, *[f"x{i}" for i in range(n_x)], *ys).groupBy("__b", *factors).agg(
         F.array(*[F.sum(x * F.col(y)) for x in xs for y in ys]).alias("cross"))
 
 
+def _chunks(n_perm: int, rows: int, chunk: int | None) -> list[tuple[int, int]]:
+    """First and last permutation of each job."""
+    size = chunk or max(1, min(n_perm, CHUNK_ROWS // max(1, rows)))
+    return [(first, min(first + size - 1, n_perm)) for first in range(1, n_perm + 1, size)]
+
+
 def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design: Design, responses: Sequence[str],
                      residual_of: Design, moments: Moments, statistics: Callable[[np.ndarray], dict[str, float]],
-                     observed: dict[str, float], n_perm: int, seed: int = 1, chunk: int = CHUNK) -> dict[str, float]:
+                     observed: dict[str, float], n_perm: int, seed: int = 1, chunk: int | None = None) -> dict[str, float]:
     """P value per statistic: (1 + #{permuted ≥ observed}) / (n_perm + 1).
 
     ``statistics`` maps D'Y (design columns × responses) to named values; Y is
@@ -97,11 +138,11 @@ def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design:
     base = complete.select(
         F.col(key).alias("__key"), *dict.fromkeys([*strata, *factors]),
         *[F.expr(shifted[n]).cast("double").alias(f"x{i}") for i, n in enumerate(names)], *ys)
-    base = save_and_reload(sequence_in_group(base, strata, ["__key"], out="__place"), "permute")
-    counted = base.agg(F.max("__place"), F.count(F.lit(1)), F.count_distinct("__key")).first()
-    if counted[1] != counted[2]:
+    base = save_and_reload(sequence_in_group(base, strata, ["__key"], out="__place"), "places")
+    rows, different = base.agg(F.count(F.lit(1)), F.count_distinct("__key")).first()
+    if rows != different:
         raise ValueError(f"values of {key} are not unique")
-    largest = counted[0] or 0
+    base = save_and_reload(_sized(base, strata).drop("__key"), "permute")
 
     n_x, n_y = len(names), len(responses)
     tests = list(observed)
@@ -119,9 +160,8 @@ def run_permutations(df: DataFrame, *, key: str, strata: Sequence[str], design:
     counts = dict.fromkeys(tests, 0)
     spark = df.sparkSession
     limits = spark.createDataFrame([(t, float(v)) for t, v in observed.items()], "test string, observed double")
-    for first in range(1, n_perm + 1, chunk):
-        last = min(first + chunk - 1, n_perm)
-        table = permuted_moments(base, strata, factors, n_x, n_y, first, last, seed, largest)
+    for first, last in _chunks(n_perm, rows, chunk):
+        table = permuted_moments(base, strata, factors, n_x, n_y, first, last, seed)
         values = table.groupBy("__b").applyInPandas(evaluate, "test string, value double")
         hits = values.join(limits, "test").where(F.col("value") >= F.col("observed") - F.lit(CLOSE))
         for row in hits.groupBy("test").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -190,7 +230,7 @@ def permutation_test(df: DataFrame, fit: Ordination, *, key: str, strata: Sequen
 
 
 def permutation_test_by(df: DataFrame, group: str, species: Sequence[str], constraint: Design, *, key: str,
-                        n_perm: int = 999, seed: int = 1, chunk: int = CHUNK) -> DataFrame:
+                        n_perm: int = 999, seed: int = 1, chunk: int | None = None) -> DataFrame:
     """Overall pseudo-F of every group's own ordination with its permutation P, all groups in the same jobs.
 
     Rows are permuted within their group. A group reaches a task as one row per permutation and factor cell, and never as
@@ -209,8 +249,8 @@ def permutation_test_by(df: DataFrame, group: str, species: Sequence[str], const
         F.col(key).alias("__key"), *dict.fromkeys([group, *factors]),
         *[F.expr(shifted[n]).cast("double").alias(f"x{i}") for i, n in enumerate(names)],
         *[F.expr(shifted[s]).cast("double").alias(f"y{j}") for j, s in enumerate(species)])
-    base = save_and_reload(sequence_in_group(base, [group], ["__key"], out="__place"), "permute")
-    largest = base.agg(F.max("__place")).first()[0] or 0
+    base = save_and_reload(_sized(sequence_in_group(base, [group], ["__key"], out="__place"), [group]).drop("__key"), "permute")
+    rows = base.count()
     size, n_x, n_y = len(every) + 1, len(names), len(species)
 
     def judge(kept: pd.DataFrame, permuted: pd.DataFrame) -> pd.DataFrame:
@@ -241,9 +281,8 @@ def permutation_test_by(df: DataFrame, group: str, species: Sequence[str], const
     kind = df.schema[group].dataType.simpleString()
     schema = f"`{group}` {kind}, df_model int, df_residual int, f double, hits bigint"
     judged = []
-    for first in range(1, n_perm + 1, chunk):
-        last = min(first + chunk - 1, n_perm)
-        moved = permuted_moments(base, [group], [group, *[f for f in factors if f != group]], n_x, n_y, first, last, seed, largest)
+    for first, last in _chunks(n_perm, rows, chunk):
+        moved = permuted_moments(base, [group], [group, *[f for f in factors if f != group]], n_x, n_y, first, last, seed)
         judged.append(cells.groupBy(group).cogroup(moved.groupBy(group)).applyInPandas(judge, schema))
     whole = judged[0]
     for part in judged[1:]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from profilar.operators import permute
+
 # fixed values of the hash: its five primes, and the seed of the session's hash function
 PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
 SEED = 42
@@ -51,16 +53,36 @@ def hash_steps(source: str, value: str, seed: str, name: str, *, kind: str = "bi
       {name} as (select * exclude (k0, s0, s1, s2, s3, s4), xor(s4, s4 >> 32) as h from {name}_5)"""
 
 
+def _mixed(source: str, value: str, out: str, keep: str) -> str:
+    """Subquery over ``source``: the columns ``keep`` and the 64-bit mix ``out`` of ``value`` (unsigned)."""
+    one = f"(select {keep}, {value} as z0 from {source})"
+    two = f"(select {keep}, {_times('xor(z0, z0 >> 30)', permute.FIRST)} as z1 from {one})"
+    three = f"(select {keep}, {_times('xor(z1, z1 >> 27)', permute.SECOND)} as z2 from {two})"
+    return f"(select {keep}, xor(z2, z2 >> 31) as {out} from {three})"
+
+
 def permutations(source: str, key: str, stratum: str, n_perm: int, seed: int = 1) -> str:
-    """CTE ``moved``: for each permutation ``b`` and row, its key and the key ``onto`` whose place it takes in its stratum."""
+    """CTE ``moved``: for each permutation ``b`` and row, its key and the key ``onto`` whose place it takes in its stratum.
+
+    A recursive CTE: every step takes the rows whose place is still outside of their stratum through the rounds.
+    """
+    names = [f"k{k}" for k in range(permute.ROUNDS)]
+    number = f"(b * {permute.ROUNDS} + r)"
+    keyed = _mixed(_mixed(f"(select b, r, {_plus(_times(number, permute.STEP), seed)} as x from range(1, {n_perm + 1}) p(b), "
+                          f"range({permute.ROUNDS}) q(r))", "x", "y", "b, r"), "y", "k", "b, r")
+    carried = f"b, key, stratum, n, a, {', '.join(names)}"
+    step = f"(select {carried}, spot // a as high, spot % a as low from pm_walk where spot >= n or not begun)"
+    for k in names:
+        turned = f"({k}::uhugeint + low::uhugeint * {permute.STEP}::uhugeint) % 18446744073709551616::uhugeint"
+        mixed = _mixed(step, f"({turned})::ubigint", "m", f"{carried}, high, low")
+        step = f"(select {carried}, low as high, (high + m % a) % a as low from {mixed})"
     return f"""
-      pm_seed as (select 1 as one),{hash_steps('pm_seed', str(seed), f'{SEED}::ubigint', 'pm_s', kind='int')},
-      pm_b0 as (select b, h as before from pm_s, range(1, {n_perm + 1}) r(b)),
-      {hash_steps('(select b, before from pm_b0)', 'b', 'before', 'pm_b', kind='int')},
-      pm_rows as (select {key} as key, {stratum} as stratum, row_number() over (partition by {stratum} order by {key}) as place
-                  from {source}),
-      pm_pairs as (select b, pm_b.h as before, key, stratum, place from pm_b, pm_rows),
-      {hash_steps('(select * from pm_pairs)', 'key', 'before', 'pm_h')},
-      pm_to as (select b, key, stratum, row_number() over (partition by b, stratum order by {signed('h')}, key) as place from pm_h),
-      moved as (select t.b, t.key, r.key as onto from pm_to t join pm_rows r
-                on r.place = t.place and r.stratum is not distinct from t.stratum)"""
+      pm_keys as (select b, {', '.join(f'max(k) filter (r = {k}) as k{k}' for k in range(permute.ROUNDS))} from {keyed} group by b),
+      pm_rows as (select {key} as key, {stratum} as stratum, row_number() over w as place, count(*) over (partition by {stratum}) as n
+                  from {source} window w as (partition by {stratum} order by {key})),
+      pm_walk as (
+        select {carried}, (place - 1)::ubigint as spot, false as begun
+        from (select *, ceil(sqrt(n))::ubigint as a from pm_rows), pm_keys
+        union all select {carried}, high * a + low as spot, true as begun from {step}),
+      moved as (select t.b, t.key, r.key as onto from pm_walk t join pm_rows r
+                on r.place = t.spot::bigint + 1 and r.stratum is not distinct from t.stratum where t.begun and t.spot < t.n)"""

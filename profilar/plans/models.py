@@ -347,7 +347,7 @@ def factor_share(spark, folder):
 
 
 _CLOSE = 1.4901161193847656e-08  # how near a permuted statistic counts as equal
-_WITHIN = SQL_H + ", hw AS (SELECT sample, site, treatment, " + ", ".join(
+_WITHIN = RECURSIVE + ", hw AS (SELECT sample, site, treatment, " + ", ".join(
     f"{x} - avg({x}) OVER (PARTITION BY site) AS {x}" for x in "abcd") + " FROM h), " + permutations(
     "h", "sample", "site", PERMUTATIONS) + """,
 pv AS (SELECT m.b, d.site, d.treatment, s.a, s.b AS b2, s.c, s.d FROM moved m JOIN hw s ON s.sample = m.key

@@ -98,7 +98,8 @@ def test_permutation_identity_and_blocks(spark, rows, frame, monkeypatch):
     fit = ordination.redundancy(frame, SPECIES, design)
     plain = permute.permutation_test(frame, fit, key="key", strata=["site"], n_perm=60, seed=5).first()
     again = permute.permutation_test(frame.repartition(3), fit, key="key", strata=["site"], n_perm=60, seed=5).first()
-    monkeypatch.setattr(permute, "RANGE_ROWS", 5)
+    monkeypatch.setattr(permute, "CHUNK_ROWS", 700)
+    monkeypatch.setattr(permute, "BLOCK", 50)
     blocked = permute.permutation_test(frame, fit, key="key", strata=["site"], n_perm=60, seed=5).first()
     assert plain == again == blocked
 
@@ -108,7 +109,7 @@ def test_permuted_rows_stay_in_stratum(spark, frame):
 
     base = frame.select(F.col("key").alias("__key"), "site", F.col("a").alias("y0"), F.lit(1.0).alias("x0"))
     base = sequence_in_group(base, ["site"], ["__key"], out="__place")
-    got = permute.permuted_moments(base, ["site"], ["site"], 1, 1, 1, 5, 1, 10)
+    got = permute.permuted_moments(base, ["site"], ["site"], 1, 1, 1, 5, 1)
     sums = {r["site"]: r["s"] for r in frame.groupBy("site").agg(F.sum("a").alias("s")).collect()}
     for r in got.collect():
         assert r["cross"][0] == pytest.approx(sums[r["site"]])
@@ -344,7 +345,7 @@ def test_missing_stratum_is_permuted(spark, frame):
     some = frame.withColumn("site", F.when(F.col("site") != "s1", F.col("site")))
     base = some.select(F.col("key").alias("__key"), "site", F.col("a").alias("y0"), F.lit(1.0).alias("x0"))
     base = sequence_in_group(base, ["site"], ["__key"], out="__place")
-    got = permute.permuted_moments(base, ["site"], [], 1, 1, 1, 3, 1, 10).collect()
+    got = permute.permuted_moments(base, ["site"], [], 1, 1, 1, 3, 1).collect()
     total = frame.agg(F.sum("a")).first()[0]
     assert len(got) == 3 and all(r["cross"][0] == pytest.approx(total) for r in got)
 
@@ -456,13 +457,12 @@ def test_correlation(spark, rows, frame):
 
 
 def test_permutation_p_by_brute_force(spark, rows, frame):
-    """Replay the hash order outside the engine and refit every permuted table densely."""
+    """Replay the permutations outside the engine and refit every permuted table densely."""
     n_perm, seed = 39, 9
     design = Design([factor("trt"), num("wn")], levels=LV)
     fit = ordination.redundancy(frame, SPECIES, design, Design([num("cn")]))
     got = permute.permutation_test(frame, fit, key="key", strata=["site"], n_perm=n_perm, seed=seed).first()
-    hashed = frame.select("key", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("b")).select(
-        "key", "b", F.xxhash64(F.lit(seed), "b", "key").alias("h")).toPandas()
+    keys = permute.round_keys(seed, np.arange(n_perm + 1))
     z = (rows["cn"] - 2000)[:, None]
     x = np.hstack([dummies(rows["trt"], LV["trt"]), rows["wn"][:, None]])
     fit_y, resid, inner, rank = dense_rda(rows["y"], x, z)
@@ -475,11 +475,11 @@ def test_permutation_p_by_brute_force(spark, rows, frame):
     assert got["f"] == pytest.approx(observed, rel=1e-7)
     hits = 0
     for b in range(1, n_perm + 1):
-        order = hashed[hashed["b"] == b].set_index("key")["h"]
         permuted = np.empty_like(inner)
         for s in LV["site"]:
-            place = np.flatnonzero(rows["site"] == s)
-            permuted[place] = inner[sorted(place, key=lambda i: order[i])]
+            place = np.flatnonzero(rows["site"] == s)  # in the order of keys
+            onto = permute.partner_places(np.arange(len(place)), np.full(len(place), len(place)), keys[b:b + 1])[:, 0]
+            permuted[place[onto]] = inner[place]
         hits += f_of(permuted) >= observed - 1e-8
     assert got["p"] == pytest.approx((1 + hits) / (n_perm + 1))
 
@@ -615,3 +615,20 @@ def test_searches_settle_in_few_passes(spark, monkeypatch):
         passes.clear()
         fits = mixed.fit(df, [mixed.intercept_and(), mixed.intercept_and("x")], random=random)
         assert fits.count() == 2 and len(passes) <= 9, random  # the last one is that at zero variance
+
+
+def test_partner_places_are_bijections():
+    """Every size and key gives a permutation; over many keys each place goes everywhere about equally often."""
+    keys = permute.round_keys(3, np.arange(1, 2001))
+    for n in (1, 2, 3, 4, 5, 16, 17, 99):
+        onto = permute.partner_places(np.arange(n), np.full(n, n), keys[:200])
+        assert (np.sort(onto, axis=0) == np.arange(n)[:, None]).all()
+    for n in (2, 3, 5, 12):
+        onto = permute.partner_places(np.arange(n), np.full(n, n), keys)
+        counts = np.array([np.bincount(row, minlength=n) for row in onto])
+        chi2 = ((counts - 2000 / n) ** 2 / (2000 / n)).sum()
+        assert chi2 < (n - 1) ** 2 + 5 * np.sqrt(2 * (n - 1) ** 2) + 5, n
+    orders = {tuple(c) for c in permute.partner_places(np.arange(4), np.full(4, 4), keys).T}
+    assert len(orders) == 24  # all of them
+    big = permute.partner_places(np.array([0, 5, (1 << 40) - 1]), np.full(3, 1 << 40), keys[:50])
+    assert (big < 1 << 40).all() and len(np.unique(big)) == 150
