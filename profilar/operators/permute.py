@@ -27,6 +27,8 @@ from profilar.session import save_and_reload
 ROUNDS = 6
 #: Rows, times permutations, of one job, about.
 CHUNK_ROWS = 1 << 25
+#: Rows of a table that every task holds, so that permutations are dealt to tasks; rows of larger tables are joined.
+HELD_ROWS = 100_000
 #: Numbers worked on at once in a task.
 BLOCK = 1 << 18
 # fixed values of the mixing function: increments and multipliers
@@ -82,6 +84,8 @@ def permuted_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[s
     """
     base = base if "__n" in base.columns else _sized(base, strata)
     ys = [f"y{j}" for j in range(n_y)]
+    if base.count() <= HELD_ROWS:
+        return _held_moments(base, strata, factors, n_x, n_y, first, last, seed)
     keys = round_keys(seed, np.arange(first, last + 1))
 
     @F.pandas_udf("array<long>")
@@ -97,13 +101,57 @@ def permuted_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[s
     moved = moved.select((F.col("__at") + first).alias("__b"), *strata, (F.col("__to") + 1).alias("__to"), *ys)
     kept = base.select(F.col("__place").alias("__to"), *strata,
                        *[F.col(f).alias(f"__f{i}") for i, f in enumerate(factors)], *[f"x{i}" for i in range(n_x)])
-    paired = match(moved, kept, [*strata, "__to"], "inner")
+    # The multiplied side must not be broadcast, whatever its size is taken for.
+    paired = match(moved.hint("merge"), kept, [*strata, "__to"], "inner")
     xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(n_x)]
     cells = [F.col(f"__f{i}").alias(f) for i, f in enumerate(factors)]
     return paired.select("__b", *cells, *[f"x{i}" for i in range(n_x)], *ys).groupBy("__b", *factors).agg(
         F.array(*[F.sum(x * F.col(y)) for x in xs for y in ys]).alias("cross"))
 
 
+def _codes(rows: pd.DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """A number for each row's combination of values (missing ones equal each other), and the combinations."""
+    numbers: dict[tuple, int] = {}
+    values = zip(*[rows[c].astype(object).where(rows[c].notna(), None) for c in columns]) if columns else [()] * len(rows)
+    codes = np.array([numbers.setdefault(v, len(numbers)) for v in values], dtype=np.int64)
+    return codes, list(numbers)
+
+
+def _held_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[str], n_x: int, n_y: int,
+                  first: int, last: int, seed: int) -> DataFrame:
+    """:func:`permuted_moments` of at most ``HELD_ROWS`` rows: each task holds them all and takes some of the permutations."""
+    spark = base.sparkSession
+    held_columns = [*factors, "__place", "__n", *[f"x{i}" for i in range(n_x)], *[f"y{j}" for j in range(n_y)]]
+    # strata as text: a long beside a NULL would be rounded
+    rows = base.select(*held_columns, *[F.col(c).cast("string").alias(f"__s{i}") for i, c in enumerate(strata)]).toPandas()
+    stratum, kinds = _codes(rows, [f"__s{i}" for i in range(len(strata))])
+    place, size = rows["__place"].to_numpy(dtype=np.int64) - 1, rows["__n"].to_numpy(dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(stratum, minlength=len(kinds)))])
+    order = np.lexsort((place, stratum))  # row at each stratum's place
+    cell, cells = _codes(rows, factors)
+    x = np.column_stack([np.ones(len(rows)), *[rows[f"x{i}"].to_numpy(dtype=float) for i in range(n_x)]])
+    y = np.column_stack([rows[f"y{j}"].to_numpy(dtype=float) for j in range(n_y)])
+    held = spark.sparkContext.broadcast((place, size, starts[stratum], order, cell, x, y))  # ``HELD_ROWS`` at most
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, size, start, order, cell, x, y = held.value
+        for batch in batches:
+            for b in batch["b"]:
+                onto = order[start + partner_places(place, size, round_keys(seed, np.array([b])))[:, 0]]
+                at, design = cell[onto], x[onto]
+                cross = np.column_stack([np.bincount(at, design[:, i] * y[:, j], minlength=len(cells))
+                                         for i in range(n_x + 1) for j in range(n_y)])
+                out = pd.DataFrame({"__b": np.full(len(cells), b), "cross": list(cross)})
+                for k, f in enumerate(factors):
+                    out.insert(k + 1, f, pd.Series([c[k] for c in cells], dtype=object))
+                yield out
+
+    kind = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    schema = ", ".join(["__b int", *[f"`{f}` {kind[f]}" for f in factors], "cross array<double>"])
+    tasks = spark.sparkContext.defaultParallelism
+    return spark.range(first, last + 1, numPartitions=tasks).select(F.col("id").alias("b")).mapInPandas(each, schema)
+
+
 def _chunks(n_perm: int, rows: int, chunk: int | None) -> list[tuple[int, int]]:
     """First and last permutation of each job."""
     size = chunk or max(1, min(n_perm, CHUNK_ROWS // max(1, rows)))

@@ -617,6 +617,24 @@ def test_searches_settle_in_few_passes(spark, monkeypatch):
         assert fits.count() == 2 and len(passes) <= 9, random  # the last one is that at zero variance
 
 
+@pytest.mark.parametrize("strata,factors", [(["site"], ["trt", "site"]), ([], ["trt"]), (["site"], [])])
+def test_held_and_joined_moments_agree(spark, frame, monkeypatch, strata, factors):
+    from profilar.operators.ordered import sequence_in_group
+
+    some = frame.withColumn("site", F.when(F.col("site") != "s1", F.col("site")))
+    base = some.select("key", F.col("key").alias("__key"), "site", "trt", F.col("a").alias("y0"), F.col("b").alias("y1"), F.col("wn").alias("x0"))
+    base = sequence_in_group(base, strata, ["__key"], out="__place").drop("__key")
+
+    def rows():
+        return {tuple(r[c] for c in ("__b", *factors)): r["cross"] for r in
+                permute.permuted_moments(base, strata, factors, 1, 2, 3, 9, 4).collect()}
+
+    held = rows()
+    monkeypatch.setattr(permute, "HELD_ROWS", 0)
+    joined = rows()
+    assert held.keys() == joined.keys() and all(held[k] == pytest.approx(joined[k]) for k in held)
+
+
 def test_partner_places_are_bijections():
     """Every size and key gives a permutation; over many keys each place goes everywhere about equally often."""
     keys = permute.round_keys(3, np.arange(1, 2001))
