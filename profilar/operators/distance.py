@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from profilar.functions.linalg import descending_eigen
 from profilar.functions.nulls import ratio
-from profilar.session import save_and_reload
+from profilar.operators.monotone import rising_fit
 
 MAX_ANCHORS = 2_000
 
@@ -124,21 +124,13 @@ def principal_coordinates(df: DataFrame, key: str, columns: Sequence[str], ancho
 def stress(pairs: DataFrame, dissimilarity: str, distance: str, digits: int | None = None) -> DataFrame:
     """Stress of the best rising fit of ordination distance on dissimilarity.
 
-    Pairs are summed per dissimilarity first. ``digits`` rounds dissimilarities
-    beforehand, which bounds that table's size and changes the stress a little.
+    ``digits`` rounds dissimilarities beforehand. Pairs without both values are left out.
     """
-    from pyspark.ml.regression import IsotonicRegression
-
     level = F.col(dissimilarity) if digits is None else F.round(dissimilarity, digits)
-    levels = save_and_reload(pairs.groupBy(level.alias("features")).agg(
-        F.avg(distance).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"),
-        F.sum(F.col(distance) ** 2).alias("square")), "levels")
-    model = IsotonicRegression(weightCol="weight", featuresCol="features", labelCol="label").fit(levels)
-    fitted = model.transform(levels)
-    lost = F.sum(F.col("square") - 2 * F.col("prediction") * F.col("label") * F.col("weight")
-                 + F.col("weight") * F.col("prediction") ** 2)
-    return fitted.agg(F.sum("weight").cast("bigint").alias("n_pairs"),
-                      F.sqrt(F.greatest(lost, F.lit(0.0)) / F.sum("square")).alias("stress"))
+    pools = rising_fit(pairs, level, distance)
+    lost = F.sum(F.col("square") - F.col("s") * F.col("fitted"))
+    return pools.agg(F.sum("w").cast("bigint").alias("n_pairs"),
+                     F.sqrt(F.greatest(lost, F.lit(0.0)) / F.sum("square")).alias("stress"))
 
 
 def eigenvalue_table(df: DataFrame, values: np.ndarray) -> DataFrame:

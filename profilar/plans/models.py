@@ -14,7 +14,7 @@ from profilar.plans import bindings as b
 from profilar.plans.hash_text import permutations
 from profilar.plans.registry import query
 from profilar.plans.relations import CELL_COVARIATES, MD, rom_table
-from profilar.plans.sql_text import (chi2_tail, coefficient_rows, covariance, cross_products, eigenpairs, f_tail, multi_fit,
+from profilar.plans.sql_text import (chi2_tail, coefficient_rows, covariance, cross_products, eigenpairs, f_tail, multi_fit, rising_pools,
                                        nested_search, normal_quantile, orthogonal_steps, restricted_search, stacked_models, sweep,
                                        t_tail, variance_search, z_tail)
 from profilar.session import save_and_reload
@@ -500,6 +500,27 @@ def ordination_stress(spark, folder):
     return _rounded(distance.stress(pairs, "d", "d_ord"), 5)
 
 
+_COMPONENT_PAIRS = (RECURSIVE + "," + covariance("cov", "h", "abcd") + "," + eigenpairs("pc", "cov", 4, 2) + """,
+mm AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(d) AS md FROM h),
+pt AS (SELECT sample, site, a, b, c, d, (a - ma) * x.v1 + (b - mb) * x.v2 + (c - mc) * x.v3 + (d - md) * x.v4 AS p1,
+              (a - ma) * y.v1 + (b - mb) * y.v2 + (c - mc) * y.v3 + (d - md) * y.v4 AS p2 FROM h, mm, pc1 x, pc2 y),
+an AS (SELECT site, avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(d) AS d, avg(p1) AS p1, avg(p2) AS p2 FROM pt GROUP BY 1),
+pairs AS (SELECT sqrt(power(pt.a - an.a, 2) + power(pt.b - an.b, 2) + power(pt.c - an.c, 2) + power(pt.d - an.d, 2)) AS d,
+                 sqrt(power(pt.p1 - an.p1, 2) + power(pt.p2 - an.p2, 2)) AS o FROM pt, an)""")
+
+
+@query("component_stress", "M20 M18 M3", _COMPONENT_PAIRS + "," + rising_pools("pairs", "d", "o") + """
+SELECT count(*) AS n_pairs, round(sqrt(greatest(sum(o * o) - (SELECT sum(s * s / w) FROM pools), 0) / sum(o * o)), 5) AS stress FROM pairs""")
+def component_stress(spark, folder):
+    """How well the distances to site centroids on two components follow those in the full space."""
+    df = profile_rows(spark, folder)
+    vectors, axes = ordination.principal_components(df, H).vectors, ["p1", "p2"]
+    placed = df.withColumns({a: sum((F.col(h) * float(vectors[j, k]) for j, h in enumerate(H)), F.lit(0.0)) for k, a in enumerate(axes)})
+    sites = distance.group_profiles(placed, "site", [*H, *axes])
+    pairs = distance.several_to_anchors(placed, "sample", sites, "site", {"d": (H, "euclidean"), "d_ord": (axes, "euclidean")})
+    return _rounded(distance.stress(pairs, "d", "d_ord"), 5)
+
+
 # Meta-analysis ---------------------------------------------------------------
 
 META = MD + CELL_COVARIATES + """,

@@ -336,3 +336,26 @@ def chi2_tail(x: str, df: str) -> str:
 def z_tail(z: str) -> str:
     """P(|Z| > |z|)."""
     return chi2_tail(f"({z}) * ({z})", "1")
+
+
+def rising_pools(source: str, x: str, y: str) -> str:
+    """CTE ``pools`` (w, s): pools of the rising fit of ``y`` on ``x``, the pieces of the convex minorant of running sums.
+
+    A piece is split at the point farthest below its chord until none lies below. Needs WITH RECURSIVE.
+    """
+    return f"""
+rp_levels AS (SELECT {x} AS x, count(*)::DOUBLE AS w, sum({y}) AS s FROM {source} GROUP BY 1),
+rp_points AS MATERIALIZED (SELECT row_number() OVER o AS k, sum(w) OVER o AS w, sum(s) OVER o AS s FROM rp_levels
+              WINDOW o AS (ORDER BY x) UNION ALL SELECT 0, 0, 0),
+rp_ends AS (SELECT max(k) AS n, max(w) AS w, max_by(s, k) AS s FROM rp_points),
+rp_cut AS (
+  SELECT 0::BIGINT AS i, 0::DOUBLE AS iw, 0::DOUBLE AS is_, n AS j, w AS jw, s AS js, false AS final FROM rp_ends
+  UNION ALL
+  SELECT unnest(CASE WHEN k IS NULL THEN [struct_pack(i := i, iw := iw, is_ := is_, j := j, jw := jw, js := js, final := true)]
+                ELSE [struct_pack(i := i, iw := iw, is_ := is_, j := k.k, jw := k.w, js := k.s, final := false),
+                      struct_pack(i := k.k, iw := k.w, is_ := k.s, j := j, jw := jw, js := js, final := false)] END, recursive := true)
+  FROM (SELECT i, iw, is_, j, jw, js, arg_min(struct_pack(k := p.k, w := p.w, s := p.s),
+                 p.s - is_ - (js - is_) * (p.w - iw) / (jw - iw))
+                 FILTER (p.s - is_ - (js - is_) * (p.w - iw) / (jw - iw) < -1e-9) AS k
+        FROM rp_cut LEFT JOIN rp_points p ON p.k > i AND p.k < j WHERE NOT final GROUP BY ALL)),
+pools AS (SELECT jw - iw AS w, js - is_ AS s FROM rp_cut WHERE final)"""

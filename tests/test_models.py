@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilar.functions import distributions as dist
-from profilar.operators import distance, meta, mixed, ordination, permute, regress
+from profilar.operators import distance, meta, mixed, monotone, ordination, permute, regress
 from profilar.operators.design import Design, crossed, factor, logged, num, squared
 from profilar.operators.moments import gram_of_arrays, moment_rows
 
@@ -650,3 +650,37 @@ def test_partner_places_are_bijections():
     assert len(orders) == 24  # all of them
     big = permute.partner_places(np.array([0, 5, (1 << 40) - 1]), np.full(3, 1 << 40), keys[:50])
     assert (big < 1 << 40).all() and len(np.unique(big)) == 150
+
+
+def plain_rising(x, y, w):
+    """Fitted values by the rule max over starts of min over ends of averages, at each different x."""
+    levels = sorted(set(x))
+    tw = [sum(w[i] for i in range(len(x)) if x[i] == v) for v in levels]
+    ty = [sum(w[i] * y[i] for i in range(len(x)) if x[i] == v) for v in levels]
+    return {v: max(min(sum(ty[a:e + 1]) / sum(tw[a:e + 1]) for e in range(k, len(levels))) for a in range(k + 1))
+            for k, v in enumerate(levels)}
+
+
+@pytest.mark.parametrize("kind", ["noise", "falling", "rising", "ties", "one"])
+def test_rising_fit_in_ranges(spark, kind):
+    """Ranges of few blocks, pools over many ranges, ties and weights, against the max-min rule."""
+    rng = np.random.default_rng(3)
+    n = 1 if kind == "one" else 70
+    x = rng.integers(0, 12, size=n).astype(float) if kind == "ties" else rng.permutation(n) / 7.0
+    y = {"falling": -x, "rising": x ** 2}.get(kind, np.sqrt(x) + rng.normal(size=n))
+    w = rng.integers(1, 4, size=n).astype(float)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), w.tolist())), "x double, y double, w double")
+    want = plain_rising(x.tolist(), y.tolist(), w.tolist())
+    for size in (4, 9, 1000):
+        pools = sorted(monotone.rising_fit(df, "x", "y", "w", range_blocks=size).collect(), key=lambda r: r["low"])
+        fitted = [r["fitted"] for r in pools]
+        assert fitted == sorted(fitted) and sum(r["w"] for r in pools) == w.sum()
+        got = {v: next(r["fitted"] for r in pools if r["low"] <= v <= r["high"]) for v in want}
+        assert got == pytest.approx(want)
+        assert sum(r["square"] for r in pools) == pytest.approx((w * y * y).sum())
+
+
+def test_rising_fit_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0), (2.0, None)], "x double, y double")
+    assert monotone.rising_fit(df, "x", "y").count() == 0
+    assert distance.stress(df, "x", "y").first()["stress"] is None
