@@ -6,7 +6,8 @@ one, two, three ... largest. The set with the greatest log-likelihood less half
 language is selected. Each text's set grows for as long as that text gains, whatever else is in its batch.
 
 Letters are compared in lower case, everything else counts as one space. NULL texts and texts without a letter are
-``und`` with no proportions; so is every text if nothing could be learned. Ties go to the smaller language name.
+``und`` with no proportions; so is every text if nothing could be learned. Ties go to the smaller language name. Texts are inferred in
+groups of bounded size, short ones by the thousand, with memory for the n-grams that occur in them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ BITS = 16
 SMOOTHING = 0.5
 ROUNDS = 12
 BATCH_CHARS = 1 << 21
+BATCH_ROWS = 2_000
 UNKNOWN = "und"
 SPACE = 32
 
@@ -46,11 +48,20 @@ def _buckets(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
     return mixed >> np.uint32(32 - bits)
 
 
-def ngram_counts(text: str | None, order: int = ORDER, bits: int = BITS) -> np.ndarray | None:
-    """Counts of a whole text's n-grams by bucket; None if it has no letter."""
+def _part_counts(buckets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different buckets in ascending order and their numbers."""
+    if len(buckets) < 1 << (bits - 2):
+        return np.unique(buckets, return_counts=True)
+    counts = np.bincount(buckets, minlength=1 << bits)
+    used = np.flatnonzero(counts)
+    return used, counts[used]
+
+
+def ngrams(text: str | None, order: int = ORDER, bits: int = BITS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Different buckets of a whole text's n-grams, ascending, and their counts; None if it has no letter."""
     if not text:
         return None
-    letters, counts, seen = _letter_table(), np.zeros(1 << bits, dtype=np.int64), False
+    letters, parts, seen = _letter_table(), [], False
     edge = np.full(order - 1, SPACE, dtype=np.uint32)
     before = edge
     for at in range(0, len(text), BATCH_CHARS):
@@ -62,10 +73,25 @@ def ngram_counts(text: str | None, order: int = ORDER, bits: int = BITS) -> np.n
         # runs of other characters count as one space, across parts too
         keep = (codes != SPACE) | (np.concatenate([before[-1:], codes[:-1]]) != SPACE)
         codes = np.concatenate([before, codes[keep]])
-        counts += np.bincount(_buckets(codes, order, bits), minlength=1 << bits)
         before = codes[len(codes) - order + 1:]
-    counts += np.bincount(_buckets(np.concatenate([before, edge]), order, bits), minlength=1 << bits)
-    return counts if seen else None
+        if at + BATCH_CHARS >= len(text):
+            codes = np.concatenate([codes, edge])
+        parts.append(_part_counts(_buckets(codes, order, bits), bits))
+    if not seen:
+        return None
+    if len(parts) == 1:
+        return parts[0]
+    used, place = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
+    return used, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def ngram_counts(text: str | None, order: int = ORDER, bits: int = BITS) -> np.ndarray | None:
+    """Counts of a whole text's n-grams by bucket; None if it has no letter."""
+    if (found := ngrams(text, order, bits)) is None:
+        return None
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    counts[found[0]] = found[1]
+    return counts
 
 
 @dataclass
@@ -79,14 +105,14 @@ class LanguageModel:
 
     def proportions(self, texts: list[str | None]) -> list[dict[str, float]]:
         """Selected languages and their proportions for each text; empty: unknown."""
-        found = [ngram_counts(t, self.order, self.bits) if self.languages else None for t in texts]
+        found = [ngrams(t, self.order, self.bits) if self.languages else None for t in texts]
         known = [k for k, counts in enumerate(found) if counts is not None]
         out: list[dict[str, float]] = [{} for _ in texts]
         if not known:
             return out
-        used = [np.flatnonzero(found[k]) for k in known]
+        used = [found[k][0] for k in known]
         starts = np.concatenate([[0], np.cumsum([len(u) for u in used])[:-1]])
-        weight = np.concatenate([found[k][u] for k, u in zip(known, used)]).astype(float)
+        weight = np.concatenate([found[k][1] for k in known]).astype(float)
         owner = np.repeat(np.arange(len(known)), [len(u) for u in used])
         given = self.likelihood[:, np.concatenate(used)]
         total = np.add.reduceat(weight, starts)
@@ -128,11 +154,8 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", order: int =
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, name in zip(batch["text"], batch["lang"]):
-                if (found := ngram_counts(t, order, bits)) is not None:
-                    if name in sums:
-                        sums[name] += found
-                    else:
-                        sums[name] = found
+                if (found := ngrams(t, order, bits)) is not None:
+                    sums.setdefault(name, np.zeros(1 << bits, dtype=np.int64))[found[0]] += found[1]
         for name, found in sums.items():
             used = np.flatnonzero(found)
             yield pd.DataFrame({"lang": name, "bucket": used.astype(np.int32), "n": found[used]})
@@ -166,12 +189,13 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", result: s
 
     @F.pandas_udf(RESULT)
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        chars = BATCH_CHARS // max(4, len(shared.value.languages))  # of texts inferred at once: a number for each n-gram and language
         for batch in batches:
             out, held, size = [], [], 0
             for t in batch:
                 held.append(t)
                 size += len(t or "")
-                if size >= BATCH_CHARS // 4:
+                if size >= chars or len(held) >= BATCH_ROWS:
                     out += rows(held)
                     held, size = [], 0
             yield pd.DataFrame(out + rows(held), columns=["lang_pred", "score", "languages"])

@@ -90,3 +90,17 @@ def test_edges(spark, odd_docs, no_docs):
         assert (r["language"]["lang_pred"] == "und") == unknown and (r["language"]["score"] == 0) == unknown
     assert language.identify(no_docs, F.lit(True)).count() == 0
     assert {r["language"]["lang_pred"] for r in language.identify(odd_docs, F.lit(False)).collect()} == {"und"}
+
+
+def test_memory_of_many_short_texts(docs, model):
+    """Ten thousand texts of forty characters at once take memory for their own n-grams only."""
+    import tracemalloc
+
+    texts = [r["text"][k:k + 40] for r in docs.where("n_chars > 2000").limit(10).collect() for k in range(1000)]
+    one = [model.proportions([t])[0] for t in texts[:200]]
+    tracemalloc.start()
+    found = model.proportions(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 10_000 and peak < 300e6
+    assert all(a == pytest.approx(b) for a, b in zip(found, one))
