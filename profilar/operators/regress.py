@@ -344,13 +344,18 @@ def wald_table(fits: DataFrame) -> DataFrame:
 
 @dataclass
 class Additive:
+    """Penalised fit; ``cov`` is the Bayesian covariance, ``beta[0]`` belongs to uncentred columns, ``means`` are column means."""
     response: str
     bases: dict[str, list[float]]
     parametric: Design
     names: list[str]
     beta: np.ndarray
+    cov: np.ndarray
+    means: np.ndarray
     edf: float
-    penalty: float
+    edf_of: dict[str, float]
+    penalty: dict[str, float]
+    variance: float
     gcv: float
     n: float
     rss: float
@@ -393,22 +398,50 @@ def _bend_penalty(knots: Sequence[float]) -> np.ndarray:
     return out
 
 
+def _smoothing(gram: np.ndarray, cross: np.ndarray, yy: float, n: float, parts: Mapping[str, np.ndarray],
+               rounds: int = 400) -> dict[str, float]:
+    """Penalty of every part by Fellner–Schall steps, which raise the restricted likelihood.
+
+    Each step sets a penalty to variance × (rank / penalty − trace) / roughness times its last value. A part
+    without roughness grows to a bound, where its curve is a straight line.
+    """
+    rank = {x: np.linalg.matrix_rank(s, hermitian=True) for x, s in parts.items()}
+    size = {x: np.trace(gram[s.any(axis=0)][:, s.any(axis=0)]) / max(np.trace(s), 1e-300) for x, s in parts.items()}
+    lam = dict(size)
+    for _ in range(rounds):
+        inverse, _ = scaled_pinv(gram + sum(lam[x] * s for x, s in parts.items()))
+        beta = inverse @ cross
+        rss = max(yy - 2 * beta @ cross + beta @ gram @ beta, 1e-12 * yy)
+        variance = rss / max(n - float(np.trace(inverse @ gram)), 1e-9)
+        last = dict(lam)
+        for x, s in parts.items():
+            spare = max(rank[x] - lam[x] * float(np.trace(inverse @ s)), 1e-12)
+            rough = max(float(beta @ s @ beta), 1e-300)
+            lam[x] = float(np.clip(variance * spare / rough, 1e-9 * size[x], 1e7 * size[x]))
+        if all(abs(np.log(lam[x] / last[x])) < 1e-7 for x in parts):
+            break
+    return lam
+
+
 def additive(df: DataFrame, response: str, smooths: Sequence[str], *, basis: int = 4,
              parametric: Design | None = None) -> Additive:
-    """Sum of penalised cubic regression splines, common smoothing chosen by GCV.
+    """Sum of penalised cubic regression splines, each with its own smoothing by restricted likelihood.
 
-    One pass gives the cross products of all basis columns; the penalty search
-    then runs on that matrix alone.
+    One pass gives the knots of all smooths, one the cross products of all basis columns; the penalty search
+    then runs on that matrix alone. Rows lacking the response or a covariate are left out of the fit.
     """
     parametric = parametric or Design([])
+    names = [f"k{i}" for i in range(basis)]
+    values = F.explode(F.array(*[F.struct(F.lit(x).alias("smooth"), F.col(x).cast("double").alias("value")) for x in smooths]))
+    stacked = df.select(values.alias("at")).select("at.*")
+    found = {r["smooth"]: [float(r[n]) for n in names]
+             for r in quantiles(stacked, ["smooth"], "value", [i / (basis - 1) for i in range(basis)], names).collect()}
     bases: dict[str, list[float]] = {}
     extra: dict[str, str] = {}
     for x in smooths:
-        names = [f"k{i}" for i in range(basis)]
-        row = quantiles(df, [], x, [i / (basis - 1) for i in range(basis)], names).first()
-        knots = [float(row[n]) for n in names]
+        knots = found.get(x, [])
         if len(set(knots)) != basis:
-            raise ValueError(f"knots of {x} repeat; use a smaller basis")
+            raise ValueError(f"knots of {x} repeat or are missing; use a smaller basis")
         bases[x] = knots
         extra.update(_spline_terms(x, knots))
     design = Design([*parametric.terms, *[Term(atoms=((n, e),)) for n, e in extra.items()]], True, parametric.levels)
@@ -416,47 +449,54 @@ def additive(df: DataFrame, response: str, smooths: Sequence[str], *, basis: int
     cols, ys = design.columns(), as_columns([response])
     gram, cross, yy = moments.cross(cols, cols), moments.cross(cols, ys)[:, 0], float(moments.cross(ys, ys)[0, 0])
     places = {c.name: i for i, c in enumerate(cols)}
-    penalty = np.zeros_like(gram)
+    parts = {}
     for x, knots in bases.items():
         at = [places[f"{x}.{i + 2}"] for i in range(len(knots) - 2)]
-        block = _bend_penalty(knots)
-        weight = np.trace(gram[np.ix_(at, at)]) / max(np.trace(block), 1e-300)
-        penalty[np.ix_(at, at)] = block * weight
-    n, best = moments.n, None
-    for lam in np.exp(np.linspace(np.log(1e-6), np.log(1e4), 60)):
-        inverse, _ = scaled_pinv(gram + lam * penalty)
-        beta = inverse @ cross
-        rss = yy - 2 * beta @ cross + beta @ gram @ beta
-        edf = float(np.trace(inverse @ gram))
-        gcv = n * rss / (n - edf) ** 2
-        if best is None or gcv < best[0]:
-            best = (gcv, lam, beta, edf, rss)
-    gcv, lam, beta, edf, rss = best
+        parts[x] = np.zeros_like(gram)
+        parts[x][np.ix_(at, at)] = _bend_penalty(knots)
+    n = moments.n
+    lam = _smoothing(gram, cross, yy, n, parts)
+    inverse, _ = scaled_pinv(gram + sum(lam[x] * s for x, s in parts.items()))
+    beta = inverse @ cross
+    rss = max(float(yy - 2 * beta @ cross + beta @ gram @ beta), 0.0)
+    share = np.diag(inverse @ gram)
+    edf = float(share.sum())
+    variance = rss / (n - edf)
+    means = gram[0] / n
     beta = beta.copy()
-    for c, b in zip(cols, list(beta)):  # back to uncentred columns
+    for i, c in enumerate(cols):  # back to uncentred columns
         if c.numeric:
-            beta[0] -= b * moments.shift[c.numeric]
+            beta[0] -= beta[i] * moments.shift[c.numeric]
+            means[i] += moments.shift[c.numeric]
     beta[0] += moments.shift[response]
     total = yy - cross[0] ** 2 / n
-    return Additive(response, bases, parametric, [c.name for c in cols], beta, edf, float(lam), float(gcv), n,
-                    float(rss), float(1 - rss / total))
+    own = {x: float(sum(share[places[name]] for name in _spline_terms(x, knots))) for x, knots in bases.items()}
+    return Additive(response, bases, parametric, [c.name for c in cols], beta, inverse * variance, means, edf, own, lam, variance,
+                    float(n * rss / (n - edf) ** 2), n, rss, float(1 - rss / total))
 
 
 def smooth_curve(spark: SparkSession, fit: Additive, x: str, points: int = 100) -> DataFrame:
-    """The fitted smooth of one covariate, without the intercept."""
+    """The fitted smooth of one covariate, centred over the rows, with its error and 95 % band."""
     knots = fit.bases[x]
     step = (knots[-1] - knots[0]) / (points - 1)
     grid = spark.range(points).select((F.lit(knots[0]) + F.col("id") * step).alias(x))
-    value = F.lit(0.0)
-    for name, e in _spline_terms(x, knots).items():
-        value = value + F.expr(e) * F.lit(float(fit.beta[fit.names.index(name)]))
-    return grid.withColumn("smooth", value)
+    terms = _spline_terms(x, knots)
+    at = [fit.names.index(name) for name in terms]
+    shape = [F.expr(e) - F.lit(float(fit.means[i])) for i, e in zip(at, terms.values())]
+    value = sum((d * F.lit(float(fit.beta[i])) for i, d in zip(at, shape)), F.lit(0.0))
+    spread = sum((d * e * F.lit(float(fit.cov[i, j])) for i, d in zip(at, shape) for j, e in zip(at, shape)), F.lit(0.0))
+    t = float(t_quantile(0.975, fit.n - fit.edf))
+    grid = grid.withColumns({"smooth": value, "se": F.sqrt(F.greatest(spread, F.lit(0.0)))})
+    return grid.withColumns({"lower": F.col("smooth") - t * F.col("se"), "upper": F.col("smooth") + t * F.col("se")})
 
 
 def additive_summary(spark: SparkSession, fit: Additive) -> DataFrame:
+    """One row per smooth: its effective degrees of freedom and penalty, beside the figures of the whole fit."""
     return spark.createDataFrame(
-        [(fit.response, float(fit.n), fit.edf, fit.penalty, fit.gcv, fit.rss, fit.r2)],
-        "response string, n double, edf double, penalty double, gcv double, rss double, r2 double")
+        [(fit.response, x, fit.edf_of[x], fit.penalty[x], float(fit.n), fit.edf, fit.variance, fit.gcv, fit.rss, fit.r2)
+         for x in fit.bases],
+        "response string, smooth string, smooth_edf double, penalty double, n double, edf double, variance double, gcv double, "
+        "rss double, r2 double")
 
 
 # Regression tree -------------------------------------------------------------------

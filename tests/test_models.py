@@ -430,6 +430,64 @@ def test_additive_reproduces_a_line_and_a_curve(spark):
     assert curve.r2 > 0.98 and 3 < curve.edf < 9
 
 
+def test_smooths_of_unequal_roughness_against_dense_restricted_likelihood(spark):
+    rng = np.random.default_rng(4)
+    n, basis = 300, 8
+    x, z = rng.uniform(0, 10, n), rng.uniform(100, 104, n)
+    y = np.sin(1.5 * x) + 0.2 * (z - 102) + rng.normal(0, 0.3, n)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, z, y)], "x double, z double, y double")
+    fit = regress.additive(df, "y", ["x", "z"], basis=basis)
+
+    def columns(v, knots, at):
+        u, k = (at - knots[0]) / (knots[-1] - knots[0]), (knots - knots[0]) / (knots[-1] - knots[0])
+        cube = lambda t: np.maximum(u - t, 0) ** 3
+        ramp = [(cube(k[i]) - cube(k[-1])) / (k[-1] - k[i]) for i in range(basis - 1)]
+        return np.stack([u, *[r - ramp[-1] for r in ramp[:-1]]], axis=1)
+
+    def penalty(knots):  # the integral of squared second derivatives on a fine grid
+        at = np.linspace(knots[0], knots[-1], 200_001)
+        h = (at[1] - at[0]) / (knots[-1] - knots[0])
+        second = np.gradient(np.gradient(columns(at, knots, at), h, axis=0), h, axis=0)[2:-2]
+        return second.T @ second * h
+
+    knots = [np.quantile(v, np.linspace(0, 1, basis)) for v in (x, z)]
+    parts = [columns(v, k, v) for v, k in zip((x, z), knots)]
+    full = np.hstack([np.ones((n, 1)), *parts])
+    slots = [slice(1, basis), slice(basis, 2 * basis - 1)]
+    own = []
+    for slot, k in zip(slots, knots):
+        s = np.zeros((full.shape[1],) * 2)
+        s[slot, slot] = penalty(k)
+        own.append(s)
+
+    def criterion(logs):  # profiled restricted likelihood, written with a density of the rows
+        s = sum(np.exp(v) * p for v, p in zip(logs, own))
+        free = [0, 1, basis]
+        bent = [i for i in range(full.shape[1]) if i not in free]
+        cover = np.eye(n) + full[:, bent] @ np.linalg.solve(s[np.ix_(bent, bent)], full[:, bent].T)
+        inverse, f = np.linalg.inv(cover), full[:, free]
+        inner = f.T @ inverse @ f
+        r = y - f @ np.linalg.solve(inner, f.T @ inverse @ y)
+        return (n - 3) * np.log(r @ inverse @ r) + np.linalg.slogdet(cover)[1] + np.linalg.slogdet(inner)[1]
+
+    found = np.log([fit.penalty["x"], fit.penalty["z"]])
+    best = criterion(found)
+    for step in ([0.3, 0], [-0.3, 0], [0, -0.7], [0, -2.0]):
+        assert criterion(found + np.array(step)) > best - 1e-4
+    assert fit.edf_of["x"] > 5 and fit.edf_of["z"] < 2.5 and fit.penalty["x"] < fit.penalty["z"]
+    s = fit.penalty["x"] * own[0] + fit.penalty["z"] * own[1]
+    beta = np.linalg.solve(full.T @ full + s, full.T @ y)
+    edf = np.trace(np.linalg.solve(full.T @ full + s, full.T @ full))
+    assert fit.edf == pytest.approx(edf, rel=1e-4)
+    curve = regress.smooth_curve(spark, fit, "x", 21).orderBy("x").collect()
+    at = np.array([r["x"] for r in curve])
+    shape = columns(x, knots[0], at) - parts[0].mean(axis=0)
+    assert [r["smooth"] for r in curve] == pytest.approx(list(shape @ beta[slots[0]]), abs=1e-4)
+    cov = np.linalg.inv(full.T @ full + s)[slots[0], slots[0]] * np.sum((y - full @ beta) ** 2) / (n - edf)
+    assert [r["se"] for r in curve] == pytest.approx(list(np.sqrt(np.einsum("ij,jk,ik->i", shape, cov, shape))), rel=1e-3)
+    assert all(r["lower"] < r["smooth"] < r["upper"] for r in curve)
+
+
 def test_tree_and_quantile_pairs(spark, rows, frame):
     step = frame.withColumn("s", F.when(F.col("wn") > 5, 10.0).otherwise(0.0))
     tree = regress.regression_tree(step, "s", ["wn", "cn"], max_depth=2, min_rows=2)
