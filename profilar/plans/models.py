@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from profilar.functions.nulls import tidy
-from profilar.operators import (aggregate, distance, effects, meta, mixed, ordination, permute, regress, reshape,
+from profilar.operators import (aggregate, distance, effects, landmarks, meta, mixed, ordination, permute, regress, reshape,
                                 shares)
 from profilar.operators.design import Design, crossed, factor, logged, num, squared
 from profilar.operators.mixed import intercept_and, level_means
@@ -521,6 +521,53 @@ def component_stress(spark, folder):
     return _rounded(distance.stress(pairs, "d", "d_ord"), 5)
 
 
+def _farthest_sql(k: int) -> str:
+    """Landmarks one after the other: each step adds the distance to the last one and takes the farthest row."""
+    far = "sqrt(power(e.a - l.a, 2) + power(e.b - l.b, 2) + power(e.c - l.c, 2) + power(e.d - l.d, 2))"
+    sql = RECURSIVE + """,
+e0 AS MATERIALIZED (SELECT sample, a, b, c, d, CAST('inf' AS DOUBLE) AS near, 0 AS spot FROM h),
+l1 AS MATERIALIZED (SELECT 1 AS step, * FROM e0 ORDER BY sample LIMIT 1)"""
+    for i in range(1, k + 1):
+        sql += f""",
+e{i} AS MATERIALIZED (SELECT e.sample, e.a, e.b, e.c, e.d, least(e.near, {far}) AS near, CASE WHEN {far} < e.near THEN {i} ELSE e.spot END AS spot
+  FROM e{i - 1} e, l{i} l)"""
+        if i < k:
+            sql += f""",
+l{i + 1} AS MATERIALIZED (SELECT {i + 1} AS step, * FROM e{i} WHERE near > 0 ORDER BY near DESC, sample LIMIT 1)"""
+    chosen = " UNION ALL ".join(f"SELECT step, sample, near FROM l{i}" for i in range(1, k + 1))
+    return sql + f""",
+ls AS ({chosen}), cv AS (SELECT spot AS step, count(*) AS n_rows, max(near) AS radius FROM e{k} GROUP BY 1)
+SELECT step, sample, CASE WHEN step > 1 THEN round(near, 6) END AS distance, n_rows, round(radius, 6) AS radius FROM ls JOIN cv USING (step)"""
+
+
+@query("landmark_rows", "M19 M18", _farthest_sql(8))
+def landmark_rows(spark, folder):
+    """Eight samples that cover all profiles: each the farthest from those before, with the rows nearest to it."""
+    df = profile_rows(spark, folder)
+    chosen = landmarks.farthest_first(df, "sample", H, 8)
+    cover = landmarks.coverage(df, H, chosen)
+    return _rounded(chosen.select("step", "sample", "distance").join(cover, "step"))
+
+
+def _nonmetric(spark, folder):
+    df = profile_rows(spark, folder)
+    chosen = landmarks.farthest_first(df, "sample", b.GROUPS, 30, metric="bray")
+    return landmarks.nonmetric_scaling(df, "sample", b.GROUPS, chosen, "sample", metric="bray", restarts=20)
+
+
+@query("nonmetric_points", "M18 M19 M20")
+def nonmetric_points(spark, folder):
+    """Every sample on two non-metric axes, with the stress of its own distances to the landmarks."""
+    return _rounded(_nonmetric(spark, folder).rows, 5)
+
+
+@query("nonmetric_trials", "M20")
+def nonmetric_trials(spark, folder):
+    """Stress at the end of every restart; the rows are placed on the best."""
+    fit = _nonmetric(spark, folder)
+    return _rounded(fit.trials.select("restart", "steps", "stress", (F.col("stress") == fit.stress).alias("best")), 6)
+
+
 # Meta-analysis ---------------------------------------------------------------
 
 META = MD + CELL_COVARIATES + """,
