@@ -140,12 +140,17 @@ def _matrix(texts) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           sample: int = SAMPLE) -> Trees:
-    """Fit on at most ``sample`` labelled rows. Of several labels for a key the least counts; NULL labels do not count."""
+    """Fit on at most ``sample`` labelled keys, a row each.
+
+    Of several labels for a key the least counts, of several texts the one of least hash; NULL labels do not count.
+    """
     labelled = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
                 .agg(F.min(label).alias("__label")))
     chosen = least_hashed(labelled, F.xxhash64("__key"), sample)
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).select(  # ``sample`` rows at most
-        F.col("__key").alias("key"), F.col(text).alias("text"), F.col("__label").cast("double").alias("label"))
+    texts = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).select(  # ``sample`` rows at most
+        F.col("__key").alias("key"), F.col("__label").cast("double").alias("label"),
+        F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text")).alias("held"))
+    rows = texts.groupBy("key", "label").agg(F.min("held").alias("held")).select("key", "label", F.col("held.text").alias("text"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

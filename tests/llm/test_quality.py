@@ -60,3 +60,13 @@ def test_edges(spark, odd_docs, no_docs):
     assert {r["score"] for r in quality.score(odd_docs, none).collect()} == {0.5}
     assert quality.score(no_docs, model).count() == 0
     assert len(quality.statistics(None)) == len(quality.FEATURES) and np.isfinite(quality.statistics("")).all()
+
+
+def test_repeated_keys_train_as_one_row_each(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("cast(id % 3 as bigint) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: fitted.append((x, y)))
+    for _ in range(2):
+        quality.train(docs.repartition(5), labels, sample=2)
+    assert len(fitted[0][1]) == 2 and (fitted[0][0] == fitted[1][0]).all()
