@@ -44,6 +44,9 @@ class Forest:
         depth = np.concatenate([p.depth for p in pages]) if pages else np.zeros(0, dtype=np.int64)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
+        # parents of each level, and where each of its nodes finds its own among them
+        self.above = [np.unique(self.parent[level], return_inverse=True) if len(level) > 1 else (self.parent[level], level)
+                      for level in self.levels]
         self.kind = np.array([t is None for p in pages for t in p.text], dtype=np.int64)
         node, feature = [], []
         for p, s in zip(pages, starts):
@@ -58,26 +61,29 @@ class Forest:
     def __len__(self) -> int:
         return len(self.parent)
 
-    def marginals(self, weights: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginal of content for each node, and of each pair of labels for a node and its parent.
+    def marginals(self, weights: np.ndarray, ties: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Marginal of content for each node, and if asked for of each pair of labels for a node and its parent.
 
         ``ties``: log-potentials by kind of child, label of the parent and label of the child.
         """
         own = np.zeros((len(self), 2))
         own[:, 1] = np.bincount(self.node, weights[self.feature], len(self))
-        gathered, up = own.copy(), np.zeros((len(self), 2))
-        for level in self.levels[:0:-1]:
-            for label in (0, 1):  # of the parent
-                up[level, label] = np.logaddexp(*(ties[self.kind[level], label] + gathered[level]).T)
-            for label in (0, 1):
-                gathered[:, label] += np.bincount(self.parent[level], up[level, label], len(self))
-        belief, pairs = gathered.copy(), np.zeros((len(self), 2, 2))
+        gathered, up, tied = own.copy(), np.zeros((len(self), 2)), ties[self.kind]
+        for level, (parents, place) in zip(self.levels[:0:-1], self.above[:0:-1]):
+            joint = tied[level] + gathered[level][:, None, :]
+            sent = np.logaddexp(joint[:, :, 0], joint[:, :, 1])  # for each label of the parent
+            up[level] = sent
+            if len(level) > 1:
+                sent = np.stack([np.bincount(place, sent[:, label], len(parents)) for label in (0, 1)], axis=1)
+            gathered[parents] += sent
+        belief, pairs = gathered.copy(), np.zeros((len(self), 2, 2)) if with_pairs else None
         for level in self.levels[1:]:
             above = belief[self.parent[level]] - up[level]  # what the parent knows without this child
-            joint = above[:, :, None] + ties[self.kind[level]] + gathered[level][:, None, :]
+            joint = above[:, :, None] + tied[level] + gathered[level][:, None, :]
             belief[level] = np.logaddexp(joint[:, 0], joint[:, 1])
-            joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-            pairs[level] = joint / joint.sum(axis=(1, 2), keepdims=True)
+            if with_pairs:
+                joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+                pairs[level] = joint / joint.sum(axis=(1, 2), keepdims=True)
         return 1.0 / (1.0 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50))), pairs
 
 
@@ -222,7 +228,7 @@ def train(sources: list[str], rounds: int = ROUNDS, step: float = STEP, penalty:
     value = np.zeros(len(features) + 8)
     first, second = np.zeros_like(value), np.zeros_like(value)
     for n in range(1, rounds + 1):
-        content, pairs = forest.marginals(value[:-8], value[-8:].reshape(2, 2, 2))
+        content, pairs = forest.marginals(value[:-8], value[-8:].reshape(2, 2, 2), with_pairs=True)
         expected = np.stack([pairs[child[forest.kind[child] == kind]].sum(axis=0) for kind in (0, 1)])
         slope = np.concatenate([np.bincount(forest.feature, (y - content)[forest.node], len(features)),
                                 (seen - expected).ravel()]) / len(pages) - penalty * value / 10
@@ -233,16 +239,26 @@ def train(sources: list[str], rounds: int = ROUNDS, step: float = STEP, penalty:
 
 
 def learn(pages: DataFrame, source: str = "html", sample: int = SAMPLE) -> PageModel:
-    """Train on at most ``sample`` different pages that mark one article, those of least hash."""
+    """Train on at most ``sample`` different pages that mark one article, those of least hash.
+
+    Pages are read in ranges of their hash from the least on, each eight times as wide, until one holds enough.
+    """
     @F.pandas_udf("boolean")
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([article_labels(read_page(s)) is not None for s in batch], dtype=bool)
+            marks = {s: article_labels(read_page(s)) is not None for s in set(batch)}
+            yield batch.map(marks).astype(bool)
 
     hashed = pages.where(F.col(source).isNotNull()).select(F.xxhash64(source).alias("h"), F.col(source).alias("s"))
-    # what has no such tag in its source has no such element
-    marked = save_and_reload(hashed.where(F.lower("s").contains("article")).where(labelled("s")).select("h").distinct(), "labelled")
-    chosen = [row["h"] for row in least_hashed(marked, F.col("h"), sample).collect()]
+    share = 8 * sample / max(hashed.count(), 1)
+    while True:
+        reach = hashed.where(F.shiftrightunsigned("h", 11).cast("double") * 2.0 ** -53 < share)
+        # what has no such tag in its source has no such element
+        marked = reach.where(F.lower("s").contains("article")).where(labelled("s")).select("h").distinct()
+        chosen = [row["h"] for row in least_hashed(save_and_reload(marked, "labelled"), F.col("h"), sample).collect()]
+        if len(chosen) >= sample or share >= 1:
+            break
+        share *= 8
     taken = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("s").alias("s"))
     return train([row["s"] for row in sorted(taken.collect(), key=lambda row: row["h"])])
 

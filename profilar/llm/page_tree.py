@@ -94,6 +94,7 @@ def read_page(source: str | None) -> Page:
     page, source = Page(), source or ""
     page.add(-1, "root", ["tag root"], None)
     open_tags: list[tuple[str, int, bool]] = [("root", 0, False)]  # name, node (an inline element: its block's), unseen
+    places: dict[str, list[int]] = {}  # of the open tags of a name, in order
     run: list[str] = []
     links = linked = 0
 
@@ -107,19 +108,23 @@ def read_page(source: str | None) -> Page:
                 page.add(node, "#text", text_features(text, min(linked, len(text)), page.tag[node]), text)
         linked = 0
 
+    def open_tag(name: str, node: int, unseen: bool) -> None:
+        nonlocal links
+        places.setdefault(name, []).append(len(open_tags))
+        open_tags.append((name, node, unseen))
+        links += name == "a"
+
     def close_to(k: int) -> None:
         nonlocal links
         for name, _, _ in open_tags[k:]:
+            places[name].pop()
             links -= name == "a"
         del open_tags[k:]
 
     def last_open(names, stops=()) -> int:
-        for k in range(len(open_tags) - 1, 0, -1):
-            if open_tags[k][0] in names:
-                return k
-            if open_tags[k][0] in stops:
-                break
-        return 0
+        """Place of the last open tag of these names, 0 if there is none or a stop comes after it."""
+        k = max((places[name][-1] for name in names if places.get(name)), default=0)
+        return 0 if any(places[stop][-1] > k for stop in stops if places.get(stop)) else k
 
     at, raw = 0, None
     while at < len(source):
@@ -160,8 +165,7 @@ def read_page(source: str | None) -> Page:
         unseen = open_tags[-1][2] or name in UNSEEN or hidden
         if name in INLINE and not (BESIDE.intersection(kinds) or hidden):
             if not token.endswith("/>"):
-                open_tags.append((name, open_tags[-1][1], unseen))
-                links += name == "a"
+                open_tag(name, open_tags[-1][1], unseen)
             continue
         flush()
         if name == "body" and (k := last_open(("head",))):
@@ -174,8 +178,7 @@ def read_page(source: str | None) -> Page:
         plain = "" if BESIDE.intersection(kinds) else "plain "
         node = page.add(open_tags[-1][1], name, [f"{plain}tag {name}", *(f"named {k}" for k in kinds)], None)
         if not token.endswith("/>"):
-            open_tags.append((name, node, unseen))
-            links += name == "a"
+            open_tag(name, node, unseen)
     flush()
     return page
 

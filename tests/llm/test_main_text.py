@@ -3,9 +3,11 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from profilar.llm import main_text
 from profilar.llm.page_tree import read_page
@@ -45,7 +47,7 @@ def test_few_pages_mark_an_article(spark, pages):
 def test_marginals_by_enumeration(model):
     page = read_page("<body><nav><a href=x>one</a></nav><div><p>Some words here.<p>more</div></body>")
     forest = main_text.Forest([page], model.features)
-    found, pairs = forest.marginals(model.weights, model.ties)
+    found, pairs = forest.marginals(model.weights, model.ties, with_pairs=True)
     n, own = len(page.parent), np.bincount(forest.node, model.weights[forest.feature], len(page.parent))
     mass, content, both = 0.0, np.zeros(n), np.zeros(n)
     for labels in itertools.product((0, 1), repeat=n):
@@ -95,3 +97,22 @@ def test_edges(spark, model):
     assert {len(r["text"]) for r in found if r["page_id"] == 6} == {len(("long text. " * 20_000).strip())}
     empty = df.where("false")
     assert main_text.extract(empty, main_text.learn(empty)).count() == 0
+
+
+def test_depth_costs_in_proportion(model):
+    began = time.process_time()
+    for tag in ("div", "li", "p><b", "span"):
+        assert model.texts([f"<{tag}>" * 20_000 + "a sentence that ends the page."])[0] in ("", "a sentence that ends the page.")
+    assert time.process_time() - began < 60  # scanning all open tags for each took longer by far
+
+
+def test_training_pages_are_those_of_least_hash_among_the_marked(spark, monkeypatch):
+    page = lambda k: f"<html><{'article' if k % 40 == 0 else 'div'}><p>Page {k} has a text.</p></html>"
+    df = spark.createDataFrame([(page(k),) for k in range(2000)] + [(page(0),)] * 50 + [(None,)], "html string")
+    taken = []
+    monkeypatch.setattr(main_text, "train", taken.append)
+    for sample in (3, 20, 128):  # more than there are: all
+        main_text.learn(df, sample=sample)
+        rows = df.distinct().where("html LIKE '%<article>%'").select("html", F.xxhash64("html").alias("h")).collect()
+        least = sorted(rows, key=lambda r: r["h"] % 2 ** 64)[:sample]
+        assert {r["html"] for r in least} == set(taken[-1])
