@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilar.functions.linalg import descending_eigen, explained, scaled_pinv, unpack_symmetric
-from profilar.operators.design import Design, combination_text, double_text
+from profilar.operators.design import Design, column_expression, combination_text, double_text, level_text
 from profilar.operators.joins import match
 from profilar.operators.moments import Moments, as_columns, cell_keys, collect_moments, moment_rows, shifts
 from profilar.operators.shares import hellinger
@@ -123,9 +123,14 @@ def axis_table(spark: SparkSession, fit: Ordination) -> DataFrame:
     rows = [(i + 1, a, float(v), float(p), float(c)) for i, (a, v, p, c) in
             enumerate(zip(fit.axes, fit.eigenvalues, share, np.cumsum(share)))]
     table = spark.createDataFrame(rows, "rank int, axis string, eigenvalue double, proportion double, running double")
+    return table.withColumn("label", _axis_label())
+
+
+def _axis_label() -> Column:
+    """Axis name and percentage of the total inertia."""
     percent = F.bround(F.col("proportion") * 100, 1)
     text = F.when(percent == F.floor(percent), percent.cast("bigint").cast("string")).otherwise(percent.cast("string"))
-    return table.withColumn("label", F.concat("axis", F.lit(" ("), text, F.lit("%)")))
+    return F.concat("axis", F.lit(" ("), text, F.lit("%)"))
 
 
 def _axis_scale(fit: Ordination, places: Sequence[int], scaling: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +222,10 @@ def redundancy_by(df: DataFrame, group: str, species: Sequence[str], constraint:
 
     Rows are reduced to moments per group and factor cell first; a group
     reaches its task as one small matrix per cell. Result: one row per group
-    and axis with inertia parts, degrees of freedom, F and column loadings.
+    and constrained axis with inertia parts, degrees of freedom, F, axis label,
+    column loadings and what the axis takes from the ``condition`` columns
+    (``removed``). ``shift`` repeats the means that numbers were centred by.
+    Groups of one row, or without a constraint that varies, give no row.
     """
     condition = condition or EMPTY
     design = full_design(constraint, condition)
@@ -227,8 +235,10 @@ def redundancy_by(df: DataFrame, group: str, species: Sequence[str], constraint:
     rows = moment_rows(df, [group], numerics, shift, factors, design.levels)
     cols, ys = design.columns(), as_columns(species)
     z = condition_places(design, condition)
+    z_cols = _condition_columns(condition)
     names, species = list(numerics), list(species)
     size = len(names) + 1
+    held = [shift[n] for n in names]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         grams = np.array([unpack_symmetric(u, size) for u in pdf["upper"]])
@@ -238,38 +248,83 @@ def redundancy_by(df: DataFrame, group: str, species: Sequence[str], constraint:
         if n < 2:
             return pd.DataFrame(columns=[group, "axis", *RESULT])
         values, vectors = descending_eigen(parts["constrained"] / (n - 1), parts["rank_x"])
-        ss_c, ss_r = np.trace(parts["constrained"]), np.trace(parts["residual"])
+        inverse, _ = scaled_pinv(m.cross(z_cols, z_cols))
+        removed = inverse @ m.cross(z_cols, ys) @ vectors
+        ss_t, ss_z, ss_c, ss_r = (np.trace(parts[k]) for k in ("total", "conditioned", "constrained", "residual"))
         df_r = n - 1 - parts["rank_z"] - parts["rank_x"]
         usable = df_r > 0 and parts["rank_x"] > 0 and ss_r > 0
         f = ss_c / parts["rank_x"] / (ss_r / df_r) if usable else None
         out = [
-            (pdf[group].iloc[0], f"RDA{k + 1}", n, np.trace(parts["total"]) / (n - 1), ss_c / (n - 1),
-             ss_r / (n - 1), parts["rank_x"], int(df_r), f, values[k], list(map(float, vectors[:, k])))
+            (pdf[group].iloc[0], f"RDA{k + 1}", n, ss_t / (n - 1), ss_z / (n - 1), ss_c / (n - 1), ss_r / (n - 1),
+             parts["rank_z"], parts["rank_x"], int(df_r), f, values[k], values[k] * (n - 1) / ss_t,
+             list(map(float, vectors[:, k])), list(map(float, removed[:, k])), held)
             for k in range(len(values))
         ]
         return pd.DataFrame(out, columns=[group, "axis", *RESULT])
 
     kind = df.schema[group].dataType.simpleString()
-    return rows.groupBy(group).applyInPandas(
-        solve, f"`{group}` {kind}, axis string, n double, total double, constrained double, residual double, "
-               "df_model int, df_residual int, f double, eigenvalue double, loadings array<double>")
+    fits = rows.groupBy(group).applyInPandas(
+        solve, f"`{group}` {kind}, axis string, n double, total double, conditioned double, constrained double, residual double, "
+               "df_condition int, df_model int, df_residual int, f double, eigenvalue double, proportion double, "
+               "loadings array<double>, removed array<double>, shift array<double>")
+    return fits.withColumn("label", _axis_label())
+
+
+RESULT = ["n", "total", "conditioned", "constrained", "residual", "df_condition", "df_model", "df_residual", "f", "eigenvalue",
+          "proportion", "loadings", "removed", "shift"]
+
 
+def _condition_columns(condition: Design) -> list:
+    return Design(condition.terms, True, condition.levels).columns()
 
-RESULT = ["n", "total", "constrained", "residual", "df_model", "df_residual", "f", "eigenvalue", "loadings"]
 
+def _fit_scale(power: float, scaling: int, of: str = "") -> Column:
+    """What :func:`_axis_scale` gives, from the columns of a table of fits."""
+    n, total, share = (F.col(of + c) for c in ("n", "total", "proportion"))
+    return F.pow(share, F.lit(power)) * F.pow((n - 1) * total, 0.25) if scaling else F.lit(1.0)
 
-def row_scores_by(df: DataFrame, fits: DataFrame, group: str, species: Sequence[str], axis: str = "RDA1") -> DataFrame:
-    """Row scores on one axis of each group's own ordination (no conditioning), scaling 3."""
-    means = df.groupBy(group).agg(*[F.avg(s).alias(f"__m{j}") for j, s in enumerate(species)])
-    one = fits.where(F.col("axis") == axis).select(group, "n", "total", "eigenvalue", "loadings")
-    joined = match(match(df, one, [group], "left"), means, [group], "left")
+
+def row_scores_by(df: DataFrame, fits: DataFrame, group: str, species: Sequence[str], axis: str = "RDA1",
+                  constraint: Design | None = None, condition: Design | None = None, scaling: int = 3) -> DataFrame:
+    """Row scores on one axis of each group's own ordination, what the conditioning part explains taken off.
+
+    ``constraint`` and ``condition`` are those of the fits; the constraint matters only where terms have numbers. A row whose
+    group has no such axis, that lacks a number, or that lacks a conditioning factor or has an unlisted level of it, gets NULL.
+    """
+    constraint, condition = constraint or EMPTY, condition or EMPTY
+    numerics = full_design(constraint, condition).numerics()
+    place = {name: i for i, name in enumerate([*numerics, *species])}
+    fit = F.struct("n", "total", "proportion", "eigenvalue", "loadings", "removed", "shift")
+    joined = match(df, fits.where(F.col("axis") == axis).select(group, fit.alias("__fit")), [group], "left")
     raw = F.lit(0.0)
     for j, s in enumerate(species):
-        raw = raw + (F.col(s) - F.col(f"__m{j}")) * F.col("loadings")[j]
-    scale = F.pow(F.col("eigenvalue") / F.col("total"), 0.25) * F.pow((F.col("n") - 1) * F.col("total"), 0.25)
-    score = raw / F.sqrt(F.col("eigenvalue") * (F.col("n") - 1)) * scale
-    return joined.withColumn(axis, score).drop(
-        "n", "total", "eigenvalue", "loadings", *[f"__m{j}" for j in range(len(species))])
+        raw = raw + (F.col(s) - F.get("__fit.shift", F.lit(place[s]))) * F.get("__fit.loadings", F.lit(j))
+    shifted = {n: f"({e}) - `__fit`.shift[{place[n]}]" for n, e in condition.numerics().items()}
+    for k, col in enumerate(_condition_columns(condition)):
+        raw = raw - F.get("__fit.removed", F.lit(k)) * column_expression(col, shifted)
+    known = F.lit(True)
+    for f in condition.factors:
+        known = known & F.col(f).cast("string").isin([level_text(v) for v in condition.levels[f]])
+    value = raw / F.sqrt(F.col("__fit.eigenvalue") * (F.col("__fit.n") - 1))
+    scale = _fit_scale({0: 0.0, 1: 0.5, 2: 0.0, 3: 0.25}[scaling], scaling, "__fit.")
+    return joined.withColumn(axis, F.when(known, value * scale)).drop("__fit")
+
+
+def species_scores_by(fits: DataFrame, group: str, species: Sequence[str], axis: str = "RDA1", scaling: int = 3,
+                      labels: Mapping[str, str] | None = None) -> DataFrame:
+    """Column scores on one axis of each group's own ordination, with display labels and their rank by score.
+
+    Ties in score take the order of ``species``.
+    """
+    texts = F.array(*[F.struct(F.lit(j).alias("place"), F.lit(s).alias("species"), F.lit((labels or {}).get(s, s)).alias("label"))
+                      for j, s in enumerate(species)])
+    scale = _fit_scale({0: 0.0, 1: 0.0, 2: 0.5, 3: 0.25}[scaling], scaling)
+    scores = F.transform(texts, lambda t: F.struct(F.get("loadings", t["place"]).alias("score"), t["place"], t["species"],
+                                                   t["label"]))
+    ordered = fits.where(F.col("axis") == axis).select(group, scale.alias("__scale"), F.array_sort(scores).alias("__scores"))
+    return (ordered.select(group, "__scale", F.posexplode("__scores").alias("__at", "__s"))
+            .select(group, F.col("__s.species").alias("species"), F.col("__s.label").alias("label"),
+                    (F.col("__at") + 1).alias("rank"), (F.col("__s.score") * F.col("__scale")).alias(axis)))
 
 
 # Groups in ordination space --------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from profilar.functions.nulls import tidy
-from profilar.operators import (aggregate, distance, effects, landmarks, meta, mixed, ordination, permute, regress, reshape,
+from profilar.operators import (aggregate, distance, effects, joins, landmarks, meta, mixed, ordination, permute, regress, reshape,
                                 shares)
 from profilar.operators.design import Design, crossed, factor, logged, num, squared
 from profilar.operators.mixed import intercept_and, level_means
@@ -232,6 +232,61 @@ def row_scores_by_site(spark, folder):
     return _rounded(ordination.row_scores_by(df, fits, "site", H).select("sample", "site", "RDA1"), 5)
 
 
+# One ordination per region: treatment within site, site conditioned out.
+REGIONAL = (RECURSIVE + """, hr AS (SELECT h.*, r_name AS region FROM h JOIN nation ON n_name = site JOIN region ON r_regionkey = n_regionkey),
+ct AS (SELECT sample, site, region, treatment, """ + ", ".join(
+    f"{x} - avg({x}) OVER (PARTITION BY site) AS w{x}, "
+    f"avg({x}) OVER (PARTITION BY site, treatment) - avg({x}) OVER (PARTITION BY site) AS f{x}" for x in "abcd")
+    + " FROM hr)," + covariance("cov", "ct", ["fa", "fb", "fc", "fd"], "region") + "," + eigenpairs("rda", "cov", 4, 1) + f""",
+sz AS (SELECT region AS key, count(*) AS n, count(DISTINCT site) AS j, count(DISTINCT (site, treatment)) AS k, {_SUM4} AS tot
+       FROM hr GROUP BY 1),
+pt AS (SELECT region AS key, {" + ".join(f"sum(f{x} * f{x})" for x in "abcd")} AS ss_c,
+              {" + ".join(f"sum(power(w{x} - f{x}, 2))" for x in "abcd")} AS ss_r FROM ct GROUP BY 1)""")
+
+
+def regional_fits(spark, folder):
+    places = b.table(spark, folder, "nation").join(b.table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    df = save_and_reload(joins.match(profile_rows(spark, folder), places.select(
+        F.col("n_name").alias("site"), F.col("r_name").alias("region")), ["site"], "inner"), "regional")
+    return df, save_and_reload(ordination.redundancy_by(df, "region", H, CROSSED, SITE), "fits")
+
+
+@query("ordination_by_region", "M14 M7 M8 D1", REGIONAL + """
+SELECT key AS region, n::DOUBLE AS n, round(tot, 6) AS total, round(tot - (ss_c + ss_r) / (n - 1), 6) AS conditioned,
+       round(ss_c / (n - 1), 6) AS constrained, round(ss_r / (n - 1), 6) AS residual, CAST(j - 1 AS INTEGER) AS df_condition,
+       CAST(k - j AS INTEGER) AS df_model, CAST(n - k AS INTEGER) AS df_residual,
+       round((ss_c / (k - j)) / (ss_r / (n - k)), 4) AS f,
+       'RDA1 (' || regexp_replace(CAST(round_even(100 * value / tot, 1) AS VARCHAR), '\\.0$', '') || '%)' AS label
+FROM sz JOIN pt USING (key) JOIN rda1 USING (key)""")
+def ordination_by_region(spark, folder):
+    _, fits = regional_fits(spark, folder)
+    out = fits.where("axis = 'RDA1'").select("region", "n", "total", "conditioned", "constrained", "residual", "df_condition",
+                                             "df_model", "df_residual", "f", "label")
+    return _rounded(_rounded(out, 6, ["f"]), 4, ["total", "conditioned", "constrained", "residual"])
+
+
+@query("row_scores_by_region", "M14 M9", REGIONAL + """
+SELECT sample, region, round((wa * v1 + wb * v2 + wc * v3 + wd * v4) / sqrt(value * (n - 1)) *
+  power(value / tot, 0.25) * power((n - 1) * tot, 0.25), 5) AS "RDA1"
+FROM ct JOIN rda1 ON region = rda1.key JOIN sz ON region = sz.key""")
+def row_scores_by_region(spark, folder):
+    df, fits = regional_fits(spark, folder)
+    scored = ordination.row_scores_by(df, fits, "region", H, constraint=CROSSED, condition=SITE)
+    return _rounded(scored.select("sample", "region", "RDA1"), 5)
+
+
+@query("species_scores_by_region", "M14 M10 O3 F5", REGIONAL + """,
+s AS (SELECT key AS region, species, label, p * power(value / tot, 0.25) * power((n - 1) * tot, 0.25) AS score
+      FROM rda1 JOIN sz USING (key), LATERAL (VALUES ('h_ECONOMY', 'Economy', v1), ('h_LARGE', 'Large', v2),
+        ('h_SMALL_MEDIUM', 'Small medium', v3), ('h_STANDARD', 'Standard', v4)) AS t(species, label, p))
+SELECT region, species, label, CAST(row_number() OVER (PARTITION BY region ORDER BY score) AS INTEGER) AS rank,
+       round(score, 6) AS "RDA1" FROM s""")
+def species_scores_by_region(spark, folder):
+    _, fits = regional_fits(spark, folder)
+    labels = {h: h[2:].replace("_", " ").capitalize() for h in H}
+    return _rounded(ordination.species_scores_by(fits, "region", H, labels=labels))
+
+
 @query("standardised_scores", "M15 W9 A4 J3", PARTIAL + "," + b.SQL_COVARIATES + """,
 ba AS (SELECT site, avg(s1) AS base FROM sc WHERE treatment = 'BUILDING' GROUP BY 1),
 st AS (SELECT sc.site, trt_id, s1 - base AS std, cn FROM sc LEFT JOIN ba USING (site) JOIN covariates USING (sample)

@@ -130,6 +130,42 @@ def test_group_ordinations_equal_single_ones(spark, frame):
         assert scored[r["key"]] == pytest.approx(r["RDA1"], rel=1e-6, abs=1e-9)
 
 
+def test_conditioned_group_ordinations_equal_single_ones(spark, frame):
+    constraint = Design(crossed(factor("trt"), num("wn")), levels=LV)
+    condition = Design([num("wn")], levels=LV)
+    tagged = frame.withColumn("half", F.when(F.col("site") == LV["site"][0], "one").otherwise("other"))
+    fits = ordination.redundancy_by(tagged, "half", SPECIES, constraint, condition)
+    first = {r["half"]: r for r in fits.where("axis = 'RDA1'").collect()}
+    scored = {r["key"]: r["RDA1"] for r in ordination.row_scores_by(
+        tagged, fits, "half", SPECIES, constraint=constraint, condition=condition).collect()}
+    cols = {(r["half"], r["species"]): r for r in ordination.species_scores_by(fits, "half", SPECIES, labels={SPECIES[0]: "A"}).collect()}
+    assert set(first) == {"one", "other"}
+    for half, r in first.items():
+        part = tagged.where(F.col("half") == half)
+        one = ordination.redundancy(part, SPECIES, constraint, condition)
+        assert [r["total"], r["conditioned"], r["constrained"], r["residual"]] == pytest.approx(
+            [one.total, one.conditioned, one.constrained, one.residual], rel=1e-7)
+        assert (r["df_condition"], r["df_model"], r["df_residual"]) == (one.rank_condition, one.rank_constraint, one.residual_df)
+        assert r["label"] == ordination.axis_table(spark, one).first()["label"]
+        for x in ordination.row_scores(part, one, choices=[1], scaling=3).collect():
+            assert scored[x["key"]] == pytest.approx(x["RDA1"], rel=1e-6, abs=1e-8)
+        alone = ordination.species_scores(spark, one, choices=[1], scaling=3, labels={SPECIES[0]: "A"}).collect()
+        for n, x in enumerate(alone):
+            got = cols[half, x["species"]]
+            assert got["RDA1"] == pytest.approx(x["RDA1"], abs=1e-7) and got["label"] == x["label"] and got["rank"] == n + 1
+
+
+def test_rows_outside_a_group_fit_have_no_score(spark, frame):
+    constraint, condition = Design([factor("trt")], levels=LV), Design([factor("site")], levels=LV)
+    tagged = frame.withColumn("all", F.lit("all"))
+    fits = ordination.redundancy_by(tagged, "all", SPECIES, constraint, condition)
+    odd = tagged.limit(1).withColumn("site", F.lit(None).cast("string")).unionByName(
+        tagged.limit(1).withColumn("all", F.lit("unknown"))).unionByName(tagged.limit(1).withColumn("site", F.lit("unlisted")))
+    scored = ordination.row_scores_by(odd, fits, "all", SPECIES, constraint=constraint, condition=condition).collect()
+    assert [r["RDA1"] for r in scored] == [None] * 3
+    assert ordination.redundancy_by(tagged.where("false"), "all", SPECIES, constraint, condition).count() == 0
+
+
 def test_wide_cross_products(spark, frame):
     narrow = moment_rows(frame, ["site"], {s: s for s in SPECIES})
     arrays = frame.select("site", F.array(F.lit(1.0), *SPECIES).alias("v"))
