@@ -6,9 +6,14 @@ stops when the visited cells hold the wanted share of all entries. That share is
 what sample queries need to meet ``target`` of their true neighbours. Entries of the visited cells are reranked by exact
 distance.
 
-Codebooks are trained on at most ``sample`` vectors (least key hash); every vector is indexed. Equal vectors are one entry with
-its smallest ``k + 1`` keys, all that any answer can hold, and equal queries are searched once. Entries and queries of one
-first centroid meet in blocks of bounded size, so a dense cell is split over tasks.
+A codebook has as many centroids as the cube root of the number of entries, within 64 and 1,024: visiting a cell costs a step of
+the heap, so cells must hold more entries the more there are of them. Codebooks are trained on 128 vectors per centroid at most,
+up to ``sample`` (least key hash); every vector is indexed. Equal vectors are one entry with its smallest ``k + 1`` keys, all
+that any answer can hold, and equal queries are searched once.
+
+Centroids are numbered along their leading direction, so that neighbours in number lie near each other. The entries of a first
+centroid are dealt to parts of bounded size by ranges of the second, queries to blocks by ranges of their first; what exceeds a
+part is split by hash. An entry is shuffled to a block only if one of the block's queries visits the entry's cell.
 
 NULL keys and NULL, zero or non-finite vectors (or with a NULL component) take no part, nor do vectors of another length than
 the commonest (ties: the shorter). Repeated rows count once. Ties in distance go to the smaller key.
@@ -27,12 +32,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from profilar.llm.samples import least_hashed
 from profilar.session import save_and_reload
 
-CENTROIDS = 64
-SAMPLE = 8192
+LEAST_CENTROIDS, MOST_CENTROIDS = 64, 1024
+PER_CENTROID = 128
+SAMPLE = 32_768
 SAMPLE_QUERIES = 256
 ROUNDS = 12
 TARGET_RECALL = 0.97
 BLOCK = 4096
+PROBE = ["p", "v", "visited", "qb", "i", "part", "js"]
 
 
 def usable(vector: Column, width: int) -> Column:
@@ -65,6 +72,26 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def along_leading_direction(centres: np.ndarray) -> np.ndarray:
+    """Centroids in the order of their projections on their leading direction."""
+    if len(centres) < 2 or not centres.shape[1]:
+        return centres
+    centred = centres - centres.mean(axis=0)
+    leading = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+    return centres[np.argsort(centred @ leading, kind="stable")]
+
+
+def centroid_count(entries: int) -> int:
+    return int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, np.ceil(np.cbrt(entries)))))
+
+
+def dealt(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each size along the last axis, and the number of blocks that it spreads over."""
+    ends = np.cumsum(sizes, axis=-1)
+    first = (ends - sizes) // block
+    return first, np.maximum(1, (ends - 1) // block - first + 1)
+
+
 @dataclass
 class Codebooks:
     """Centroids of the two halves and the share of entries that a query visits."""
@@ -82,10 +109,11 @@ class Codebooks:
         return a.argmin(axis=1), b.argmin(axis=1)
 
 
-def train(x: np.ndarray, k: int, centroids: int = CENTROIDS, target: float = TARGET_RECALL, seed: int = 7) -> Codebooks:
+def train(x: np.ndarray, k: int, centroids: int = LEAST_CENTROIDS, target: float = TARGET_RECALL, seed: int = 7) -> Codebooks:
     """Codebooks of a sample, and the share of entries within which its queries find ``target`` of their ``k`` nearest."""
     cut = x.shape[1] // 2
-    books = Codebooks(k_means(x[:, :cut], centroids, ROUNDS, seed), k_means(x[:, cut:], centroids, ROUNDS, seed + 1))
+    books = Codebooks(along_leading_direction(k_means(x[:, :cut], centroids, ROUNDS, seed)),
+                      along_leading_direction(k_means(x[:, cut:], centroids, ROUNDS, seed + 1)))
     asked = np.random.default_rng(seed).permutation(len(x))[:SAMPLE_QUERIES]
     i, j = books.cells(x)
     needed = []
@@ -124,9 +152,10 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding",
-            centroids: int = CENTROIDS, sample: int = SAMPLE, target: float = TARGET_RECALL,
+            centroids: int | None = None, sample: int = SAMPLE, target: float = TARGET_RECALL,
             block: int = BLOCK) -> DataFrame:
-    """The ``k`` nearest other rows of each query row: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``."""
+    """The ``k`` nearest other rows of each query row: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``, and ``visited``,
+    the share of all entries that lie in the cells the query visited."""
     spark = vectors.sparkSession
     width = common_width(vectors, vector)
     rows = (vectors.where(F.col(key).isNotNull() & usable(F.col(vector), width))
@@ -137,9 +166,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
               .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("point", F.get("ids", F.lit(0))))
     # a key with several vectors may lead several points
     points = save_and_reload(points.select(F.format_string("%d-%x", "point", F.xxhash64("v")).alias("p"), "v", "ids"), "points")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visited double")
 
-    taken = least_hashed(points, F.xxhash64("p"), sample).select("v").toPandas()  # ``sample`` rows at most
+    centroids = centroids or centroid_count(points.count())
+    taken = least_hashed(points, F.xxhash64("p"), min(sample, PER_CENTROID * centroids)).select("v").toPandas()  # ``sample`` rows at most
     if not len(taken):
         return empty
     books = spark.sparkContext.broadcast(train(_matrix(taken["v"], width), k, centroids, target))
@@ -154,38 +184,65 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     counts = placed.groupBy("i", "j").count().toPandas()  # centroids squared at most
     sizes = np.zeros((len(books.value.first), len(books.value.second)), dtype=np.int64)
     sizes[counts["i"], counts["j"]] = counts["count"]
-    wanted = max(k + 1, int(np.ceil(books.value.share * sizes.sum())))
-    asking = save_and_reload(rows.where("asks").select("id", "v").join(points.select("v", "p"), "v").select("id", "v", "p"), "asking")
-    queries = asking.select("p", "v").distinct()
-    query_blocks = max(1, -(-queries.count() // block))
-    parts = np.maximum(1, -(-sizes.sum(axis=1) // block))
-    shared = spark.sparkContext.broadcast((sizes, parts))  # centroids squared at most
+    total = int(sizes.sum())
+    wanted = max(k + 1, int(np.ceil(books.value.share * total)))
+    asking = save_and_reload(rows.where("asks").select("id", "v").join(placed.select("v", "p", "i"), "v"), "asking")
+    queries = asking.select("p", "v", "i").distinct()
+    asked = np.zeros(len(sizes), dtype=np.int64)
+    for row in queries.groupBy("i").count().collect():  # as many as centroids
+        asked[row["i"]] = row["count"]
+    deals = spark.sparkContext.broadcast((sizes, dealt(sizes, block), dealt(asked, block)))  # centroids squared
+
+    @F.pandas_udf("int")
+    def part_of(i: pd.Series, j: pd.Series, number: pd.Series) -> pd.Series:
+        first, pieces = (x[i.to_numpy(), j.to_numpy()] for x in deals.value[1])
+        return pd.Series((first + number.to_numpy() % pieces).astype(np.int32))
+
+    @F.pandas_udf("int")
+    def block_of(i: pd.Series, number: pd.Series) -> pd.Series:
+        first, pieces = (x[i.to_numpy()] for x in deals.value[2])
+        return pd.Series((first + number.to_numpy() % pieces).astype(np.int32))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each query and part that it visits, and one without a query for all of a batch that visit the part."""
+        first, pieces = deals.value[1]
         for batch in batches:
             if not len(batch):
                 continue
             to_first, to_second = books.value.halves(_matrix(batch["v"], width))
-            out = []
+            out, asked_for = [], {}
             for n, row in enumerate(batch.itertuples(index=False)):
-                by_first: dict[int, list[int]] = {}
-                for i, j in visit(to_first[n], to_second[n], shared.value[0], wanted):
-                    by_first.setdefault(i, []).append(j)
-                out += [(row.p, row.v, row.qb, i, part, js) for i, js in by_first.items() for part in range(shared.value[1][i])]
-            yield pd.DataFrame(out, columns=["p", "v", "qb", "i", "part", "js"])
-
-    blocked = queries.withColumn("qb", F.pmod(F.xxhash64("p"), F.lit(query_blocks)).cast("int"))
-    probes = blocked.mapInPandas(walk, "p string, v array<double>, qb int, i int, part int, js array<int>")
-    part_table = F.array(*[F.lit(int(n)) for n in parts])
-    entries = (placed.withColumn("part", F.pmod(F.xxhash64("p"), F.get(part_table, F.col("i"))).cast("int"))
-               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
+                by_part: dict[tuple[int, int], list[int]] = {}
+                held = 0
+                for i, j in visit(to_first[n], to_second[n], deals.value[0], wanted):
+                    held += int(deals.value[0][i, j])
+                    for part in range(first[i, j], first[i, j] + pieces[i, j]):
+                        by_part.setdefault((i, part), []).append(j)
+                for (i, part), js in by_part.items():
+                    out.append((row.p, row.v, held / total, row.qb, i, part, js))
+                    asked_for.setdefault((row.qb, i, part), set()).update(js)
+                if len(out) >= block:
+                    yield pd.DataFrame(out, columns=PROBE)
+                    out = []
+            out += [(None, None, None, qb, i, part, sorted(js)) for (qb, i, part), js in asked_for.items()]
+            yield pd.DataFrame(out, columns=PROBE)
+
+    number = F.pmod(F.xxhash64("p"), F.lit(1 << 31))
+    blocked = queries.select("p", "v", block_of("i", number).alias("qb"))
+    visits = save_and_reload(blocked.mapInPandas(
+        walk, "p string, v array<double>, visited double, qb int, i int, part int, js array<int>"), "visits")
+    probes = visits.where(F.col("p").isNotNull()).toDF(*PROBE)
+    demand = (visits.where(F.col("p").isNull()).groupBy("qb", "i", "part")
+              .agg(F.array_distinct(F.flatten(F.collect_list("js"))).alias("js")))  # numbers of centroids, of each batch once
+    entries = (placed.withColumn("part", part_of("i", "j", number)).select("i", "j", "part", "v", "ids")
+               .join(demand, ["i", "part"]).where(F.array_contains("js", F.col("j"))).drop("js"))
 
     def rerank(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         if not len(near) or not len(far):
-            return pd.DataFrame([], columns=["p", "score", "ids"], dtype=object)
+            return pd.DataFrame([], columns=["p", "visited", "score", "ids"], dtype=object)
         q, e, codes = _matrix(near["v"], width), _matrix(far["v"], width), far["j"].to_numpy()
         ids, out = far["ids"].to_numpy(), []
-        lists = near["js"].to_numpy()
+        lists, names, shares = near["js"].to_numpy(), near["p"].to_numpy(), near["visited"].to_numpy()
         for at in range(0, len(q), 256):
             rough = squared(q[at:at + 256], e)
             for n in range(len(rough)):
@@ -194,16 +251,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
                     edge = np.partition(rough[n, inside], k)[k]
                     inside = inside[rough[n, inside] <= edge + 1e-9 * (1.0 + edge)]
                 score = np.sqrt(((e[inside] - q[at + n]) ** 2).sum(axis=1))
-                out += [(near["p"].iat[at + n], s, ids[m]) for s, m in zip(score, inside)]
-        return pd.DataFrame(out, columns=["p", "score", "ids"])
+                out += [(names[at + n], shares[at + n], s, ids[m]) for s, m in zip(score, inside)]
+        return pd.DataFrame(out, columns=["p", "visited", "score", "ids"])
 
     keys = ["i", "part", "qb"]
-    found = probes.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(rerank, "p string, score double, ids array<long>")
+    found = probes.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(
+        rerank, "p string, visited double, score double, ids array<long>")
     best = Window.partitionBy("p").orderBy("score", "vec_id")
-    top = (found.select("p", "score", F.explode("ids").alias("vec_id"))
+    top = (found.select("p", "visited", "score", F.explode("ids").alias("vec_id"))
            .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1))
     own = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (asking.select(F.col("id").alias("query_id"), "p").distinct().join(top, "p")
             .where(F.col("query_id") != F.col("vec_id"))
             .withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", "score", "visited"))

@@ -67,3 +67,26 @@ def test_copies_ties_and_unusable_rows(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2]
     assert vi.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
     assert vi.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_blocks_are_bounded_and_whole():
+    sizes = np.array([[3, 0, 25, 1, 1], [0, 0, 0, 0, 0]])
+    first, pieces = vi.dealt(sizes, 10)
+    assert first.tolist() == [[0, 0, 0, 2, 2], [0] * 5] and pieces.tolist() == [[1, 1, 3, 1, 1], [1] * 5]
+    assert [vi.centroid_count(n) for n in (0, 1000, 10 ** 6, 10 ** 12)] == [64, 64, 100, 1024]
+
+
+@pytest.mark.parametrize("block", [32, 4096])
+def test_clustered_vectors_are_pruned(spark, block):
+    """Few entries are visited where vectors have clusters, whatever the size of blocks and parts."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))
+    x[:2000] = centres[0] + rng.normal(size=(2000, 16)) * 0.2  # a dense cell
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = vi.nearest(df, F.col("vec_id") % 100 == 0, block=block).collect()
+    want = brute(list(enumerate(x.tolist())), 10)
+    assert len(found) == 600
+    assert sum(r["vec_id"] in {j for _, j in want[r["query_id"]]} for r in found) / 600 >= 0.9
+    assert np.mean([r["visited"] for r in found]) < 0.5
+    assert len({(r["query_id"], r["rank"]) for r in found}) == 600
