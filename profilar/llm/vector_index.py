@@ -39,6 +39,7 @@ SAMPLE_QUERIES = 256
 ROUNDS = 12
 TARGET_RECALL = 0.97
 BLOCK = 4096
+WALKS = 512  # queries that one task leads through the cells: little data, much work
 PROBE = ["p", "v", "visited", "qb", "i", "part", "js"]
 
 
@@ -228,7 +229,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
             yield pd.DataFrame(out, columns=PROBE)
 
     number = F.pmod(F.xxhash64("p"), F.lit(1 << 31))
-    blocked = queries.select("p", "v", block_of("i", number).alias("qb"))
+    blocked = queries.select("p", "v", block_of("i", number).alias("qb")).repartition(max(1, -(-int(asked.sum()) // WALKS)), "p")
     visits = save_and_reload(blocked.mapInPandas(
         walk, "p string, v array<double>, visited double, qb int, i int, part int, js array<int>"), "visits")
     probes = visits.where(F.col("p").isNotNull()).toDF(*PROBE)
