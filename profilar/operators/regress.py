@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilar.functions.distributions import (Z_95, f_upper, normal_quantile_column, p_normal, p_t, t_quantile,
+from profilar.functions.distributions import (Z_95, f_upper, normal_quantile_column, p_f, p_normal, p_t, t_quantile,
                                               t_two_sided)
 from profilar.functions.linalg import scaled_pinv
 from profilar.functions.nulls import ratio
@@ -339,6 +339,20 @@ def wald_table(fits: DataFrame) -> DataFrame:
     return out.withColumn("chisq", F.col("zval") ** 2).withColumn("p", p_normal("zval")).drop("zval")
 
 
+def f_table(fits: DataFrame) -> DataFrame:
+    """F of each coefficient of a mixed model with one and approximate (Satterthwaite) degrees of freedom, and its P.
+
+    Models without an estimated error variance, or without spare rows, give NULL.
+    """
+    out = fits.select("model", "vcov", "p", F.posexplode(F.arrays_zip("names", "beta", F.coalesce(
+        "df", F.transform("beta", lambda b: F.lit(None).cast("double"))).alias("df"))).alias("at", "one"))
+    variance = F.get("vcov", F.col("at") * (F.col("p") + 1))
+    return out.select(
+        "model", F.col("one.names").alias("term"), ratio(F.col("one.beta") ** 2, variance).alias("f"),
+        F.lit(1.0).alias("df1"), F.col("one.df").alias("df2")).withColumn("f", F.when(F.col("df2").isNotNull(), F.col("f"))).withColumn(
+        "p", p_f("f", "df1", "df2"))
+
+
 # Additive smooths ----------------------------------------------------------------
 
 

@@ -994,6 +994,12 @@ def mixed_model(spark, folder):
     return _rounded(regress.wald_table(fits).select("model", "term", "estimate", "se"), 4)
 
 
+@query("mixed_model_f", "L6")
+def mixed_model_f(spark, folder):
+    fits = regress.random_intercept(_lm_rows(spark, folder), [intercept_and("n_lines", "cn")], response="lrr", group="site")
+    return _rounded(regress.f_table(fits), 4)
+
+
 @query("covariance_model", "L7", FULL_ROWS + """,
 ct AS (SELECT site, ln(avg(lcratio)) AS log_c FROM tab WHERE lcratio > 0 AND treatment = 'BUILDING' GROUP BY 1),
 an AS (SELECT lr.*, log_c FROM lr JOIN ct USING (site) WHERE treatment <> 'BUILDING'),

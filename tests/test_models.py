@@ -778,3 +778,41 @@ def test_rising_fit_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (2.0, None)], "x double, y double")
     assert monotone.rising_fit(df, "x", "y").count() == 0
     assert distance.stress(df, "x", "y").first()["stress"] is None
+
+
+def test_mixed_f_degrees_of_freedom(spark):
+    """Balanced data have exact degrees of freedom; unbalanced ones are compared with dense matrices and numeric slopes."""
+    rng = np.random.default_rng(12)
+    g = np.repeat(np.arange(12), 6)
+    steps = rng.normal(size=6)
+    between, within = rng.normal(size=12)[g], np.tile(steps - steps.mean(), 12)  # centred: the intercept is a group effect alone
+    y = between + rng.normal(size=12)[g] * 2 + rng.normal(size=72)
+    rows = [(f"g{a}", float(b), float(c), float(d)) for a, b, c, d in zip(g, between, within, y)]
+    frame = spark.createDataFrame(rows, "site string, b double, w double, y double")
+    models = [mixed.intercept_and("b", "w")]
+    fits = regress.random_intercept(frame, models, response="y", group="site")
+    table = {r["term"]: r for r in regress.f_table(fits).collect()}
+    assert [table[t]["df2"] for t in ("intrcpt", "b", "w")] == pytest.approx([10, 10, 59], rel=1e-6)
+    wald = {r["term"]: r["chisq"] for r in regress.wald_table(fits).collect()}
+    assert all(r["f"] == pytest.approx(wald[t]) and r["p"] == pytest.approx(float(dist.f_upper(r["f"], 1.0, r["df2"])))
+               for t, r in table.items())
+
+    keep = [n for n in range(72) if n % 5 and n not in (1, 2, 3)]
+    fits = regress.random_intercept(spark.createDataFrame([rows[n] for n in keep], frame.schema), models, response="y", group="site")
+    got, one = {r["term"]: r["df2"] for r in regress.f_table(fits).collect()}, fits.first()
+    x = np.column_stack([np.ones(len(keep)), between[keep], within[keep]])
+    same = np.equal.outer(g[keep], g[keep]).astype(float)
+
+    def variances(theta):
+        return np.diag(np.linalg.inv(x.T @ np.linalg.solve(theta[0] * np.eye(len(keep)) + theta[1] * same, x)))
+
+    theta = np.array([one["error_variance"], one["sigma2"]])
+    inverse = np.linalg.inv(theta[0] * np.eye(len(keep)) + theta[1] * same)
+    p = inverse - inverse @ x @ np.linalg.solve(x.T @ inverse @ x, x.T @ inverse)
+    parts = [p, p @ same]
+    information = np.array([[np.sum(a * b.T) / 2 for b in parts] for a in parts])
+    slopes = np.array([(variances(theta + h) - variances(theta - h)) / 2e-5 for h in 1e-5 * np.eye(2)])
+    want = 2 * variances(theta) ** 2 / np.einsum("ik,ij,jk->k", slopes, np.linalg.inv(information), slopes)
+    assert [got[t] for t in ("intrcpt", "b", "w")] == pytest.approx(list(want), rel=1e-5)
+    known = mixed.fit(frame.withColumn("v", F.lit(1.0)), models, y="y", v="v", group="site")
+    assert all(r["df2"] is None and r["f"] is None for r in regress.f_table(known).collect())
