@@ -3,7 +3,8 @@
 No copy is sorted. A row's place in its stratum (numbered once) goes to its partner's place by a keyed bijection of 0 … n - 1:
 Feistel rounds on the pair (place // a, place % a), a the least whole number with a² >= n, repeated while the result is n
 or more. Keys come from the seed and the permutation's number, so copies depend neither on partitioning nor on
-attempts, and rows are paired by one join on (stratum, place), in which a stratum that holds much of the table is spread over its places.
+attempts. Nothing is moved per permutation: a task takes some of the permutations and a block of the design rows, and the responses stream
+through it in packed chunks, so what is shuffled is a fixed number of copies of the table.
 """
 
 from __future__ import annotations
@@ -20,15 +21,21 @@ from profilar.operators.design import Design, combination_text, double_text, fac
 from profilar.operators.joins import match
 from profilar.operators.moments import (Moments, as_columns, cell_keys, collect_moments, complete_rows, moment_rows,
                                         shifts)
-from profilar.operators.ordered import sequence_in_group
+from profilar.operators.ordered import running_total, sequence_in_group
 from profilar.operators.ordination import Ordination, condition_places, full_design
 from profilar.session import save_and_reload
 
 ROUNDS = 6
 #: Rows, times permutations, of one job, about.
-CHUNK_ROWS = 1 << 25
-#: Rows of a table that every task holds, so that permutations are dealt to tasks; rows of larger tables are joined.
+CHUNK_ROWS = 1 << 40
+#: Rows of a table that every task holds, so that permutations are dealt to tasks; larger tables stream through the tasks.
 HELD_ROWS = 100_000
+#: Design rows that a task holds of a larger table.
+HELD_BYTES = 1 << 27
+#: Rows packed into one.
+PACK_ROWS = 4096
+#: Sums that a task holds, about.
+SUMMED_NUMBERS = 1 << 23
 #: Numbers worked on at once in a task.
 BLOCK = 1 << 18
 # fixed values of the mixing function: increments and multipliers
@@ -51,21 +58,35 @@ def round_keys(seed: int, permutations: np.ndarray) -> np.ndarray:
 
 def partner_places(places: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Where the places (from 0) of strata of the given sizes go, for each permutation's keys: places × permutations."""
-    shape = len(places), len(keys)
     side = np.ceil(np.sqrt(sizes.astype(float))).astype(np.uint64)
     side += (side * side < sizes.astype(np.uint64)).astype(np.uint64)
-    at = np.repeat(places.astype(np.uint64), len(keys))
-    side, size = np.repeat(side, len(keys)), np.repeat(sizes.astype(np.uint64), len(keys))
-    permutation = np.tile(np.arange(len(keys)), len(places))
-    left = np.arange(len(at))
-    while len(left):
-        a = side[left]
-        high, low = at[left] // a, at[left] % a
+    size = sizes.astype(np.uint64)
+    alike = len(size) > 0 and bool((size == size[0]).all())  # division by one number is faster
+    if alike:
+        side, size = side[:1], size[:1]
+    side, size = side[:, None], size[:, None]
+
+    def walked(at: np.ndarray, a: np.ndarray, key: Callable[[int], np.ndarray]) -> np.ndarray:
+        high = at // a
+        low = at - high * a
         for k in range(keys.shape[1]):
-            high, low = low, (high + mixed(keys[permutation[left], k] + low * np.uint64(STEP)) % a) % a
-        at[left] = high * a + low
-        left = left[at[left] >= size[left]]
-    return at.astype(np.int64).reshape(shape)
+            turned = high + _remainder(mixed(key(k) + low * np.uint64(STEP)), a)
+            high, low = low, _remainder(turned, a)
+        return high * a + low
+
+    at = walked(np.repeat(places.astype(np.uint64)[:, None], len(keys), axis=1), side, lambda k: keys[:, k][None, :])
+    row, permutation = np.nonzero(at >= size)
+    while len(row):
+        own = np.zeros_like(row) if alike else row
+        found = walked(at[row, permutation], side[0, 0] if alike else side[own, 0], lambda k: keys[permutation, k])
+        at[row, permutation] = found
+        left = found >= size[own, 0]
+        row, permutation = row[left], permutation[left]
+    return at.astype(np.int64)
+
+
+def _remainder(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    return x - x // a * a
 
 
 def _sized(base: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -86,27 +107,7 @@ def permuted_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[s
     ys = [f"y{j}" for j in range(n_y)]
     if base.count() <= HELD_ROWS:
         return _held_moments(base, strata, factors, n_x, n_y, first, last, seed)
-    keys = round_keys(seed, np.arange(first, last + 1))
-
-    @F.pandas_udf("array<long>")
-    def partners(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        rows = max(1, BLOCK // len(keys))
-        for place, size in batches:
-            found: list[np.ndarray] = []
-            for k in range(0, len(place), rows):
-                found.extend(partner_places(place.to_numpy()[k:k + rows] - 1, size.to_numpy()[k:k + rows], keys))
-            yield pd.Series(found, dtype=object)
-
-    moved = base.select(*strata, *ys, F.posexplode(partners("__place", "__n")).alias("__at", "__to"))
-    moved = moved.select((F.col("__at") + first).alias("__b"), *strata, (F.col("__to") + 1).alias("__to"), *ys)
-    kept = base.select(F.col("__place").alias("__to"), *strata,
-                       *[F.col(f).alias(f"__f{i}") for i, f in enumerate(factors)], *[f"x{i}" for i in range(n_x)])
-    # The multiplied side must not be broadcast, whatever its size is taken for.
-    paired = match(moved.hint("merge"), kept, [*strata, "__to"], "inner")
-    xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(n_x)]
-    cells = [F.col(f"__f{i}").alias(f) for i, f in enumerate(factors)]
-    return paired.select("__b", *cells, *[f"x{i}" for i in range(n_x)], *ys).groupBy("__b", *factors).agg(
-        F.array(*[F.sum(x * F.col(y)) for x in xs for y in ys]).alias("cross"))
+    return _streamed_moments(base, strata, factors, n_x, n_y, first, last, seed)
 
 
 def _codes(rows: pd.DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
@@ -152,6 +153,123 @@ def _held_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[str]
     return spark.range(first, last + 1, numPartitions=tasks).select(F.col("id").alias("b")).mapInPandas(each, schema)
 
 
+def _started(base: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """``base`` with ``__start``, the rows of the strata before its own."""
+    if not strata:
+        return base.withColumn("__start", F.lit(0).cast("bigint"))
+    counts = base.groupBy(*strata).agg(F.count(F.lit(1)).alias("__rows"))
+    upto = running_total(counts, [], strata, {"__upto": "__rows"})
+    return match(base, upto.select(*strata, (F.col("__upto") - F.col("__rows")).alias("__start")), list(strata), "inner")
+
+
+def _packed(base: DataFrame, strata: Sequence[str], n_x: int, n_y: int) -> DataFrame:
+    """Rows in the order of (stratum, place), ``PACK_ROWS`` to a row of numbers as bytes; ``low`` to ``high``: where their strata lie."""
+    at = F.col("__start") + F.col("__place") - 1
+    xs, ys = [f"x{i}" for i in range(n_x)], [f"y{j}" for j in range(n_y)]
+    rows = _started(base, strata).select(F.floor(at / PACK_ROWS).cast("long").alias("chunk"), at.alias("at"), "__start", "__n", "__code", *xs, *ys)
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
+        start, size = part["__start"].to_numpy(np.int64), part["__n"].to_numpy(np.int64)
+        return pd.DataFrame({
+            "chunk": part["chunk"].iloc[:1], "low": start.min(), "high": (start + size).max(), "code": part["__code"].to_numpy(np.int32).tobytes(),
+            "x": part[xs].to_numpy(float).T.tobytes(), "start": start.tobytes() if (start != start[0]).any() else start[:1].tobytes(),
+            "size": size.tobytes() if (size != size[0]).any() else size[:1].tobytes(), "y": part[ys].to_numpy(float).T.tobytes()})
+
+    schema = "chunk long, low long, high long, code binary, x binary, start binary, size binary, y binary"
+    return save_and_reload(rows.groupBy("chunk").applyInPandas(pack, schema), "packed")
+
+
+def _streamed_moments(base: DataFrame, strata: Sequence[str], factors: Sequence[str], n_x: int, n_y: int,
+                      first: int, last: int, seed: int) -> DataFrame:
+    """:func:`permuted_moments` of any number of rows.
+
+    A task holds at most ``HELD_BYTES`` of design rows and takes some of the permutations; the responses whose strata
+    meet its design rows stream through it.
+    """
+    spark, held = base.sparkSession, (n_x + 1) * n_y
+    if factors:
+        cells = save_and_reload(sequence_in_group(base.select(*factors).distinct(), [], factors, out="__code"), "codes")
+        n_cells = cells.count()
+        coded = match(base, cells.withColumn("__code", F.col("__code") - 1), list(factors), "inner")
+    else:
+        n_cells, coded = 1, base.withColumn("__code", F.lit(0))
+    packed = _packed(coded, strata, n_x, n_y)
+    block_chunks = max(1, HELD_BYTES // (4 + 8 * n_x) // PACK_ROWS)  # of a task's design rows
+    block_rows, n_chunks = block_chunks * PACK_ROWS, packed.agg(F.max("chunk")).first()[0]
+    if n_chunks is None:
+        return coded.select(F.lit(0).alias("__b"), *factors, F.array(F.lit(0.0)).alias("cross")).limit(0)
+    blocks = n_chunks // block_chunks + 1
+    n_perm = last - first + 1
+    deals = max(1, 2 * spark.sparkContext.defaultParallelism // blocks, -(-n_perm * n_cells * held // SUMMED_NUMBERS))
+    per_deal = -(-n_perm // deals)
+    deals = -(-n_perm // per_deal)
+
+    # A task's number: deal of permutations × blocks + block. Design rows come first.
+    deal = F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal")
+    none = F.lit(None).cast("binary")
+    designs = packed.select(deal, F.floor(F.col("chunk") / block_chunks).cast("int").alias("block"), F.lit(0).alias("kind"), "chunk", "code", "x",
+                            none.alias("start"), none.alias("size"), none.alias("y"))
+    met = F.sequence(F.floor(F.col("low") / block_rows).cast("int"), F.floor((F.col("high") - 1) / block_rows).cast("int"))
+    answers = packed.withColumn("block", F.explode(met)).select(
+        deal, "block", F.lit(1).alias("kind"), "chunk", none.alias("code"), none.alias("x"), "start", "size", "y")
+    dealt = designs.unionByName(answers).withColumn("task", F.col("deal") * blocks + F.col("block"))
+    dealt = dealt.repartitionById(deals * blocks, F.col("task")).sortWithinPartitions("task", "kind", "chunk")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, code = -1, np.zeros(0, np.int32)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.task != task:
+                    if task >= 0:
+                        yield summed(numbers, code[:filled], sums)
+                    task, filled, begin = r.task, 0, r.block * block_rows
+                    code, x = np.zeros(0, np.int32), np.zeros((n_x, 0))
+                    numbers = np.arange(first + r.deal * per_deal, min(first + (r.deal + 1) * per_deal, last + 1))
+                    keys, sums = round_keys(seed, numbers), np.zeros((held, len(numbers) * n_cells))
+                if r.kind == 0:
+                    some = np.frombuffer(r.code, np.int32)
+                    if filled + len(some) > len(code):
+                        room = min(block_rows, max(2 * len(code), len(some)))
+                        code, x = np.resize(code, room), np.concatenate([x, np.zeros((n_x, room - x.shape[1]))], axis=1)
+                    code[filled:filled + len(some)] = some
+                    x[:, filled:filled + len(some)] = np.frombuffer(r.x).reshape(n_x, len(some))
+                    filled += len(some)
+                else:
+                    y = np.frombuffer(r.y).reshape(n_y, -1)
+                    start, size = (np.broadcast_to(np.frombuffer(v, np.int64), y.shape[1]) for v in (r.start, r.size))
+                    place = r.chunk * PACK_ROWS + np.arange(y.shape[1]) - start
+                    rows = max(1, BLOCK // len(keys))
+                    for k in range(0, len(place), rows):
+                        cut = slice(k, k + rows)
+                        onto = partner_places(place[cut], size[cut], keys) + (start[cut] - begin)[:, None]
+                        add(sums, onto, y[:, cut], code, x, filled)
+        if task >= 0:
+            yield summed(numbers, code[:filled], sums)
+
+    def add(sums: np.ndarray, onto: np.ndarray, y: np.ndarray, code: np.ndarray, x: np.ndarray, filled: int) -> None:
+        inside = None if 0 <= onto.min() and onto.max() < filled else (onto >= 0) & (onto < filled)
+        wide = [np.broadcast_to(v[:, None], onto.shape) for v in y]
+        slot = np.broadcast_to(np.arange(onto.shape[1]) * n_cells, onto.shape)
+        onto, slot, *wide = (v.ravel() if inside is None else v[inside] for v in (onto, slot, *wide))
+        if n_cells > 1:
+            slot = slot + code[onto]
+        for i in range(n_x + 1):
+            design = x[i - 1][onto] if i else None
+            for j in range(n_y):
+                sums[i * n_y + j] += np.bincount(slot, wide[j] if design is None else design * wide[j], minlength=sums.shape[1])
+
+    def summed(numbers: np.ndarray, code: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+        seen = np.unique(code)
+        cross = sums.reshape(held, len(numbers), n_cells)[:, :, seen].reshape(held, -1).T
+        return pd.DataFrame({"__b": np.repeat(numbers, len(seen)), "__code": np.tile(seen, len(numbers)) + 1, "cross": list(cross)})
+
+    parts = dealt.select("task", "deal", "block", "kind", "chunk", "code", "x", "start", "size", "y").mapInPandas(
+        each, "__b int, __code long, cross array<double>")
+    total = parts.groupBy("__b", "__code").agg(F.array(*[F.sum(F.col("cross")[i]) for i in range(held)]).alias("cross"))
+    return (match(total, cells, ["__code"], "inner") if factors else total).select("__b", *factors, "cross")
+
+
 def _chunks(n_perm: int, rows: int, chunk: int | None) -> list[tuple[int, int]]:
     """First and last permutation of each job."""
     size = chunk or max(1, min(n_perm, CHUNK_ROWS // max(1, rows)))

@@ -742,6 +742,33 @@ def test_held_and_joined_moments_agree(spark, frame, monkeypatch, strata, factor
     assert held.keys() == joined.keys() and all(held[k] == pytest.approx(joined[k]) for k in held)
 
 
+@pytest.mark.parametrize("strata,factors", [(["site"], ["trt", "site"]), ([], ["trt"]), ([], []), (["key"], ["trt"])])
+def test_permutations_move_no_row_per_permutation(spark, frame, monkeypatch, strata, factors):
+    """Blocks of design rows, several permutations to a task, strata that cross chunks; nothing is joined per permutation."""
+    from profilar.operators.ordered import sequence_in_group
+
+    some = frame.withColumn("site", F.when(F.col("site") != "s1", F.col("site")))
+    base = some.select("key", F.col("key").alias("__key"), "site", "trt", F.col("a").alias("y0"), F.col("b").alias("y1"), F.col("wn").alias("x0"))
+    base = sequence_in_group(base, strata, ["__key"], out="__place").drop("__key")
+
+    def table():
+        return permute.permuted_moments(base, strata, factors, 1, 2, 3, 60, 4)
+
+    def rows():
+        return {tuple(r[c] for c in ("__b", *factors)): r["cross"] for r in table().collect()}
+
+    held = rows()
+    monkeypatch.setattr(permute, "HELD_ROWS", 0)
+    for pack, block, numbers in ((7, 12 * 28, 1 << 23), (1000, 1 << 20, 200)):
+        monkeypatch.setattr(permute, "PACK_ROWS", pack, raising=False)
+        monkeypatch.setattr(permute, "HELD_BYTES", block, raising=False)
+        monkeypatch.setattr(permute, "SUMMED_NUMBERS", numbers, raising=False)
+        streamed = rows()
+        assert held.keys() == streamed.keys() and all(held[k] == pytest.approx(streamed[k]) for k in held)
+    if not factors:
+        assert "Join" not in table()._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_partner_places_are_bijections():
     """Every size and key gives a permutation; over many keys each place goes everywhere about equally often."""
     keys = permute.round_keys(3, np.arange(1, 2001))
