@@ -1,14 +1,18 @@
 """Rising least-squares fit of y on x, in ranges of x.
 
-Equal x are summed first. Rows in the order of x form blocks (weight, sum, sum of squares); adjacent blocks whose means fall are
-pooled. Pooling is associative, so ranges of consecutive blocks are pooled in separate tasks, and what is left is dealt into new
-ranges, shifted by half, until no means fall from one range to the next. A pool that spans many ranges is one block for each of them after the
+Rows are dealt out by ranges of x and sorted there, so that each moves once; equal x are summed, in every batch before they move and in
+order after. Blocks (weight, sum, sum of squares) in the order of x are pooled where adjacent means fall. Pooling is associative, so ranges of
+consecutive blocks are pooled on their own, and what is left is dealt into new ranges, shifted by half, until no means fall from one range to the next. A pool that spans many ranges is one block for each of them after the
 first round, so rounds are few. No task holds more than ``RANGE_BLOCKS`` blocks, and none passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,56 @@ def pool_blocks(rows: list[tuple[float, float, float, float, float]]) -> list[tu
     return out
 
 
+def _levels(x: np.ndarray, *sums: np.ndarray) -> list[np.ndarray]:
+    """Different values of a sorted x, and the sums over each."""
+    new = (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    return [x[starts], *[np.add.reduceat(v, starts) for v in sums]]
+
+
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Equal x of a batch as one row; ``square`` only where it does not follow from the others."""
+    for batch in batches:
+        if len(batch):
+            batch = batch.sort_values("x")
+            y, w = batch["y"].to_numpy(), batch["w"].to_numpy()
+            x, w, s, square, n = _levels(batch["x"].to_numpy(), w, w * y, w * y * y, np.ones(len(y)))
+            yield pd.DataFrame({"x": x, "w": w, "s": s, "square": np.where(n > 1, square, np.nan)})
+
+
+def _pools_in_order(size: int):
+    """Pools of every ``size`` different x of sorted rows, each such range a ``part``."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, filled = TaskContext.get().partitionId() << 32, [], 0
+
+        def pooled(levels: list[np.ndarray]) -> pd.DataFrame:
+            x, w, s, square = (v.tolist() for v in levels)
+            out = pd.DataFrame(pool_blocks(list(zip(x, x, w, s, square))), columns=["low", "high", "w", "s", "square"])
+            out.insert(0, "part", part)
+            return out
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, w, s, square = (batch[c].to_numpy(dtype=float) for c in ("x", "w", "s", "square"))
+            held.append([x, w, s, np.where(np.isnan(square), s * s / w, square)])
+            filled += len(x)
+            if filled > 2 * size:
+                levels = _levels(*[np.concatenate(v) for v in zip(*held)])
+                while len(levels[0]) > size:  # the last one may go on in the next batch
+                    yield pooled([v[:size] for v in levels])
+                    part, levels = part + 1, [v[size:] for v in levels]
+                held, filled = [levels], len(levels[0])
+        if held:
+            levels = _levels(*[np.concatenate(v) for v in zip(*held)])
+            for k in range(0, len(levels[0]), size):
+                yield pooled([v[k:k + size] for v in levels])
+                part += 1
+
+    return each
+
+
 def rising_fit(df: DataFrame, x: str | Column, y: str | Column, weight: str | Column | None = None, *,
                range_blocks: int | None = None) -> DataFrame:
     """Pools of the best rising fit: ``low`` and ``high`` x, ``w``, ``s``, ``square`` (sums of weight, wy and wyy), ``fitted``.
@@ -41,9 +95,9 @@ def rising_fit(df: DataFrame, x: str | Column, y: str | Column, weight: str | Co
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     rows = df.select(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"))
     rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("w") > 0))
-    blocks = rows.groupBy("x").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s"),
-                                   F.sum(F.col("w") * F.col("y") * F.col("y")).alias("square"))
-    blocks = save_and_reload(blocks.select(F.col("x").alias("low"), F.col("x").alias("high"), "w", "s", "square"), "levels")
+    moved = rows.mapInPandas(_combined, "x double, w double, s double, square double")
+    ordered = moved.repartitionByRange("x").sortWithinPartitions("x")
+    blocks = save_and_reload(ordered.mapInPandas(_pools_in_order(size), _SCHEMA), "pools")
 
     def pooled(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("low")
@@ -54,14 +108,14 @@ def rising_fit(df: DataFrame, x: str | Column, y: str | Column, weight: str | Co
 
     shift = 0
     while True:
-        numbered = sequence_in_group(blocks, [], ["low"], out="__seq")
-        dealt = numbered.select(F.floor((F.col("__seq") - 1 + shift) / size).cast("long").alias("part"), "low", "high", "w", "s", "square")
-        blocks = save_and_reload(dealt.groupBy("part").applyInPandas(pooled, _SCHEMA), "pools")
         mean = F.col("s") / F.col("w")
-        ends = blocks.groupBy("part").agg(F.min_by(mean, "low").alias("first"), F.max_by(mean, "low").alias("last"))
-        after = ends.select("last", F.lead("first").over(Window.orderBy("part")).alias("after"))  # a row for each range
+        ends = blocks.groupBy("part").agg(F.min("low").alias("low"), F.min_by(mean, "low").alias("first"), F.max_by(mean, "low").alias("last"))
+        after = ends.select("last", F.lead("first").over(Window.orderBy("low")).alias("after"))  # a row for each range
         falls = after.where(F.col("after") < F.col("last")).isEmpty()
         blocks = blocks.drop("part")
         if falls:
             return blocks.withColumn("fitted", F.col("s") / F.col("w"))
+        numbered = sequence_in_group(blocks, [], ["low"], out="__seq")
+        dealt = numbered.select(F.floor((F.col("__seq") - 1 + shift) / size).cast("long").alias("part"), "low", "high", "w", "s", "square")
+        blocks = save_and_reload(dealt.groupBy("part").applyInPandas(pooled, _SCHEMA), "pools")
         shift = size // 2 - shift

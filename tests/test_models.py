@@ -814,6 +814,38 @@ def test_rising_fit_in_ranges(spark, kind):
         assert sum(r["square"] for r in pools) == pytest.approx((w * y * y).sum())
 
 
+def test_rising_fit_writes_pools_alone(spark, monkeypatch):
+    """Rows move once; what is written is pooled. Equal x meet across batches, and one x may own most rows."""
+    from profilar.operators import ordered
+
+    rng = np.random.default_rng(3)
+    x = np.where(np.arange(6000) % 3 == 0, rng.random(6000), 0.5)
+    y = rng.normal(size=6000)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double").repartition(5)
+    saved, plain = [], monotone.save_and_reload
+
+    def counted(table, name="step"):
+        out = plain(table, name)
+        saved.append(out.count())
+        return out
+
+    monkeypatch.setattr(monotone, "save_and_reload", counted)
+    monkeypatch.setattr(ordered, "save_and_reload", counted)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "64")
+    try:
+        pools = sorted(monotone.rising_fit(df, "x", "y", range_blocks=300).collect(), key=lambda r: r["low"])
+    finally:
+        spark.conf.set(batch, before)
+    levels, at = np.unique(x, return_inverse=True)
+    w, s, square = (np.bincount(at, v).tolist() for v in (np.ones(6000), y, y * y))
+    want = monotone.pool_blocks(list(zip(levels.tolist(), levels.tolist(), w, s, square)))
+    assert [(p["low"], p["high"], p["w"]) for p in pools] == [b[:3] for b in want]
+    assert [p["s"] for p in pools] == pytest.approx([b[3] for b in want]) and [p["square"] for p in pools] == pytest.approx([b[4] for b in want])
+    assert max(saved) < len(levels) / 3
+
+
 def test_rising_fit_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (2.0, None)], "x double, y double")
     assert monotone.rising_fit(df, "x", "y").count() == 0
