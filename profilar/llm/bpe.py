@@ -16,20 +16,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Entries of one generation of a memo; a worker keeps two generations of each of its three memos.
+#: Entries of one generation of a memo; a worker keeps two generations of each of its two memos.
 MEMO_ENTRIES = 250_000
 #: Blocks up to this length are merged by scanning, longer ones with a heap.
 SCAN_BYTES = 64
-#: Longest block of bytes whose encoding is remembered.
+#: Longest piece, in bytes, whose encoding is remembered.
 MEMO_BYTES = 48
+#: Longest part of a piece, in bytes, whose encoding is remembered; longer parts seldom recur.
+PART_BYTES = 8
+#: Characters of the texts whose words are gathered at a time; a longer text is gathered alone.
+GATHERED_CHARS = 4_000_000
 #: Tokens decoded at one leaf of the tree.
 LEAF_TOKENS = 4096
 
@@ -75,7 +81,7 @@ class Tokenizer:
             self.bytes_of[rank] = token
         self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.digits = [str(i) for i in range(len(self.bytes_of))]
-        self._blocks, self._pieces, self._stretches = Memo(), Memo(), Memo()
+        self._blocks, self._pieces = Memo(), Memo()
 
     # -- one piece -------------------------------------------------------------------------------------------------
 
@@ -128,7 +134,7 @@ class Tokenizer:
 
     def window(self, tokens: Tokens) -> Tokens:
         block = b"".join(map(self.bytes_of.__getitem__, tokens))
-        if len(block) > MEMO_BYTES:
+        if len(block) > PART_BYTES:
             return self.merge(block)
         known = self._blocks.get(block)
         if known is None:
@@ -155,11 +161,11 @@ class Tokenizer:
         """Halve, encode, join."""
         if len(block) == 1:
             return (self.ranks[block],)
-        known = self._blocks.get(block) if len(block) <= MEMO_BYTES else None
+        known = self._blocks.get(block) if len(block) <= PART_BYTES else None
         if known is None:
             half = len(block) // 2
             known = self.join(self.encode_block(block[:half]), self.encode_block(block[half:]))
-            if len(block) <= MEMO_BYTES:
+            if len(block) <= PART_BYTES:
                 self._blocks.put(block, known)
         return known
 
@@ -176,26 +182,65 @@ class Tokenizer:
     # -- whole texts -----------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
-        """Token ids of a whole text.
-
-        A space between two characters that are no white space always starts a piece, so a text is looked up by the
-        stretches between such spaces; other texts are cut by the pattern as a whole.
-        """
-        stretches = text.split(" ")
-        stretches[1:] = [" " + s for s in stretches[1:]]
-        found = list(map(self._stretches.young.get, stretches))
-        if None in found:
-            for k, known in enumerate(found):
-                if known is None:
-                    stretch = stretches[k]
-                    if not stretch or stretch[-1].isspace():  # white space crosses this cut
-                        return list(chain.from_iterable(map(self.encode_piece, self.pattern.findall(text))))
-                    found[k] = self._stretches.get(stretch) or self._encode_stretch(stretch)
-        return list(chain.from_iterable(found))
-
-    def _encode_stretch(self, stretch: str) -> Tokens:
-        known = tuple(chain.from_iterable(map(self.encode_piece, self.pattern.findall(stretch))))
-        return self._stretches.put(stretch, known) if len(stretch) <= MEMO_BYTES else known
+        """Token ids of a whole text."""
+        return next(self.encode_all([text])).tolist()
+
+    def encode_all(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+        """Token ids of each of many texts."""
+        first = chars = 0
+        for k, text in enumerate(texts):
+            if chars and chars + len(text) > GATHERED_CHARS:
+                yield from self._encode_gathered(texts[first:k])
+                first, chars = k, 0
+            chars += len(text)
+        yield from self._encode_gathered(texts[first:])
+
+    def _encode_gathered(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+        """A space between two characters that are no white space always starts a piece. So a text is the sequence of the
+        stretches between such spaces, and each different stretch of the texts is cut and encoded once; other texts are cut by
+        the pattern as a whole."""
+        spaced = np.array(["  " not in t for t in texts], dtype=bool)
+        lists = pc.split_pattern(pa.array([t for t, s in zip(texts, spaced) if s], pa.large_string()), " ")
+        stops, words = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        del lists
+        codes = words.indices.to_numpy()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        crossing = np.array([not w or w[-1].isspace() for w in known], dtype=bool)  # white space crosses the cut after it
+        begin, size, ids = self._encode_words([w for w, c in zip(known, crossing) if not c])
+        place = np.cumsum(~crossing) - 1
+        k = 0
+        for text, s in zip(texts, spaced):
+            if s:
+                own = codes[stops[k]:stops[k + 1]]
+                k += 1
+                if not crossing[own].any():
+                    lead, own = self._encode_pieces(self.pattern.findall(known[own[0]])), place[own[1:]]
+                    sizes = size[own]
+                    past = np.cumsum(sizes)
+                    inside = np.arange(past[-1] if len(past) else 0) + np.repeat(begin[own] - past + sizes, sizes)
+                    yield np.concatenate([lead, ids[inside]])
+                    continue
+            yield self._encode_pieces(self.pattern.findall(text))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the token ids of each word behind a space begin, how many they are, and all of them. No word ends in white space."""
+        pieces = self.pattern.findall("".join([" " + w for w in words]))
+        found = self._known_pieces(pieces)
+        tokens = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        until = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), ends, "right")
+        bounds = tokens[np.concatenate([[0], until])]
+        return bounds[:-1], np.diff(bounds), np.fromiter(chain.from_iterable(found), np.int64, int(tokens[-1]))
+
+    def _known_pieces(self, pieces: list[str]) -> list[Tokens]:
+        found = list(map(self._pieces.young.get, pieces))
+        for k, known in enumerate(found):
+            if known is None:
+                found[k] = self.encode_piece(pieces[k])
+        return found
+
+    def _encode_pieces(self, pieces: list[str]) -> np.ndarray:
+        return np.array(list(chain.from_iterable(self._known_pieces(pieces))), dtype=np.int64)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of token ids, concatenated up a tree of blocks."""
@@ -231,7 +276,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = shared_tokenizer(name, ranks, pattern)
         for batch in batches:
-            yield pd.Series([tokenizer.encode(t or "") for t in batch])
+            yield pd.Series(list(tokenizer.encode_all([t or "" for t in batch])))
 
     return docs.withColumn(ids, each(F.col(text)))
 
@@ -264,8 +309,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text")
         tokenizer = shared_tokenizer(name, ranks, pattern)
         for batch in batches:
             rows = []
-            for t in batch:
-                found = tokenizer.encode(t or "")
+            for found in map(np.ndarray.tolist, tokenizer.encode_all([t or "" for t in batch])):
                 line = ",".join(map(tokenizer.digits.__getitem__, found))
                 rows.append((len(found), hashlib.sha256(line.encode()).hexdigest(),
                              hashlib.sha256(tokenizer.decode(found)).hexdigest()))

@@ -27,10 +27,9 @@ from profilar.llm.bpe import Tokenizer, broadcast_ranks, shared_tokenizer
 RULES = ("start", "end", "share")
 
 
-def token_spans(tokenizer: Tokenizer, text: str) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(tokenizer: Tokenizer, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character offsets [start, end) of each token of a text."""
-    ids = tokenizer.encode(text)
-    sizes = tokenizer.sizes[np.array(ids, dtype=np.int64)] if ids else np.zeros(0, dtype=np.int64)
+    sizes = tokenizer.sizes[ids]
     stops = np.cumsum(sizes)
     data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
     if len(data) == len(text):
@@ -81,8 +80,8 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, key: str = "d
         tokenizer = shared_tokenizer(name, ranks, pattern)
         for batch in batches:
             parts = []
-            for row in batch.itertuples(index=False):
-                whole = row[0] or ""
+            texts = [t or "" for t in batch.iloc[:, 0]]
+            for row, whole, ids in zip(batch.itertuples(index=False), texts, tokenizer.encode_all(texts)):
                 if spans:
                     given = [s for s in (row[1] if row[1] is not None else [])
                              if s is not None and s["start"] is not None and s["end"] is not None]
@@ -90,7 +89,7 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, key: str = "d
                     high = np.clip(np.array([s["end"] for s in given], dtype=np.int64), 0, len(whole))
                 else:
                     low, high = line_spans(whole)
-                tokens = token_spans(tokenizer, whole)
+                tokens = token_spans(tokenizer, whole, ids)
                 counts = allocate(tokens, (low, high), rule)
                 parts.append((low.astype(np.int64), high.astype(np.int64), counts if rule == "share" else counts.astype(np.int64), len(tokens[0])))
             yield pd.DataFrame(parts, columns=["char_start", "char_end", "n_tokens", "doc_tokens"])

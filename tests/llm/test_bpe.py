@@ -52,6 +52,37 @@ def test_memo_turns_over(monkeypatch):
         assert small.encode(text) == LIBRARY.encode_ordinary(text)
 
 
+texts_of_words = st.lists(st.text(alphabet=st.sampled_from(list("ab 1'!\n\té日😀st  \x1c=\u3000")), max_size=40), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts_of_words, st.integers(1, 60))
+def test_many_texts_encode_like_the_library(texts, gathered):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "GATHERED_CHARS", gathered)
+        assert [ids.tolist() for ids in OWN.encode_all(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+def test_words_that_recur_in_a_batch_are_cut_and_encoded_once(monkeypatch):
+    """More different words than the memo holds, every one in each of twenty texts."""
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 50)
+    small = bpe.Tokenizer(RANKS, public_tokenizers.PATTERN)
+    words = ["".join(random.Random(k).choices("qxzjkvw", k=12)) for k in range(400)]
+    texts = ["The " + " ".join(random.Random(k).sample(words, len(words))) for k in range(20)]
+    cut, encoded = [], []
+
+    class Pattern:
+        def findall(self, text):
+            cut.append(len(text))
+            return OWN.pattern.findall(text)
+
+    small.pattern = Pattern()
+    monkeypatch.setattr(small, "encode_piece", lambda piece: encoded.append(piece) or bpe.Tokenizer.encode_piece(small, piece))
+    assert [ids.tolist() for ids in small.encode_all(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert sum(cut) <= 2 * len(texts[0])
+    assert sum(len(p) > 4 for p in encoded) == len(words)
+
+
 def test_columns_and_digests(spark, odd_docs, no_docs):
     rows = bpe.digests(odd_docs, PATH, public_tokenizers.PATTERN).collect()
     assert len(rows) == odd_docs.count() and rows[0]["key"] == "clash"
