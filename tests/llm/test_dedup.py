@@ -223,6 +223,15 @@ def test_grid_join_finds_every_pair_once(spark):
         assert len(found) == len(set(found)) and set(found) == want
 
 
+def broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_cells_are_not_broadcast(spark):
+    df = spark.range(500).select(F.xxhash64("id").alias("fp"), F.col("id").alias("node"))
+    assert not broadcasts(simhash.links(df, 4))
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(70)]
