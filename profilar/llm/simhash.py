@@ -236,12 +236,7 @@ def _similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     rows = texts.join(needed, "node", "left_semi").select("t", F.col("least").alias("key"))
     held = save_and_reload(narrow.join(rows, ["key", "t"], "left_semi").mapInPandas(
         sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(held, "node").join(held.select(F.col("node").alias("other"), F.col("set").alias("set2")), "other")
-    shared = F.size(F.array_intersect("set", "set2"))
-    alike = both.where(shared >= similarity * (F.size("set") + F.size("set2") - shared)).select(
-        F.col("node").alias("a"), F.col("other").alias("b"))
-
-    roots = components(near.union(same).union(alike), "a", "b")
+    roots = components(near.union(same).union(_alike(pairs, held, similarity)), "a", "b")
     # of three texts in a cell every pair is judged by now
     placed = met.where(F.col("n") > 3).join(roots, "node", "left").select(
         "order", "cell", "node", "size", F.coalesce("root", "node").alias("root"))
@@ -268,6 +263,18 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     return marked.join(named, ["t", "fp"]).select("key", F.col("lead.least").alias("component"))
 
 
+def _alike(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: the ``pairs`` (node, other) whose sets in ``held`` (node, set) overlap by ``similarity``.
+
+    Sets are merged, never broadcast: sets of near copies are many times larger in rows than in the file that Spark sizes them by.
+    """
+    held = held.hint("merge")
+    both = pairs.join(held, "node").join(held.select(F.col("node").alias("other"), F.col("set").alias("set2")), "other")
+    shared = F.size(F.array_intersect("set", "set2"))
+    return both.where(shared >= similarity * (F.size("set") + F.size("set2") - shared)).select(
+        F.col("node").alias("a"), F.col("other").alias("b"))
+
+
 def _block_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """``a``, ``b``: roots to merge, from every pair of texts in ``dealt`` (order, cell, block, node, root) of different roots."""
     blocks = dealt.groupBy("order", "cell", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -276,7 +283,7 @@ def _block_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFr
     # blocks follow the roots' order: all of one root if the first block's least is the second's greatest
     judged = first.join(second, ["order", "cell"]).where((F.col("i") <= F.col("j")) & (F.col("low") != F.col("high")))
     parts = judged.select("order", "cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = parts.join(dealt, ["order", "cell", "block"]).join(held, "node")
+    rows = parts.join(dealt, ["order", "cell", "block"]).join(held.hint("merge"), "node")
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(merged_roots(list(group["set"]), group["root"].to_numpy(), group["block"].to_numpy(), similarity),

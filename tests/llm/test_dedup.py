@@ -232,6 +232,20 @@ def test_grid_cells_are_not_broadcast(spark):
     assert not broadcasts(simhash.links(df, 4))
 
 
+def test_sets_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, [5, 6]), (2, [5, 6]), (3, [7])], "node long, set array<long>").write.parquet(f"{tmp_path}/sets")
+    held = spark.read.parquet(f"{tmp_path}/sets")
+    dealt = spark.createDataFrame([(0, 9, n, n, n // 3) for n in (1, 2, 3)], "order int, cell long, node long, root long, block long")
+    found = simhash._block_links(dealt, held, 0.8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "[node#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert {tuple(sorted(r)) for r in found.collect()} == {(1, 2)}
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "node long, other long")
+    found = simhash._alike(pairs, held, 0.8)
+    assert not broadcasts(found) and [tuple(r) for r in found.collect()] == [(2, 1)]
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(70)]
